@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachflow.sources.scratch import scratch, written  # noqa: F401
+
+
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
 SLICE_BYTES = 2_000_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share; a temporary one if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "reachflow-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/reachflow-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the scratch folder: computed once, lineage cut, readable by every executor."""
-    path = path or scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that very long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -68,6 +52,27 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 
 
 _POWERS = powers(256)
+#: Sums of bytes times powers don't tell bytes apart well enough for short runs of a hash table; random numbers do.
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def run_positions(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the runs, run after run."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of data; no run may be empty."""
+    global _POWERS
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if sizes.max() > len(_POWERS):
+        _POWERS = powers(int(sizes.max()) * 2)
+    offsets = np.cumsum(sizes) - sizes
+    within = np.arange(int(offsets[-1] + sizes[-1])) - np.repeat(offsets, sizes)
+    terms = _BYTES[data[within + np.repeat(starts, sizes)]] * _POWERS[within]
+    return mixed(np.add.reduceat(terms, offsets) + sizes.astype(np.uint64) * MIX2)
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +82,7 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
         edge = np.concatenate(([0], edge))
     if len(edge) % 2:
         edge = np.concatenate((edge, [len(data)]))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    global _POWERS
-    lengths = ends - starts
-    if lengths.max() > len(_POWERS):
-        _POWERS = powers(int(lengths.max()) * 2)
-    position = np.flatnonzero(is_word)
-    first = np.repeat(starts, lengths)
-    terms = (data[position].astype(np.uint64) + np.uint64(1)) * _POWERS[position - first]
-    offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    return starts, mixed(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64) * MIX2)
+    return edge[::2], run_hashes(data, edge[::2], edge[1::2] - edge[::2])
 
 
 def joined(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.llm import common, packing, sharding, token_files
+from reachflow.llm import bpe, common, minhash, packing, sharding, token_files
 
-WORD_FILE = "word_bpe_49k.json"
+WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(common.documents(spark, sf_dir), public_tokenizers.path(WORD_FILE))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the rank file, and the digests of the ids and of their decoding."""
+    path = public_tokenizers.path(RANK_FILE)
+    tokens = bpe.encoded(common.documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return bpe.digests(tokens, path, public_tokenizers.PATTERN)
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and near-duplicate class."""
+    return minhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Simple-8b segments in doc_id order and read back."""
     path = common.scratch(spark)
@@ -32,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op7_token_files, op10_sharding)}
+    return {f.__name__: f for f in (op3_packing, op4_byte_bpe, op5_minhash, op7_token_files, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
