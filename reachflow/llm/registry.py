@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.llm import bpe, common, minhash, packing, sharding, token_files
+from reachflow.llm import bpe, common, flac, minhash, packing, sharding, token_files
 
 WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload as a FLAC stream, read back with its checksums verified."""
+    return flac.features(flac.media(common.documents(spark, sf_dir)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     return packing.packed_documents(common.documents(spark, sf_dir), public_tokenizers.path(WORD_FILE))
@@ -44,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_byte_bpe, op5_minhash, op7_token_files, op10_sharding)}
+    return {f.__name__: f for f in (op1_flac, op3_packing, op4_byte_bpe, op5_minhash, op7_token_files, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
