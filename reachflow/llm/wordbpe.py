@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-#: The only characters that Python's split() takes for white space and Unicode's White_Space has not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-MEMO_ENTRIES, MEMO_CHARS = 150_000, 48
+from reachflow.llm import common
+from reachflow.llm.transducer import Table, Transducer
+
+#: Texts without other characters change by no normalisation but lower-casing, one character at a time, and the
+#: first byte of a character tells a letter from a sign. An apostrophe before a letter may be a contraction.
+ODD = re.compile("[^\t\n\r -~¡-©«¬®-±´¶-¸»¿À-ÖØ-öø-įı-ňŊ-ž‐-‧‰-⁞€]")
+CONTRACTION = re.compile("'[A-Za-zÀ-ž]")
+END, SHIFT = "</w>", 0x1000
+SPACE, LETTER, DIGIT, SIGN = range(4)
+KINDS = np.full(256, SIGN, np.uint8)
+KINDS[[9, 10, 13, 32]] = SPACE
+KINDS[48:58] = DIGIT
+KINDS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5]] = LETTER
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+def symbols(token: str) -> str:
+    """A vocabulary's token as symbols: the one that ends a word is shifted instead of marked."""
+    return token[: -len(END) - 1] + chr(ord(token[-len(END) - 1]) + SHIFT) if token.endswith(END) and len(token) > len(END) else token
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, remembering the ids of chunks between white space.
+    """Encodes texts as the tokenizers library does with the vocabulary file.
 
-    The vocabulary's pattern matches no white space, lower-casing goes by single characters and NFC composes
-    nothing with white space, so that the ids of a text are the ids of its chunks in order. Texts with separators
-    on which Python and Unicode disagree are encoded whole. The memory is bounded: it is emptied when full.
+    The vocabulary drops white space, lower-cases, and takes runs of letters, runs of signs and single digits as words.
+    Texts of plain characters are cut into words by whole arrays, and the transducer of the merges encodes the words
+    that the memory of word hashes lacks; the memory is emptied when full. Other texts go through the library.
     """
 
     def __init__(self, path: str):
@@ -26,30 +49,74 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        vocab, special = said["model"]["vocab"], {t["content"] for t in said["added_tokens"]}
+        merges = {(vocab[a], vocab[b]): (rank, vocab[a + b if not a.endswith(END) else a[: -len(END)] + b]) for rank, (a, b) in enumerate(said["model"]["merges"])}
+        parts = {token: pair for pair, (_, token) in merges.items()}
+        if len(parts) != len(merges):
+            raise ValueError("a token has two merges")
+        self.transducer = Transducer({symbols(t): i for t, i in vocab.items() if t not in special}, lambda a, b: merges.get((a, b)), parts.get)
+        self.letters = np.array([ord(x) for x in byte_letters()], np.uint32)
+        self.forget()
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def forget(self) -> None:
+        self.known = Table()
+        self.first, self.many, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        """The ids as the library gives them."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def numbers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place in memory of each word of data; unknown words are encoded first."""
+        keys = common.run_hashes(data, starts, sizes)
+        found = self.known.get(keys)
+        lack = np.flatnonzero(found < 0)
+        if len(lack):
+            new, at, inverse = np.unique(keys[lack], return_index=True, return_inverse=True)
+            if self.known.used + len(new) > len(self.known.keys) // 2 and self.known.used:
+                self.forget()
+                return self.numbers(data, starts, sizes)
+            own = lack[at]
+            where = common.run_positions(starts[own], sizes[own])
+            symbols = self.letters[data[where]]
+            symbols[np.cumsum(sizes[own]) - 1] += SHIFT
+            ids, counts = self.transducer.encode_runs(symbols, sizes[own])
+            numbers = np.arange(len(self.first), len(self.first) + len(new), dtype=np.int32)
+            self.first = np.concatenate((self.first, len(self.store) + np.cumsum(counts) - counts))
+            self.many = np.concatenate((self.many, counts))
+            self.store = np.concatenate((self.store, ids))
+            self.known.put(new, numbers)
+            found[lack] = numbers[inverse]
+        return found
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of plain characters."""
+        data, begins = common.joined([t.lower().encode() for t in texts])
+        kinds = KINDS[data]
+        if data.size and data.max() >= 0x80:
+            after = np.flatnonzero((data & 0xC0) == 0x80)  # a character's later bytes are of the kind of its first
+            kinds[after] = kinds[after - 1]
+            kinds[after] = kinds[after - 1]
+        cut = np.concatenate(([True], (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)))
+        starts = np.flatnonzero(cut)
+        sizes = np.diff(np.append(starts, len(data)))
+        words = kinds[starts] != SPACE
+        starts, sizes = starts[words], sizes[words]
+        numbers = self.numbers(data, starts, sizes)
+        counts = self.many[numbers]
+        ids = self.store[common.run_positions(self.first[numbers], counts)].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, begins)] * 4
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        odd = {i for i, t in enumerate(texts) if ODD_SPACE.search(t)}
-        chunks = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        memo = self.memo
-        missing = list({c for part in chunks for c in part if c not in memo})
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = list({c for part in chunks for c in part})
-        memo.update(zip(missing, self.plain(missing), strict=True))
-        get = memo.__getitem__
-        out = [b"".join(map(get, part)) for part in chunks]
-        for c in missing:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
-        for i in odd:
-            out[i] = self.plain([texts[i]])[0]
-        return out
+        plain = [not (ODD.search(t) or CONTRACTION.search(t)) for t in texts]
+        fast = iter(self.plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        slow = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(fast if p else slow) for p in plain]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
