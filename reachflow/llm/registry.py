@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.llm import bpe, common, flac, minhash, packing, sharding, token_files
+from reachflow.llm import bpe, common, flac, kneser_ney, language, minhash, packing, sharding, token_files, toxicity
 
 WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -16,6 +16,11 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(flac.media(common.documents(spark, sf_dir)))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted texts, and whether its language's threshold keeps it."""
+    return kneser_ney.judged(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     return packing.packed_documents(common.documents(spark, sf_dir), public_tokenizers.path(WORD_FILE))
@@ -33,6 +38,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity under the model fitted on the labelled rows outside the held-out fold."""
+    docs = common.documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.trained(docs, common.labels(spark, sf_dir)))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Simple-8b segments in doc_id order and read back."""
     path = common.scratch(spark)
@@ -40,6 +51,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language under the model fitted on rows outside the held-out fold."""
+    docs = common.documents(spark, sf_dir)
+    return language.identified(docs, language.trained(docs))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, from shards written by the external shuffle and read back."""
     path = common.scratch(spark)
@@ -49,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_flac, op3_packing, op4_byte_bpe, op5_minhash, op7_token_files, op10_sharding)}
+    return {f.__name__: f for f in (op1_flac, op2_kneser_ney, op3_packing, op4_byte_bpe, op5_minhash, op6_toxicity, op7_token_files, op8_language, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
