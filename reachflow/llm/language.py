@@ -25,6 +25,8 @@ BUCKETS = 1 << BUCKET_BITS
 MOST_ROWS, LANDMARKS, RIDGE = 1200, 40, 1e-2
 FOLDS, HELD_OUT = 4, 2
 ROWS = 64
+#: A text whose best language scores less is taken for none of the learned ones.
+LEAST_SCORE = 0.25
 HAS_LETTER = re.compile(r"[^\W\d_]")
 GAP = b"    "
 TIMES = common.powers(LONGEST, 0x9FB21C651E98DF25)
@@ -146,3 +148,27 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def kept(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a language of at least the score.
+
+    Each row is judged by itself, ids may repeat. Without a model, as of an empty table, every row with a letter stays.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(shared.value)
+        for rows, texts in common.slices(batches, "scored_text"):
+            if shared.value is None:
+                good = [HAS_LETTER.search(t.decode()) is not None for t in texts]
+            else:
+                langs, score = own.predict(texts)
+                good = [x != "und" and s >= least for x, s in zip(langs, score.tolist(), strict=True)]
+            part = rows.filter(pa.array(good, pa.bool_()))
+            yield pa.record_batch(part.columns[:-1], docs_columns)
+
+    docs_columns = docs.columns
+    return docs.select(*docs.columns, F.col("text").cast("string").alias("scored_text")).mapInArrow(run, docs.schema)

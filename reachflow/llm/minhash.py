@@ -187,3 +187,9 @@ def linked(active: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             labels = connected_components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         active = open_.where(F.col("turn") > pivots).select("bucket", "doc", "n")
         pivots = min(4 * pivots, 64)
+
+
+def kept(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; rows that repeat a kept id stay with it."""
+    gone = near_duplicates(docs, similarity).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")

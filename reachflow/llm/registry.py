@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.llm import bpe, common, flac, kneser_ney, language, minhash, packing, sharding, token_files, toxicity
+from reachflow.llm import bpe, common, flac, kneser_ney, language, minhash, neighbours, packing, sharding, token_files, toxicity
 
 WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -57,6 +57,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.trained(docs))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, from shards written by the external shuffle and read back."""
     path = common.scratch(spark)
@@ -66,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_flac, op2_kneser_ney, op3_packing, op4_byte_bpe, op5_minhash, op6_toxicity, op7_token_files, op8_language, op10_sharding)}
+    return {f.__name__: f for f in (op1_flac, op2_kneser_ney, op3_packing, op4_byte_bpe, op5_minhash, op6_toxicity, op7_token_files, op8_language, op9_neighbours, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
