@@ -13,7 +13,7 @@ from reachflow.sources.scratch import scratch, written  # noqa: F401
 
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

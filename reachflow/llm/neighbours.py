@@ -1,9 +1,10 @@
 """Nearest neighbours by score-aware quantisation, four-bit table scans and exact reranking.
 
-The nearest vector x to q has the greatest q.x - |x|^2 / 2, a maximum inner product. x is quantised in subspaces of two
-components with 16 centres each, under a loss that weighs the residual along x more than that across it, since only
-the former moves the scores of queries that lie near x. A scan adds up one table entry for each two subspaces; the best
-of each block of candidates are measured on the original vectors.
+With c the coarse centre of x and x = c + s u, |u| = 1, the nearest x to q has the greatest 2 s (q - c).u - s^2 - |q - c|^2,
+a maximum inner product. u is quantised in subspaces of two components with 16 centres each, under a loss that weighs
+the residual along u more than that across it, since only the former moves the scores of queries that lie near x. A
+scan adds up one table entry for each two subspaces; the best of each block of candidates are measured on the original
+vectors. Directions from a centre keep vectors apart that differ by little.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reachflow.sources.scratch import written
 
-CENTRES, WIDTH = 16, 2
+COARSE, CENTRES, WIDTH = 64, 16, 2
 #: The codebooks are fitted on so many vectors at most, those of least hash.
 MOST_VECTORS, ROUNDS = 8192, 8
 #: Share of the norm above which an inner product matters; it sets how much more the parallel residual weighs.
@@ -53,13 +54,30 @@ def assign(x: np.ndarray, books: np.ndarray, weight: float, codes: np.ndarray |
     return codes
 
 
-def fit(x: np.ndarray, seed: int = 1) -> np.ndarray:
-    """Codebooks (subspace, centre, component) of the rows of x."""
-    d = x.shape[1]
-    x = cut(x)
+def directions(x: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest coarse centre of each row, its distance and the unit vector from there (zero if it is the centre)."""
+    own = np.concatenate([((x[i : i + 512, None] - coarse) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), 512)])
+    rest = x - coarse[own]
+    far = np.sqrt((rest**2).sum(axis=1))
+    return own, far, rest / np.maximum(far, 1e-300)[:, None]
+
+
+def coarse_centres(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    centres = x[rng.permutation(len(x))[:COARSE]].copy()
+    for _ in range(ROUNDS):
+        own = directions(x, centres)[0]
+        for c in np.unique(own):
+            centres[c] = x[own == c].mean(axis=0)
+    return centres
+
+
+def fit(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse centres, and codebooks (subspace, centre, component) of the directions of the rows of x from them."""
+    rng = np.random.default_rng(seed)
+    coarse, d = coarse_centres(x, rng), x.shape[1]
+    x = cut(directions(x, coarse)[2])
     weight = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     norms = np.maximum((x**2).sum(axis=(1, 2)), 1e-30)
-    rng = np.random.default_rng(seed)
     books = np.stack([x[rng.integers(0, len(x), CENTRES), m] for m in range(x.shape[1])])
     for _ in range(ROUNDS):  # plain centres first
         for m in range(x.shape[1]):
@@ -84,39 +102,44 @@ def fit(x: np.ndarray, seed: int = 1) -> np.ndarray:
             new = ((y - books[m, codes[:, m]]) * y).sum(axis=1)
             total += new - along[:, m]
             along[:, m] = new
-    return books
+    return coarse, books
 
 
-def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Two codes a byte for each row."""
+def encode(x: np.ndarray, coarse: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row two codes a byte; and its coarse centre, its distance s from it, and centre times quantised direction."""
+    own, far, u = directions(x, coarse)
     weight = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    codes = assign(cut(x), books, weight).astype(np.uint8)
-    return codes[:, ::2] << 4 | codes[:, 1::2]
+    codes = assign(cut(u), books, weight)
+    back = books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)[:, : x.shape[1]]
+    codes = codes.astype(np.uint8)
+    return codes[:, ::2] << 4 | codes[:, 1::2], np.stack([own, far, (coarse[own] * back).sum(axis=1)], axis=1)
 
 
-def scan(queries: np.ndarray, packed: np.ndarray, norms: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Approximate q.x - |x|^2 / 2 of all queries (rows) and candidates (columns), from tables of two subspaces each."""
+def scan(queries: np.ndarray, packed: np.ndarray, extra: np.ndarray, coarse: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Approximate negative squared distances of all queries (rows) and candidates (columns), from tables of two subspaces each."""
     tables = np.einsum("qmk,mck->qmc", cut(queries), books).astype(np.float32)
     pairs = (tables[:, ::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, CENTRES * CENTRES)
-    out = np.repeat(-norms[None, :].astype(np.float32) / 2, len(queries), axis=0)
+    out = np.zeros((len(queries), len(packed)), np.float32)
     for m in range(packed.shape[1]):
         out += pairs[:, m][:, packed[:, m]]
-    return out
+    centre, far, shift = extra[:, 0].astype(np.int64), extra[:, 1].astype(np.float32), extra[:, 2].astype(np.float32)
+    away = ((queries[:, None] - coarse) ** 2).sum(axis=2).astype(np.float32)
+    return 2 * far * (out - shift) - far**2 - away[:, centre]
 
 
 def matrix(binary: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(binary.to_pylist()), np.float64).reshape(len(binary), -1)
 
 
-def nearest_in_block(candidates: pa.Table, queries: pa.Table, books: np.ndarray, k: int) -> pa.Table:
+def nearest_in_block(candidates: pa.Table, queries: pa.Table, coarse: np.ndarray, books: np.ndarray, k: int) -> pa.Table:
     """The k nearest candidates of each query, measured exactly among those that the scan passes on."""
     x, q = matrix(candidates.column("x")), matrix(queries.column("x"))
     ids = candidates.column("rep").to_numpy()
     packed = np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-    norms, out = (x**2).sum(axis=1), []
+    extra, out = matrix(candidates.column("extra")), []
     for i in range(0, len(q), 64):
         part = q[i : i + 64]
-        scores = scan(part, packed, norms, books)
+        scores = scan(part, packed, extra, coarse, books)
         most = min(PASSED, len(ids))
         best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
         for j in range(len(part)):
@@ -167,34 +190,36 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "rep", "x")), strict=True))
         if rows:
             file = io.BytesIO()
-            np.save(file, fit(np.stack([np.frombuffer(r[2], np.float64) for r in rows])))
+            coarse, books = fit(np.stack([np.frombuffer(r[2], np.float64) for r in rows]))
+            np.savez(file, coarse=coarse, books=books)
             yield pa.record_batch([pa.array([file.getvalue()], pa.binary())], ["books"])
 
     sample = reps.orderBy("key", "rep").limit(MOST_VECTORS)
     found = sample.repartition(1).mapInArrow(learn, "books binary").collect()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(np.load(io.BytesIO(found[0]["books"])))
+    fitted = np.load(io.BytesIO(found[0]["books"]))
+    shared = spark.sparkContext.broadcast((fitted["coarse"], fitted["books"]))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                packed = encode(matrix(b.column("x")), shared.value)
-                yield pa.record_batch([b.column("rep"), b.column("key"), b.column("x"), pa.array([p.tobytes() for p in packed], pa.binary())], ["rep", "key", "x", "codes"])
+                packed, extra = encode(matrix(b.column("x")), *shared.value)
+                yield pa.record_batch([b.column("rep"), b.column("key"), b.column("x"), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([e.tobytes() for e in extra], pa.binary())], ["rep", "key", "x", "codes", "extra"])
 
-    indexed = reps.mapInArrow(index, as_bytes + ", codes binary")
+    indexed = reps.mapInArrow(index, as_bytes + ", codes binary, extra binary")
     asking = base.where(F.col("vec_id") % every == 0).select("vec_id", "key", "x").distinct()
     # Queries of equal vectors share a class, named by the least of their ids.
     asked = written(asking.withColumn("q", F.min("vec_id").over(Window.partitionBy("key", "x"))).select("q", "vec_id", F.when(F.col("vec_id") == F.col("q"), F.col("x")).alias("x"), "key"))
     queries = asked.where("x is not null").select(F.col("q").alias("rep"), "key", "x").mapInArrow(to_bytes, as_bytes).withColumnRenamed("rep", "q")
     rows, columns = max(1, -(-n // CANDIDATES)), max(1, -(-asked.where("x is not null").count() // QUERIES))
-    left = indexed.withColumn("row", F.pmod("key", F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).select("row", "column", "rep", "x", "codes")
+    left = indexed.withColumn("row", F.pmod("key", F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).select("row", "column", "rep", "x", "codes", "extra")
     right = queries.withColumn("column", F.pmod("key", F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long")))).select("row", "column", "q", "x")
 
     def block(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         if not candidates.num_rows or not queries.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return nearest_in_block(candidates, queries, shared.value, k + 1)
+        return nearest_in_block(candidates, queries, *shared.value, k + 1)
 
     near = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(block, "q long, rep long, score double")
     near = near.withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy("score", "rep"))).where(F.col("turn") <= k + 1).drop("turn")
