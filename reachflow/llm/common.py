@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.sources.scratch import scratch, written  # noqa: F401
+from reachflow.sources.scratch import narrow, scratch, written  # noqa: F401
 
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).

@@ -23,6 +23,8 @@ WORDS = 5
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SIMILARITY = 85
+#: Documents of a block, sets compared and shared elements multiplied at once, tasks that small clusters are dealt to.
+BLOCK_DOCS, ROWS_AT_ONCE, COLUMNS, BUNDLES = 1024, 256, 8192, 509
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -112,43 +114,82 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * intersection >= similarity * union."""
+def elements(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of all sets, the number of the set that each is of, and the sets' sizes."""
+    sizes = np.array([len(x) // 8 for x in sets], np.int64)
+    return np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), sizes), sizes
+
+
+def intersections(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a (rows) and b (columns), as products of their incidence matrices."""
+    ea, ra, _ = elements(a)
+    eb, rb, _ = elements(b)
+    shared = np.intersect1d(np.unique(ea), np.unique(eb), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for i in range(0, len(shared), COLUMNS):
+        part = shared[i : i + COLUMNS]
+        sides = []
+        for e, r, n in ((ea, ra, len(a)), (eb, rb, len(b))):
+            at = np.minimum(np.searchsorted(part, e), len(part) - 1)
+            here = np.flatnonzero(part[at] == e)
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[here], at[here]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that the links (i, j) lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def links_of(docs: np.ndarray, sets: list[bytes], side: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents that connect what all confirmed links connect, between the two sides or, if one is empty, within."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
+    sizes, found = np.array([len(x) // 8 for x in sets]), []
+    if not len(right):
+        right = left
+    for i in range(0, len(left), ROWS_AT_ONCE):
+        one = left[i : i + ROWS_AT_ONCE]
+        for j in range(0, len(right), ROWS_AT_ONCE):
+            two = right[j : j + ROWS_AT_ONCE]
+            both = intersections([sets[k] for k in one], [sets[k] for k in two])
+            x, y = np.nonzero(100 * both >= similarity * (sizes[one][:, None] + sizes[two] - both))
+            found.append((one[x], two[y]))
+    x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    label = forest(len(docs), x, y)
+    moved = np.flatnonzero(label != np.arange(len(docs)))
+    return docs[moved], docs[label[moved]]
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: linked documents have the least doc_id they reach.
 
-    Documents of equal sets are one class, represented by its least id. Classes that meet in a band's bucket are
-    compared with a few pivots of the bucket; buckets whose classes are all linked by then need no further pair, the
-    others go on with further pivots until every pair of unlinked members has been compared, so no bucket has a cap.
+    Documents of equal sets are one class, represented by its least id. Classes that meet in a band's bucket, directly
+    or by others, are compared on their whole sets, all with all, so that no bucket has a cap.
     Rows with an empty set are alone; rows without an id are linked with nothing, have no component and are kept.
     Repeated rows of an id share its result, if their texts differ that of any. Other columns are left out.
     """
     sk = common.written(sketches(docs))
     linkable = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = common.written(classes)
+    classes = common.narrow(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
     dealt = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     by_bucket = Window.partitionBy("bucket")
-    active = common.written(dealt.withColumn("lo", F.min("doc").over(by_bucket)).withColumn("hi", F.max("doc").over(by_bucket)).where("lo <> hi").select("bucket", "doc", "n"))
-    labels = None
-    if not active.isEmpty():
-        sets = common.written(set_table(docs.join(active.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")).dropDuplicates(["doc"]))
-        labels = linked(active, sets, similarity)
+    met = common.narrow(dealt.withColumn("lo", F.min("doc").over(by_bucket)).withColumn("hi", F.max("doc").over(by_bucket)).where("lo <> hi").select("doc", "lo").distinct())
+    labels = None if met.isEmpty() else linked(docs, met, similarity)
     own = sk.select("doc_id", "n_shingles", "fp1", "fp2")
     result = own.join(classes, ["fp1", "fp2", "n_shingles"], "left")
     if labels is not None:
@@ -159,34 +200,43 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def linked(active: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """node, component of the documents that confirmed pairs within the buckets of active (bucket, doc, n) link."""
-    spark = active.sparkSession
-    labels = spark.createDataFrame([], "node long, component long")
-    pivots = 1
-    while True:
-        by_bucket = Window.partitionBy("bucket")
-        labelled = active.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("label"))
-        ranked = (
-            labelled.withColumn("lo", F.min("label").over(by_bucket))
-            .withColumn("hi", F.max("label").over(by_bucket))
-            .where("lo <> hi")
-            .withColumn("turn", F.row_number().over(by_bucket.orderBy(F.xxhash64("doc"), "doc")))
-        )
-        open_ = common.written(ranked.select("bucket", "doc", "n", "label", "turn"))
-        if open_.isEmpty():
-            return labels
-        chosen = open_.where(F.col("turn") <= pivots).groupBy("bucket").agg(F.collect_list(F.struct(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), "turn")).alias("pivots"))
-        # A pivot meets those after it and other pivots once; classes already linked and sizes too far apart need no look.
-        facing = F.filter("pivots", lambda p: (p["turn"] < F.col("turn")) & (p["other"] != F.col("label")) & (100 * F.least(p["m"], F.col("n")) >= similarity * F.greatest(p["m"], F.col("n"))))
-        met = open_.join(chosen, "bucket").select("doc", facing.alias("facing")).where(F.size("facing") > 0)
-        pairs = met.select("doc", F.transform("facing", lambda p: p["b"]).alias("facing")).distinct().select(F.explode("facing").alias("p"), "doc")
-        pairs = pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
-        links = common.written(confirmed(pairs, sets, similarity))
-        if not links.isEmpty():
-            labels = connected_components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        active = open_.where(F.col("turn") > pivots).select("bucket", "doc", "n")
-        pivots = min(4 * pivots, 64)
+def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
+    """node, component of the documents that confirmed links connect; met (doc, lo): who meets whom in a bucket.
+
+    Documents that meet, directly or by others, form a cluster, within which all are compared exactly: block by block,
+    each pair of blocks in one task, so that a cluster of any size is dealt out and none of its pairs is left out or
+    written down. A block's task gives a forest of the links that it finds.
+    """
+    clusters = connected_components(met, "doc", "lo").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = set_table(texts.join(clusters.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")).groupBy("doc").agg(F.first("set").alias("set"))
+    dealt = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(sets, "doc")
+    # Clusters of one block share tasks by a hash; a larger one has a task for each two of its blocks.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = dealt.select("doc", "cluster", "own", "set", "blocks", other)
+    placed = placed.select(
+        "doc",
+        "set",
+        "cluster",
+        F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(BUNDLES))).alias("k1"),
+        F.when(F.col("blocks") > 1, F.least("own", "other")).otherwise(-1).alias("k2"),
+        F.when(F.col("blocks") > 1, F.greatest("own", "other")).otherwise(-1).alias("k3"),
+        F.when((F.col("blocks") > 1) & (F.col("own") > F.col("other")), 1).otherwise(0).alias("side"),
+    )
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("cluster", "ascending"), ("doc", "ascending"), ("side", "ascending")])
+        cluster, doc, side = (rows.column(c).to_numpy() for c in ("cluster", "doc", "side"))
+        sets, a, b = rows.column("set").to_pylist(), [], []
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(cluster)) + 1, [len(cluster)]))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            x, y = links_of(doc[i:j], sets[i:j], side[i:j], similarity)
+            a.append(x), b.append(y)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    links = placed.groupBy("k1", "k2", "k3").applyInArrow(compare, "a long, b long")
+    return connected_components(links)
 
 
 def kept(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
