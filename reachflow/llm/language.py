@@ -28,7 +28,7 @@ ROWS = 64
 #: A text whose best language scores less is taken for none of the learned ones.
 LEAST_SCORE = 0.25
 HAS_LETTER = re.compile(r"[^\W\d_]")
-GAP = b"    "
+GAP = b" " * LONGEST
 TIMES = common.powers(LONGEST, 0x9FB21C651E98DF25)
 SALT = common.mixed(np.arange(1, LONGEST + 1, dtype=np.uint64))
 LETTERS = np.where(WORD, np.arange(256), 32).astype(np.uint8)
@@ -39,14 +39,15 @@ def presence(texts: list[bytes]) -> np.ndarray:
     """A row of BUCKETS zeros and ones for each text: which n-grams of its letters, lower-cased, it holds."""
     data, begins = common.joined([b"", *texts], GAP)
     data = LETTERS[lowered(data)].astype(np.uint64) + np.uint64(1)
-    row = np.repeat(np.arange(-1, len(texts)), np.diff(begins))
+    # An n-gram belongs to the text that it begins in or less than LONGEST places before: gaps keep texts apart.
+    row = np.repeat(np.arange(-1, len(texts)), np.diff([0, *(begins[1:-1] - LONGEST + 1), begins[-1]]))
     out = np.zeros((len(texts), BUCKETS), np.float32)
     key = np.zeros(len(data), np.uint64)
     for n in range(LONGEST):
         key = key[: len(data) - n] + data[n:] * TIMES[n]
         bucket = (common.mixed(key + SALT[n]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        here = row[: len(bucket)]
-        out[here[len(GAP) :], bucket[len(GAP) :]] = 1
+        own = row[: len(bucket)] >= 0
+        out[row[: len(bucket)][own], bucket[own]] = 1
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reachflow.llm import common
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20_240_611, 8_000_000
+SHUFFLED = "doc_id long, text string, bucket int, shard int, grown_shard int, slot_in_bucket long"
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -74,7 +75,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         order = fisher_yates(table.num_rows, zlib.crc32(f"{seed},{shard},{bucket}".encode()))
         return table.take(pa.array(order)).append_column("slot_in_bucket", pa.array(np.arange(table.num_rows), pa.int64()))
 
-    return dealt.groupBy("shard", "bucket").applyInArrow(permute, "doc_id long, text string, bucket int, shard int, grown_shard int, slot_in_bucket long")
+    return dealt.groupBy("shard", "bucket").applyInArrow(permute, SHUFFLED)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
@@ -84,7 +85,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
 def read_shards(spark, path: str) -> DataFrame:
     """doc_id, text, size, law, shard, slot (gapless within a shard), grown_shard of a table that write_shards() wrote."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(SHUFFLED).parquet(path)
     sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect()  # a number for each bucket
     before, out = {}, []
     for r in sorted(sizes, key=lambda r: (r["shard"], r["bucket"])):

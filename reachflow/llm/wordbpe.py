@@ -94,6 +94,8 @@ class WordEncoder:
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts of plain characters."""
+        if not texts:
+            return []
         data, begins = common.joined([t.lower().encode() for t in texts])
         kinds = KINDS[data]
         if data.size and data.max() >= 0x80:
