@@ -110,10 +110,21 @@ def cyclic_nodes(forest: DataFrame) -> DataFrame:
 
 
 def flag_closure(forest: DataFrame, flag: Column) -> DataFrame:
-    """node, below, above: whether a node or an ancestor of it is flagged, and whether it or a descendant is."""
+    """node, below, above: whether a node or an ancestor of it is flagged, and whether it or a descendant is.
+
+    Flags go up by doubling too: after k rounds a node knows of its descendants at a distance below 2**k. On a cycle
+    the rounds end once they cover all nodes.
+    """
     down = nearest_ancestor(forest, flag, include_self=True).select("node", F.col("ancestor").isNotNull().alias("below"))
-    up = reachable(forest.select(F.col("node").alias("src"), F.col("parent").alias("dst")), forest.where(flag).select("node")).withColumn("above", F.lit(True))
-    return down.join(up, "node", "left").select("node", "below", F.coalesce("above", F.lit(False)).alias("above"))
+    state = written(forest.select("node", F.col("parent").alias("ptr"), F.coalesce(flag, F.lit(False)).alias("above")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("ptr is not null").isEmpty():
+            break
+        told = state.where("above and ptr is not null").select(F.col("ptr").alias("node"), F.lit(True).alias("told")).distinct()
+        jump = state.select(F.col("node").alias("j"), F.col("ptr").alias("j_ptr"))
+        moved = state.join(told, "node", "left").join(jump, F.col("ptr") == F.col("j"), "left")
+        state = written(moved.select("node", F.col("j_ptr").alias("ptr"), (F.col("above") | F.coalesce("told", F.lit(False))).alias("above")))
+    return down.join(state.select("node", "above"), "node")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
