@@ -202,3 +202,14 @@ def atomic_groups(members: DataFrame, group: str = "group_id", anchor: str = "an
     least = pairs.groupBy("anchor").agg(F.min("group_id").alias("b"))
     edges = pairs.join(least, "anchor").select(F.col("group_id").alias("a"), "b")
     return connected_components(edges).select(F.col("node").alias("group_id"), F.col("component").alias("merged_id"))
+
+
+def frontier_intersection(parents: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """node: the lowest common ancestors of two sets, those of which no descendant is common too.
+
+    parents (node, parent); what both sets reach upwards is closed, and its lowest nodes describe it.
+    """
+    up = parents.select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    common = written(reachable(up, first).join(reachable(up, second), "node", "left_semi"))
+    covered = parents.join(common, "node", "left_semi").select(F.col("parent").alias("node")).distinct()
+    return common.join(covered, "node", "left_anti")

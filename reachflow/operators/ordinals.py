@@ -78,3 +78,25 @@ def subtree_ranks(forest: DataFrame, leaf: str) -> DataFrame:
         below = written(here.select("node", "parent", "depth", F.sha2(F.concat_ws("|", F.coalesce("leaf", F.lit("")), F.array_join(F.coalesce("children", F.array().cast("array<string>")), ",")), 256).alias("shape")))
         parts.append(below)
     return _union(parts).select("node", "depth", "shape") if parts else own.select("node", "depth", "leaf").limit(0)
+
+
+def witness_ordinals(rows: DataFrame, keys: list[str], witnesses: list[str], raw: str) -> DataFrame:
+    """rows with ordinal: siblings of equal keys ordered by the first witness that tells all of them apart, else by raw.
+
+    A witness decides a group if no sibling lacks it and all differ; a later witness is tried only where every sibling
+    lacks the earlier ones. A single sibling gets 0, wherever it stood.
+    """
+    group = Window.partitionBy(*keys)
+    marked = rows.withColumn("y_n", F.count("*").over(group))
+    for i, w in enumerate(witnesses):
+        first = F.row_number().over(Window.partitionBy(*keys, w).orderBy(raw)) == 1
+        marked = marked.withColumn(f"y_first{i}", (first & F.col(w).isNotNull()).cast("int"))
+    rule = F.lit(len(witnesses))
+    for i in range(len(witnesses) - 1, -1, -1):
+        have, distinct = F.count(witnesses[i]).over(group), F.sum(f"y_first{i}").over(group)
+        marked = marked.withColumn(f"y_have{i}", have).withColumn(f"y_distinct{i}", distinct)
+        decides = (F.col(f"y_have{i}") == F.col("y_n")) & (F.col(f"y_distinct{i}") == F.col("y_n"))
+        rule = F.when(decides, i).when(F.col(f"y_have{i}") == 0, rule).otherwise(len(witnesses))
+    order = [F.when(F.col("y_rule") == i, F.col(w).cast("string")) for i, w in enumerate(witnesses)]
+    placed = marked.withColumn("y_rule", rule).withColumn("ordinal", F.when((F.col("y_rule") == len(witnesses)) & (F.col("y_n") > 1), F.col(raw)).otherwise(F.row_number().over(group.orderBy(*order, raw)) - 1))
+    return placed.select(*rows.columns, "ordinal")

@@ -153,3 +153,36 @@ def least_enclosing(leaves: DataFrame, braces: DataFrame) -> DataFrame:
     pairs = containing(hull, braces)
     turn = F.row_number().over(Window.partitionBy("source_id", "group_id").orderBy(F.col("o_end") - F.col("o_start"), "o_start", "o_brace_id"))
     return pairs.withColumn("turn", turn).where("turn = 1").select("source_id", "group_id", F.col("o_brace_id").alias("brace_id"))
+
+
+def child_containing(ranges: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """source_id, range_id, child_id: the shortest child around each range; and violations: ties of the shortest, and partial overlaps.
+
+    ranges (source_id, range_id, start, end), children (source_id, child_id, start, end); a range without a child has no row.
+    """
+    pairs = containing(ranges, children)
+    size = F.col("o_end") - F.col("o_start")
+    best = pairs.groupBy("source_id", "range_id").agg(F.min(F.struct(size.alias("n"), F.col("o_child_id").alias("child_id"))).alias("best"), F.min(size).alias("least"))
+    shortest = pairs.join(best.select("source_id", "range_id", "least"), ["source_id", "range_id"]).where(size == F.col("least"))
+    ties = shortest.groupBy("source_id", "range_id").agg(F.count_distinct("o_child_id").alias("n")).where("n > 1").select("source_id", "range_id", F.lit("tie").alias("why"))
+    met = overlapping(ranges, children).where("not (o_start <= start and end <= o_end) and not (start <= o_start and o_end <= end)")
+    partial = met.select("source_id", "range_id", F.lit("partial").alias("why")).distinct()
+    return best.select("source_id", "range_id", F.col("best.child_id").alias("child_id")), ties.unionByName(partial)
+
+
+def site_retained(owners: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """site_id, kept: whether a site's owners are kept; and violations: sites whose owners disagree. owners (site_id, owner), kept (owner)."""
+    state = owners.join(kept.select("owner", F.lit(True).alias("in")).distinct(), "owner", "left").groupBy("site_id")
+    state = state.agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all"), F.bool_or(F.coalesce("in", F.lit(False))).alias("any"))
+    return state.where(F.col("all") == F.col("any")).select("site_id", F.col("all").alias("kept")), state.where(F.col("all") != F.col("any")).select("site_id")
+
+
+def shallowest_in(targets: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """target_id, owner: the shallowest anchor within each target; and violations: targets with several of that depth.
+
+    targets (source_id, target_id, start, end), anchors (source_id, node, depth, start, end).
+    """
+    pairs = containing(anchors, targets).select(F.col("source_id"), F.col("o_target_id").alias("target_id"), "node", "depth")
+    best = pairs.withColumn("turn", F.rank().over(Window.partitionBy("source_id", "target_id").orderBy("depth"))).where("turn = 1")
+    found = best.groupBy("source_id", "target_id").agg(F.count("*").alias("n"), F.min("node").alias("owner"))
+    return found.where("n = 1").select("source_id", "target_id", "owner"), found.where("n > 1").select("source_id", "target_id", "n")
