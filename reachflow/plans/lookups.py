@@ -152,21 +152,16 @@ def r29_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = edges.select(F.col("src").alias("node")).where("node % 8 in (2, 5)").distinct().withColumn("unit", F.col("node"))
     pairs = customers.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey"))
     choices = pairs.select(node("customer", "c_custkey").alias("disj"), node("supplier", "s_suppkey").alias("item"), F.col("s_acctbal").alias("cost"))
-    none = spark.createDataFrame([], "a long, b long, c long")
-    facts = Facts(
+    facts = Facts.of(
+        spark,
+        ["cost"],
         roots=great.select(F.col("unit").alias("node")),
         edges=edges.select("edge", "src", "dst"),
         sites=edges.where("kind = 'customer-nation'").join(great, "src").select("edge", F.lit("s").alias("site"), F.col("unit").alias("owner")),
         binding=units,
-        single=none.select(F.col("a").alias("trigger"), F.col("b").alias("required")),
-        double=none.select(F.col("a").alias("left_unit"), F.col("b").alias("right_unit"), F.col("c").alias("required")),
         groups=units.select("unit", F.col("unit").alias("group_id")),
-        members=none.select(F.col("a").alias("trigger"), F.col("b").alias("required")),
-        parents=none.select(F.col("a").alias("node"), F.col("b").alias("parent")),
-        gates=none.select(F.col("a").alias("node"), F.col("b").alias("unit")),
         disjunctions=choices.select("disj", F.col("disj").alias("trigger")).distinct(),
         choices=choices,
-        rank=["cost"],
     )
     kept = retained(facts)
     count = F.count("*").alias("n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reachflow.operators import choice, closure, gates
 from reachflow.operators.components import connected_components
-from reachflow.operators.retention import Facts, retained
+from reachflow.operators.retention import SCHEMAS, Facts, retained
 
 
 def edges_of(rng: random.Random, n: int, m: int) -> list[tuple[int, int]]:
@@ -187,25 +187,57 @@ def test_choices_equal_the_ordered_scan(spark, seed):
     assert sorted(map(tuple, got.collect())) == plain_choices(disjunctions, choices, kept)
 
 
+def frames(spark, **rows):
+    return {name: spark.createDataFrame(r, SCHEMAS[name]) for name, r in rows.items()}
+
+
 def test_retention_of_two_lanes(spark):
-    none = lambda schema: spark.createDataFrame([], schema)
-    facts = Facts(
-        roots=spark.createDataFrame([(1,)], "node long"),
-        edges=spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 6, 7)], "edge long, src long, dst long"),
-        sites=spark.createDataFrame([(2, "s", 102)], "edge long, site string, owner long"),
-        binding=spark.createDataFrame([(1, 101), (2, 102), (3, 103), (5, 105), (6, 106)], "node long, unit long"),
-        single=spark.createDataFrame([(101, 105)], "trigger long, required long"),
-        double=none("left_unit long, right_unit long, required long"),
-        groups=spark.createDataFrame([(101, 1), (102, 2), (103, 3), (105, 5), (106, 6)], "unit long, group_id long"),
-        members=none("trigger long, required long"),
-        parents=none("node long, parent long"),
-        gates=none("node long, unit long"),
-        disjunctions=spark.createDataFrame([(0, 105), (1, 999)], "disj long, trigger long"),
-        choices=spark.createDataFrame([(0, 106, 1), (0, 107, 2), (1, 108, 1)], "disj long, item long, cost long"),
-        rank=["cost"],
-    )
+    facts = Facts.of(spark, ["cost"], **frames(
+        spark,
+        roots=[(1,)],
+        edges=[(1, 1, 2), (2, 2, 3), (3, 6, 7), (4, 1, 8)],
+        sites=[(2, "s", 102)],
+        binding=[(1, 101), (2, 102), (3, 103), (5, 105), (6, 106)],
+        delegated=[(8,)],
+        single=[(101, 105)],
+        groups=[(101, 1), (102, 2), (103, 3), (105, 5), (106, 6)],
+        disjunctions=[(0, 105), (1, 999)],
+        choices=[(0, 106, 1), (0, 107, 2), (1, 108, 1)],
+    ))
     kept = retained(facts)
     assert nodes_in(kept.units, "unit") == [101, 102, 103, 105, 106]
-    assert nodes_in(kept.picks, "item") == [106]
+    assert sorted(map(tuple, kept.picks.collect())) == [("unit", 106)]
     assert nodes_in(kept.demanded) == [1, 2, 3]
     assert nodes_in(kept.present) == [1, 2, 3, 5, 6, 7]
+
+
+def test_retention_of_macro_groups_and_members(spark):
+    base = dict(
+        roots=[(1,)],
+        binding=[(1, 101)],
+        selected=[(20, 120)],
+        edges=[(1, 1, 20), (2, 1, 30), (3, 1, 40)],
+        gates=[(20, 101), (30, 999)],
+        parents=[(40, 30)],
+        groups=[(101, 1), (120, 2), (130, 3), (131, 4), (140, 5), (141, 6)],
+        members2=[(1, 20, 50)],
+        classes=[(20, 7), (60, 7)],
+        set_units=[(1, 130), (2, 131), (3, 140)],
+        set_parents=[(1, 2)],
+        triggers=[(20, 1), (99, 2)],
+        mgroup_roots=[(1, 1), (2, 3)],
+        mgroup_products=[(1, 70), (2, 71)],
+        mgroup_owners=[(1, 1, 72), (1, 99, 73)],
+        carrier_disjunctions=[(0, None)],
+        carrier_choices=[(0, "unit", 141, 2), (0, "node", 80, 1)],
+        member_disjunctions=[(0, 20), (1, 70)],
+        member_choices=[(0, 90, 1), (1, 91, 1)],
+    )
+    kept = retained(Facts.of(spark, ["cost"], **frames(spark, **base)))
+    # 30 is shut by a unit that isn't kept, 40 by its parent; group 1 is asked for by 20 and complete with its parent set.
+    assert nodes_in(kept.units, "unit") == [101, 120, 130, 131]
+    assert nodes_in(kept.demanded) == [1, 20, 50, 60, 90]
+    assert nodes_in(kept.present) == [1, 20, 50, 60, 70, 72, 80, 90, 91]
+    assert sorted(map(tuple, kept.picks.collect())) == [("carrier", 161), ("demanded", 90), ("present", 91)]
+    opaque = retained(Facts.of(spark, ["cost"], **frames(spark, **base, opaque=[(20,)])))
+    assert nodes_in(opaque.units, "unit") == [101, 120, 130, 131, 140, 141]
