@@ -94,8 +94,13 @@ def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
     common.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = own.where("doc_id is not null and text is not null and lang is not null").where(common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    sample = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("turn", turn).where(F.col("turn") <= most_rows)
+    keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
+    # Of a frequent language only about twice as many rows as asked for, those of least hash, are put in order.
+    sizes = keyed.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned("key", 1) / float(1 << 63)
+    few = keyed.join(sizes, F.col("lang") == F.col("of")).where(place < F.lit(2.0 * most_rows + 200) / F.col("n")).withColumn("place", place)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    sample = few.withColumn("turn", turn).where(F.col("turn") <= most_rows)
     picked = sample.select(F.col("doc_id").alias("picked"), F.col("lang").alias("picked_lang"), "turn")
     texts = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")))
 
