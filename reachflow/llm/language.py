@@ -22,7 +22,7 @@ from reachflow.llm.toxicity import WORD, lowered
 LONGEST, BUCKET_BITS = 4, 14
 BUCKETS = 1 << BUCKET_BITS
 #: The model is fitted on so many rows of each language at most, of which so many are landmarks.
-MOST_ROWS, LANDMARKS, RIDGE = 1200, 40, 1e-2
+MOST_ROWS, SALTS, LANDMARKS, RIDGE = 1200, 60, 40, 1e-2
 FOLDS, HELD_OUT = 4, 2
 ROWS = 64
 #: A text whose best language scores less is taken for none of the learned ones.
@@ -86,7 +86,7 @@ def fit(bits: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) ->
 
 
 def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
-    """Fits the model on at most most_rows texts of each language, those of least hash outside the held-out fold.
+    """Fits the model on at most most_rows texts of each language outside the held-out fold: the same number of least hash of each of SALTS hash classes.
 
     Rows of null ids, texts or languages don't count. All tasks make the presence bits, one task fits on this bounded
     sample. None if there is no such row.
@@ -94,13 +94,10 @@ def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
     common.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = own.where("doc_id is not null and text is not null and lang is not null").where(common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    # Of a frequent language only about twice as many rows as asked for, those of least hash, are put in order.
-    sizes = keyed.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    place = F.shiftrightunsigned("key", 1) / float(1 << 63)
-    few = keyed.join(sizes, F.col("lang") == F.col("of")).where(place < F.lit(2.0 * most_rows + 200) / F.col("n")).withColumn("place", place)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    sample = few.withColumn("turn", turn).where(F.col("turn") <= most_rows)
+    # Hash classes keep a language that holds most rows from meeting in one task.
+    keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    turn = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key", "doc_id"))
+    sample = keyed.withColumn("turn", turn).where(F.col("turn") <= max(1, most_rows // SALTS)).withColumn("turn", (F.col("turn") * SALTS + F.col("salt")).cast("int"))
     picked = sample.select(F.col("doc_id").alias("picked"), F.col("lang").alias("picked_lang"), "turn")
     texts = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")))
 
