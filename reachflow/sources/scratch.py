@@ -25,6 +25,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_count(spark: SparkSession) -> int:
+    """How many files a table is written in at least, where it would have more: three for each core, and a quarter of the usual shuffle's."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def narrow(df: DataFrame) -> DataFrame:
     """written() for the tables of a loop, a few numbers a row: an eighth of the usual tasks make an eighth of the files."""
     return written(df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)))
