@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.sources.scratch import narrow, scratch, written  # noqa: F401
+from reachflow.sources.scratch import file_count, narrow, scratch, written  # noqa: F401
 
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
@@ -91,6 +91,14 @@ def joined(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(gap.join(texts) + gap if texts else b"", np.uint8), begins
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column, by: int):
     """crc32 of the id as decimal text, modulo `by`; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(by))

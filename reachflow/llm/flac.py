@@ -20,8 +20,8 @@ from reachflow.llm import common
 
 BLOCK, RATE, ORDER, PRECISION, SHIFT = 192, 8000, 4, 10, 8
 PAD = 32
-#: Bytes of texts that are coded at once.
-SLICE = 1_000_000
+#: Bytes of texts, and frames, that are coded at once.
+SLICE, FRAMES = 1_000_000, 4096
 # Fixed values of the format: the predictors of orders 0 to 4.
 FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]])
 CONSTANT, VERBATIM, FIXED_TYPE, LPC_TYPE = 0, 1, 8, 32
@@ -196,9 +196,9 @@ MOST_POINTS = (1 << 24) // 18 - 1
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A stream for each payload, whose size is a positive multiple of BLOCK; unsigned bytes become signed samples."""
     counts = np.array([len(p) // BLOCK for p in payloads])
-    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK).astype(np.int64) - 128
+    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     numbers = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
-    parts = [encode_frames(x[i : i + 8192], numbers[i : i + 8192]) for i in range(0, len(x), 8192)]
+    parts = [encode_frames(x[i : i + FRAMES].astype(np.int64) - 128, numbers[i : i + FRAMES]) for i in range(0, len(x), FRAMES)]
     data, sizes = b"".join(p[0].tobytes() for p in parts), np.concatenate([p[1] for p in parts])
     ends, at, out = np.concatenate(([0], np.cumsum(sizes))), 0, []
     for payload, n in zip(payloads, counts.tolist(), strict=True):
@@ -338,9 +338,10 @@ def decode(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray], list[np
     starts = np.concatenate([h[0][:-1] + b for h, b in zip(heads, base, strict=False)]) if streams else np.zeros(0, np.int64)
     sizes = np.concatenate([np.diff(h[0]) for h in heads]) if streams else np.zeros(0, np.int64)
     data, payloads = np.frombuffer(b"".join(streams), np.uint8), []
-    for i in range(0, len(starts), 8192):
-        low, high = starts[i], starts[i : i + 8192][-1] + sizes[i : i + 8192][-1]
-        x, _, sound = decode_frames(data[low:high], starts[i : i + 8192] - low, sizes[i : i + 8192])
+    for i in range(0, len(starts), FRAMES):
+        own, size = starts[i : i + FRAMES], sizes[i : i + FRAMES]
+        low, high = own[0], own[-1] + size[-1]
+        x, _, sound = decode_frames(data[low:high], own - low, size)
         if not sound.all():
             raise ValueError("a frame's checksum does not hold")
         payloads.append((x + 128).astype(np.uint8).tobytes())

@@ -160,11 +160,11 @@ def kept(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> Dat
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, scored = spark.sparkContext.broadcast(model), common.free(docs.columns, "scored_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
-        for rows, texts in common.slices(batches, "scored_text"):
+        for rows, texts in common.slices(batches, scored):
             if shared.value is None:
                 good = [HAS_LETTER.search(t.decode()) is not None for t in texts]
             else:
@@ -174,4 +174,4 @@ def kept(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> Dat
             yield pa.record_batch(part.columns[:-1], docs_columns)
 
     docs_columns = docs.columns
-    return docs.select(*docs.columns, F.col("text").cast("string").alias("scored_text")).mapInArrow(run, docs.schema)
+    return docs.select(*docs.columns, F.col("text").cast("string").alias(scored)).mapInArrow(run, docs.schema)

@@ -241,5 +241,6 @@ def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
 
 def kept(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() keeps; rows that repeat a kept id stay with it."""
-    gone = near_duplicates(docs, similarity).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    name = common.free(docs.columns, "gone_id")
+    gone = near_duplicates(docs, similarity).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

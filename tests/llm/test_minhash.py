@@ -117,3 +117,18 @@ def test_pipeline(spark, small):
     assert {r["doc_id"] for r in rows} == ids and 0 < len(ids) < docs.count()
     kept = plain_components([(r["doc_id"], r["text"]) for r in left.collect()], 80)
     assert all(d == c for d, c in kept.items())
+
+
+def test_stages_take_odd_rows(spark, small):
+    """Nulls, empty and long texts, repeated rows, clashing names: no stage fails or invents a row; empty tables stay empty."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, scored_text string, k_symbols long, K_PERPLEXITY string, gone_id long"
+    rows = [(None, None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, "x", 1, "y", 1), (2, "the the " * 20_000, None, None, None, None, None, None, None)]
+    rows += [(3, "Thinor of the hand.", "en", "s", 1, "x", 1, "y", 3)] * 2
+    frame = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, small)
+        assert out.columns == frame.columns, name
+        assert {r["doc_id"] for r in out.collect()} <= {None, 1, 2, 3}
+        assert stage(spark, frame.limit(0), small).collect() == []
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, small)
+    assert {r["doc_id"] for r in packed.collect()} == {None, 1, 2, 3}
