@@ -2,7 +2,7 @@
 
 A segment is one binary value: a header of six little-endian 64-bit integers (magic, format version, documents, ids,
 blocks, words), the id of each document (and, as bytes, whether it is null), its number of ids, the first word of each
-block, then the words. Segments carry the partition and their number in it, so that reading needs no order of files.
+block, then the words. Segments carry their part, a range of ids, and their number in it, so that reading needs no order of files.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,16 +56,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, segment, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        own, part, segment, before = encoder(tokenizer), None, 0, 0
         for rows, texts in common.slices(batches, "text"):
-            ids = [x + end for x in own.encode([t.decode() for t in texts])]
-            n = sum(map(len, ids)) // 4
-            blob = to_segment(rows.column("doc_id").to_pylist(), ids)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([n]), pa.array([blob], pa.binary())], ["part", "segment", "before", "n_ids", "blob"])
-            segment, before = segment + 1, before + n
+            parts = rows.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # a task may write several parts, one after another
+                if parts[i] != part:
+                    part, segment, before = parts[i], 0, 0
+                ids = [x + end for x in own.encode([t.decode() for t in texts[i:j]])]
+                n = sum(map(len, ids)) // 4
+                blob = to_segment(rows.column("doc_id")[i:j].to_pylist(), ids)
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([n]), pa.array([blob], pa.binary())], ["part", "segment", "before", "n_ids", "blob"])
+                segment, before = segment + 1, before + n
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    (rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path))
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Parts are ranges of ids in order; which task writes a part doesn't matter, so that a file may hold several.
+    dealt = ranged.withColumn("part", F.spark_partition_id()).coalesce(common.file_count(spark))
+    dealt.mapInArrow(run, SEGMENT).write.option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
