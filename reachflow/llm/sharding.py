@@ -80,7 +80,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Writes the shuffled records to `path`; each bucket lies in one file, in its order."""
-    shuffled(docs, shards, seed, bucket_bytes).write.parquet(path)
+    shuffled(docs, shards, seed, bucket_bytes).coalesce(common.file_count(docs.sparkSession)).write.parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
