@@ -179,18 +179,24 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
     return data, sizes
 
 
+#: A metadata block holds less than 2**24 bytes: so many seek points of 18 bytes behind a name of four.
+MOST_POINTS = ((1 << 24) - 5) // 18
+POINTS = np.dtype([("sample", ">u8"), ("at", ">u8"), ("n", ">u2")])
+#: Application blocks of this name go on with the seek points of streams that have more frames than a seek table holds.
+MORE = b"Seek"
+
+
 def stream_head(samples: bytes, sizes: list[int]) -> bytes:
     """Marker, STREAMINFO with the MD5 of the samples, and a SEEKTABLE with each frame's sample offset."""
     info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(samples).digest()
-    points = np.zeros(len(sizes), np.dtype([("sample", ">u8"), ("at", ">u8"), ("n", ">u2")]))
+    points = np.zeros(len(sizes), POINTS)
     points["sample"], points["at"], points["n"] = np.arange(len(sizes)) * BLOCK, np.cumsum([0, *sizes[:-1]]), BLOCK
-    table = points.tobytes()
-    return b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
-
-
-#: A metadata block holds less than 2**24 bytes; streams with more frames have a point for each of so many only.
-MOST_POINTS = (1 << 24) // 18 - 1
+    blocks = [(0, info)]
+    for i in range(0, len(points), MOST_POINTS):
+        part = points[i : i + MOST_POINTS].tobytes()
+        blocks.append((2, MORE + part) if i else (3, part))
+    return b"fLaC" + b"".join(bytes([kind | (128 if k == len(blocks) - 1 else 0)]) + len(body).to_bytes(3, "big") + body for k, (kind, body) in enumerate(blocks))
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -202,8 +208,6 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     data, sizes = b"".join(p[0].tobytes() for p in parts), np.concatenate([p[1] for p in parts])
     ends, at, out = np.concatenate(([0], np.cumsum(sizes))), 0, []
     for payload, n in zip(payloads, counts.tolist(), strict=True):
-        if n > MOST_POINTS:
-            raise ValueError("a stream may have 932,066 frames at most")
         signed = (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
         out.append(stream_head(signed, sizes[at : at + n].tolist()) + data[ends[at] : ends[at + n]])
         at += n
@@ -214,7 +218,7 @@ def parse_head(stream: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Frame offsets in the stream (with the end), the sample offset of each frame, and the MD5 of the samples."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, points, md5 = 4, False, None, b""
+    at, last, points, md5 = 4, False, [], b""
     while not last:
         last, kind, size = bool(stream[at] & 128), stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
@@ -224,10 +228,11 @@ def parse_head(stream: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
             format_ = int.from_bytes(body[10:18], "big")
             if body[:2] != body[2:4] or int.from_bytes(body[:2], "big") != BLOCK or (format_ >> 41 & 7, format_ >> 36 & 31) != (0, 7):
                 raise ValueError("only mono streams of 8 bits in blocks of 192 samples are read")
-        elif kind == 3:
-            points = np.frombuffer(body, np.dtype([("sample", ">u8"), ("at", ">u8"), ("n", ">u2")]))
-    if points is None:
+        elif kind == 3 or kind == 2 and body[:4] == MORE:
+            points.append(np.frombuffer(body[4 * (kind == 2) :], POINTS))
+    if not points:
         raise ValueError("the stream has no seek table")
+    points = np.concatenate(points)
     return np.append(points["at"].astype(np.int64) + at, len(stream)), points["sample"].astype(np.int64), md5
 
 

@@ -60,6 +60,12 @@ def test_broken_streams_are_refused():
         flac.decode([b"RIFF" + stream[4:]])
 
 
+def test_streams_with_more_frames_than_a_seek_table_holds(monkeypatch):
+    monkeypatch.setattr(flac, "MOST_POINTS", 3)
+    payloads = [padded("abc " * 700), padded("x")]
+    assert flac.decode(flac.encode(payloads))[0] == payloads
+
+
 def test_frame_numbers():
     for n in (0, 127, 128, 2047, 2048, 65535, 65536, 1 << 20):
         data = flac.utf8_number(n)
