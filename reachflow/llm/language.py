@@ -3,6 +3,10 @@
 The blended-spectrum kernel of two texts is the number of character n-grams, of one to four letters, that both hold,
 divided by the geometric mean of their own numbers. N-grams are hashed to BUCKETS presence bits, in which a text is
 one row of a matrix; a batch of texts is scored by two matrix products.
+
+A text counts as one of its best language if enough of its n-grams occur in that language's landmarks. How many are
+enough is learned for each language from the shares of its own labelled texts, so that the rule does not depend on the
+number of languages, as the scores do: those of one-versus-rest ridge regression sum to about 2 - L.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ BUCKETS = 1 << BUCKET_BITS
 MOST_ROWS, SALTS, LANDMARKS, RIDGE = 1200, 60, 40, 1e-2
 FOLDS, HELD_OUT = 4, 2
 ROWS = 64
-#: A text whose best language scores less is taken for none of the learned ones.
-LEAST_SCORE = 0.25
+#: A text may lack so many times the share of n-grams that all but the QUANTILE of its language's labelled texts lack at most.
+QUANTILE, SLACK = 0.01, 3.0
 HAS_LETTER = re.compile(r"[^\W\d_]")
 GAP = b" " * LONGEST
 TIMES = common.powers(LONGEST, 0x9FB21C651E98DF25)
@@ -66,6 +70,29 @@ def unit(bits: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
 
 
+def shares(x: np.ndarray, union: np.ndarray) -> np.ndarray:
+    """The share of each presence row's n-grams that are in the union."""
+    return ((x @ union).T / np.maximum(x.sum(axis=1), 1)).T
+
+
+def floors(bits: list[np.ndarray], langs: list[str], chosen: list[int], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each language's union of landmarks, and the least share of n-grams in it that a text of the language may have.
+
+    A landmark is held against the other ones of its language. A language of one text has no floor.
+    """
+    unions, least = [], []
+    for name in names:
+        marks = {i for i in chosen if langs[i] == name}
+        count = np.sum([np.unpackbits(bits[i]).astype(np.int32) for i in marks], axis=0)
+        own = []
+        for i in (k for k, x in enumerate(langs) if x == name):
+            x = np.unpackbits(bits[i])
+            own.append(float(shares(x[None].astype(np.float32), (count - x if i in marks else count) > 0)[0]))
+        unions.append(count > 0)
+        least.append(max(0.0, 1 - SLACK * (1 - float(np.quantile(own, QUANTILE, method="lower")))))
+    return np.packbits(np.array(unions), axis=1), np.array(least)
+
+
 def fit(bits: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) -> dict:
     """The model of packed presence rows and their languages, in the order given."""
     names = sorted(set(langs))
@@ -82,7 +109,8 @@ def fit(bits: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) ->
     target = np.array([[1.0 if x == name else -1.0 for name in names] for x in langs])
     a = (phi * weight).T @ (phi * weight) + RIDGE * np.eye(phi.shape[1])
     w = np.linalg.solve(a, (phi * weight).T @ (target * weight))
-    return {"names": np.array(names), "marks": np.packbits(marks.astype(np.uint8), axis=1), "w": (root @ w[:-1]).astype(np.float32), "b": w[-1].astype(np.float32)}
+    unions, least = floors(bits, langs, chosen, names)
+    return {"names": np.array(names), "unions": unions, "least": least, "marks": np.packbits(marks.astype(np.uint8), axis=1), "w": (root @ w[:-1]).astype(np.float32), "b": w[-1].astype(np.float32)}
 
 
 def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
@@ -124,17 +152,23 @@ class Scorer:
         self.model = model
         if model is not None:
             self.base, self.names = unit(np.unpackbits(model["marks"], axis=1)), [str(x) for x in model["names"]]
+            self.unions = np.unpackbits(model["unions"], axis=1).T.astype(np.float32)
 
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """Language (`und` without a letter) and score of each text."""
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language (`und` without a letter) and score of each text, and whether enough of its n-grams are that language's."""
         if self.model is None:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        parts = [kernel(x, self.base) @ self.model["w"] + self.model["b"] for x in rows_of(texts)]
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        parts, likely = [], []
+        for x in rows_of(texts):
+            parts.append(kernel(x, self.base) @ self.model["w"] + self.model["b"])
+            at = parts[-1].argmax(axis=1)
+            likely.append(shares(x, self.unions)[np.arange(len(at)), at] >= self.model["least"][at])
         values = np.concatenate(parts) if parts else np.zeros((0, len(self.names)))
         best = values.argmax(axis=1) if len(values) else np.zeros(0, np.int64)
         top = np.clip((values[np.arange(len(best)), best].astype(np.float64) + 1) / 2, 0, 1)
         known = np.array([HAS_LETTER.search(t.decode()) is not None for t in texts], bool)
-        return [self.names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, top, 0.0)
+        enough = known & np.concatenate(likely) if likely else known
+        return [self.names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, top, 0.0), enough
 
 
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -146,15 +180,15 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
         for rows, texts in common.slices(batches, "text"):
-            langs, score = own.predict(texts)
+            langs, score, _ = own.predict(texts)
             yield pa.record_batch([rows.column("doc_id"), rows.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def kept(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter and a language of at least the score.
+def kept(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and enough n-grams of its best language.
 
     Each row is judged by itself, ids may repeat. Without a model, as of an empty table, every row with a letter stays.
     """
@@ -168,8 +202,7 @@ def kept(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> Dat
             if shared.value is None:
                 good = [HAS_LETTER.search(t.decode()) is not None for t in texts]
             else:
-                langs, score = own.predict(texts)
-                good = [x != "und" and s >= least for x, s in zip(langs, score.tolist(), strict=True)]
+                good = own.predict(texts)[2].tolist()
             part = rows.filter(pa.array(good, pa.bool_()))
             yield pa.record_batch(part.columns[:-1], docs_columns)
 

@@ -155,6 +155,25 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identified(frame, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("n_langs", [2, 5])
+def test_texts_of_no_learned_language_go(spark, n_langs):
+    rng = np.random.default_rng(8)
+    parts = [["the", "ing", "and", "tion", "er"], ["sch", "ung", "über", "ein", "keit"], ["eau", "que", "oir", "été", "ment"], ["ción", "ando", "ñas", "los", "ido"], ["ij", "oor", "aan", "lijk", "heid"]][:n_langs]
+
+    def prose(k: int) -> str:
+        return " ".join("".join(rng.choice(parts[k], int(rng.integers(1, 3)))) for _ in range(int(rng.integers(5, 120))))
+
+    learned = [(i, prose(i % n_langs), str(i % n_langs)) for i in range(120 * n_langs)]
+    clean = [(10_000 + i, prose(i % n_langs), None) for i in range(100)]
+    gibberish = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(20)]
+    strange = ["Съешь ещё этих мягких французских булок да выпей чаю", "昨天晚上我们沿着河边散步谈论我们国家的未来", "Wczoraj wieczorem poszliśmy na spacer wzdłuż rzeki", "qzxj " * 60, *gibberish]
+    asked = [*clean, *((20_000 + i, t, None) for i, t in enumerate(strange))]
+    schema = "doc_id long, text string, lang string"
+    stay = {r["doc_id"] for r in language.kept(spark.createDataFrame(asked, schema), language.trained(spark.createDataFrame(learned, schema))).collect()}
+    assert {d for d in stay if d >= 20_000} == set()
+    assert len(stay) >= 99
+
+
 def test_kernel_equals_the_definition():
     texts = ["the house", "der Häuser", "a", "the house the house"]
     x = language.presence([t.encode() for t in texts])
