@@ -3,8 +3,9 @@
 Texts become sequences of SYMBOLS symbols, so that an n-gram of ORDER symbols is a number below SYMBOLS ** ORDER. Tasks
 count the n-grams of trusted texts; the counts of all orders, their contexts and the n-grams that the documents ask
 for are tables joined in shards of equal n-grams and contexts, which gives one probability for each n-gram. A
-document's perplexity is the mean over its whole text, and a threshold for each language, a quantile of the trusted
-texts' perplexities, decides.
+document's perplexity is the mean over its whole text. Limits for each language decide, quantiles of the trusted texts:
+the greatest and the least perplexity, and how often words may repeat one of the NEAR words before them, which four
+characters don't show.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from reachflow.llm import common
 
 ORDER, BITS = 4, 6
 SYMBOLS, MASK = 1 << BITS, (1 << BITS * ORDER) - 1
-#: A document is kept up to SLACK times the QUANTILE of its language's trusted perplexities.
+#: A document is kept up to SLACK times the QUANTILE of its language's trusted texts, and down to the opposite one by SLACK.
 QUANTILE, SLACK, ACCURACY = 0.995, 1.25, 10_000
-#: Languages with fewer trusted texts take the threshold of all texts.
-LEAST_TEXTS = 20
+#: A language's quantiles are mixed with those of all texts, which weigh as much as so many texts of the language.
+POOLED = 20
+#: So many words before a word are looked at for it; the prior repeats and words that keep short texts from extremes.
+NEAR, PRIOR = 4, (1, 20)
 
 
 def symbol_table() -> np.ndarray:
@@ -70,6 +73,18 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], text[keep]
 
 
+def repetition(texts: list[bytes]) -> np.ndarray:
+    """How large a part of each text's words (between blanks) repeat one of the NEAR words before them, with the prior."""
+    data, begins = common.joined(texts)
+    starts, word = common.word_hashes(data, data > 32)
+    text = np.searchsorted(begins, starts, "right") - 1
+    again = np.zeros(len(word), bool)
+    for k in range(1, NEAR + 1):
+        again[k:] |= (word[k:] == word[:-k]) & (text[k:] == text[:-k])
+    n, repeats = (np.bincount(x, minlength=len(texts)) for x in (text, text[again]))
+    return (repeats + PRIOR[0]) / (n + PRIOR[1])
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """code, n: how often each n-gram occurs in the texts; every task adds up its own before the shuffle."""
 
@@ -151,25 +166,32 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame):
         spark = docs.sparkSession
         common.small_batches(spark)
-        self.good = good_ids(labels)
+        good = good_ids(labels)
         # A merge join at every size: the number of trusted texts has no bound that would allow a broadcast.
-        trusted = docs.select(F.col("doc_id").cast("long").alias("good_id"), "text").join(self.good.hint("merge"), "good_id", "left_semi")
+        trusted = docs.select(F.col("doc_id").cast("long").alias("good_id"), "text").join(good.hint("merge"), "good_id", "left_semi")
         found = model(trusted, asked_for(docs)).toArrow()  # SYMBOLS ** ORDER rows of 12 bytes at most, whatever the corpus
         self.shared = spark.sparkContext.broadcast((found.column("code").to_numpy(), found.column("logp").to_numpy().astype(np.float32)))
         self.scored = common.written(self.perplexities(docs, ["doc_id", "lang"]))
         # The texts meet the labels once, for the counts; the thresholds take the trusted texts' numbers alone.
-        ranked = self.scored.where("n_symbols > 0").join(self.good.withColumnRenamed("good_id", "doc_id"), "doc_id", "left_semi")
-        self.limits, self.limit = {}, float("inf")
-        cut = F.percentile_approx("perplexity", QUANTILE, ACCURACY).alias("cut")
-        for r in ranked.groupBy("lang").agg(cut, F.count("*").alias("n")).collect():  # a row for each language
-            if r["n"] >= LEAST_TEXTS and r["lang"] is not None:
-                self.limits[r["lang"]] = r["cut"] * SLACK
-        whole = ranked.agg(cut).first()["cut"]
-        if whole is not None:
-            self.limit = whole * SLACK
-
-    def perplexities(self, docs: DataFrame, others: list[str], names: tuple[str, str] = ("n_symbols", "perplexity")) -> DataFrame:
-        """The columns of others, then the number of symbols and the perplexity of every row's text.
+        ranked = self.scored.where("n_symbols > 0").join(good.withColumnRenamed("good_id", "doc_id"), "doc_id", "left_semi")
+        cut = F.percentile_approx("perplexity", [QUANTILE, 1 - QUANTILE], ACCURACY).alias("cut")
+        again = F.percentile_approx("repetition", QUANTILE, ACCURACY).alias("again")
+        whole = ranked.agg(cut, again).first()
+        self.limits, self.limit = {}, (float("inf"), 0.0, float("inf"))
+        if whole["cut"] is not None:
+            whole = (*whole["cut"], whole["again"])
+            self.limit = self.loosened(whole)
+            for r in ranked.where("lang is not null").groupBy("lang").agg(cut, again, F.count("*").alias("n")).collect():  # a row for each language
+                mixed = [(r["n"] * own + POOLED * every) / (r["n"] + POOLED) for own, every in zip((*r["cut"], r["again"]), whole, strict=True)]
+                self.limits[r["lang"]] = self.loosened(mixed)
+
+    @staticmethod
+    def loosened(cuts) -> tuple[float, float, float]:
+        """Greatest and least perplexity, greatest repetition."""
+        return cuts[0] * SLACK, cuts[1] / SLACK, cuts[2] * SLACK
+
+    def perplexities(self, docs: DataFrame, others: list[str], names: tuple[str, str, str] = ("n_symbols", "perplexity", "repetition")) -> DataFrame:
+        """The columns of others, then the number of symbols, the perplexity and the repetition of every row's text.
 
         Empty texts have the perplexity of the one boundary symbol that ends them.
         """
@@ -181,20 +203,25 @@ class Model:
                 gram, text = codes(texts)
                 n = np.bincount(text, minlength=len(texts))
                 mean = np.bincount(text, logp[gram], minlength=len(texts)) / n
-                columns = [*rows.columns[:-1], pa.array([len(t.decode()) for t in texts], pa.int64()), pa.array(np.exp(-mean))]
+                columns = [*rows.columns[:-1], pa.array([len(t.decode()) for t in texts], pa.int64()), pa.array(np.exp(-mean)), pa.array(repetition(texts))]
                 yield pa.record_batch(columns, [*others, *names])
 
         rows = docs.select(*others, F.col("text").cast("string").alias(scored))
-        schema = StructType([*docs.select(*others).schema, StructField(names[0], LongType()), StructField(names[1], DoubleType())])
+        schema = StructType([*docs.select(*others).schema, StructField(names[0], LongType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())])
         return rows.mapInArrow(run, schema)
 
-    def threshold(self):
-        """The threshold of a row's language; unknown languages have that of all trusted texts."""
-        out = F.lit(self.limit)
+    def bound(self, k: int):
+        """The k-th limit of a row's language; unknown languages have that of all trusted texts."""
+        out = F.lit(self.limit[k])
         for lang, limit in sorted(self.limits.items()):
-            out = F.when(F.col("lang") == lang, limit).otherwise(out)
+            out = F.when(F.col("lang") == lang, limit[k]).otherwise(out)
         return out
 
+    def good(self, names: tuple[str, str, str]):
+        """Whether a row has text and lies within the limits of its language."""
+        value, again = F.col(names[1]), F.col(names[2])
+        return (F.col(names[0]) > 0) & (value <= self.bound(0)) & (value >= self.bound(1)) & (again <= self.bound(2))
+
 
 def good_ids(labels: DataFrame) -> DataFrame:
     """good_id: documents that a label calls good and none calls bad: all of them, so that the model grows with the corpus."""
@@ -207,19 +234,18 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, kept of every row.
+    """doc_id, lang, n_symbols, perplexity, threshold (the greatest perplexity), kept of every row.
 
-    Null texts count as empty; empty texts are not kept. Languages without enough trusted texts, null too, take the
-    threshold of all trusted texts; without any trusted text everything with text is kept. Other columns are left out.
+    Null texts count as empty; empty texts are not kept. Languages without trusted texts, null too, take the limits of
+    all trusted texts; without any trusted text everything with text is kept. Other columns are left out.
     """
     fitted = Model(plain(docs), labels)
-    rows = fitted.scored.withColumn("threshold", fitted.threshold())
-    return rows.withColumn("kept", (F.col("n_symbols") > 0) & (F.col("perplexity") <= F.col("threshold")))
+    rows = fitted.scored.withColumn("threshold", fitted.bound(0))
+    return rows.withColumn("kept", fitted.good(("n_symbols", "perplexity", "repetition"))).drop("repetition")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that judged() keeps; each row is judged by itself, ids may repeat."""
     fitted = Model(plain(docs), labels)
-    symbols, value = common.free(docs.columns, "k_symbols"), common.free(docs.columns, "k_perplexity")
-    rows = fitted.perplexities(docs, docs.columns, (symbols, value))
-    return rows.where((F.col(symbols) > 0) & (F.col(value) <= fitted.threshold())).select(*docs.columns)
+    names = tuple(common.free(docs.columns, x) for x in ("k_symbols", "k_perplexity", "k_repetition"))
+    return fitted.perplexities(docs, docs.columns, names).where(fitted.good(names)).select(*docs.columns)

@@ -105,6 +105,32 @@ def test_quality(spark):
     assert kneser_ney.judged(frame, marks.limit(0)).where("kept").count() == len(docs) + len(ODD) - 2
 
 
+def test_repeated_words_go_and_small_languages_have_their_own_limits(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(["the", "ing", "and", "ton", "er", "sh"], 2)) + x for x in ["", "e", "s", "ed", "y", "th", "on"] for _ in range(12)]
+    prose = [(i, " ".join(rng.choice(words, int(rng.integers(20, 200)))), "en") for i in range(300)]
+    runs = [(1000 + i, " ".join([w] * 90), "en") for i, w in enumerate(words[:20])] + [(1100 + i, " ".join([words[i], words[i + 1]] * 60), "en") for i in range(20)]
+    strange = [(2000 + i, " ".join(x.upper() + "#" for x in rng.choice(words, 60)), "xx") for i in range(19)]
+    frame = spark.createDataFrame(prose + runs + strange, "doc_id long, text string, lang string")
+    trusted = [(i, 1) for i in range(300)] + [(2000 + i, 1) for i in range(19)]
+    got = {r["doc_id"]: r for r in kneser_ney.judged(frame, spark.createDataFrame(trusted, "doc_id long, quality int")).collect()}
+    assert not any(got[d]["kept"] for d, _, _ in runs)
+    assert sum(got[d]["kept"] for d, _, _ in prose) >= 297
+    # Two trusted texts of a language count, too.
+    fewer = {r["doc_id"]: r for r in kneser_ney.judged(frame, spark.createDataFrame(trusted[:302], "doc_id long, quality int")).collect()}
+    assert fewer[2000]["threshold"] != fewer[0]["threshold"]
+
+
+def test_repetition_equals_the_definition():
+    texts = ["a b a c", "", "x x x", "a", "one two three four five one", "one two three four one"]
+
+    def plain(t: str) -> float:
+        w = t.split()
+        return (sum(w[i] in w[max(0, i - 4) : i] for i in range(len(w))) + 1) / (len(w) + 20)
+
+    assert kneser_ney.repetition([t.encode() for t in texts]).tolist() == [plain(t) for t in texts]
+
+
 def test_toxicity(spark):
     docs, labels = _corpus()
     frame = spark.createDataFrame(docs + ODD, SCHEMA)
