@@ -181,16 +181,23 @@ def r24_cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM two UNION SELECT r.n, x.b FROM reach r JOIN two x ON x.a = r.m) SELECT n AS node, min(m) AS component FROM reach GROUP BY 1")
 def r11_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of orders and parts that share a line of great quantity."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return shared_components(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
+
+
+def shared_components(rows: DataFrame) -> DataFrame:
     return connected_components(rows.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
 
 @query("WITH RECURSIVE p AS (SELECT s_suppkey AS set_id, s_suppkey // 2 AS parent_set_id FROM supplier WHERE s_suppkey > 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 0), up(set_id, node) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT u.set_id, p.parent_set_id FROM up u JOIN p ON p.set_id = u.node), cl AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS unit_id FROM lineitem WHERE l_quantity = 50), un AS (SELECT DISTINCT u.set_id, c.unit_id FROM up u JOIN cl c ON c.set_id = u.node) SELECT set_id, count(*) AS n_units, CAST(sum(p_size) AS BIGINT) AS total_size FROM un JOIN part ON p_partkey = unit_id GROUP BY 1")
 def r12_contributor_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a supplier and of all its forebears in a dag of suppliers, their number and total size."""
+    """Parts of the greatest lines of a supplier and of all its forebears in a dag of suppliers, their number and total size."""
+    return forebears_parts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity = 50"))
+
+
+def forebears_parts(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
     s = table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("set_id"))
     parents = s.select("set_id", F.floor(F.col("set_id") / 2).alias("parent_set_id")).union(s.select("set_id", F.floor(F.col("set_id") / 3))).distinct()
-    local = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("unit_id")).distinct()
+    local = of.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("unit_id")).distinct()
     found = closure.contributor_union(local, parents)
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), "p_size")
     return found.join(sizes, "unit_id").groupBy("set_id").agg(F.count("*").alias("n_units"), F.sum("p_size").alias("total_size"))
@@ -252,7 +259,11 @@ def j10_outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {_SHIPPING_SQL}, a AS (SELECT DISTINCT * FROM ship WHERE k <= 20), p AS (SELECT x.k, count(*) AS n FROM a x JOIN a y ON x.k = y.k AND x.start < y."end" AND y.start < x."end" GROUP BY x.k) SELECT k, n FROM p')
 def j21_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of overlapping shipping periods of the first suppliers."""
-    rows = _shipping(spark, sf_dir).where("k <= 20").distinct().withColumnRenamed("k", "source_id")
+    return overlap_counts(_shipping(spark, sf_dir).where("k <= 20"))
+
+
+def overlap_counts(of: DataFrame) -> DataFrame:
+    rows = of.distinct().withColumnRenamed("k", "source_id")
     return spans.overlapping(rows, rows).groupBy(F.col("source_id").alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -422,8 +433,12 @@ w(i, kept, disj, pick) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(
  UNION ALL SELECT d.i, CASE WHEN list_has_any(w.kept, d.items) THEN w.kept ELSE list_append(w.kept, d.pick) END, CASE WHEN list_has_any(w.kept, d.items) THEN NULL ELSE d.disj END, d.pick FROM w JOIN d ON d.i = w.i + 1)
 SELECT disj AS part_key, pick AS supplier_key FROM w WHERE disj IS NOT NULL""")
 def c1_greedy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part, in order, picks its cheapest supplier unless one of its suppliers is picked by then."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Each part of a large line, in order, picks its cheapest supplier unless one of its suppliers is picked by then."""
+    return greedy_choice(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity >= 45"))
+
+
+def greedy_choice(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
+    rows = of.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     choices = rows.select(F.col("l_partkey").alias("disj"), F.col("l_suppkey").alias("item"), "s_acctbal").distinct()
     disjunctions = choices.select("disj", F.lit(None).cast("long").alias("trigger")).distinct()
     kept = choices.select("item").limit(0)
@@ -634,4 +649,4 @@ def v25_closed_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.closed_retention(rows.where("l_quantity > 10").select("unit"), none, rows.select("unit", "group_id"), none.select("unit"))
 
 
-from reachflow.plans import constraints, lookups  # noqa: E402, F401  these register theirs
+from reachflow.plans import constraints, lookups, whole  # noqa: E402, F401  these register theirs

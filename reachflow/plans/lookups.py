@@ -14,17 +14,21 @@ _WORDS_SQL = f"""{LINES_SQL}, w0 AS (SELECT source_id, line, start, unnest(strin
 words AS (SELECT source_id, line, i, w, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 - strlen(w) AS BIGINT) AS ws, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 AS BIGINT) AS we FROM w0)"""
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every tenth document with their spans; the pieces that lines own."""
-    rows = lines(spark, sf_dir).where("source_id % 10 = 3").select("source_id", "line", F.col("start").alias("l_start"), F.posexplode(F.split("text", " ")).alias("i", "w"))
+def _words(of: DataFrame) -> DataFrame:
+    """Words of the lines with their spans; the pieces that lines own."""
+    rows = of.select("source_id", "line", F.col("start").alias("l_start"), F.posexplode(F.split("text", " ")).alias("i", "w"))
     end = F.sum(F.octet_length("w") + 1).over(Window.partitionBy("source_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return rows.withColumn("end", F.col("l_start") + end).select("source_id", "line", (F.col("i") + 1).alias("i"), "w", (F.col("end") - F.octet_length("w")).alias("start"), "end")
 
 
 @query(f"WITH {_WORDS_SQL} SELECT source_id, ws AS start, we AS \"end\", line AS owner FROM words WHERE w <> ''")
 def j3_piece_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one owner of each word, the deepest unit around it."""
-    pieces = _words(spark, sf_dir).where("w <> ''").select("source_id", F.struct("line", "i").alias("piece_id"), "start", "end")
+    """The one owner of each word of every tenth document, the deepest unit around it."""
+    return piece_owners(spark, sf_dir, lines(spark, sf_dir).where("source_id % 10 = 3"))
+
+
+def piece_owners(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
+    pieces = _words(of).where("w <> ''").select("source_id", F.struct("line", "i").alias("piece_id"), "start", "end")
     units = lines(spark, sf_dir).select("source_id", F.col("line").alias("unit_id"), "start", "end", F.lit(1).alias("depth"), F.lit(0).alias("kind_rank"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(-1).cast("long").alias("unit_id"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.lit(0).alias("depth"), F.lit(1).alias("kind_rank"))
     return spans.piece_owners(pieces, units.unionByName(docs)).select("source_id", "start", "end", "owner")
@@ -45,11 +49,15 @@ _PERIODS_SQL = "p AS (SELECT DISTINCT l_suppkey AS source_id, CAST(epoch(l_shipd
 
 @query(f"WITH {_PERIODS_SQL}, m AS (SELECT *, min(n) OVER (PARTITION BY source_id, range_id) AS least FROM c), best AS (SELECT source_id, range_id, min(s * 100 + n) AS child_id, count(*) AS k FROM m WHERE n = least GROUP BY ALL), x AS (SELECT DISTINCT r.source_id, r.range_id FROM r JOIN p ON p.source_id = r.source_id AND p.start < r.\"end\" AND r.start < p.\"end\" AND NOT (p.start <= r.start AND r.\"end\" <= p.\"end\") AND NOT (r.start <= p.start AND p.\"end\" <= r.\"end\")) SELECT source_id, 'child' AS what, count(*) AS n, CAST(sum(child_id) AS BIGINT) AS ids FROM best GROUP BY 1 UNION ALL SELECT source_id, 'tie', count(*), NULL FROM best WHERE k > 1 GROUP BY 1 UNION ALL SELECT source_id, 'partial', count(*), NULL FROM x GROUP BY 1")
 def j9_child_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest shipping period around each two days of a supplier, ties and partial overlaps."""
+    """The shortest shipping period around each two days of a fifth of the suppliers, a third of the days, ties and partial overlaps."""
+    return children_containing(table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 1"), "start % 3 = 0")
+
+
+def children_containing(of: DataFrame, asked: str) -> DataFrame:
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400).cast("long")
-    periods = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 1").select(F.col("l_suppkey").alias("source_id"), day.alias("start"), (day + F.col("l_linenumber")).alias("end")).distinct()
+    periods = of.select(F.col("l_suppkey").alias("source_id"), day.alias("start"), (day + F.col("l_linenumber")).alias("end")).distinct()
     children = periods.withColumn("child_id", F.col("start") * 100 + F.col("end") - F.col("start"))
-    ranges = periods.where("start % 3 = 0").select("source_id", F.col("start").alias("range_id"), "start", (F.col("start") + 2).alias("end")).distinct()
+    ranges = periods.where(asked).select("source_id", F.col("start").alias("range_id"), "start", (F.col("start") + 2).alias("end")).distinct()
     best, wrong = spans.child_containing(ranges, children)
     one = best.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("child_id").alias("ids")).select("source_id", F.lit("child").alias("what"), "n", "ids")
     return one.unionByName(wrong.groupBy("source_id", F.col("why").alias("what")).agg(F.count("*").alias("n")).withColumn("ids", F.lit(None).cast("long")))

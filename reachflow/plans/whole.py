@@ -1,0 +1,55 @@
+"""Queries over all rows, beside those of the same name whose oracles take a part of the rows only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reachflow.plans import catalogue, lookups
+from reachflow.plans.registered import oracle_sql, query
+from reachflow.sources.relations import lines, table
+
+
+def _without(name: str, *cuts: str) -> str:
+    """The oracle of the query of a part, without its cuts."""
+    sql = oracle_sql()[name]
+    for cut in cuts:
+        if cut not in sql:
+            raise ValueError(f"{name}: no {cut}")
+        sql = sql.replace(cut, "")
+    return sql
+
+
+@query(_without("j3_piece_owners", " WHERE source_id % 10 = 3"))
+def j3_piece_owners_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one owner of each word of every document."""
+    return lookups.piece_owners(spark, sf_dir, lines(spark, sf_dir))
+
+
+@query(_without("j9_child_containing", " WHERE l_suppkey % 5 = 1", " WHERE start % 3 = 0"))
+def j9_child_containing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest shipping period around the two days from each begin, of all suppliers, ties and partial overlaps."""
+    return lookups.children_containing(table(spark, sf_dir, "lineitem"), "true")
+
+
+@query(_without("j21_overlaps", " WHERE k <= 20"))
+def j21_overlaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of overlapping shipping periods of all suppliers."""
+    return catalogue.overlap_counts(catalogue._shipping(spark, sf_dir))
+
+
+@query()
+def r11_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of orders and parts that share a line; the recursive SQL is quadratic, so tests hold it against brute force."""
+    return catalogue.shared_components(table(spark, sf_dir, "lineitem"))
+
+
+@query(_without("r12_contributor_union", " WHERE l_quantity = 50"))
+def r12_contributor_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of all lines of a supplier and of all its forebears, their number and total size."""
+    return catalogue.forebears_parts(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+@query(_without("c1_greedy_choice", " WHERE l_quantity >= 45"))
+def c1_greedy_choice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part of all lines, in order, picks its cheapest supplier unless one of its suppliers is picked by then."""
+    return catalogue.greedy_choice(spark, sf_dir, table(spark, sf_dir, "lineitem"))
