@@ -23,6 +23,11 @@ def char_boundary(text: Column, at: Column) -> Column:
     return F.when((at < 0) | (at > F.octet_length(text)), False).when(at == F.octet_length(text), True).otherwise(byte.bitwiseAND(192) != 128)
 
 
+def char_begins(text: Column) -> Column:
+    """How many bytes of the text begin a character: those that don't go on with one, as 128 to 191 do."""
+    return F.length(F.regexp_replace(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "[\\x{80}-\\x{BF}]", ""))
+
+
 def joined_in_order(parts: Column) -> Column:
     """The texts of an array of structs (start, text), in order of start, as one."""
     return F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "")

@@ -602,8 +602,11 @@ def x5_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH parts AS (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS w, generate_subscripts(string_split(left(text, 400), ' '), 1) AS i FROM documents) SELECT doc_id AS source_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (strlen(w) <= 6), '') AS text FROM parts GROUP BY 1")
 def e3_list_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of more than six bytes leave a list with their blank."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.substring("text", 1, 400).alias("text"))
+    """Words of more than six bytes leave a list, of the first 400 characters, with their blank."""
+    return short_words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.substring("text", 1, 400).alias("text")))
+
+
+def short_words(docs: DataFrame) -> DataFrame:
     words = docs.select("source_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
     end = F.sum(F.octet_length("w") + 1).over(Window.partitionBy("source_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
     elements = words.withColumn("end", end).select("source_id", F.lit(0).alias("list_id"), "i", (F.col("end") - F.octet_length("w")).alias("start"), "end")

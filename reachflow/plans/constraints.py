@@ -60,7 +60,7 @@ def v11_unit_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.when((F.col("source_id") % 17 == 0) & (F.col("byte_len") > 0), F.col("byte_len") - 1).otherwise(F.col("byte_len"))
     null = F.lit(None).cast("long")
     roots = docs.where("source_id % 19 <> 0").select("source_id", F.lit(-1).cast("long").alias("unit_id"), null.alias("parent_id"), F.lit(0).cast("long").alias("start"), cut.alias("end"), F.lit(True).alias("active"))
-    rows = lines(spark, sf_dir).where("line < 2 and source_id % 17 <> 0 and source_id % 19 <> 0").select("source_id", F.col("line").alias("unit_id"), F.lit(-1).cast("long").alias("parent_id"), "start", "end", F.lit(True).alias("active"))
+    rows = lines(spark, sf_dir).where("source_id % 17 <> 0 and source_id % 19 <> 0").select("source_id", F.col("line").alias("unit_id"), F.lit(-1).cast("long").alias("parent_id"), "start", "end", F.lit(True).alias("active"))
     found = checks.unit_inventory(roots.unionByName(rows), docs)
     return found.groupBy("check").agg(F.count("*").alias("n"))
 

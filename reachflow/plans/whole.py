@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reachflow.functions import text as X
 from reachflow.plans import catalogue, lookups
 from reachflow.plans.registered import oracle_sql, query
 from reachflow.sources.relations import lines, table
@@ -53,3 +55,16 @@ def r12_contributor_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c1_greedy_choice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part of all lines, in order, picks its cheapest supplier unless one of its suppliers is picked by then."""
     return catalogue.greedy_choice(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE text <> ''")
+def x3_char_boundaries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte offsets of each whole text at which a character begins, which is how many there are."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    return docs.select("doc_id", X.char_begins(F.col("text")).cast("long").alias("n_chars"))
+
+
+@query(_without("e3_list_deletion").replace("left(text, 400)", "text"))
+def e3_list_deletion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of more than six bytes leave the list of all words of a document with their blank."""
+    return catalogue.short_words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))

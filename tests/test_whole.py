@@ -20,7 +20,7 @@ def by_oracle(small: str, name: str) -> tuple[list[str], Counter]:
         return [c[0] for c in found.description], Counter(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["j3_piece_owners", "j9_child_containing", "j21_overlaps", "r12_contributor_union", "c1_greedy_choice"])
+@pytest.mark.parametrize("name", ["j3_piece_owners", "j9_child_containing", "j21_overlaps", "r12_contributor_union", "c1_greedy_choice", "x3_char_boundaries", "e3_list_deletion"])
 def test_all_rows(spark, small, name):
     # The smallest table has ten suppliers only, all of which j21_overlaps takes.
     at = "/root/testdata/sf0.01" if name == "j21_overlaps" else small
@@ -45,3 +45,27 @@ def test_components_of_all_lines(spark, small):
         up[b] = a
     got = {r[0]: r[1] for r in __spark_entry__.queries()["r11_components_whole"](spark, small).collect()}
     assert got == {x: top(x) for x in list(up)}
+
+
+def test_char_begins_and_late_lines(spark, tmp_path):
+    texts = ["aé漢😀" * 300, "x", "\x80\x9f é"]
+    docs = [(i, t) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_chars"] for r in __spark_entry__.queries()["x3_char_boundaries_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(t) for i, t in docs}
+
+
+def test_inventory_checks_every_line(spark, monkeypatch, tmp_path):
+    from reachflow.plans import constraints
+
+    spark.createDataFrame([(1, "a\nb\nc\nd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    plain = constraints.checks.unit_inventory
+    monkeypatch.setattr(constraints.checks, "unit_inventory", lambda units, docs: seen.append(units) or plain(units, docs))
+    assert constraints.v11_unit_inventory(spark, str(tmp_path)).collect() == []
+    assert sorted(r["unit_id"] for r in seen[0].collect()) == [-1, 0, 1, 2, 3]
+
+
+def test_inventory_equals_its_oracle(spark, small):
+    columns, expected = by_oracle(small, "v11_unit_inventory")
+    assert Counter(tuple(r) for r in __spark_entry__.queries()["v11_unit_inventory"](spark, small).select(*columns).collect()) == expected
