@@ -295,7 +295,7 @@ def j17_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey AS nation_key, s.k AS supplier_key, c.k AS customer_key FROM nation LEFT JOIN (SELECT s_nationkey AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1) s ON s.n = n_nationkey LEFT JOIN (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c ON c.n = n_nationkey")
 def j24_symmetric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation bound to one supplier and to one rich customer, by outer lookups."""
+    """Each nation bound to one supplier and to one rich customer, by outer lookups."""
     s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation_key")).agg(F.min("s_suppkey").alias("supplier_key"))
     c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation_key")).agg(F.min("c_custkey").alias("customer_key"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_key"))
@@ -602,7 +602,7 @@ def x5_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH parts AS (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS w, generate_subscripts(string_split(left(text, 400), ' '), 1) AS i FROM documents) SELECT doc_id AS source_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (strlen(w) <= 6), '') AS text FROM parts GROUP BY 1")
 def e3_list_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of more than six bytes leave a list, of the first 400 characters, with their blank."""
+    """Words of more than six bytes leave a list, of the first 400 characters, with their blank."""
     return short_words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.substring("text", 1, 400).alias("text")))
 
 

@@ -55,7 +55,7 @@ def v7_implied_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'root covers text' AS \"check\", count(*) AS n FROM documents WHERE doc_id % 17 = 0 AND doc_id % 19 <> 0 AND strlen(text) > 0 UNION ALL SELECT 'one root', count(*) FROM documents WHERE doc_id % 19 = 0")
 def v11_unit_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of documents and lines; some roots are short by a byte and some are missing."""
+    """Units of documents and lines; some roots are short by a byte and some are missing."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.octet_length("text").cast("long").alias("byte_len"))
     cut = F.when((F.col("source_id") % 17 == 0) & (F.col("byte_len") > 0), F.col("byte_len") - 1).otherwise(F.col("byte_len"))
     null = F.lit(None).cast("long")
@@ -67,7 +67,7 @@ def v11_unit_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'one group a unit' AS \"check\", count(*) AS n FROM orders WHERE o_orderkey % 23 = 0 UNION ALL SELECT 'known unit', 1")
 def v18_group_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that leave some orders out and name an unknown one."""
+    """V18, of which groups partition units: groups that leave some orders out and name an unknown one."""
     units = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"))
     groups = units.where("unit % 23 <> 0").select("unit", (F.col("unit") % 100).alias("group_id")).union(spark.createDataFrame([(-5, 0)], "unit long, group_id long"))
     return _counted(checks.group_partition(units, groups))
