@@ -7,15 +7,30 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A task of a written or shuffled table of texts takes about so many bytes.
+TASK_BYTES = 24_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; below a temporary folder of the session's own where that is unset."""
+    """A new folder's path below spark.checkpoint.dir, in one folder for the application.
+
+    Where that is unset, a local master gets a temporary folder; a cluster is an error, as its executors would not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "reachflow-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/reachflow-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/reachflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all tables that this application wrote to the scratch folder; results that read them must have been consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(scratch(spark)))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -25,11 +40,26 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def file_count(spark: SparkSession) -> int:
-    """How many files a table is written in at least, where it would have more: three for each core, and a quarter of the usual shuffle's."""
-    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """written(), in buckets of the column: joins on it don't shuffle this side. The catalogue doesn't keep the table."""
+    spark, name = df.sparkSession, f"reachflow_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch(spark)).bucketBy(buckets, column).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolves it before the name goes; the files of a table with a path stay
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, by one aggregate."""
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+
+
+def tasks_for(total_bytes: int, task_bytes: int = TASK_BYTES) -> int:
+    """How many tasks it takes, whatever the cluster's settings are, so that each has about task_bytes."""
+    return max(1, -(-total_bytes // task_bytes))
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """written() for the tables of a loop, a few numbers a row: an eighth of the usual tasks make an eighth of the files."""
-    return written(df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)))
+    """written() for the tables of a loop, in files of the advised partition size: small rounds make few files, large ones keep their tasks."""
+    return written(df.hint("rebalance"))
