@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.sources.scratch import file_count, narrow, scratch, written  # noqa: F401
+from reachflow.sources.scratch import narrow, scratch, tasks_for, text_bytes, written  # noqa: F401
 
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
@@ -18,8 +18,9 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Arrow batches of few rows, so that very long texts don't meet in one batch; a session's smaller limit stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 513):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -1,76 +1,94 @@
 """Text quality by an interpolated modified Kneser-Ney model of character n-grams.
 
-Texts become sequences of SYMBOLS symbols, so that an n-gram of ORDER symbols is a number below SYMBOLS ** ORDER. Tasks
-count the n-grams of trusted texts; the counts of all orders, their contexts and the n-grams that the documents ask
-for are tables joined in shards of equal n-grams and contexts, which gives one probability for each n-gram. A
-document's perplexity is the mean over its whole text. Limits for each language decide, quantiles of the trusted texts:
-the greatest and the least perplexity, and how often words may repeat one of the NEAR words before them, which four
-characters don't show.
+An n-gram is a string of ORDER code points of any script, so that the tables grow with the corpus. Documents are
+packed once into blocks, compressed rows of a bucketed table; a block names each of its n-grams once, however often it
+occurs. The counts of all orders, their contexts and the n-grams that blocks ask for are tables joined in shards of equal
+n-grams and contexts; the probabilities go back to the blocks, where each document gets the perplexity of its whole
+text. No table passes through the driver, and the texts are never shuffled.
+
+Limits for each language decide: quantiles of the perplexity, on both sides, and of how often words repeat one of the
+NEAR words before them, which few characters don't show. They are taken from trusted texts that the counts leave out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from reachflow.llm import common
-
-ORDER, BITS = 4, 6
-SYMBOLS, MASK = 1 << BITS, (1 << BITS * ORDER) - 1
-#: A document is kept up to SLACK times the QUANTILE of its language's trusted texts, and down to the opposite one by SLACK.
-QUANTILE, SLACK, ACCURACY = 0.995, 1.25, 10_000
+from reachflow.sources.scratch import bucketed
+
+ORDER = 4
+#: A block holds texts of about so many bytes, and so many rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 16_000_000, 50_000
+#: Trusted documents whose crc32(doc_id) mod FOLDS is 0 give the limits, the others the counts.
+FOLDS = 5
+#: The limits are the QUANTILE of the greatest and the least perplexities and of the repetitions.
+QUANTILE, ACCURACY, ERROR = 0.998, 10_000, 3.0
 #: A language's quantiles are mixed with those of all texts, which weigh as much as so many texts of the language.
 POOLED = 20
 #: So many words before a word are looked at for it; the prior repeats and words that keep short texts from extremes.
 NEAR, PRIOR = 4, (1, 20)
+#: Limits of so many languages are broadcast (some 50 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 20_000
+TIMES = common.powers(ORDER, 0xD1342543DE82EF95)
+BLOCKS = "block long, ids array<long>, grams array<string>, rows binary"
+
+
+def keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of the n-grams whose k-th code points are in the k-th column; they tell n-grams of one block apart."""
+    return common.mixed(sum(c.astype(np.uint64) * TIMES[k] for k, c in enumerate(columns)))
+
+
+class Line:
+    """Texts as one line of code points: ORDER - 1 boundaries (code point 0) before each and one behind it."""
+
+    def __init__(self, texts: list[bytes]):
+        wide = [t.decode("utf-8", "replace").encode("utf-32-le") for t in texts]
+        self.sizes = np.array([len(w) // 4 for w in wide], np.int64)
+        room = self.sizes + ORDER
+        self.points = np.zeros(int(room.sum()) + ORDER - 1, np.uint32)
+        begins = np.cumsum(room) - room
+        self.points[common.run_positions(begins + ORDER - 1, self.sizes)] = np.frombuffer(b"".join(wide), "<u4")
+        #: Where each n-gram begins; a text has one for each code point and one for its end.
+        self.at = common.run_positions(begins, self.sizes + 1)
+        self.text = np.repeat(np.arange(len(texts)), self.sizes + 1)
+        self.key = keys([self.points[self.at + k] for k in range(ORDER)])
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        square = self.points[self.at[which][:, None] + np.arange(ORDER)]
+        whole = square.tobytes().decode("utf-32-le")
+        return [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)]
+
+
+def keys_of(grams: list[str]) -> np.ndarray:
+    square = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    return keys([square[:, k] for k in range(ORDER)])
+
+
+class Tally:
+    """Distinct n-grams of a block with how often each occurs."""
 
+    def __init__(self):
+        self.key, self.n, self.grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
 
-def symbol_table() -> np.ndarray:
-    """The symbol of each code point up to 0x250: letters by themselves, capitals and signs by kind."""
-    table = np.full(0x250, 35, np.uint8)
-    table[0:32] = 36
-    table[10], table[9], table[13], table[32] = 0, 28, 28, 28
-    for k in range(26):
-        table[97 + k], table[65 + k] = 1 + k, 27
-    table[48:58] = 29
-    for k in range(33, 127):
-        c = chr(k)
-        if not c.isalnum():
-            table[k] = {".": 30, ",": 31}.get(c, 32 if c in ";:?!" else 33 if c in "'\"()-" else 34)
-    table[0x7F:0xC0] = 37
-    for k in range(0xC0, 0x250):
-        table[k] = 27 if chr(k).isupper() else 38 + (k - 0xDF) % 26 if chr(k).isalpha() else 37
-    return table
-
-
-TABLE = symbol_table()
-
-
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every symbol and its text; each text begins after ORDER - 1 boundary symbols and ends with one."""
-    wide = [t.decode().encode("utf-32-le") for t in texts]
-    points = np.frombuffer(b"".join(wide), "<u4")
-    small = points < len(TABLE)
-    symbols = np.full(len(points), 35, np.uint8)
-    symbols[small] = TABLE[points[small]]
-    sizes = np.array([len(w) // 4 for w in wide], np.int64)
-    gap = ORDER  # one boundary ends a text, ORDER - 1 more come before the next
-    begins = np.concatenate(([0], np.cumsum(sizes + gap)))[:-1] + ORDER - 1
-    line = np.zeros(int((sizes + gap).sum()) + ORDER - 1, np.int32)
-    line[common.run_positions(begins, sizes)] = symbols
-    n = len(line) - ORDER + 1
-    gram = np.zeros(max(n, 0), np.int32)
-    for k in range(ORDER):
-        gram = gram << BITS | line[k : k + n]
-    text = np.repeat(np.arange(len(texts)), sizes + gap)
-    keep = np.ones(len(gram), bool)
-    keep[(np.cumsum(sizes + gap)[:, None] - 1 - np.arange(ORDER - 1)).ravel()] = False
-    return gram[keep], text[keep]
+    def add(self, texts: list[bytes]) -> None:
+        line = Line(texts)
+        key, first, n = np.unique(line.key, return_index=True, return_counts=True)
+        at = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), bool)
+        inside = at < len(self.key)
+        known[inside] = self.key[at[inside]] == key[inside]
+        self.n[at[known]] += n[known]
+        fresh = ~known
+        self.grams = np.insert(self.grams, at[fresh], np.array(line.strings(first[fresh]), object))
+        self.n, self.key = np.insert(self.n, at[fresh], n[fresh]), np.insert(self.key, at[fresh], key[fresh])
 
 
 def repetition(texts: list[bytes]) -> np.ndarray:
@@ -85,19 +103,56 @@ def repetition(texts: list[bytes]) -> np.ndarray:
     return (repeats + PRIOR[0]) / (n + PRIOR[1])
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """code, n: how often each n-gram occurs in the texts; every task adds up its own before the shuffle."""
+def to_bytes(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for p in parts:
+            stream.write_batch(p)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(MASK + 1, np.int32)
-        for _, texts in common.slices(batches, "text"):
-            np.add.at(total, codes(texts)[0], 1)
-        there = np.flatnonzero(total)
-        for i in range(0, len(there), 100_000):
-            part = there[i : i + 100_000]
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["code", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def from_bytes(rows: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(rows) as stream:
+        yield from stream
+
+
+class Blocks:
+    """The rows of docs, with all their columns, packed into blocks; k_id, k_lang and k_text are what is judged.
+
+    Rows keep their place in their block. A null text counts as empty.
+    """
+
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
+        common.small_batches(docs.sparkSession)
+        self.docs = docs
+        self.id, self.lang, self.text = (common.free(docs.columns, x) for x in ("k_id", "k_lang", "k_text"))
+        own = isinstance(docs.schema["text"].dataType, StringType)
+        if own:
+            self.text = "text"
+        added = [F.col("doc_id").cast("long").alias(self.id), F.col("lang").cast("string").alias(self.lang), *([] if own else [F.col("text").cast("string").alias(self.text)])]
+        id_name, text_name = self.id, self.text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, tally = [], 0, Tally()
+
+            def block() -> pa.RecordBatch:
+                ids = [x for h in held for x in h.column(id_name).to_pylist()]
+                columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([tally.grams.tolist()], pa.list_(pa.string())), pa.array([to_bytes(held)], pa.binary())]
+                return pa.record_batch(columns, ["block", "ids", "grams", "rows"])
+
+            for rows, texts in common.slices(batches, text_name):
+                held.append(rows)
+                tally.add(texts)
+                size += sum(map(len, texts))
+                if size >= block_bytes or sum(h.num_rows for h in held) >= BLOCK_ROWS:
+                    yield block()
+                    held, size, tally = [], 0, Tally()
+            if held:
+                yield block()
+
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        # Block numbers are random: what follows reads the written table, so that they are drawn once.
+        self.table = bucketed(docs.select(*docs.columns, *added).mapInArrow(run, BLOCKS), "block", max(1, -(-total // block_bytes)))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -109,143 +164,155 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def model(trusted: DataFrame, needed: DataFrame) -> DataFrame:
-    """code, logp (natural logarithm) of every needed n-gram under the model of the trusted texts.
+def model(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """gram, logp (natural logarithm) of every asked n-gram (gram) under the counts (gram, n), a written table.
 
-    Each order's table of counts is joined with its contexts and with the order below on shards of equal codes. An
-    unseen context passes the lower order's probability on; without trusted texts all symbols are alike.
+    Each order's table is joined with its contexts and with the order below on shards of equal n-grams. An unseen
+    context passes the lower order's probability on. Below single characters stands the uniform distribution over those
+    counted and one more for all others.
     """
-    tables = [common.written(counted(trusted))]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
-        lower = tables[-1].groupBy((F.col("code") % F.lit(SYMBOLS**order)).cast("int").alias("code")).agg(F.count("*").alias("n"))
-        tables.append(lower)
-    tables = [tables[0], *(common.written(t) for t in tables[1:])]
-    wanted = common.written(needed.select("code").distinct())
-    below = None
+    tables = [counts]
+    for _ in range(ORDER - 1):  # continuation counts: how many characters come before
+        tables.append(common.narrow(tables[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    wanted = common.narrow(asked.select("gram").distinct())
+    below, uniform = None, 1.0 / (tables[-1].count() + 1)
     for order in range(1, ORDER + 1):
-        counts = tables[ORDER - order]
-        d1, d2, d3 = discounts(counts)
-        asked = wanted.select((F.col("code") % F.lit(SYMBOLS**order)).cast("int").alias("code")).distinct()
-        context = F.shiftright("code", BITS).cast("int").alias("context")
-        contexts = counts.groupBy(context).agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
-        rows = asked.join(counts, "code", "left").select("code", context, F.coalesce("n", F.lit(0)).alias("n")).join(contexts, "context", "left")
+        own = tables[ORDER - order]
+        d1, d2, d3 = discounts(own)
+        these = wanted if order == ORDER else wanted.select(F.expr(f"substring(gram, {ORDER - order + 1})").alias("gram")).distinct()
+        context = F.expr(f"substring(gram, 1, {order - 1})").alias("context")
+        contexts = own.groupBy(context).agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
+        rows = these.join(own, "gram", "left").select("gram", context, F.coalesce("n", F.lit(0)).alias("n")).join(contexts, "context", "left")
         if below is None:
-            rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
+            rows = rows.withColumn("lower", F.lit(uniform))
         else:
-            rows = rows.withColumn("tail", (F.col("code") % F.lit(SYMBOLS ** (order - 1))).cast("int")).join(below.withColumnRenamed("code", "tail"), "tail").withColumnRenamed("p", "lower")
+            rows = rows.withColumn("tail", F.expr("substring(gram, 2)")).join(below.withColumnRenamed("gram", "tail"), "tail").withColumnRenamed("p", "lower")
         off = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        own = (F.greatest(F.col("n") - off, F.lit(0.0)) + (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) * F.col("lower")) / F.col("total")
-        below = common.written(rows.select("code", F.when(F.col("total").isNull(), F.col("lower")).otherwise(own).alias("p")))
-    return below.select("code", F.log("p").alias("logp"))
+        p = (F.greatest(F.col("n") - off, F.lit(0.0)) + (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) * F.col("lower")) / F.col("total")
+        below = common.narrow(rows.select("gram", F.when(F.col("total").isNull(), F.col("lower")).otherwise(p).alias("p")))
+    return below.select("gram", F.log("p").alias("logp"))
 
 
-def asked_for(docs: DataFrame) -> DataFrame:
-    """code: the n-grams of the texts, each once."""
+def good_ids(labels: DataFrame) -> DataFrame:
+    """good_id: documents that a label calls good and none calls bad: all of them, so that the model grows with the corpus."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("good_id"))
+    return known.agg(F.min("quality").alias("q")).where("q = 1").select("good_id")
+
+
+def marked(blocks: Blocks, labels: DataFrame) -> DataFrame:
+    """block, counted, held: the places of a block's trusted rows that are counted, and of those that give the limits."""
+    places = blocks.table.select("block", F.posexplode("ids").alias("place", "id"))
+    good = places.join(good_ids(labels), F.col("id") == F.col("good_id")).withColumn("out", common.crc_mod(F.col("id"), FOLDS) == 0)
+    return good.groupBy("block").agg(F.collect_list(F.when(~F.col("out"), F.col("place"))).alias("counted"), F.collect_list(F.when(F.col("out"), F.col("place"))).alias("held"))
+
+
+def counted(blocks: Blocks, marks: DataFrame) -> DataFrame:
+    """gram, n: how often each n-gram occurs in the counted texts; a block adds up its own before the shuffle."""
+    text_name = blocks.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(MASK + 1, bool)
-        for _, texts in common.slices(batches, "text"):
-            seen[codes(texts)[0]] = True
-        there = np.flatnonzero(seen)
-        for i in range(0, len(there), 100_000):
-            yield pa.record_batch([pa.array(there[i : i + 100_000], pa.int32())], ["code"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code int").distinct()
-
-
-def dense(code: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """The probabilities with a place for each n-gram there can be; a task makes its own and drops it."""
-    out = np.zeros(MASK + 1, np.float32)
-    out[code] = logp
-    return out
-
-
-class Model:
-    """A fitted model: probabilities on all tasks and a threshold for each language."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame):
-        spark = docs.sparkSession
-        common.small_batches(spark)
-        good = good_ids(labels)
-        # A merge join at every size: the number of trusted texts has no bound that would allow a broadcast.
-        trusted = docs.select(F.col("doc_id").cast("long").alias("good_id"), "text").join(good.hint("merge"), "good_id", "left_semi")
-        found = model(trusted, asked_for(docs)).toArrow()  # SYMBOLS ** ORDER rows of 12 bytes at most, whatever the corpus
-        self.shared = spark.sparkContext.broadcast((found.column("code").to_numpy(), found.column("logp").to_numpy().astype(np.float32)))
-        self.scored = common.written(self.perplexities(docs, ["doc_id", "lang"]))
-        # The texts meet the labels once, for the counts; the thresholds take the trusted texts' numbers alone.
-        ranked = self.scored.where("n_symbols > 0").join(good.withColumnRenamed("good_id", "doc_id"), "doc_id", "left_semi")
-        cut = F.percentile_approx("perplexity", [QUANTILE, 1 - QUANTILE], ACCURACY).alias("cut")
-        again = F.percentile_approx("repetition", QUANTILE, ACCURACY).alias("again")
-        whole = ranked.agg(cut, again).first()
-        self.limits, self.limit = {}, (float("inf"), 0.0, float("inf"))
-        if whole["cut"] is not None:
-            whole = (*whole["cut"], whole["again"])
-            self.limit = self.loosened(whole)
-            for r in ranked.where("lang is not null").groupBy("lang").agg(cut, again, F.count("*").alias("n")).collect():  # a row for each language
-                mixed = [(r["n"] * own + POOLED * every) / (r["n"] + POOLED) for own, every in zip((*r["cut"], r["again"]), whole, strict=True)]
-                self.limits[r["lang"]] = self.loosened(mixed)
-
-    @staticmethod
-    def loosened(cuts) -> tuple[float, float, float]:
-        """Greatest and least perplexity, greatest repetition."""
-        return cuts[0] * SLACK, cuts[1] / SLACK, cuts[2] * SLACK
-
-    def perplexities(self, docs: DataFrame, others: list[str], names: tuple[str, str, str] = ("n_symbols", "perplexity", "repetition")) -> DataFrame:
-        """The columns of others, then the number of symbols, the perplexity and the repetition of every row's text.
-
-        Empty texts have the perplexity of the one boundary symbol that ends them.
-        """
-        shared, scored = self.shared, common.free(others, "scored_text")
+        for batch in batches:
+            for rows, places in zip(batch.column("rows"), batch.column("counted").to_pylist(), strict=True):
+                tally, begin, these = Tally(), 0, set(places)
+                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name):
+                    own = [t for i, t in enumerate(texts) if begin + i in these]
+                    begin += part.num_rows
+                    if own:
+                        tally.add(own)
+                yield pa.record_batch([pa.array(tally.grams.tolist(), pa.string()), pa.array(tally.n)], ["gram", "n"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            logp = dense(*shared.value)
-            for rows, texts in common.slices(batches, scored):
-                gram, text = codes(texts)
-                n = np.bincount(text, minlength=len(texts))
-                mean = np.bincount(text, logp[gram], minlength=len(texts)) / n
-                columns = [*rows.columns[:-1], pa.array([len(t.decode()) for t in texts], pa.int64()), pa.array(np.exp(-mean)), pa.array(repetition(texts))]
-                yield pa.record_batch(columns, [*others, *names])
-
-        rows = docs.select(*others, F.col("text").cast("string").alias(scored))
-        schema = StructType([*docs.select(*others).schema, StructField(names[0], LongType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())])
-        return rows.mapInArrow(run, schema)
-
-    def bound(self, k: int):
-        """The k-th limit of a row's language; unknown languages have that of all trusted texts."""
-        out = F.lit(self.limit[k])
-        for lang, limit in sorted(self.limits.items()):
-            out = F.when(F.col("lang") == lang, limit[k]).otherwise(out)
-        return out
-
-    def good(self, names: tuple[str, str, str]):
-        """Whether a row has text and lies within the limits of its language."""
-        value, again = F.col(names[1]), F.col(names[2])
-        return (F.col(names[0]) > 0) & (value <= self.bound(0)) & (value >= self.bound(1)) & (again <= self.bound(2))
+    rows = blocks.table.select("block", "rows").join(marks.where("size(counted) > 0").select("block", "counted").hint("shuffle_hash"), "block")
+    return rows.select("rows", "counted").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    """good_id: documents that a label calls good and none calls bad: all of them, so that the model grows with the corpus."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("good_id"))
-    return known.agg(F.min("quality").alias("q")).where("q = 1").select("good_id")
+def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """block, place, doc_id, lang, n_symbols, perplexity, repetition, held of every row.
+
+    Empty texts have the perplexity of the one boundary that ends them.
+    """
+    id_name, lang_name, text_name = blocks.id, blocks.lang, blocks.text
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("known")
+            for block, rows, k, places in zip(batch.column("block").to_pylist(), batch.column("rows"), range(batch.num_rows), batch.column("held").to_pylist(), strict=True):
+                known, begin, held = lists.slice(k, 1).flatten(), 0, set(places or ())
+                key = keys_of(known.field("gram").to_pylist())
+                order = np.argsort(key)
+                key, logp = key[order], known.field("logp").to_numpy(zero_copy_only=False)[order]
+                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name):
+                    line, n = Line(texts), len(texts)
+                    total = np.bincount(line.text, logp[np.searchsorted(key, line.key)], minlength=n)
+                    columns = [pa.array(np.full(n, block)), pa.array(np.arange(begin, begin + n), pa.int32()), part.column(id_name), part.column(lang_name), pa.array(line.sizes), pa.array(np.exp(-total / (line.sizes + 1))), pa.array(repetition(texts)), pa.array([begin + i in held for i in range(n)])]
+                    yield pa.record_batch(columns, ["block", "place", "doc_id", "lang", "n_symbols", "perplexity", "repetition", "held"])
+                    begin += n
+
+    asked = blocks.table.select("block", F.explode("grams").alias("gram"))
+    known = asked.join(probabilities, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("known"))
+    # Both sides have a row a block; the hints keep the rows' blobs from being broadcast or sorted.
+    rows = blocks.table.select("block", "rows").join(known.hint("shuffle_hash"), "block").join(marks.select("block", "held").hint("shuffle_hash"), "block", "left")
+    return rows.select("block", "rows", "known", "held").mapInArrow(run, "block long, place int, doc_id long, lang string, n_symbols long, perplexity double, repetition double, held boolean")
+
+
+def with_limits(scores: DataFrame) -> DataFrame:
+    """The scores with high, low (perplexity) and again (repetition), the limits of each row's language.
+
+    They are quantiles q of the held-out trusted texts, each moved to q + (q - median) * ERROR / sqrt(n), which allows for
+    the error of a quantile of n texts and vanishes with more of them. Those of a language and of all are mixed:
+    (n * own + POOLED * all) / (n + POOLED). Languages without trusted texts, null too, have those of all; without
+    any at all there is no limit.
+    """
+    ranked = scores.where("held and n_symbols > 0")
+    cuts = [F.percentile_approx(c, [q, 0.5], ACCURACY).alias(name) for c, q, name in (("perplexity", QUANTILE, "high"), ("perplexity", 1 - QUANTILE, "low"), ("repetition", QUANTILE, "again"))]
+    names = ("high", "low", "again")
+    moved = [(F.col(x)[0] + (F.col(x)[0] - F.col(x)[1]) * ERROR / F.sqrt("n")).alias(x) for x in names]
+    whole = ranked.agg(*cuts, F.count("*").alias("n")).select(*moved).first()
+    pooled = dict(zip(names, (float("inf"), 0.0, float("inf")), strict=True)) if whole["high"] is None else whole.asDict()
+    own = ranked.where("lang is not null").groupBy("lang").agg(*cuts, F.count("*").alias("n")).select("lang", "n", *moved)
+    mixed = [((F.col("n") * F.col(x) + POOLED * F.lit(pooled[x])) / (F.col("n") + POOLED)).alias(f"l_{x}") for x in names]
+    limits = common.narrow(own.select(F.col("lang").alias("l_lang"), *mixed))
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
+    out = scores.join(limits, F.col("lang") == F.col("l_lang"), "left")
+    return out.select(*scores.columns, *[F.coalesce(f"l_{x}", F.lit(pooled[x])).alias(x) for x in names])
 
-def plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+GOOD = "n_symbols > 0 and perplexity <= high and perplexity >= low and repetition <= again"
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Blocks, DataFrame]:
+    """The packed rows and every row's score and limits."""
+    blocks = Blocks(docs, BLOCK_BYTES)
+    marks = common.narrow(marked(blocks, labels))
+    counts = common.narrow(counted(blocks, marks))
+    probabilities = model(counts, blocks.table.select(F.explode("grams").alias("gram")))
+    return blocks, with_limits(common.written(scored(blocks, marks, probabilities)))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold (the greatest perplexity), kept of every row.
 
     Null texts count as empty; empty texts are not kept. Languages without trusted texts, null too, take the limits of
-    all trusted texts; without any trusted text everything with text is kept. Other columns are left out.
+    all trusted texts; without any trusted text everything with text is kept. Other columns are left out; repeated rows
+    are judged each, alike.
     """
-    fitted = Model(plain(docs), labels)
-    rows = fitted.scored.withColumn("threshold", fitted.bound(0))
-    return rows.withColumn("kept", fitted.good(("n_symbols", "perplexity", "repetition"))).drop("repetition")
+    scores = fitted(docs.select("doc_id", "lang", "text"), labels)[1]
+    return scores.select("doc_id", "lang", "n_symbols", "perplexity", F.col("high").alias("threshold"), F.expr(GOOD).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that judged() keeps; each row is judged by itself, ids may repeat."""
-    fitted = Model(plain(docs), labels)
-    names = tuple(common.free(docs.columns, x) for x in ("k_symbols", "k_perplexity", "k_repetition"))
-    return fitted.perplexities(docs, docs.columns, names).where(fitted.good(names)).select(*docs.columns)
+    blocks, scores = fitted(docs, labels)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, places in zip(batch.column("rows"), batch.column("places").to_pylist(), strict=True):
+                begin, these = 0, np.sort(np.array(places))
+                for part in from_bytes(rows.as_buffer()):
+                    own = these[np.searchsorted(these, begin) : np.searchsorted(these, begin + part.num_rows)] - begin
+                    begin += part.num_rows
+                    yield pa.record_batch(part.take(pa.array(own)).columns[: len(columns)], columns)
+
+    stay = scores.where(GOOD).groupBy("block").agg(F.collect_list("place").alias("places"))
+    return blocks.table.select("block", "rows").join(stay.hint("shuffle_hash"), "block").select("rows", "places").mapInArrow(run, docs.schema)

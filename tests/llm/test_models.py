@@ -15,61 +15,108 @@ ODD = [(None, "no id here", "en", "x"), (901, None, None, "x"), (902, "", "en",
 SCHEMA = "doc_id long, text string, lang string, SCORE string"
 
 
+def windows(text: str, n: int) -> list[str]:
+    """The n-grams of a text between boundaries."""
+    line = "\0" * (n - 1) + text + "\0"
+    return [line[i : i + n] for i in range(len(text) + 1)]
+
+
 def plain_kneser_ney(texts: list[str], order: int):
     """Probabilities of the interpolated modified model, from its definition."""
     grams: list[dict] = [defaultdict(int) for _ in range(order + 1)]
     for t in texts:
-        code, _ = kneser_ney.codes([t.encode()])
-        for c in code.tolist():
-            grams[order][c] += 1
+        for g in windows(t, order):
+            grams[order][g] += 1
     for n in range(order - 1, 0, -1):
-        for c in grams[n + 1]:
-            grams[n][c % 64**n] += 1
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
     cuts = [None]
     for n in range(1, order + 1):
         of = [0] + [sum(1 for v in grams[n].values() if v == k) for k in (1, 2, 3, 4)]
         y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0.5
         raw = (1 - 2 * y * of[2] / of[1] if of[1] else 0.5, 2 - 3 * y * of[3] / of[2] if of[2] else 1.0, 3 - 4 * y * of[4] / of[3] if of[3] else 1.5)
         cuts.append([min(max(d, 0.1), k - 0.05) for k, d in enumerate(raw, 1)])
-
     contexts: list[dict] = [defaultdict(list) for _ in range(order + 1)]
     for n in range(1, order + 1):
-        for c, v in grams[n].items():
-            contexts[n][c >> 6].append(v)
+        for g, v in grams[n].items():
+            contexts[n][g[:-1]].append(v)
 
-    def p(code: int, n: int) -> float:
-        lower = p(code % 64 ** (n - 1), n - 1) if n > 1 else 1 / 64
-        after = contexts[n].get(code >> 6)
+    def p(gram: str, n: int) -> float:
+        lower = p(gram[1:], n - 1) if n > 1 else 1 / (len(grams[1]) + 1)
+        after = contexts[n].get(gram[:-1])
         if not after:
             return lower
         d = cuts[n]
-        own = grams[n].get(code, 0)
+        own = grams[n].get(gram, 0)
         back = sum(d[min(v, 3) - 1] for v in after)
         return (max(own - (d[min(own, 3) - 1] if own else 0), 0) + back * lower) / sum(after)
 
-    return lambda code: p(code, order)
+    return lambda gram: p(gram, order)
+
+
+TEXTS = ["the cat sat on the mat.", "The dog sat!", "a cat, a dog and the rest", "été à la mer", "the cat sat on the mat.", "он пошёл в лес", "我们走了"]
+
+
+def _counts(spark, texts: list[str]):
+    found = defaultdict(int)
+    for t in texts:
+        for g in windows(t, kneser_ney.ORDER):
+            found[g] += 1
+    return spark.createDataFrame(list(found.items()), "gram string, n long")
 
 
 def test_probabilities_equal_the_definition(spark):
-    texts = ["the cat sat on the mat.", "The dog sat!", "a cat, a dog and the rest", "été à la mer", "the cat sat on the mat."]
-    asked = [*texts, "zebra on the moon", "THE CAT", ""]
-    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
-    needed = kneser_ney.asked_for(spark.createDataFrame([(t,) for t in asked], "text string"))
-    p = plain_kneser_ney(texts, kneser_ney.ORDER)
-    rows = kneser_ney.model(trusted, needed).collect()
-    assert len(rows) == len({c for t in asked for c in kneser_ney.codes([t.encode()])[0].tolist()})
+    asked = sorted({g for t in [*TEXTS, "zebra on the moon", "THE CAT", "", "в лес", "𐍈"] for g in windows(t, kneser_ney.ORDER)})
+    p = plain_kneser_ney(TEXTS, kneser_ney.ORDER)
+    rows = kneser_ney.model(_counts(spark, TEXTS), spark.createDataFrame([(g,) for g in asked], "gram string")).collect()
+    assert sorted(r["gram"] for r in rows) == asked
     for r in rows:
-        assert math.isclose(math.exp(r["logp"]), p(r["code"]), rel_tol=1e-9)
+        assert math.isclose(math.exp(r["logp"]), p(r["gram"]), rel_tol=1e-9)
 
 
 def test_probabilities_sum_to_one(spark):
-    texts = ["the cat sat on the mat.", "a dog"]
-    context = kneser_ney.codes([b"the"])[0][2] >> 0
-    rows = spark.createDataFrame([((int(context) << 6 & kneser_ney.MASK) | s,) for s in range(64)], "code int")
-    found = kneser_ney.model(spark.createDataFrame([(t,) for t in texts], "text string"), rows).collect()
+    every = sorted({c for t in TEXTS for c in t} | {"\0", "ж"})  # one stands for all characters that aren't counted
+    rows = spark.createDataFrame([("the" + c,) for c in every], "gram string")
+    found = kneser_ney.model(_counts(spark, TEXTS), rows).collect()
     assert math.isclose(sum(math.exp(r["logp"]) for r in found), 1, rel_tol=1e-9)
 
 
+def test_perplexities_and_limits_equal_plain_ones(spark, monkeypatch):
+    """Every document against the plain model of the counted texts, over several blocks; limits from the held-out ones."""
+    docs, labels = _corpus(120)
+    rows = [*docs, *[(5000 + i, t, "xx", "x") for i, t in enumerate(TEXTS)], (None, "no id", "en", "x"), (7000, None, "en", "x"), (7001, "", "en", "x")]
+    known = {d: q for d, q, _ in labels}
+    trusted = [r for r in rows if known.get(r[0]) == 1]
+    out = lambda d: zlib.crc32(str(d).encode()) % kneser_ney.FOLDS == 0
+    p = plain_kneser_ney([t for d, t, *_ in trusted if not out(d)], kneser_ney.ORDER)
+
+    def perplexity(t: str | None) -> float:
+        grams = windows(t or "", kneser_ney.ORDER)
+        return math.exp(-sum(math.log(p(g)) for g in grams) / len(grams))
+
+    frame = spark.createDataFrame(rows, SCHEMA)
+    blocks = kneser_ney.Blocks(frame, 4000)
+    assert blocks.table.count() > 3 and set(frame.columns).isdisjoint({blocks.id, blocks.lang})
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 4000)
+    got = kneser_ney.judged(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    text = {d: t for d, t, *_ in rows}
+    assert len(got) == len(rows)
+    assert all(math.isclose(r["perplexity"], perplexity(text[r["doc_id"]]), rel_tol=1e-9) and r["n_symbols"] == len(text[r["doc_id"]] or "") for r in got)
+    held = sorted(perplexity(t) for d, t, *_ in trusted if out(d))
+    # No trusted text of this language: the quantile of all.
+    high = held[-1] + (held[-1] - held[(len(held) - 1) // 2]) * kneser_ney.ERROR / math.sqrt(len(held))
+    assert all(math.isclose(r["threshold"], high, rel_tol=1e-9) for r in got if r["lang"] == "xx")
+
+
+def test_texts_of_any_script_are_told_apart(spark):
+    texts = ["мама мыла раму и пела", "папа читал газету дома", "我们沿着河边散步谈论未来", "昨天晚上他们回家看书"]
+    frame = spark.createDataFrame([(i, t, "x", "x") for i, t in enumerate([*texts * 20, "ъыьщэ юяфхц чшж ёйъы эюя", "龘靐齉爩鱻麤龗灪"])], SCHEMA)
+    marks = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in kneser_ney.judged(frame, marks).collect()}
+    assert len({got[i]["perplexity"] for i in range(4)}) == 4
+    assert all(got[i]["kept"] for i in range(80)) and not got[80]["kept"] and not got[81]["kept"]
+
+
 def _corpus(n: int = 240) -> tuple[list, list]:
     rng = np.random.default_rng(5)
     words = {"en": ["the", "house", "with", "three", "windows", "stands", "near"], "de": ["der", "straße", "über", "schöne", "nicht", "häuser", "und"], "fr": ["le", "château", "près", "été", "où", "très", "belle"]}
