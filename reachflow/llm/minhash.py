@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachflow.llm import common
@@ -23,8 +23,12 @@ WORDS = 5
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SIMILARITY = 85
-#: Documents of a block, sets compared and shared elements multiplied at once, tasks that small clusters are dealt to.
-BLOCK_DOCS, ROWS_AT_ONCE, COLUMNS, BUNDLES = 1024, 256, 8192, 509
+#: Bytes and number of the sets of a block, of which one side of a tile is held at a time, and number of those compared with one pivot.
+BLOCK_BYTES, BLOCK_SETS, STAR_SETS = 8_000_000, 512, 128
+#: Sets compared and shared elements multiplied at once.
+ROWS_AT_ONCE, COLUMNS = 256, 8192
+#: Rows of equal texts take their class in so many shares.
+SALTS = 16
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,89 +158,163 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of(docs: np.ndarray, sets: list[bytes], side: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents that connect what all confirmed links connect, between the two sides or, if one is empty, within."""
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
-    sizes, found = np.array([len(x) // 8 for x in sets]), []
-    if not len(right):
-        right = left
-    for i in range(0, len(left), ROWS_AT_ONCE):
-        one = left[i : i + ROWS_AT_ONCE]
-        for j in range(0, len(right), ROWS_AT_ONCE):
-            two = right[j : j + ROWS_AT_ONCE]
-            both = intersections([sets[k] for k in one], [sets[k] for k in two])
-            x, y = np.nonzero(100 * both >= similarity * (sizes[one][:, None] + sizes[two] - both))
-            found.append((one[x], two[y]))
-    x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    label = forest(len(docs), x, y)
-    moved = np.flatnonzero(label != np.arange(len(docs)))
-    return docs[moved], docs[label[moved]]
+def comparer(similarity: int):
+    """A task's work on rows (tile, side, doc, set) sorted by tile and side: the links that connect what confirmed pairs connect.
+
+    Of a tile, the sets of side 0 are held; those of side 1 stream by and are compared with them, those of side 2 are
+    held too and compared with each other.
+    """
+
+    def confirmed(a: tuple[np.ndarray, list[bytes]], b: tuple[np.ndarray, list[bytes]]) -> pa.RecordBatch:
+        docs = np.concatenate((a[0], b[0]))
+        na, nb = (np.array([len(x) // 8 for x in side[1]]) for side in (a, b))
+        found = []
+        for i in range(0, len(na), ROWS_AT_ONCE):
+            for j in range(0, len(nb), ROWS_AT_ONCE):
+                one, two = slice(i, i + ROWS_AT_ONCE), slice(j, j + ROWS_AT_ONCE)
+                least, most = np.minimum(na[one][:, None], nb[two]), np.maximum(na[one][:, None], nb[two])
+                if not (100 * least >= similarity * most).any():
+                    continue
+                both = intersections(a[1][one], b[1][two])
+                x, y = np.nonzero(100 * both >= similarity * (na[one][:, None] + nb[two] - both))
+                found.append((x + i, y + j + len(na)))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        label = forest(len(docs), x, y)
+        moved = np.flatnonzero(label != np.arange(len(docs)))
+        return pa.record_batch([pa.array(docs[moved]), pa.array(docs[label[moved]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, whole = None, ([], []), False
+        for rows, sets in common.slices(batches, "set"):
+            tiles, sides, docs = (rows.column(c).to_pylist() for c in ("tile", "side", "doc"))
+            i = 0
+            while i < len(docs):
+                if tiles[i] != tile:
+                    if whole:
+                        yield confirmed(*[(np.array(held[0]), held[1])] * 2)
+                    tile, held, whole = tiles[i], ([], []), False
+                j = i
+                while j < len(docs) and tiles[j] == tile and sides[j] == sides[i]:
+                    j += 1
+                if sides[i] == 1:
+                    if held[0]:
+                        yield confirmed((np.array(held[0]), held[1]), (np.array(docs[i:j]), sets[i:j]))
+                else:
+                    held[0].extend(docs[i:j]), held[1].extend(sets[i:j])
+                    whole |= sides[i] == 2
+                i = j
+        if whole:
+            yield confirmed(*[(np.array(held[0]), held[1])] * 2)
+
+    return run
+
+
+def confirmed_links(placed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """a, b: links confirmed within the tiles of placed (tile, side, doc), each row with its set; a written table."""
+    rows = placed.join(sets, "doc").select("tile", "side", "doc", "set")
+    dealt = rows.repartition("tile").sortWithinPartitions("tile", "side")
+    return common.narrow(dealt.mapInArrow(comparer(similarity), "a long, b long").distinct())
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component of all nodes that labels or links know, after the links join what labels tell apart; a written table."""
+    if labels is None:
+        return connected_components(links)
+    named = links
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        named = named.join(own, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    joined = connected_components(named, "c_a", "c_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    every = labels.union(named.select("a", "c_a")).union(named.select("b", "c_b")).distinct()
+    return common.narrow(every.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
+
+
+def distinct_buckets(met: DataFrame) -> DataFrame:
+    """met (bucket, doc, n) with one bucket of those that hold the same documents."""
+    sums = met.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
+    return met.join(sums.groupBy("k", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "k"), "bucket")
+
+
+def shares_of(elements: Column, sets: Column, most_sets: int) -> Column:
+    """How many blocks so many sets of so many elements in total make."""
+    return F.greatest(F.ceil(elements * 8 / BLOCK_BYTES), F.ceil(sets / most_sets)).cast("int")
+
+
+def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
+    """node, component of the documents that confirmed links connect; met (bucket, doc, n): who meets in a bucket, with n elements."""
+    live = common.narrow(distinct_buckets(met))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = set_table(texts.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = common.written(sets.groupBy("doc").agg(F.min("set").alias("set")))
+    labels, before, turn = None, None, 0
+    while True:
+        state = live if labels is None else live.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+        state = state.withColumn("class", F.coalesce("component", "doc") if labels is not None else F.col("doc"))
+        # The largest class of each bucket, and one member of it; another one in each round.
+        pick = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("doc"), F.col("n").alias("n"))).alias("pick")
+        classes = state.groupBy("bucket", "k", "class").agg(F.count("*").alias("size"), pick)
+        largest = classes.groupBy("bucket", "k").agg(F.max(F.struct("size", -F.col("class"), "pick")).alias("top"))
+        # A bucket of two needs one comparison, whatever it says.
+        largest = largest.where("top.size < k" + (" and k > 2" if turn else ""))
+        top = largest.select("bucket", (-F.col("top.col2")).alias("top"), F.col("top.pick.doc").alias("pivot"), F.col("top.pick.n").alias("pivot_n"))
+        state = common.narrow(state.select("bucket", "doc", "n", "class").join(top, "bucket"))
+        rest = state.where("class <> top")
+        open_ = rest.count()
+        if not open_ or (before is not None and 2 * open_ > before):
+            break
+        before, turn = open_, turn + 1
+        alike = 100 * F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")  # other sizes can't be linked
+        pairs = common.narrow(rest.where(alike).select("doc", "pivot", "n").distinct())
+        shares = pairs.groupBy("pivot").agg(shares_of(F.sum("n"), F.count("*"), STAR_SETS).alias("shares"))
+        pairs = pairs.join(shares, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("shares")).alias("share"))
+        tile = F.struct("pivot", "share").alias("tile")
+        stars = pairs.select(tile, F.lit(1).alias("side"), "doc").union(pairs.select("pivot", "share").distinct().select(tile, F.lit(0), F.col("pivot")))
+        labels = relabelled(labels, confirmed_links(stars, sets, similarity))
+        live = state.select("bucket", "doc", "n").join(largest.select("bucket", "k"), "bucket")
+    if open_:
+        # What is left of each bucket, against itself and against its largest class.
+        sides = ((F.col("class") != F.col("top"), "n_rest"), (F.col("class") == F.col("top"), "n_top"))
+        sums = state.groupBy("bucket").agg(*[shares_of(F.sum(F.when(own, F.col("n"))), F.count_if(own), BLOCK_SETS).alias(name) for own, name in sides])
+        rows = state.join(sums, "bucket").withColumn("is_top", F.col("class") == F.col("top"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int"))
+        to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+        tile = F.struct("bucket", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        within = rows.where("not is_top").select("bucket", F.lit(0).alias("kind"), "doc", "own", to("n_rest")).select(tile.alias("tile"), side.alias("side"), "doc")
+        across = F.struct("bucket", F.lit(1).alias("kind"), F.col("r").alias("i"), F.col("t").alias("j")).alias("tile")
+        held = rows.where("not is_top").select("bucket", "doc", F.col("own").alias("r"), to("n_top").alias("t")).select(across, F.lit(0).alias("side"), "doc")
+        passing = rows.where("is_top").select("bucket", "doc", to("n_rest").alias("r"), F.col("own").alias("t")).select(across, F.lit(1).alias("side"), "doc")
+        labels = relabelled(labels, confirmed_links(within.union(held).union(passing), sets, similarity))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: linked documents have the least doc_id they reach.
 
-    Documents of equal sets are one class, represented by its least id. Classes that meet in a band's bucket, directly
-    or by others, are compared on their whole sets, all with all, so that no bucket has a cap.
+    Documents of equal sets are one class, represented by its least id. Classes that meet in a band's bucket are
+    compared on their whole sets; no bucket has a cap.
     Rows with an empty set are alone; rows without an id are linked with nothing, have no component and are kept.
     Repeated rows of an id share its result, if their texts differ that of any. Other columns are left out.
     """
     sk = common.written(sketches(docs))
     linkable = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = common.narrow(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = common.narrow(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
+    copies = classes.where("size > 1")
+    # Only copies of another row's set need their class; most rows represent themselves.
+    salted = copies.select("fp1", "fp2", "n_shingles", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
     dealt = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    by_bucket = Window.partitionBy("bucket")
-    met = common.narrow(dealt.withColumn("lo", F.min("doc").over(by_bucket)).withColumn("hi", F.max("doc").over(by_bucket)).where("lo <> hi").select("doc", "lo").distinct())
+    shared = dealt.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("bucket")
+    met = common.narrow(dealt.join(shared, "bucket", "left_semi").groupBy("bucket", "doc").agg(F.max("n").alias("n")))
     labels = None if met.isEmpty() else linked(docs, met, similarity)
-    own = sk.select("doc_id", "n_shingles", "fp1", "fp2")
-    result = own.join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    own = sk.select("doc_id", "n_shingles", "fp1", "fp2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    result = own.where("n_shingles > 0 and doc_id is not null").join(salted, ["fp1", "fp2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if labels is not None:
-        result = result.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        result = result.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     else:
-        result = result.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
-    """node, component of the documents that confirmed links connect; met (doc, lo): who meets whom in a bucket.
-
-    Documents that meet, directly or by others, form a cluster, within which all are compared exactly: block by block,
-    each pair of blocks in one task, so that a cluster of any size is dealt out and none of its pairs is left out or
-    written down. A block's task gives a forest of the links that it finds.
-    """
-    clusters = connected_components(met, "doc", "lo").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = set_table(texts.join(clusters.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")).groupBy("doc").agg(F.first("set").alias("set"))
-    dealt = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(sets, "doc")
-    # Clusters of one block share tasks by a hash; a larger one has a task for each two of its blocks.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = dealt.select("doc", "cluster", "own", "set", "blocks", other)
-    placed = placed.select(
-        "doc",
-        "set",
-        "cluster",
-        F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(BUNDLES))).alias("k1"),
-        F.when(F.col("blocks") > 1, F.least("own", "other")).otherwise(-1).alias("k2"),
-        F.when(F.col("blocks") > 1, F.greatest("own", "other")).otherwise(-1).alias("k3"),
-        F.when((F.col("blocks") > 1) & (F.col("own") > F.col("other")), 1).otherwise(0).alias("side"),
-    )
-
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("cluster", "ascending"), ("doc", "ascending"), ("side", "ascending")])
-        cluster, doc, side = (rows.column(c).to_numpy() for c in ("cluster", "doc", "side"))
-        sets, a, b = rows.column("set").to_pylist(), [], []
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(cluster)) + 1, [len(cluster)]))
-        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            x, y = links_of(doc[i:j], sets[i:j], side[i:j], similarity)
-            a.append(x), b.append(y)
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    links = placed.groupBy("k1", "k2", "k3").applyInArrow(compare, "a long, b long")
-    return connected_components(links)
+        result = result.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    alone = own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return result.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def kept(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

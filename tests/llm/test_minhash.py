@@ -53,8 +53,8 @@ def _texts(seed: int) -> list[tuple[int | None, str | None]]:
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, block in ((1, 1024), (2, 4)):  # small blocks: a cluster has many
-        monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    for seed, block in ((1, 512), (2, 3)):  # small blocks: a bucket has many
+        monkeypatch.setattr(minhash, "BLOCK_SETS", block), monkeypatch.setattr(minhash, "STAR_SETS", block)
         rows = _texts(seed)
         frame = spark.createDataFrame([(d, t, "c", "k") for d, t in rows], SCHEMA)
         for similarity in (80, 85):
