@@ -86,7 +86,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """Pieces of the tokenised texts: doc_id, piece, start, length, ids (binary, little-endian unsigned 32 bits).
 
     Every text, null as empty, is followed by end_id, so that each row gives one piece at least; only those longer
-    than the capacity are cut. Repeated rows give repeated pieces; other columns are left out.
+    than the capacity are cut. Null ids stay null; repeated rows give repeated pieces; other columns are left out.
     """
     common.small_batches(docs.sparkSession)
     width = 4 * capacity
@@ -110,7 +110,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset: best-fit decreasing over all of them, by their column length.
 
     pieces has the columns doc_id, piece and length (1 to capacity), is read twice and must not change in between:
-    give a written table. Equal rows are told apart by rank only, so that repeated rows get places of their own.
+    give a written table. Equal rows are told apart by rank only, so that repeated rows get places of their own; where
+    one id may have very many pieces, as null may, a column p_salt of distinct numbers deals them out.
     An empty table gives an empty one.
     """
     spark = pieces.sparkSession
@@ -119,12 +120,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = plan({r["length"]: r["count"] for r in lengths}, capacity)
     planned = spark.createDataFrame(rows, "p_length long, p_from long, p_to long, p_first long, p_each long, p_offset long")
     groups = max(1, -(-total // RANK_ROWS))
-    dealt = pieces.withColumn("p_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    order = [c for c in ("p_salt", "doc_id", "piece") if c in pieces.columns]
+    dealt = pieces.withColumn("p_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     within = Window.partitionBy("length", "p_group")
     sizes = dealt.groupBy("length", "p_group").agg(F.count("*").alias("p_n"))
     before = sizes.select(F.col("length").alias("b_length"), F.col("p_group").alias("b_group"), (F.sum("p_n").over(Window.partitionBy("length").orderBy("p_group")) - F.col("p_n")).alias("p_before"))
     ranked = (
-        dealt.withColumn("p_rank", F.row_number().over(within.orderBy("doc_id", "piece")) - 1)
+        dealt.withColumn("p_rank", F.row_number().over(within.orderBy(*order)) - 1)
         .join(before, (F.col("length") == F.col("b_length")) & (F.col("p_group") == F.col("b_group")))
         .withColumn("p_rank", F.col("p_rank") + F.col("p_before"))
     )
@@ -140,5 +142,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents' pieces."""
     pieces = token_pieces(docs, tokenizer, capacity, end_id)
-    slim = common.written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return pack(slim, capacity)
+    slim = common.written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias("p_salt")))
+    return pack(slim, capacity).drop("p_salt")

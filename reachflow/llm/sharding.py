@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachflow.llm import common
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20_240_611, 8_000_000
+#: So many buckets have their places broadcast (16 MB).
+MOST_BROADCAST = 1_000_000
 SHUFFLED = "doc_id long, text string, bucket int, shard int, grown_shard int, slot_in_bucket long"
 
 
@@ -53,11 +55,13 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
 
     The shard follows from doc_id and the number of shards alone (law `key`); rows of equal or null ids share a shard
     and are told apart by their texts within it. Buckets are dealt by a hash of id and text, as many as the total size
-    asks for, with a quarter of the room kept for chance. Other columns are left out.
+    asks for, with a quarter of the room kept for chance, and by the scanned partition, so that rows that repeat as a whole
+    don't meet in one. Null texts stay null and have size 1. The order follows from the seed and the layout of the input;
+    other columns are left out.
     """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(text_size(F.col("text")))).first()[0] or 0
+    total = common.text_bytes(rows)
     buckets = max(1, -(-total * 5 // (4 * bucket_bytes * shards)))
     key = F.xxhash64(F.lit(seed), "doc_id")
 
@@ -66,7 +70,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
             keys = batch.column("key").to_numpy().view(np.uint64)
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "text", "bucket")), pa.array(jump_hash(keys, shards), pa.int32()), pa.array(jump_hash(keys, shards + 1), pa.int32())], ["doc_id", "text", "bucket", "shard", "grown_shard"])
 
-    dealt = rows.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int"))
     dealt = dealt.mapInArrow(place, "doc_id long, text string, bucket int, shard int, grown_shard int")
 
     def permute(table: pa.Table) -> pa.Table:
@@ -75,21 +79,21 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         order = fisher_yates(table.num_rows, zlib.crc32(f"{seed},{shard},{bucket}".encode()))
         return table.take(pa.array(order)).append_column("slot_in_bucket", pa.array(np.arange(table.num_rows), pa.int64()))
 
-    return dealt.groupBy("shard", "bucket").applyInArrow(permute, SHUFFLED)
+    tasks = common.tasks_for(total)  # of whole buckets; coalesce holds the number where a setting raises it
+    return dealt.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(permute, SHUFFLED).coalesce(tasks)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Writes the shuffled records to `path`; each bucket lies in one file, in its order."""
-    shuffled(docs, shards, seed, bucket_bytes).coalesce(common.file_count(docs.sparkSession)).write.parquet(path)
+    shuffled(docs, shards, seed, bucket_bytes).write.parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
     """doc_id, text, size, law, shard, slot (gapless within a shard), grown_shard of a table that write_shards() wrote."""
     rows = spark.read.schema(SHUFFLED).parquet(path)
-    sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect()  # a number for each bucket
-    before, out = {}, []
-    for r in sorted(sizes, key=lambda r: (r["shard"], r["bucket"])):
-        out.append((r["shard"], r["bucket"], before.get(r["shard"], 0)))
-        before[r["shard"]] = out[-1][2] + r["n"]
-    starts = spark.createDataFrame(out, "shard int, bucket int, before long")
+    sizes = common.narrow(rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    starts = sizes.select("shard", "bucket", before.alias("before"))
+    # A row of 16 bytes for each bucket; with very many of them the texts are shuffled to it instead.
+    starts = F.broadcast(starts) if sizes.count() <= MOST_BROADCAST else starts
     return rows.join(starts, ["shard", "bucket"]).select("doc_id", "text", text_size(F.col("text")).alias("size"), F.lit("key").alias("law"), "shard", (F.col("before") + F.col("slot_in_bucket")).alias("slot"), "grown_shard")

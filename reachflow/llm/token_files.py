@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachflow.llm import common, simple8b
@@ -48,7 +48,7 @@ def from_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encodes every text (null: empty) and an end id, and writes segments in ascending doc_id order to `path`.
 
-    Null ids come first; rows of one id keep together, in order of their texts. Other columns are left out. The
+    Null ids come first; rows of one id keep together, in order of their texts' hashes. Other columns are left out. The
     table is committed by Spark, so that a lost executor leaves no half-written segment.
     """
     spark = docs.sparkSession
@@ -70,25 +70,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 segment, before = segment + 1, before + n
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    # Parts are ranges of ids in order; which task writes a part doesn't matter, so that a file may hold several.
-    dealt = ranged.withColumn("part", F.spark_partition_id()).coalesce(common.file_count(spark))
+    tasks = common.tasks_for(common.text_bytes(rows))
+    # The second key splits a range of rows of one id, null too; rows that repeat as a whole stay together.
+    ranged = rows.repartitionByRange(tasks, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Parts are ranges in order; which task writes a part doesn't matter, so that a file may hold several.
+    dealt = ranged.withColumn("part", F.spark_partition_id()).coalesce(tasks)
     dealt.mapInArrow(run, SEGMENT).write.option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of a table that write_tokens() wrote."""
     segments = spark.read.schema(SEGMENT).parquet(path)
-    sizes = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one row for each written partition
-    starts = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[p] for p in sorted(sizes))]).tolist(), strict=False))
+    sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # A part has some TASK_BYTES of text, so that the few numbers of all parts are small: 4 million parts make 64 MB.
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "blob")), strict=True):
+            for first, before, blob in zip(*(batch.column(c).to_pylist() for c in ("first", "before", "blob")), strict=True):
                 doc_ids, lengths, ids = from_segment(blob)
                 ends = np.cumsum(lengths)
-                data, start = ids.tobytes(), starts[part] + before + ends - lengths
+                data, start = ids.tobytes(), first + before + ends - lengths
                 cut = [data[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return segments.select("part", "before", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    rows = segments.join(F.broadcast(starts), "part").select("first", "before", "blob")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
