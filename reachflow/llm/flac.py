@@ -13,13 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachflow.llm import common
 
 BLOCK, RATE, ORDER, PRECISION, SHIFT = 192, 8000, 4, 10, 8
 PAD = 32
+#: Frames of a PCM block.
+BLOCK_FRAMES = 256
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, byte_offset: long, pcm: binary>>"
+PCM_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
 #: Bytes of texts, and frames, that are coded at once.
 SLICE, FRAMES = 1_000_000, 4096
 # Fixed values of the format: the predictors of orders 0 to 4.
@@ -372,19 +376,34 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(streams: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, byte_offset, pcm (binary, unsigned samples) of rows with doc_id and media.
+def pcm_blocks(streams: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    """The rows' doc_id, n_bytes, the bytes and digest of their media, and blocks: the decoded samples, cut into PCM blocks.
 
-    byte_offset is where the block's frame begins in the stream, so that a reader may seek to any block.
+    A block holds block_frames frames, the last one what is left. sample_offset is its first sample, byte_offset where
+    its first frame begins in the stream, so that a reader may seek to any block in either form. Null ids stay null,
+    repeated rows give equal rows; a null or broken stream, of which a checksum doesn't hold, raises ValueError.
     """
+    step = block_frames * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in common.slices(batches, "media", SLICE):
-            for doc, payload, samples, at in zip(rows.column("doc_id").to_pylist(), *decode(data), strict=True):
-                cut = [payload[i : i + BLOCK] for i in range(0, len(payload), BLOCK)]
-                yield pa.record_batch([pa.array([doc] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array(samples), pa.array(at), pa.array(cut, pa.binary())], ["doc_id", "block", "sample_offset", "byte_offset", "pcm"])
+            blocks = []
+            for payload, samples, at in zip(*decode(data), strict=True):
+                cut = range(0, len(payload), step)
+                blocks.append([{"sample_offset": int(samples[k * block_frames]), "byte_offset": int(at[k * block_frames]), "pcm": payload[i : i + step]} for k, i in enumerate(cut)])
+            columns = [rows.column("doc_id"), rows.column("n_bytes"), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array(blocks, PCM_BLOCKS)]
+            yield pa.record_batch(columns, ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return streams.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, byte_offset long, pcm binary")
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
+
+
+def write_pcm(streams: DataFrame, path: str) -> None:
+    """Writes the PCM blocks of rows with doc_id, n_bytes and media; a stream's blocks stand in one row, in order."""
+    pcm_blocks(streams).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def read_pcm(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PCM).parquet(path)
 
 
 def feature(payload: bytes) -> str:
@@ -393,16 +412,16 @@ def feature(payload: bytes) -> str:
     return f"blocks={len(x) // BLOCK};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};min={x.min()};max={x.max()}"
 
 
-def features(streams: DataFrame) -> DataFrame:
-    """Digests and features of rows with doc_id, n_bytes and media, from the payload read back."""
+def features(blocks: DataFrame) -> DataFrame:
+    """Digests and features of each row of pcm_blocks(), from the samples of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data in common.slices(batches, "media", SLICE):
-            payloads = decode(data)[0]
-            sha = [hashlib.sha256(p).hexdigest() for p in payloads]
-            tail = [zlib.crc32(p[-16:]) for p in payloads]
-            columns = [rows.column("doc_id"), rows.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array([len(s) for s in data], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in data]), pa.array([feature(p) for p in payloads])]
+        for batch in batches:
+            lists, samples = batch.column("blocks"), []
+            for i in range(batch.num_rows):
+                samples.append(b"".join(lists.slice(i, 1).flatten().field("pcm").to_pylist()))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in samples], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in samples]), pa.array([zlib.crc32(p[-16:]) for p in samples], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array([feature(p) for p in samples])]
             yield pa.record_batch(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from reachflow.llm import common
 from reachflow.operators.components import connected_components
+from reachflow.sources.scratch import bucketed
 
 WORDS = 5
 #: 32 bands of 5: two sets of similarity 0.85 meet in no band with a probability of 7e-9, of 0.8 with 3e-6.
@@ -27,6 +28,8 @@ SIMILARITY = 85
 BLOCK_BYTES, BLOCK_SETS, STAR_SETS = 8_000_000, 512, 128
 #: Sets compared and shared elements multiplied at once.
 ROWS_AT_ONCE, COLUMNS = 256, 8192
+#: Ids of so many documents that share a bucket are broadcast.
+MOST_BROADCAST = 2_000_000
 #: Rows of equal texts take their class in so many shares.
 SALTS = 16
 SPACE = np.zeros(256, bool)
@@ -211,7 +214,7 @@ def comparer(similarity: int):
 
 def confirmed_links(placed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """a, b: links confirmed within the tiles of placed (tile, side, doc), each row with its set; a written table."""
-    rows = placed.join(sets, "doc").select("tile", "side", "doc", "set")
+    rows = sets.join(placed.hint("merge"), "doc").select("tile", "side", "doc", "set")
     dealt = rows.repartition("tile").sortWithinPartitions("tile", "side")
     return common.narrow(dealt.mapInArrow(comparer(similarity), "a long, b long").distinct())
 
@@ -244,8 +247,12 @@ def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
     """node, component of the documents that confirmed links connect; met (bucket, doc, n): who meets in a bucket, with n elements."""
     live = common.narrow(distinct_buckets(met))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = set_table(texts.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    sets = common.written(sets.groupBy("doc").agg(F.min("set").alias("set")))
+    asked = common.narrow(live.groupBy(F.col("doc").alias("doc_id")).agg(F.max("n").alias("n")))
+    size = asked.agg(F.count("*"), F.sum("n")).first()
+    # Some 16 bytes a document are broadcast up to a size; beyond it the texts are shuffled to them.
+    texts = texts.join(F.broadcast(asked) if size[0] <= MOST_BROADCAST else asked.hint("merge"), "doc_id", "left_semi")
+    buckets = common.tasks_for(8 * size[1])  # bucketed by document, the sets stay where they are in all the joins below
+    sets = bucketed(set_table(texts).repartition(buckets, "doc").groupBy("doc").agg(F.min("set").alias("set")), "doc", buckets)
     labels, before, turn = None, None, 0
     while True:
         state = live if labels is None else live.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
@@ -305,7 +312,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
     dealt = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("bucket")
-    met = common.narrow(dealt.join(shared, "bucket", "left_semi").groupBy("bucket", "doc").agg(F.max("n").alias("n")))
+    met = common.narrow(dealt.join(shared, "bucket", "left_semi"))
+    met = common.narrow(met.groupBy("bucket", "doc").agg(F.max("n").alias("n")))  # ids may repeat; by itself, so that a large bucket is split
     labels = None if met.isEmpty() else linked(docs, met, similarity)
     own = sk.select("doc_id", "n_shingles", "fp1", "fp2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     result = own.where("n_shingles > 0 and doc_id is not null").join(salted, ["fp1", "fp2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))

@@ -12,8 +12,10 @@ WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's payload as a FLAC stream, read back with its checksums verified."""
-    return flac.features(flac.media(common.documents(spark, sf_dir)))
+    """Every document's payload as a FLAC stream, decoded with its checksums verified to stored PCM blocks, which are read back."""
+    path = common.scratch(spark)
+    flac.write_pcm(flac.media(common.documents(spark, sf_dir)), path)
+    return flac.features(flac.read_pcm(spark, path))
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,18 +72,25 @@ def test_frame_numbers():
         assert data == (chr(n).encode("utf-8", "surrogatepass") if n < 0x110000 else data)
 
 
-def test_rows(spark):
+def test_rows(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     media = flac.media(docs)
-    got = sorted((tuple(r)[:5] for r in flac.features(media).collect()), key=str)
+    flac.write_pcm(media, str(tmp_path / "pcm"))
+    blocks = flac.read_pcm(spark, str(tmp_path / "pcm"))
+    got = sorted((tuple(r)[:5] for r in flac.features(blocks).collect()), key=str)
     sha = lambda t: hashlib.sha256(padded(t)).hexdigest()
     assert got == sorted(((d, len((t or "").encode()), len(padded(t)), sha(t), zlib.crc32(padded(t)[-16:])) for d, t, *_ in ROWS), key=str)
-    same = {r["media_sha256"] for r in flac.features(media).where("doc_id = 1").collect()}
+    same = {r["media_sha256"] for r in flac.features(blocks).where("doc_id = 1").collect()}
     assert len(same) == 1
-    blocks = flac.pcm_blocks(media).where("doc_id = 4").orderBy("block").collect()
-    assert b"".join(bytes(r["pcm"]) for r in blocks) == padded("ab " * 60_000)
-    assert [r["sample_offset"] for r in blocks] == [192 * i for i in range(len(blocks))]
-    assert flac.features(flac.media(docs.limit(0))).collect() == []
+    (long,) = [r["blocks"] for r in blocks.where("doc_id = 4").collect()]
+    assert len(long) == 4 and b"".join(bytes(r["pcm"]) for r in long) == padded("ab " * 60_000)
+    assert [r["sample_offset"] for r in long] == [192 * flac.BLOCK_FRAMES * i for i in range(len(long))]
+    (stream,) = [bytes(r["media"]) for r in media.where("doc_id = 4").collect()]
+    for k, r in enumerate(long):  # a reader seeks to the block's first frame
+        at = r["byte_offset"]
+        x, number, sound = flac.decode_frames(np.frombuffer(stream, np.uint8)[at:], np.array([0]), np.array([flac.parse_head(stream)[0].tolist()[k * flac.BLOCK_FRAMES + 1] - at]))
+        assert sound.all() and number[0] == k * flac.BLOCK_FRAMES and (x[0] + 128).astype(np.uint8).tobytes() == bytes(r["pcm"])[:192]
+    assert flac.features(flac.pcm_blocks(flac.media(docs.limit(0)))).collect() == []
 
 
 def test_one_more_shard_takes_rows_only_into_itself():
