@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachflow.operators.closure import _union
-from reachflow.sources.scratch import written
+from reachflow.sources.scratch import Rounds, written
 
 
 def cheapest(choices: DataFrame, rank: list[str]) -> DataFrame:
@@ -30,13 +30,14 @@ def wave(disjunctions: DataFrame, choices: DataFrame, picks: DataFrame, kept: Da
     asked = written(disjunctions.join(picks.withColumnRenamed("item", "pick"), "disj").select("disj", "trigger", "pick"))
     related = written(choices.select("disj", "item", F.lit(False).alias("is_trigger")).union(asked.where("trigger is not null").select("disj", F.col("trigger").alias("item"), F.lit(True))).join(asked.select("disj"), "disj", "left_semi"))
     held = kept.select("item").distinct().withColumn("by", F.lit(-1).cast("long"))
-    undecided, made = asked, []
-    while True:
-        if undecided.isEmpty():
-            break
+    # One table a round: who is decided, who picks, who waits on.
+    steps = Rounds()
+    undecided = steps.add(asked.select("disj", "trigger", "pick", F.lit(False).alias("ready"), F.lit(False).alias("acts")))
+    while not undecided.isEmpty():
         earlier = undecided.groupBy(F.col("pick").alias("item")).agg(F.min("disj").alias("waits_for"))
         own = related.join(undecided.select("disj"), "disj", "left_semi")
-        done = _union([held, *(m.select("item", F.col("disj").alias("by")) for m in made)]).groupBy("item").agg(F.min("by").alias("by"))
+        made = steps.every().where("ready and acts").select(F.col("pick").alias("item"), F.col("disj").alias("by"))
+        done = held.union(made).groupBy("item").agg(F.min("by").alias("by"))
         seen = own.join(earlier, "item", "left").join(done, "item", "left")
         seen = seen.select("disj", "is_trigger", (F.col("by") < F.col("disj")).alias("there"), (F.col("waits_for") < F.col("disj")).alias("open"))
         state = seen.groupBy("disj").agg(
@@ -47,10 +48,8 @@ def wave(disjunctions: DataFrame, choices: DataFrame, picks: DataFrame, kept: Da
         step = undecided.join(state, "disj", "left")
         ready = F.coalesce("served", F.lit(False)) | ~F.coalesce("waiting", F.lit(False))
         acts = ~F.coalesce("served", F.lit(False)) & (F.col("trigger").isNull() | F.coalesce("woken", F.lit(False)))
-        step = written(step.select("disj", "trigger", "pick", ready.alias("ready"), acts.alias("acts")))
-        made.append(written(step.where("ready and acts").select("disj", F.col("pick").alias("item"))))
-        undecided = written(step.where("not ready").select("disj", "trigger", "pick"))
-    return _union(made) if made else picks.select("disj", "item").limit(0)
+        undecided = steps.add(step.select("disj", "trigger", "pick", ready.alias("ready"), acts.alias("acts"))).where("not ready")
+    return steps.every().where("ready and acts").select("disj", F.col("pick").alias("item"))
 
 
 def chosen(disjunctions: DataFrame, choices: DataFrame, rank: list[str], kept: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Reachability, forests and fixed points over edge tables, in rounds of DataFrame operations.
 
-Each round writes what is new (scratch.written) and ends by one emptiness test, so that the lineage stays short and a
-lost executor costs one round at most. Rounds follow the depth of the graph; forests take the logarithm of it.
+Edges are written once, in buckets of the end that rounds look up. Each round writes what is new (scratch.Rounds) and
+ends by one emptiness test, so that the lineage stays short and a lost executor costs one round at most. Rounds follow
+the depth of the graph in reachability, levels and least paths; forests take the logarithm of it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachflow.operators.components import connected_components
-from reachflow.sources.scratch import written
+from reachflow.sources.scratch import Rounds, keyed, written
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -21,27 +22,24 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """node: the roots and all that edges lead to from them; semi-naive, each node is expanded once. Null nodes are left out."""
-    steps = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
-    found = [written(roots.select(F.col(node).alias("node")).where("node is not null").distinct())]
-    while True:
-        fresh = steps.join(found[-1].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = written(fresh.join(_union(found), "node", "left_anti"))
-        if fresh.isEmpty():
-            return _union(found)
-        found.append(fresh)
+    steps = keyed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null"), "src")
+    found = Rounds()
+    fresh = found.add(roots.select(F.col(node).alias("node")).where("node is not null").distinct())
+    while not fresh.isEmpty():
+        reached = steps.join(fresh.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        fresh = found.add(reached.join(found.every(), "node", "left_anti"))
+    return found.every()
 
 
 def reachable_pairs(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """start, node: what each start reaches, itself included. The result has a row for each pair, so keep the starts few or the reach short."""
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
-    first = starts.select(F.col(node).alias("start")).where("start is not null").distinct()
-    found = [written(first.select("start", F.col("start").alias("node")))]
-    while True:
-        fresh = found[-1].join(steps, "node").select("start", F.col("next").alias("node")).distinct()
-        fresh = written(fresh.join(_union(found), ["start", "node"], "left_anti"))
-        if fresh.isEmpty():
-            return _union(found)
-        found.append(fresh)
+    steps = keyed(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct(), "node")
+    found = Rounds()
+    fresh = found.add(starts.select(F.col(node).alias("start")).where("start is not null").distinct().select("start", F.col("start").alias("node")))
+    while not fresh.isEmpty():
+        reached = steps.join(fresh, "node").select("start", F.col("next").alias("node")).distinct()
+        fresh = found.add(reached.join(found.every(), ["start", "node"], "left_anti"))
+    return found.every()
 
 
 def two_stage_reachable(first: DataFrame, roots: DataFrame, bridge: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,18 +127,19 @@ def flag_closure(forest: DataFrame, flag: Column) -> DataFrame:
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: the longest path of edges (src depends on dst) below a node, which orders dependencies first; null on or above a cycle."""
-    left = written(nodes.select("node").distinct())
-    steps = edges.select("src", "dst").distinct()
-    done, level = [], 0
-    while not left.isEmpty():
-        pending = steps.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = written(left.join(pending, "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        done.append(ready.withColumn("level", F.lit(level)))
-        left = written(left.join(ready, "node", "left_anti"))
+    nodes = written(nodes.select("node").distinct())
+    known = edges.select("src", "dst").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    steps = keyed(known.select("src", "dst").distinct(), "dst")
+    # What a node still waits for; each round takes off the edges that lead to what the round before settled.
+    lacking = written(nodes.join(steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    done, level = Rounds(), 0
+    ready = done.add(lacking.where("n = 0").select("node", F.lit(level).alias("level")))
+    while not ready.isEmpty():
         level += 1
-    return _union([*done, left.withColumn("level", F.lit(None).cast("int"))])
+        off = steps.join(ready.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("off"))
+        lacking = written(lacking.where("n > 0").join(off, "node", "left").select("node", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n")))
+        ready = done.add(lacking.where("n = 0").select("node", F.lit(level).alias("level")))
+    return done.every().unionByName(lacking.where("n > 0").select("node", F.lit(None).cast("int").alias("level")))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,21 +178,26 @@ def contributor_union(local: DataFrame, parents: DataFrame) -> DataFrame:
     return above.join(local.withColumnRenamed("set_id", "node"), "node").select(F.col("start").alias("set_id"), "unit_id").distinct()
 
 
-def least_paths(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
+def least_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, path: the least path (shorter labels' arrays first in lexicographic order) that leads from a root to each node.
 
-    edges (src, dst, label). Relaxation goes on while a path becomes less; cycles never make one less if labels are
-    positive, since a longer array with an equal beginning is greater.
+    edges (src, dst, label). Relaxation goes on while a path becomes less. A least path passes no node twice, so that
+    it takes fewer rounds than there are nodes; if more are needed, labels below those of a prefix make a cycle less
+    with each turn, which is an error. Equal paths to one node count once; null ends and labels are left out.
     """
+    steps = keyed(edges.where("src is not null and dst is not null and label is not null").select(F.col("src").alias("node"), "dst", F.col("label").cast("long").alias("label")), "node")
     best = written(roots.select("node", F.array().cast("array<long>").alias("path")).distinct())
-    fresh = best
-    for _ in range(most_rounds):
-        tried = fresh.join(edges.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array(F.col("label").cast("long")))).alias("offer"))
+    fresh, rounds, most = best, 0, None
+    while not fresh.isEmpty():
+        rounds += 1
+        if rounds % 64 == 0:  # counted only if there are many rounds
+            most = most or steps.select("node").union(steps.select("dst")).union(best.select("node")).distinct().count()
+            if rounds > most:
+                raise ValueError("paths become less for ever along a cycle")
+        tried = steps.join(fresh, "node").groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("label"))).alias("offer"))
         fresh = written(tried.join(best, "node", "left").where("path is null or offer < path").select("node", F.col("offer").alias("path")))
-        if fresh.isEmpty():
-            return best
         best = written(best.join(fresh, "node", "left_anti").unionByName(fresh))
-    raise ValueError(f"paths still become less after {most_rounds} rounds")
+    return best
 
 
 def atomic_groups(members: DataFrame, group: str = "group_id", anchor: str = "anchor") -> DataFrame:
@@ -213,3 +217,16 @@ def frontier_intersection(parents: DataFrame, first: DataFrame, second: DataFram
     common = written(reachable(up, first).join(reachable(up, second), "node", "left_semi"))
     covered = parents.join(common, "node", "left_semi").select(F.col("parent").alias("node")).distinct()
     return common.join(covered, "node", "left_anti")
+
+
+def inherited(forest: DataFrame, value: str) -> DataFrame:
+    """node, value: a node's own value or, if that is null, its nearest ancestor's that has one; null where none has."""
+    found = nearest_ancestor(forest, F.col(value).isNotNull(), include_self=True)
+    of = forest.where(F.col(value).isNotNull()).select(F.col("node").alias("ancestor"), F.col(value).alias("value"))
+    return found.join(of, "ancestor", "left").select("node", "value")
+
+
+def active_reach(edges: DataFrame, seeds: DataFrame, active: DataFrame) -> DataFrame:
+    """node: the active seeds and what they reach along edges of which both ends are active."""
+    steps = edges.join(active.withColumnRenamed("node", "src"), "src", "left_semi").join(active.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return reachable(steps, seeds.join(active, "node", "left_semi"))

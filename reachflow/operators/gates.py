@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachflow.operators.closure import _union, reachable
-from reachflow.sources.scratch import written
+from reachflow.operators.closure import reachable
+from reachflow.sources.scratch import Rounds, keyed, written
 
 
 def site_states(sites: DataFrame, kept: DataFrame) -> DataFrame:
@@ -43,19 +43,20 @@ def required(kept: DataFrame, single: DataFrame, double: DataFrame, groups: Data
     single (trigger, required); double (left_unit, right_unit, required): both ask for the third; groups (unit,
     group_id): any member asks for all. Each round takes the consequences of the units that are new.
     """
-    found = [written(kept.select("unit").distinct())]
-    while True:
-        new, every = found[-1], _union(found)
+    single, groups = keyed(single, "trigger"), written(groups.select("unit", "group_id"))
+    double = written(double.select("left_unit", "right_unit", "required"))
+    found = Rounds()
+    new = found.add(kept.select("unit").distinct())
+    while not new.isEmpty():
+        every = found.every()
         by_one = single.join(new.withColumnRenamed("unit", "trigger"), "trigger", "left_semi").select(F.col("required").alias("unit"))
         left = double.join(new.withColumnRenamed("unit", "left_unit"), "left_unit", "left_semi").join(every.withColumnRenamed("unit", "right_unit"), "right_unit", "left_semi")
         right = double.join(new.withColumnRenamed("unit", "right_unit"), "right_unit", "left_semi").join(every.withColumnRenamed("unit", "left_unit"), "left_unit", "left_semi")
         touched = groups.join(new, "unit", "left_semi").select("group_id").distinct()
         whole = groups.join(touched, "group_id", "left_semi").select("unit")
         fresh = by_one.union(left.select("required")).union(right.select("required")).union(whole).where("unit is not null").distinct()
-        fresh = written(fresh.join(every, "unit", "left_anti"))
-        if fresh.isEmpty():
-            return every
-        found.append(fresh)
+        new = found.add(fresh.join(every, "unit", "left_anti"))
+    return found.every()
 
 
 def fired(facts: DataFrame, rules: DataFrame, body: DataFrame) -> DataFrame:
@@ -66,18 +67,17 @@ def fired(facts: DataFrame, rules: DataFrame, body: DataFrame) -> DataFrame:
     """
     need = rules.join(body.where("kind = 'all'").distinct().groupBy("rule").agg(F.count("*").alias("need")), "rule", "left").join(body.where("kind = 'any'").select("rule", F.lit(True).alias("choice")).distinct(), "rule", "left")
     need = written(need.select("rule", "head", F.coalesce("need", F.lit(0)).alias("need"), F.coalesce("choice", F.lit(False)).alias("choice")))
-    body = written(body.select("rule", "fact", "kind").distinct())
+    body = keyed(body.select("rule", "fact", "kind").distinct(), "fact")
     at_once = need.where("need = 0 and not choice").select(F.col("head").alias("fact"))
-    found = [written(facts.select("fact").union(at_once).distinct())]
-    while True:
-        touched = body.join(found[-1], "fact", "left_semi").select("rule").distinct()
-        held = body.join(touched, "rule", "left_semi").join(_union(found), "fact", "left_semi")
+    found = Rounds()
+    fresh = found.add(facts.select("fact").union(at_once).distinct())
+    while not fresh.isEmpty():
+        touched = body.join(fresh, "fact", "left_semi").select("rule").distinct()
+        held = body.join(touched, "rule", "left_semi").join(found.every(), "fact", "left_semi")
         state = held.groupBy("rule").agg(F.count_if(F.col("kind") == "all").alias("have"), F.bool_or(F.col("kind") == "any").alias("chosen"))
-        fresh = need.join(state, "rule").where("have = need and (chosen or not choice)").select(F.col("head").alias("fact")).distinct()
-        fresh = written(fresh.join(_union(found), "fact", "left_anti"))
-        if fresh.isEmpty():
-            return _union(found)
-        found.append(fresh)
+        heads = need.join(state, "rule").where("have = need and (chosen or not choice)").select(F.col("head").alias("fact")).distinct()
+        fresh = found.add(heads.join(found.every(), "fact", "left_anti"))
+    return found.every()
 
 
 def complete_sets(kept: DataFrame, local: DataFrame, parents: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def grouped_edges(edges: DataFrame, keys: list[str], site: str = "site", evidence: str | None = None) -> DataFrame:
     """keys, sites (sorted, distinct, without null), n_sites; with evidence: the single one, else `Multiple`."""
     sites = F.array_sort(F.collect_set(site)).alias("sites")
-    out = [sites, F.count_distinct(site).alias("n_sites")]
+    # The size of the set and the least and greatest evidence say it in one aggregate, where distinct counts would expand each row.
+    out = [sites]
     if evidence:
-        out.append(F.when(F.count_distinct(evidence) > 1, F.lit("Multiple")).otherwise(F.max(evidence)).alias("evidence"))
-    return edges.groupBy(*keys).agg(*out)
+        out.append(F.when(F.min(evidence) < F.max(evidence), F.lit("Multiple")).otherwise(F.max(evidence)).alias("evidence"))
+    grouped = edges.groupBy(*keys).agg(*out)
+    return grouped.select(*keys, "sites", F.size("sites").cast("long").alias("n_sites"), *(["evidence"] if evidence else []))
 
 
 def merged(rows: DataFrame, keys: list[str], optional: list[str], owner: str) -> tuple[DataFrame, DataFrame]:
@@ -20,12 +22,12 @@ def merged(rows: DataFrame, keys: list[str], optional: list[str], owner: str) ->
 
     The second frame has the keys whose optional values conflict; those are not merged.
     """
-    sizes = [F.count_distinct(c).alias(f"n_{c}") for c in optional]
+    least = [F.min(c).alias(f"n_{c}") for c in optional]
     values = [F.max(c).alias(c) for c in optional]
-    every = rows.groupBy(*keys).agg(*values, *sizes, F.array_sort(F.collect_set(owner)).alias("owners"))
+    every = rows.groupBy(*keys).agg(*values, *least, F.array_sort(F.collect_set(owner)).alias("owners"))
     agree = F.lit(True)
     for c in optional:
-        agree = agree & (F.col(f"n_{c}") <= 1)
+        agree = agree & F.col(f"n_{c}").eqNullSafe(F.col(c))
     return every.where(agree).select(*keys, *optional, "owners"), every.where(~agree).select(*keys)
 
 

@@ -9,6 +9,10 @@ from reachflow.operators.closure import _union, depths
 from reachflow.sources.scratch import written
 
 
+#: Trees of a block in the numbering of a forest.
+BLOCK_TREES = 100_000
+
+
 def sibling_ordinals(rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """rows with ordinal (from 0 in each key, by order), and violations: keys and values of order that several rows share."""
     numbered = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
@@ -53,8 +57,12 @@ def preorder_ids(forest: DataFrame, label: str) -> DataFrame:
             break
         parts.append(level)
     rows = _union(parts).withColumn("tree", F.element_at("path", 1))
-    sizes = rows.groupBy("tree").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    sizes = written(rows.groupBy("tree").agg(F.count("*").alias("n")))
+    # Trees' sizes add up in two passes, within and between blocks of trees, of which a single window sees one number each.
+    blocks = sizes.withColumn("block", F.floor(F.col("tree") / BLOCK_TREES))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("tree")) - F.col("n")
+    ahead = blocks.groupBy("block").agg(F.sum("n").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("ahead"))
+    before = blocks.withColumn("within", within).join(ahead, "block").select("tree", (F.col("ahead") + F.col("within")).alias("before"))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1
     return rows.withColumn("place", place).join(before, "tree").select("node", "path", (F.col("before") + F.col("place")).alias("id"))
 

@@ -49,6 +49,28 @@ def repetition_deletions(elements: DataFrame, inputs: DataFrame) -> DataFrame:
     return whole.unionByName(part)
 
 
+def attribute_deletions(elements: DataFrame, dropped: Column, lists: DataFrame) -> DataFrame:
+    """source_id, list_id, start, end: list_deletions(), but for lists that lose all elements, which go as a whole.
+
+    lists (source_id, list_id, list_start, list_end) are the spans of the attributes around the lists.
+    """
+    state = elements.groupBy("source_id", "list_id").agg(F.bool_and(dropped).alias("all_gone"))
+    whole = lists.join(state.where("all_gone"), ["source_id", "list_id"]).select("source_id", "list_id", F.col("list_start").alias("start"), F.col("list_end").alias("end"))
+    part = list_deletions(elements.join(state.where("not all_gone").select("source_id", "list_id"), ["source_id", "list_id"], "left_semi"), dropped)
+    return whole.unionByName(part)
+
+
+def repetition_plan(repetitions: DataFrame, elements: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep_id, n: the kept elements of each repetition whose parent is kept; and violations, where n is out of bounds.
+
+    repetitions (rep_id, parent, least, most; a null bound doesn't count), elements (rep_id, unit), kept (unit).
+    """
+    live = repetitions.join(kept.select(F.col("unit").alias("parent")), "parent", "left_semi")
+    n = elements.join(kept, "unit", "left_semi").groupBy("rep_id").agg(F.count("*").alias("n"))
+    counted = live.join(n, "rep_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.select("rep_id", "n"), counted.where("n < least or n > most").select("rep_id", "n")
+
+
 def capture_deletions(slots: DataFrame, inputs: DataFrame, kept: DataFrame) -> DataFrame:
     """source_id, start, end: the ranges of all inputs of slots of which no trigger unit is kept; slots (source_id, slot_id, unit_id), inputs (source_id, slot_id, start, end)."""
     live = slots.join(kept, ["source_id", "unit_id"], "left_semi").select("source_id", "slot_id").distinct()

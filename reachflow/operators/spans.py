@@ -186,3 +186,13 @@ def shallowest_in(targets: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Da
     best = pairs.withColumn("turn", F.rank().over(Window.partitionBy("source_id", "target_id").orderBy("depth"))).where("turn = 1")
     found = best.groupBy("source_id", "target_id").agg(F.count("*").alias("n"), F.min("node").alias("owner"))
     return found.where("n = 1").select("source_id", "target_id", "owner"), found.where("n > 1").select("source_id", "target_id", "n")
+
+
+def active_owners(sites: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """unique_owners() among the units that are active: the smallest one around each site, and sites with none or several."""
+    return unique_owners(sites, units.where("active"))
+
+
+def touched(discarded: DataFrame, live: DataFrame) -> DataFrame:
+    """Violations: the discarded spans (source_id, start, end) that share a byte with a live one."""
+    return overlapping(discarded.select("source_id", "start", "end").distinct(), live.select("source_id", "start", "end").distinct()).select("source_id", "start", "end").distinct()

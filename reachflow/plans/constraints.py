@@ -32,7 +32,7 @@ def v1_definition_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'one edge a link' AS \"check\", count(*) AS n FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 37 = 0")
 def v5_parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5, V3: links of orders to customers of which some lack their edge and some have two."""
+    """V5: links of orders to customers of which some lack their edge and some have two."""
     links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("parent"))
     return _counted(checks.parent_links(links, links.where("node % 31 <> 0").union(links.where("node % 37 = 0 and node % 31 <> 0"))))
 
@@ -45,7 +45,7 @@ def v6_unique_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o FROM conversations) SELECT 'implied relations' AS \"check\", CAST(count(*) AS BIGINT) AS n FROM r WHERE turn % 4 = 3 AND conv_id % 3 = 0 HAVING count(*) > 0")
 def v7_implied_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of a conversation's turns against the list that the conversation implies; some turns lie."""
+    """V7: roles of a conversation's turns against the list that the conversation implies; some turns lie."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ordinal"))
     payload = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "role"))), lambda x: x["role"]).alias("targets"))
     lie = (F.col("turn") % 4 == 3) & (F.col("conv_id") % 3 == 0)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachflow.sources.scratch import written
-
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """source_id (the file's path), text, byte_len, digest: a row for each text file below the path."""
@@ -50,8 +48,9 @@ def changed_since(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
 def replace_unchanged(df: DataFrame, path: str, seen: DataFrame) -> bool:
     """Replaces a table of sources if none has changed since it was read; whether it did.
 
-    What is written equals df row for row; nothing is written if that is already there. Spark commits the new files
-    before the old ones go.
+    What is written equals df row for row; nothing is written if that is already there. The new table is written
+    beside the old one and takes its name by two renames; a run that breaks off leaves the old one in place or, between
+    the renames, as `path`.old. Another writer's change is noticed up to the last check before the renames.
     """
     spark = df.sparkSession
     if not changed_since(spark, path, seen).isEmpty():
@@ -59,7 +58,18 @@ def replace_unchanged(df: DataFrame, path: str, seen: DataFrame) -> bool:
     here = spark.read.parquet(path)
     if df.exceptAll(here).isEmpty() and here.exceptAll(df).isEmpty():
         return True
-    written(df).write.mode("overwrite").parquet(path)  # df may read from path itself
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").parquet(new)
+    if not changed_since(spark, path, seen).isEmpty():
+        return False
+    jvm = spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)]
+    fs = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(paths[2], True)
+    if not (fs.rename(paths[0], paths[2]) and fs.rename(paths[1], paths[0])):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(paths[2], True)
+    spark.catalog.refreshByPath(path)
     return True
 
 

@@ -63,3 +63,26 @@ def tasks_for(total_bytes: int, task_bytes: int = TASK_BYTES) -> int:
 def narrow(df: DataFrame) -> DataFrame:
     """written() for the tables of a loop, in files of the advised partition size: small rounds make few files, large ones keep their tasks."""
     return written(df.hint("rebalance"))
+
+
+def keyed(df: DataFrame, column: str) -> DataFrame:
+    """bucketed(), a file a bucket, in as many buckets as the session's shuffles have: for a table that each round of a loop joins on the column."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(df.repartition(n, column), column, n)
+
+
+class Rounds:
+    """A table that a loop adds to: each part is written once, and all of them are read by one scan, however many there are."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The part, read back."""
+        self.schema, self.spark = df.schema, df.sparkSession
+        self.paths.append(scratch(self.spark))
+        df.hint("rebalance").write.parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def every(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
