@@ -264,7 +264,7 @@ def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
         # A bucket of two needs one comparison, whatever it says.
         largest = largest.where("top.size < k" + (" and k > 2" if turn else ""))
         top = largest.select("bucket", (-F.col("top.col2")).alias("top"), F.col("top.pick.doc").alias("pivot"), F.col("top.pick.n").alias("pivot_n"))
-        state = common.narrow(state.select("bucket", "doc", "n", "class").join(top, "bucket"))
+        state = common.narrow(state.select("bucket", "k", "doc", "n", "class").join(top, "bucket"))
         rest = state.where("class <> top")
         open_ = rest.count()
         if not open_ or (before is not None and 2 * open_ > before):
@@ -277,7 +277,7 @@ def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
         tile = F.struct("pivot", "share").alias("tile")
         stars = pairs.select(tile, F.lit(1).alias("side"), "doc").union(pairs.select("pivot", "share").distinct().select(tile, F.lit(0), F.col("pivot")))
         labels = relabelled(labels, confirmed_links(stars, sets, similarity))
-        live = state.select("bucket", "doc", "n").join(largest.select("bucket", "k"), "bucket")
+        live = state.select("bucket", "k", "doc", "n")
     if open_:
         # What is left of each bucket, against itself and against its largest class.
         sides = ((F.col("class") != F.col("top"), "n_rest"), (F.col("class") == F.col("top"), "n_top"))
