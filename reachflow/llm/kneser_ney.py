@@ -27,6 +27,8 @@ from reachflow.sources.scratch import bucketed
 ORDER = 4
 #: A block holds texts of about so many bytes, and so many rows at most.
 BLOCK_BYTES, BLOCK_ROWS = 16_000_000, 50_000
+#: Texts of about so many bytes are looked at at once.
+LINE_BYTES = 250_000
 #: Trusted documents whose crc32(doc_id) mod FOLDS is 0 give the limits, the others the counts.
 FOLDS = 5
 #: The limits are the QUANTILE of the greatest and the least perplexities and of the repetitions.
@@ -79,7 +81,14 @@ class Tally:
         self.key, self.n, self.grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
 
     def add(self, texts: list[bytes]) -> None:
-        line = Line(texts)
+        begin = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= LINE_BYTES or i == len(texts) - 1:
+                self.add_line(Line(texts[begin : i + 1]))
+                begin, size = i + 1, 0
+
+    def add_line(self, line: Line) -> None:
         key, first, n = np.unique(line.key, return_index=True, return_counts=True)
         at = np.searchsorted(self.key, key)
         known = np.zeros(len(key), bool)
@@ -152,7 +161,8 @@ class Blocks:
 
         total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         # Block numbers are random: what follows reads the written table, so that they are drawn once.
-        self.table = bucketed(docs.select(*docs.columns, *added).mapInArrow(run, BLOCKS), "block", max(1, -(-total // block_bytes)))
+        self.buckets = max(1, -(-total // block_bytes))
+        self.table = bucketed(docs.select(*docs.columns, *added).mapInArrow(run, BLOCKS), "block", self.buckets)
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -240,7 +250,7 @@ def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFr
                 key = keys_of(known.field("gram").to_pylist())
                 order = np.argsort(key)
                 key, logp = key[order], known.field("logp").to_numpy(zero_copy_only=False)[order]
-                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name):
+                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name, LINE_BYTES):
                     line, n = Line(texts), len(texts)
                     total = np.bincount(line.text, logp[np.searchsorted(key, line.key)], minlength=n)
                     columns = [pa.array(np.full(n, block)), pa.array(np.arange(begin, begin + n), pa.int32()), part.column(id_name), part.column(lang_name), pa.array(line.sizes), pa.array(np.exp(-total / (line.sizes + 1))), pa.array(repetition(texts)), pa.array([begin + i in held for i in range(n)])]
@@ -286,7 +296,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Blocks, DataFrame]:
     marks = common.narrow(marked(blocks, labels))
     counts = common.narrow(counted(blocks, marks))
     probabilities = model(counts, blocks.table.select(F.explode("grams").alias("gram")))
-    return blocks, with_limits(common.written(scored(blocks, marks, probabilities)))
+    return blocks, with_limits(common.written(scored(blocks, marks, probabilities).coalesce(max(8, blocks.buckets // 3))))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
