@@ -14,13 +14,17 @@ from reachflow.sources.scratch import narrow, scratch, tasks_for, text_bytes, wr
 
 #: Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
 SLICE_BYTES = 1_000_000
+#: An Arrow batch ends with the row that takes it beyond so many bytes.
+BATCH_BYTES = 4_000_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that very long texts don't meet in one batch; a session's smaller limit stays."""
+    """Arrow batches of few rows and bytes, so that very long texts don't meet in one batch; a session's smaller limits stay."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 513):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -26,7 +26,7 @@ from reachflow.sources.scratch import bucketed
 
 ORDER = 4
 #: A block holds texts of about so many bytes, and so many rows at most.
-BLOCK_BYTES, BLOCK_ROWS = 16_000_000, 50_000
+BLOCK_BYTES, BLOCK_ROWS = 14_000_000, 50_000
 #: Texts of about so many bytes are looked at at once.
 LINE_BYTES = 250_000
 #: Trusted documents whose crc32(doc_id) mod FOLDS is 0 give the limits, the others the counts.
