@@ -27,6 +27,8 @@ from reachflow.sources.scratch import bucketed
 ORDER = 4
 #: A block holds texts of about so many bytes, and so many rows at most.
 BLOCK_BYTES, BLOCK_ROWS = 14_000_000, 50_000
+#: Where whole rows travel in the blocks, as in kept(), they are smaller.
+ROW_BLOCK_BYTES = 4_000_000
 #: Texts of about so many bytes are looked at at once.
 LINE_BYTES = 250_000
 #: Trusted documents whose crc32(doc_id) mod FOLDS is 0 give the limits, the others the counts.
@@ -290,13 +292,13 @@ def with_limits(scores: DataFrame) -> DataFrame:
 GOOD = "n_symbols > 0 and perplexity <= high and perplexity >= low and repetition <= again"
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Blocks, DataFrame]:
+def fitted(docs: DataFrame, labels: DataFrame, block_bytes: int) -> tuple[Blocks, DataFrame]:
     """The packed rows and every row's score and limits."""
-    blocks = Blocks(docs, BLOCK_BYTES)
+    blocks = Blocks(docs, block_bytes)
     marks = common.narrow(marked(blocks, labels))
     counts = common.narrow(counted(blocks, marks))
     probabilities = model(counts, blocks.table.select(F.explode("grams").alias("gram")))
-    return blocks, with_limits(common.written(scored(blocks, marks, probabilities).coalesce(max(8, blocks.buckets // 3))))
+    return blocks, with_limits(common.written(scored(blocks, marks, probabilities).coalesce(max(8, -(-blocks.buckets * block_bytes // (3 * BLOCK_BYTES))))))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,13 +308,13 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     all trusted texts; without any trusted text everything with text is kept. Other columns are left out; repeated rows
     are judged each, alike.
     """
-    scores = fitted(docs.select("doc_id", "lang", "text"), labels)[1]
+    scores = fitted(docs.select("doc_id", "lang", "text"), labels, BLOCK_BYTES)[1]
     return scores.select("doc_id", "lang", "n_symbols", "perplexity", F.col("high").alias("threshold"), F.expr(GOOD).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that judged() keeps; each row is judged by itself, ids may repeat."""
-    blocks, scores = fitted(docs, labels)
+    blocks, scores = fitted(docs, labels, ROW_BLOCK_BYTES)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
