@@ -52,6 +52,17 @@ def wave(disjunctions: DataFrame, choices: DataFrame, picks: DataFrame, kept: Da
     return steps.every().where("ready and acts").select("disj", F.col("pick").alias("item"))
 
 
+def lanes(disjunctions: DataFrame, choices: DataFrame, picks: DataFrame, present: DataFrame, demanded: DataFrame) -> DataFrame:
+    """lane, disj, item: one wave over what is present and one over what is demanded; present and demanded have node.
+
+    Neither sees what the other picks. What the demanded lane picks becomes present, too, but only after both waves.
+    """
+    out = []
+    for name, lane in (("present", present), ("demanded", demanded)):
+        out.append(wave(disjunctions, choices, picks, lane.select(F.col("node").alias("item"))).select(F.lit(name).alias("lane"), "disj", "item"))
+    return _union(out)
+
+
 def chosen(disjunctions: DataFrame, choices: DataFrame, rank: list[str], kept: DataFrame) -> DataFrame:
     """wave, disj, item: the picks of all waves, until a wave picks nothing; a pick wakes those with it as trigger."""
     picks, out, number = written(cheapest(choices, rank)), [], 0

@@ -178,6 +178,34 @@ def contributor_union(local: DataFrame, parents: DataFrame) -> DataFrame:
     return above.join(local.withColumnRenamed("set_id", "node"), "node").select(F.col("start").alias("set_id"), "unit_id").distinct()
 
 
+def parent_unions(local: DataFrame, parents: DataFrame, unions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets that stand for unions of others, added without renumbering: roots (union_id, set_id), their parents, violations.
+
+    local (set_id, unit_id), parents (set_id, parent_set_id), unions (union_id, set_id) with union_id from 0. The root
+    of a union of one set is that set; of several, the set without units that has just these parents: the least
+    there is, or else a new one, numbered behind all sets by the least union that needs it. Equal lists of parents
+    share a set; lists are equal if their number, least, greatest and 128 bits of hashes are. Repeated rows count
+    once. Violations (union_id): unions with a null or an unknown set; they get no root.
+    """
+    sets = written(local.select("set_id").union(parents.select("set_id")).union(parents.select("parent_set_id")).where("set_id is not null").distinct())
+    greatest = sets.agg(F.max("set_id")).first()[0]
+    behind = F.lit(0 if greatest is None else greatest + 1).cast("long")
+    asked = unions.select("union_id", "set_id").distinct().join(sets.withColumn("known", F.lit(True)), "set_id", "left")
+    listed = [F.count("*").alias("n"), F.min("set_id").alias("first"), F.max("set_id").alias("last")]
+    listed += [F.expr(f"bit_xor(xxhash64(set_id, {i}))").alias(f"h{i}") for i in (0, 1)]
+    same = ["n", "first", "last", "h0", "h1"]
+    wanted = written(asked.groupBy("union_id").agg(*listed, F.bool_and(F.coalesce("known", F.lit(False))).alias("good")))
+    bare = parents.join(local.select("set_id"), "set_id", "left_anti").select(F.col("set_id").alias("of"), F.col("parent_set_id").alias("set_id")).where("set_id is not null").distinct()
+    there = bare.groupBy("of").agg(*listed).groupBy(*same).agg(F.min("of").alias("old"))
+    several = wanted.where("good and n > 1")
+    made = several.groupBy(*same).agg(F.min("union_id").alias("by")).join(there, same, "left")
+    made = written(made.select(*same, "by", F.col("old").isNull().alias("new"), F.coalesce("old", behind + F.col("by")).alias("root")))
+    roots = wanted.where("good and n = 1").select("union_id", F.col("first").alias("set_id")).union(several.join(made, same).select("union_id", "root"))
+    added = made.where("new").select(F.col("by").alias("union_id"), F.col("root").alias("set_id"))
+    new_parents = unions.select("union_id", F.col("set_id").alias("parent_set_id")).distinct().join(added, "union_id").select("set_id", "parent_set_id")
+    return roots, new_parents, wanted.where("not good").select("union_id")
+
+
 def least_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, path: the least path (shorter labels' arrays first in lexicographic order) that leads from a root to each node.
 

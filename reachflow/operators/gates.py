@@ -37,6 +37,16 @@ def partial_sites(edges: DataFrame, sites: DataFrame, kept: DataFrame, reached:
     return states.where("some and not whole").join(asked, "edge", "left_semi").select("edge", "site")
 
 
+def derive_requirements(influences: DataFrame, helpers: DataFrame) -> DataFrame:
+    """trigger, required: the influences and, both ways, each helper's attribute and provider; for required()'s single rules.
+
+    influences (trigger, required), helpers (attribute, provider). Rows with a null are left out, repeated ones count once.
+    """
+    there = helpers.select(F.col("attribute").alias("trigger"), F.col("provider").alias("required"))
+    back = helpers.select(F.col("provider").alias("trigger"), F.col("attribute").alias("required"))
+    return influences.select("trigger", "required").union(there).union(back).where("trigger is not null and required is not null").distinct()
+
+
 def required(kept: DataFrame, single: DataFrame, double: DataFrame, groups: DataFrame) -> DataFrame:
     """unit: the least set with kept in which every rule holds.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.operators.choice import cheapest, wave
+from reachflow.operators.choice import cheapest, lanes, wave
 from reachflow.operators.closure import reachable, survivors
 from reachflow.operators.gates import complete_sets, open_edges, required
 from reachflow.sources.scratch import written
@@ -98,7 +98,7 @@ class Facts:
 
 @dataclass
 class Kept:
-    """present (node), demanded (node), units (unit), picks (kind, item)."""
+    """present (node), demanded (node), units (unit), picks (kind, item; `present` for what that lane picks alone)."""
 
     present: DataFrame
     demanded: DataFrame
@@ -173,10 +173,9 @@ def retained(facts: Facts) -> Kept:
         mixed = written(wave(carrier_asks, carriers.select("disj", "item"), carrier_picks, there))
         units = units.union(mixed.where("item % 2 = 0").select(F.expr("item div 2"))).distinct()
         nodes = mixed.where("item % 2 = 1").select(F.expr("item div 2").alias("node"))
-        both = []
-        for lane in (demanded, present.union(nodes)):  # what the actual lane picks is there when the compile lane looks
-            seen = lane.select(F.col("node").alias("item")) if not both else lane.select(F.col("node").alias("item")).union(both[0].select("item"))
-            both.append(written(wave(facts.member_disjunctions, facts.member_choices.select("disj", "item"), member_picks, seen)))
+        members = written(lanes(facts.member_disjunctions, facts.member_choices.select("disj", "item"), member_picks, present.union(nodes), demanded))
+        both = [members.where("lane = 'demanded'")]
+        both.append(members.where("lane = 'present'").join(both[0].select("item"), "item", "left_anti"))
         new = of_units.select(F.lit("unit").alias("kind"), "item").union(mixed.select(F.lit("carrier"), "item")).union(both[0].select(F.lit("demanded"), "item")).union(both[1].select(F.lit("present"), "item"))
         new = written(new)
         if new.isEmpty():

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reachflow.functions.text import joined_in_order
 from reachflow.operators import spans
+from reachflow.operators.closure import flag_closure
+from reachflow.sources.scratch import written
 
 
 def frontier(units: DataFrame, kept: DataFrame, managed: list[str]) -> DataFrame:
@@ -32,6 +34,24 @@ def list_deletions(elements: DataFrame, dropped: Column) -> DataFrame:
     return marked.where("d_gone").select("source_id", "list_id", start.alias("start"), end.alias("end"))
 
 
+def nested_deletions(elements: DataFrame, kept: DataFrame) -> DataFrame:
+    """source_id, start, end: what goes of lists within lists, each element with the separator behind it, else the one before.
+
+    elements (source_id, node, parent, leaf, start, end, ahead, behind): parent is the element around an element's
+    list, or null; ahead is the start of the separator before it and behind the end of the one after it, or null.
+    An element goes as a whole if it holds leaves and none of kept (node); one that keeps some is cut inside, and one
+    without leaves stays. Levels are found by doubling, whatever their number.
+    """
+    marked = elements.join(kept.select("node", F.lit(True).alias("kept")).distinct(), "node", "left")
+    forest = written(marked.select("node", "parent", "leaf", (F.col("leaf") & F.coalesce("kept", F.lit(False))).alias("stays")))
+    any_leaf = flag_closure(forest, F.col("leaf")).where("above").select("node")
+    any_kept = flag_closure(forest, F.col("stays")).where("above").select("node")
+    gone = written(any_leaf.join(any_kept, "node", "left_anti"))
+    cut = elements.join(gone, "node", "left_semi").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    start = F.when(F.col("behind").isNull(), F.coalesce("ahead", "start")).otherwise(F.col("start"))
+    return cut.select("source_id", start.alias("start"), F.coalesce("behind", "end").alias("end"))
+
+
 def repetition_deletions(elements: DataFrame, inputs: DataFrame) -> DataFrame:
     """source_id, rep_id, start, end: runs of elements that aren't kept, with one separator beside; the whole input if all go.
 

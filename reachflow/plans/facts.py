@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachflow.functions import text as X
-from reachflow.operators import checks, choice, closure, diffs, integrity, ordinals, rewriting, spans
+from reachflow.operators import checks, choice, closure, diffs, gates, integrity, ordinals, rewriting, spans
 from reachflow.plans.registered import query
 from reachflow.sources import files
 from reachflow.sources.relations import CHAIN_SQL, EDGES_SQL, LINES_SQL, TABLE_SQL, key_edges, lines, node, table, table_of, user_chain
@@ -327,9 +327,73 @@ def r19b_active_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(table_of().alias("table_name")).agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
 
 
+@query("WITH o AS (SELECT DISTINCT o_orderkey AS u, s_nationkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey UNION ALL SELECT 100000000 + n_regionkey, n_nationkey FROM nation), g AS (SELECT u, list_sort(list(k)) AS ks FROM o GROUP BY 1), r AS (SELECT 100 + n_regionkey AS id, list_sort(list(n_nationkey)) AS ks FROM nation GROUP BY 1), m AS (SELECT ks, min(u) AS first FROM g WHERE len(ks) > 1 GROUP BY 1) SELECT CAST(g.u AS BIGINT) AS union_id, CAST(CASE WHEN len(g.ks) = 1 THEN g.ks[1] WHEN r.id IS NOT NULL THEN r.id ELSE 1 + m.first + (SELECT max(id) FROM r) END AS BIGINT) AS set_id FROM g LEFT JOIN r ON r.ks = g.ks LEFT JOIN m ON m.ks = g.ks UNION ALL SELECT 200000000, -1")
+def r14_parent_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of an order's suppliers' nations; regions are sets of nations already, and one union has an unknown set (root -1)."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r"))
+    named = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    unions = named.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").cast("long").alias("union_id"), F.col("s_nationkey").cast("long").alias("set_id"))
+    unions = unions.union(nation.select(F.col("r") + 100000000, "k")).union(spark.createDataFrame([(200000000, 999)], "union_id long, set_id long"))
+    local, parents = nation.select(F.col("k").alias("set_id"), F.col("k").alias("unit_id")), nation.select((F.col("r") + 100).alias("set_id"), F.col("k").alias("parent_set_id"))
+    roots, _, wrong = closure.parent_unions(local, parents, unions)
+    return roots.union(wrong.select("union_id", F.lit(-1).cast("long")))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) * 8 + 3 AS \"trigger\", CAST(s_nationkey AS BIGINT) * 8 + 1 AS required FROM supplier UNION SELECT CAST(c_custkey AS BIGINT) * 8 + 2, CAST(c_nationkey AS BIGINT) * 8 + 1 FROM customer WHERE c_acctbal > 0 UNION SELECT CAST(c_nationkey AS BIGINT) * 8 + 1, CAST(c_custkey AS BIGINT) * 8 + 2 FROM customer WHERE c_acctbal > 0")
+def j24_derive_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers ask for their nations; customers in credit and their nations ask for each other."""
+    influences = table(spark, sf_dir, "supplier").select(node("supplier", "s_suppkey").alias("trigger"), node("nation", "s_nationkey").alias("required"))
+    helpers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(node("customer", "c_custkey").alias("attribute"), node("nation", "c_nationkey").alias("provider"))
+    return gates.derive_requirements(influences, helpers)
+
+
 # Lists, choices with triggers, sources and keys.
 
 
+@query(f"""WITH {LINES_SQL}, w AS (SELECT source_id, line, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM lines), m AS (SELECT *, strlen(w) <= 6 AS k, max(i) OVER p AS n, last_value(strlen(w) <= 6) OVER p AS k_last FROM w WINDOW p AS (PARTITION BY source_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+l AS (SELECT source_id, line, bool_or(k) AS k, coalesce(string_agg(w || CASE WHEN i = n OR (i = n - 1 AND NOT k_last) THEN '' ELSE ' ' END, '' ORDER BY i) FILTER (k), '') AS t FROM m GROUP BY 1, 2), x AS (SELECT *, max(line) OVER p AS n, last_value(k) OVER p AS k_last FROM l WINDOW p AS (PARTITION BY source_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT source_id, coalesce(string_agg(t || CASE WHEN line = n OR (line = n - 1 AND NOT k_last) THEN '' ELSE chr(10) END, '' ORDER BY line) FILTER (k), '') AS text FROM x GROUP BY 1""")
+def e3_nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of more than six bytes leave the lists that lines are, and lines of such words alone the list of lines."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("source_id"), "text")
+    return nested_short_words(docs, lines(spark, sf_dir))
+
+
+def nested_short_words(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    def beside(order: str, of: list[str]) -> list:
+        w = Window.partitionBy(*of).orderBy(order)
+        first, last = F.lag(order).over(w).isNull(), F.lead(order).over(w).isNull()
+        return [F.when(~first, F.col("start") - 1).alias("ahead"), F.when(~last, F.col("end") + 1).alias("behind")]
+
+    outer = rows.select("source_id", F.concat_ws("/", "source_id", "line").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("leaf"), "start", "end", *beside("line", ["source_id"]))
+    words = rows.select("source_id", "line", F.col("start").alias("at"), F.posexplode(F.split("text", " ")).alias("i", "w"))
+    behind = F.sum(F.octet_length("w") + 1).over(Window.partitionBy("source_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = words.withColumn("end", F.col("at") + behind).withColumn("start", F.col("end") - F.octet_length("w"))
+    inner = placed.select("source_id", F.concat_ws("/", "source_id", "line", "i").alias("node"), F.concat_ws("/", "source_id", "line").alias("parent"), F.lit(True).alias("leaf"), "start", "end", *beside("i", ["source_id", "line"]))
+    kept = inner.where(F.col("end") - F.col("start") <= 6).select("node")
+    return rewriting.rewritten(docs, rewriting.nested_deletions(outer.union(inner), kept))[0]
+
+
+_LANE_SQL = """SELECT CAST(0 AS BIGINT) AS i, (SELECT list(s_suppkey) FROM supplier WHERE s_suppkey % 50 = 0 OR (lane = 'present' AND s_suppkey % 35 = 0)) AS kept, CAST(NULL AS BIGINT) AS disj, CAST(NULL AS BIGINT) AS pick, lane FROM (VALUES ('present'), ('demanded')) AS v(lane)"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT DISTINCT l_partkey AS disj, l_suppkey AS item, s_acctbal FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT count(*) AS n FROM supplier),
+d AS (SELECT disj, list(item) AS items, arg_min(item, (s_acctbal, item)) AS pick, CASE WHEN disj % 3 > 0 THEN disj * 7 % n END AS trig, row_number() OVER (ORDER BY disj) AS i FROM c, n GROUP BY disj, n),
+w(i, kept, disj, pick, lane) AS ({_LANE_SQL}
+ UNION ALL SELECT d.i, CASE WHEN list_has_any(w.kept, d.items) OR NOT (d.trig IS NULL OR list_contains(w.kept, d.trig)) THEN w.kept ELSE list_append(w.kept, d.pick) END, CASE WHEN list_has_any(w.kept, d.items) OR NOT (d.trig IS NULL OR list_contains(w.kept, d.trig)) THEN NULL ELSE d.disj END, d.pick, w.lane FROM w JOIN d ON d.i = w.i + 1)
+SELECT lane, disj AS part_key, pick AS supplier_key FROM w WHERE disj IS NOT NULL""")
+def c3_member_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts pick suppliers once among those present and once among those demanded, neither lane seeing the other's picks."""
+    supplier = table(spark, sf_dir, "supplier")
+    n = supplier.count()
+    rows = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    choices = rows.select(F.col("l_partkey").cast("long").alias("disj"), F.col("l_suppkey").cast("long").alias("item"), "s_acctbal").distinct()
+    asks = choices.select("disj").distinct().select("disj", F.when(F.col("disj") % 3 > 0, F.col("disj") * 7 % n).alias("trigger"))
+    nodes = supplier.select(F.col("s_suppkey").cast("long").alias("node"))
+    found = choice.lanes(asks, choices.select("disj", "item"), choice.cheapest(choices, ["s_acctbal"]), nodes.where("node % 50 = 0 or node % 35 = 0"), nodes.where("node % 50 = 0"))
+    return found.select("lane", F.col("disj").alias("part_key"), F.col("item").alias("supplier_key"))
+
+
 @query(f"""WITH {LINES_SQL}, m AS (SELECT *, strlen(text) >= 60 AS k, lead(start) OVER w AS nx, lag("end") OVER w AS pv, line - row_number() OVER (PARTITION BY source_id, strlen(text) >= 60 ORDER BY line) AS g FROM lines WINDOW w AS (PARTITION BY source_id ORDER BY line)), a AS (SELECT source_id, bool_or(k) AS any_kept FROM m GROUP BY 1),
 r AS (SELECT source_id, min(start) AS s, max("end") AS e, max(line) AS last, min(line) AS first FROM m WHERE NOT k GROUP BY source_id, g)
 SELECT r.source_id, CASE WHEN b.nx IS NULL THEN coalesce(f.pv, r.s) ELSE r.s END AS start, coalesce(b.nx, r.e) AS "end" FROM r JOIN a USING (source_id) JOIN m b ON b.source_id = r.source_id AND b.line = r.last JOIN m f ON f.source_id = r.source_id AND f.line = r.first WHERE a.any_kept
