@@ -41,8 +41,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """written(), in buckets of the column: joins on it don't shuffle this side. The catalogue doesn't keep the table."""
+    """written(), in buckets of the column: joins on it don't shuffle this side. The catalogue doesn't keep the table.
+
+    Beyond as many buckets as Spark allows, each holds more rows.
+    """
     spark, name = df.sparkSession, f"reachflow_{uuid.uuid4().hex}"
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     df.write.format("parquet").option("path", scratch(spark)).bucketBy(buckets, column).saveAsTable(name)
     table = spark.table(name)
     table.schema  # noqa: B018  resolves it before the name goes; the files of a table with a path stay
