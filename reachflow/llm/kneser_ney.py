@@ -244,26 +244,25 @@ def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFr
     """
     id_name, lang_name, text_name = blocks.id, blocks.lang, blocks.text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("known")
-            for block, rows, k, places in zip(batch.column("block").to_pylist(), batch.column("rows"), range(batch.num_rows), batch.column("held").to_pylist(), strict=True):
-                known, begin, held = lists.slice(k, 1).flatten(), 0, set(places or ())
-                key = keys_of(known.field("gram").to_pylist())
-                order = np.argsort(key)
-                key, logp = key[order], known.field("logp").to_numpy(zero_copy_only=False)[order]
-                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name, LINE_BYTES):
-                    line, n = Line(texts), len(texts)
-                    total = np.bincount(line.text, logp[np.searchsorted(key, line.key)], minlength=n)
-                    columns = [pa.array(np.full(n, block)), pa.array(np.arange(begin, begin + n), pa.int32()), part.column(id_name), part.column(lang_name), pa.array(line.sizes), pa.array(np.exp(-total / (line.sizes + 1))), pa.array(repetition(texts)), pa.array([begin + i in held for i in range(n)])]
-                    yield pa.record_batch(columns, ["block", "place", "doc_id", "lang", "n_symbols", "perplexity", "repetition", "held"])
-                    begin += n
+    def score(packed: pa.Table, known: pa.Table) -> pa.Table:
+        key = keys_of(known.column("gram").to_pylist())
+        order = np.argsort(key)
+        key, logp, parts = key[order], known.column("logp").to_numpy()[order], []
+        for block, rows, places in zip(packed.column("block").to_pylist(), packed.column("rows"), packed.column("held").to_pylist(), strict=True):
+            begin, held = 0, set(places or ())
+            for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name, LINE_BYTES):
+                line, n = Line(texts), len(texts)
+                total = np.bincount(line.text, logp[np.searchsorted(key, line.key)], minlength=n)
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(begin, begin + n), pa.int32()), part.column(id_name), part.column(lang_name), pa.array(line.sizes), pa.array(np.exp(-total / (line.sizes + 1))), pa.array(repetition(texts)), pa.array([begin + i in held for i in range(n)])]
+                parts.append(pa.record_batch(columns, ["block", "place", "doc_id", "lang", "n_symbols", "perplexity", "repetition", "held"]))
+                begin += n
+        return pa.Table.from_batches(parts)
 
     asked = blocks.table.select("block", F.explode("grams").alias("gram"))
-    known = asked.join(probabilities, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("known"))
-    # Both sides have a row a block; the hints keep the rows' blobs from being broadcast or sorted.
-    rows = blocks.table.select("block", "rows").join(known.hint("shuffle_hash"), "block").join(marks.select("block", "held").hint("shuffle_hash"), "block", "left")
-    return rows.select("block", "rows", "known", "held").mapInArrow(run, "block long, place int, doc_id long, lang string, n_symbols long, perplexity double, repetition double, held boolean")
+    # A block's probabilities go to its task as sorted rows, which spill, not as one collected value on the heap.
+    known = asked.join(probabilities, "gram").select(F.col("block").alias("asking"), "gram", "logp")
+    rows = blocks.table.select("block", "rows").join(marks.select("block", "held").hint("shuffle_hash"), "block", "left")
+    return rows.groupBy("block").cogroup(known.groupBy("asking")).applyInArrow(score, "block long, place int, doc_id long, lang string, n_symbols long, perplexity double, repetition double, held boolean")
 
 
 def with_limits(scores: DataFrame) -> DataFrame:
