@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.llm import bpe, common, flac, kneser_ney, language, minhash, neighbours, packing, sharding, token_files, toxicity
+from reachflow.llm import audit, bpe, common, flac, hard_negatives, kneser_ney, language, licences, minhash, neighbours, packing, sharding, token_files, toxicity
 
 WORD_FILE, RANK_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -72,10 +72,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.read_shards(spark, path).select("doc_id", "size", crc, "law", "shard", "slot", "grown_shard")
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence places, labels and score."""
+    return licences.licences(common.documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the filters A to E removes from the documents of each language, in all 120 orders."""
+    return audit.audit(audit.masks(common.documents(spark, sf_dir), common.labels(spark, sf_dir)))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every vector whose id is divisible by 100, for each of its positives."""
+    return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), relabel=hard_negatives.seventh())
+
+
+QUERIES = (
+    op1_flac, op2_kneser_ney, op3_packing, op4_byte_bpe, op5_minhash, op6_toxicity, op7_token_files, op8_language, op9_neighbours, op10_sharding,
+    op11_licences, op12_filter_audit, op13_hard_negatives,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_flac, op2_kneser_ney, op3_packing, op4_byte_bpe, op5_minhash, op6_toxicity, op7_token_files, op8_language, op9_neighbours, op10_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be said in SQL; tests/llm/ holds them against brute-force versions."""
-    return {}
+    """The others can't be said in SQL; tests/llm/ holds them against brute-force versions."""
+    return {"op11_licences": licences.oracle(), "op12_filter_audit": audit.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
