@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,28 +57,50 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)
 
 
-_POWERS = powers(256)
-#: Sums of bytes times powers don't tell bytes apart well enough for short runs of a hash table; random numbers do.
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def run_positions(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All positions of the runs, run after run."""
     ends = np.cumsum(sizes)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: The first k bytes of eight, for k up to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Runs of more bytes are hashed one by one.
+LONG_RUN = 256
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of data; no run may be empty."""
-    global _POWERS
+    """64-bit hashes of the runs of data; no run may be empty.
+
+    Eight bytes after eight go through the finaliser with all before them, so that no sum of powers or other linear
+    relation makes two runs alike.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    if sizes.max() > len(_POWERS):
-        _POWERS = powers(int(sizes.max()) * 2)
-    offsets = np.cumsum(sizes) - sizes
-    within = np.arange(int(offsets[-1] + sizes[-1])) - np.repeat(offsets, sizes)
-    terms = _BYTES[data[within + np.repeat(starts, sizes)]] * _POWERS[within]
-    return mixed(np.add.reduceat(terms, offsets) + sizes.astype(np.uint64) * MIX2)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    out = mixed(sizes.astype(np.uint64) * MIX2)
+    which, at, left = np.arange(len(starts)), starts, sizes
+    long = np.flatnonzero(sizes > LONG_RUN)
+    if len(long):
+        short = np.flatnonzero(sizes <= LONG_RUN)
+        which, at, left = which[short], at[short], left[short]
+        for i in long.tolist():
+            run = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little")
+    while len(which):
+        block = eight[at].view("<u8")[:, 0] & _FIRST[np.minimum(left, 8)]
+        out[which] = mixed(out[which] * MIX1 ^ block)
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_runs(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which runs of a and b, of equal sizes above 0, hold the same bytes."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    differ = a[run_positions(a_starts, sizes)] != b[run_positions(b_starts, sizes)]
+    return ~np.logical_or.reduceat(differ, np.cumsum(sizes) - sizes)
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -63,14 +63,31 @@ class WordEncoder:
     def forget(self) -> None:
         self.known = Table()
         self.first, self.many, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def library(self, texts: list[str]) -> list[bytes]:
         """The ids as the library gives them."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def remember(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Encodes the words and gives their places in memory."""
+        where = common.run_positions(starts, sizes)
+        symbols = self.letters[data[where]]
+        symbols[np.cumsum(sizes) - 1] += SHIFT
+        ids, counts = self.transducer.encode_runs(symbols, sizes)
+        numbers = np.arange(len(self.first), len(self.first) + len(starts), dtype=np.int32)
+        for name, ends, begin in (("first", counts, len(self.store)), ("at", sizes, len(self.text))):
+            setattr(self, name, np.concatenate((getattr(self, name), begin + np.cumsum(ends) - ends)))
+        self.many, self.size = np.concatenate((self.many, counts)), np.concatenate((self.size, sizes))
+        self.store, self.text = np.concatenate((self.store, ids)), np.concatenate((self.text, data[where]))
+        return numbers
+
     def numbers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The place in memory of each word of data; unknown words are encoded first."""
+        """The place in memory of each word of data; unknown words are encoded first.
+
+        A hash only proposes a place: the word's bytes are compared with those that stand there.
+        """
         keys = common.run_hashes(data, starts, sizes)
         found = self.known.get(keys)
         lack = np.flatnonzero(found < 0)
@@ -79,17 +96,14 @@ class WordEncoder:
             if self.known.used + len(new) > len(self.known.keys) // 2 and self.known.used:
                 self.forget()
                 return self.numbers(data, starts, sizes)
-            own = lack[at]
-            where = common.run_positions(starts[own], sizes[own])
-            symbols = self.letters[data[where]]
-            symbols[np.cumsum(sizes[own]) - 1] += SHIFT
-            ids, counts = self.transducer.encode_runs(symbols, sizes[own])
-            numbers = np.arange(len(self.first), len(self.first) + len(new), dtype=np.int32)
-            self.first = np.concatenate((self.first, len(self.store) + np.cumsum(counts) - counts))
-            self.many = np.concatenate((self.many, counts))
-            self.store = np.concatenate((self.store, ids))
+            numbers = self.remember(data, starts[lack[at]], sizes[lack[at]])
             self.known.put(new, numbers)
             found[lack] = numbers[inverse]
+        alike = self.size[found] == sizes
+        alike[alike] = common.same_runs(data, starts[alike], self.text, self.at[found[alike]], sizes[alike])
+        if not alike.all():  # words of equal hashes
+            other = np.flatnonzero(~alike)
+            found[other] = self.remember(data, starts[other], sizes[other])
         return found
 
     def plain(self, texts: list[str]) -> list[bytes]:

@@ -167,3 +167,36 @@ def test_packed_rows(spark, library):
         assert sum(n for _, n in content) <= 2048
     assert len(places) == best_fit([r["length"] for r in rows], 2048)
     assert packing.packed_documents(docs.limit(0), WORDS).collect() == []
+
+
+def test_words_of_equal_hashes(library, monkeypatch, spark, tmp_path):
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one[:1024], one[1024:], one, one.translate(str.maketrans("ab", "ba")), f"so {one} it {one[1024:]} so", "so it is"]
+    want = [library(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(WORDS).encode(texts)] == want
+    docs = spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], DOCS)
+    token_files.write_tokens(docs, str(tmp_path / "ids"), WORDS)
+    read = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in token_files.read_tokens(spark, str(tmp_path / "ids")).collect()}
+    assert read == {k: [*ids, 1] for k, ids in enumerate(want)}
+    crc = {k: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for k, ids in enumerate(want) if len(ids) < 2048}
+    packed = {r.doc_id: r.ids_crc32 for r in packing.packed_documents(docs, WORDS).collect()}
+    assert {k: packed[k] for k in crc} == crc
+    own = encoder(WORDS)
+    own.forget()
+    monkeypatch.setattr("reachflow.llm.common.run_hashes", lambda data, starts, sizes: np.full(len(starts), 5, np.uint64))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts + texts)] == want + want
+    own.forget()
+
+
+def test_run_hashes_tell_runs_apart():
+    from reachflow.llm import common
+
+    runs = [bytes([k]) * n for k in (0, 1, 97) for n in (1, 7, 8, 9, 16, 255, 256, 257, 600)] + [b"ab", b"ba", b"\0a", b"a\0"]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.array([len(r) for r in runs])
+    hashes = common.run_hashes(data, np.cumsum(sizes) - sizes, sizes)
+    assert len(set(hashes.tolist())) == len(set(runs))
+    again = np.frombuffer(b"xy" + b"".join(reversed(runs)), np.uint8)
+    assert common.run_hashes(again, 2 + np.cumsum(sizes[::-1]) - sizes[::-1], sizes[::-1]).tolist() == hashes[::-1].tolist()
