@@ -36,11 +36,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-TIMES = common.powers(WORDS, 0xD6E8FEB86659FD93)
+STEP = np.uint64(0xD6E8FEB86659FD93)
 SEEDS = common.mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 TURN = np.uint64(32)
 
 
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of sequences of words: each word's hash goes through the finaliser with all before it."""
+    out = np.zeros(len(words[0]), np.uint64)
+    for word in words:
+        out = common.mixed(out * STEP + word)
+    return out
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles.
 
@@ -53,16 +61,13 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     first = np.searchsorted(starts, begins)
     full = np.zeros(0, np.uint64)
     if len(hashes) >= words:
-        full = hashes[: len(hashes) - words + 1] * TIMES[0]
-        for j in range(1, words):
-            full = full + hashes[j : len(hashes) - words + 1 + j] * TIMES[j]
-        full = common.mixed(full)
+        full = chained([hashes[j : len(hashes) - words + 1 + j] for j in range(words)])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(full[a : b - words + 1]))
         elif b > a:
-            out.append(common.mixed((hashes[a:b] * TIMES[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+            out.append(common.mixed(chained([hashes[k : k + 1] for k in range(a, b)]) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -103,22 +108,31 @@ def sketches(docs: DataFrame) -> DataFrame:
             n, fp1, fp2, keys = [], [], [], []
             for s in shingle_sets(texts):
                 n.append(len(s))
-                fp1.append(int(common.mixed(s).sum(dtype=np.uint64).view(np.int64)))
-                fp2.append(int(np.bitwise_xor.reduce(common.mixed(s ^ common.MIX1)).view(np.int64)) if len(s) else 0)
+                for into, value in zip((fp1, fp2), fingerprints(s), strict=True):
+                    into.append(value)
                 keys.append(bands(sketch(s)).view(np.int64).tolist() if len(s) else None)
             yield pa.record_batch([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc, set (binary, sorted little-endian 64-bit hashes) of every row."""
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of a set's elements."""
+    return int(common.mixed(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(common.mixed(s ^ common.MIX1)).view(np.int64)) if len(s) else 0
+
+
+def set_table(texts: DataFrame) -> DataFrame:
+    """doc, set (binary, sorted little-endian 64-bit hashes) of the rows (text, node, fp1, fp2) whose set has the fingerprints."""
+    common.small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in common.slices(batches, "text"):
-            yield pa.record_batch([rows.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc", "set"])
+        for rows, own in common.slices(batches, "text"):
+            sets = shingle_sets(own)
+            good = [fingerprints(s) == f for s, f in zip(sets, zip(rows.column("fp1").to_pylist(), rows.column("fp2").to_pylist(), strict=True), strict=True)]
+            part = pa.record_batch([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "set"])
+            yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc long, set binary")
+    return texts.select("text", "node", "fp1", "fp2").mapInArrow(run, "doc long, set binary")
 
 
 def elements(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,14 +257,15 @@ def shares_of(elements: Column, sets: Column, most_sets: int) -> Column:
     return F.greatest(F.ceil(elements * 8 / BLOCK_BYTES), F.ceil(sets / most_sets)).cast("int")
 
 
-def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
-    """node, component of the documents that confirmed links connect; met (bucket, doc, n): who meets in a bucket, with n elements."""
+def linked(docs: DataFrame, classes: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
+    """node, component of the classes that confirmed links connect; met (bucket, doc, n): which classes meet in a bucket, with n elements."""
     live = common.narrow(distinct_buckets(met))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = common.narrow(live.groupBy(F.col("doc").alias("doc_id")).agg(F.max("n").alias("n")))
+    asked = live.groupBy(F.col("doc").alias("node")).agg(F.max("n").alias("n"))
+    asked = common.narrow(asked.join(classes.select("node", "rep", "fp1", "fp2"), "node").select(F.col("rep").alias("doc_id"), "node", "fp1", "fp2", "n"))
     size = asked.agg(F.count("*"), F.sum("n")).first()
-    # Some 16 bytes a document are broadcast up to a size; beyond it the texts are shuffled to them.
-    texts = texts.join(F.broadcast(asked) if size[0] <= MOST_BROADCAST else asked.hint("merge"), "doc_id", "left_semi")
+    # Some 40 bytes a class are broadcast up to a size; beyond it the texts are shuffled to them.
+    texts = texts.join(F.broadcast(asked) if size[0] <= MOST_BROADCAST else asked.hint("merge"), "doc_id")
     buckets = common.tasks_for(8 * size[1])  # bucketed by document, the sets stay where they are in all the joins below
     sets = bucketed(set_table(texts).repartition(buckets, "doc").groupBy("doc").agg(F.min("set").alias("set")), "doc", buckets)
     labels, before, turn = None, None, 0
@@ -298,33 +313,59 @@ def linked(docs: DataFrame, met: DataFrame, similarity: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: linked documents have the least doc_id they reach.
 
-    Documents of equal sets are one class, represented by its least id. Classes that meet in a band's bucket are
+    Documents of equal sets are one class, represented by a row of its least id. Classes that meet in a band's bucket are
     compared on their whole sets; no bucket has a cap.
     Rows with an empty set are alone; rows without an id are linked with nothing, have no component and are kept.
-    Repeated rows of an id share its result, if their texts differ that of any. Other columns are left out.
+    Rows that repeat an id are one document: what any of their texts is linked with is linked with all of them. A row whose
+    own set is empty is alone even so. Other columns are left out.
     """
     sk = common.written(sketches(docs))
-    linkable = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = common.narrow(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    copies = classes.where("size > 1")
-    # Only copies of another row's set need their class; most rows represent themselves.
-    salted = copies.select("fp1", "fp2", "n_shingles", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n_shingles"), ["doc_id", "fp1", "fp2", "n_shingles"], "left_semi")
-    dealt = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    linkable, keys = sk.where("n_shingles > 0 and doc_id is not null"), ["fp1", "fp2", "n_shingles"]
+    classes = linkable.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    classes = common.written(classes.hint("rebalance").withColumn("node", F.monotonically_increasing_id()))
+    reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), *keys, "node"), ["doc_id", *keys])
+    dealt = reps.select(F.col("node").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("bucket")
     met = common.narrow(dealt.join(shared, "bucket", "left_semi"))
-    met = common.narrow(met.groupBy("bucket", "doc").agg(F.max("n").alias("n")))  # ids may repeat; by itself, so that a large bucket is split
-    labels = None if met.isEmpty() else linked(docs, met, similarity)
-    own = sk.select("doc_id", "n_shingles", "fp1", "fp2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    result = own.where("n_shingles > 0 and doc_id is not null").join(salted, ["fp1", "fp2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    met = common.narrow(met.groupBy("bucket", "doc").agg(F.max("n").alias("n")))  # rows may repeat; by itself, so that a large bucket is split
+    labels = None if met.isEmpty() else linked(docs, classes, met, similarity)
+    # Ids with texts of several sets link their classes.
+    one = F.struct(*keys)
+    odd = common.narrow(linkable.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id"))
+    if not odd.isEmpty():
+        several = linkable.join(odd, "doc_id", "left_semi").select("doc_id", *keys).distinct().join(classes.select(*keys, "node"), keys)
+        first = several.groupBy("doc_id").agg(F.min("node").alias("a"))
+        labels = relabelled(labels, common.narrow(several.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()))
+    # Only rows of classes with another least id than their own need it; most rows represent themselves.
+    known = classes.select(*keys, "node", "rep", "size")
     if labels is not None:
-        result = result.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        known = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = known.groupBy("component").agg(F.min("rep").alias("least"))
+        known = known.join(least, "component")
     else:
-        result = result.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+        known = known.withColumn("least", F.col("rep"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = known.where("size > 1 or least <> rep").select(*keys, "least", salt)
+    own = sk.select("doc_id", *keys, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    result = own.where("n_shingles > 0 and doc_id is not null").join(salted, [*keys, "salt"], "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     alone = own.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return result.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def oracle(similarity: int = SIMILARITY) -> str:
+    """The rows of near_duplicates() in SQL, from the words of all shingles that two documents share; ids must be distinct and not null."""
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.e = b.e AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {similarity} * greatest(a.n, b.n)
+  GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= {similarity} * (a.n + b.n - count(*))),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least_ AS (SELECT x AS doc_id, min(y) AS lo FROM reached GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(lo, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(lo, doc_id)) AS kept FROM sets LEFT JOIN least_ USING (doc_id)
+"""
+
+
 def kept(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates() keeps; rows that repeat a kept id stay with it."""
     name = common.free(docs.columns, "gone_id")

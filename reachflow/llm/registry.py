@@ -99,4 +99,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL; tests/llm/ holds them against brute-force versions."""
-    return {"op11_licences": licences.oracle(), "op12_filter_audit": audit.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
+    return {"op5_minhash": minhash.oracle(), "op11_licences": licences.oracle(), "op12_filter_audit": audit.oracle(), "op13_hard_negatives": hard_negatives.oracle()}

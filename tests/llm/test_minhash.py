@@ -132,3 +132,26 @@ def test_stages_take_odd_rows(spark, small):
         assert stage(spark, frame.limit(0), small).collect() == []
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, small)
     assert {r["doc_id"] for r in packed.collect()} == {None, 1, 2, 3}
+
+
+def thue_morse(n: int) -> str:
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_in_sums_of_powers(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"x {one} y z w v"), (4, f"x {two} y z w v"), (5, one[:200]), (6, two[:200]), (7, one)]
+    got = minhash.near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
+    assert {r.n_shingles for r in got if r.doc_id in (3, 4)} == {2}
+
+
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other words of no other text at all"), (1, None), (5, b), (0, a + " end"), (9, "alone words of no text but this"), (9, "second text of the very same id nine")]
+    got = minhash.near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (1, 0), (1, 1), (2, 0), (3, 0), (4, 4), (5, 0), (9, 9), (9, 9)]
