@@ -12,11 +12,11 @@ number of languages, as the scores do: those of one-versus-rest ridge regression
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,8 @@ FOLDS, HELD_OUT = 4, 2
 ROWS = 64
 #: A text may lack so many times the share of n-grams that all but the QUANTILE of its language's labelled texts lack at most.
 QUANTILE, SLACK = 0.01, 3.0
-HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Letters are Unicode's category L: no fractions, circled digits or Roman numeral signs.
+HAS_LETTER = regex.compile(r"\p{L}")
 GAP = b" " * LONGEST
 TIMES = common.powers(LONGEST, 0x9FB21C651E98DF25)
 SALT = common.mixed(np.arange(1, LONGEST + 1, dtype=np.uint64))
@@ -116,18 +117,19 @@ def fit(bits: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) ->
 def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
     """Fits the model on at most most_rows texts of each language outside the held-out fold: the same number of least hash of each of SALTS hash classes.
 
-    Rows of null ids, texts or languages don't count. All tasks make the presence bits, one task fits on this bounded
+    Rows of null ids, texts or languages don't count; an id counts once in each language, by the text of least hash. All tasks make the presence bits, one task fits on this bounded
     sample. None if there is no such row.
     """
     common.small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = own.where("doc_id is not null and text is not null and lang is not null").where(common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
     # Hash classes keep a language that holds most rows from meeting in one task.
-    keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    once = rows.select("doc_id", "lang", F.xxhash64("text").alias("own")).groupBy("doc_id", "lang").agg(F.min("own").alias("own"))
+    keyed = once.withColumn("key", F.xxhash64("doc_id")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
     turn = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key", "doc_id"))
     sample = keyed.withColumn("turn", turn).where(F.col("turn") <= max(1, most_rows // SALTS)).withColumn("turn", (F.col("turn") * SALTS + F.col("salt")).cast("int"))
-    picked = sample.select(F.col("doc_id").alias("picked"), F.col("lang").alias("picked_lang"), "turn")
-    texts = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")))
+    picked = sample.select(F.col("doc_id").alias("picked"), F.col("lang").alias("picked_lang"), "own", "turn")
+    texts = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked")) & (F.col("lang") == F.col("picked_lang")) & (F.xxhash64("text") == F.col("own")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in common.slices(batches, "text"):
@@ -141,7 +143,8 @@ def trained(docs: DataFrame, most_rows: int = MOST_ROWS) -> dict | None:
             np.savez(file, **fit([np.frombuffer(b, np.uint8) for _, _, b in every], [x for x, _, _ in every]))
             yield pa.record_batch([pa.array([file.getvalue()], pa.binary())], ["model"])
 
-    found = texts.select("turn", "lang", "text").mapInArrow(extract, "turn int, lang string, x binary").repartition(1).mapInArrow(run, "model binary").collect()
+    bits = texts.select("turn", "lang", "text").mapInArrow(extract, "turn int, lang string, x binary").groupBy("turn", "lang").agg(F.min("x").alias("x"))
+    found = bits.repartition(1).mapInArrow(run, "model binary").collect()
     return dict(np.load(io.BytesIO(found[0]["model"]), allow_pickle=False)) if found else None
 
 

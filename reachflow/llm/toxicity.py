@@ -83,7 +83,8 @@ def scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits the model on at most most_rows labelled rows: those of least hash among rows outside the held-out fold.
 
-    A document with several labels counts as toxic if any says so; null labels don't count. The rows are made
+    A document with several labels counts as toxic if any says so; null labels don't count. Of rows that repeat an id the
+    text of least hash counts. The rows are made
     features by all tasks; one task fits on this bounded sample, in the order of the hash. Without labelled rows the
     model scores 0.5 everywhere.
     """
@@ -92,18 +93,18 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> t
     known = known.groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(F.max("toxic").cast("int").alias("y"))
     sample = known.withColumn("turn", F.xxhash64("known_id")).orderBy("turn", "known_id").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("known_id")).select("turn", "known_id", "y", "text")
+    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("known_id")).select("turn", "known_id", "y", F.xxhash64("text").alias("own"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in common.slices(batches, "text"):
-            yield pa.record_batch([part.column("turn"), part.column("known_id"), part.column("y"), pa.array([x.tobytes() for x in presence(own)], pa.binary())], ["turn", "known_id", "y", "x"])
+            yield pa.record_batch([*[part.column(c) for c in ("turn", "known_id", "y", "own")], pa.array([x.tobytes() for x in presence(own)], pa.binary())], ["turn", "known_id", "y", "own", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = sorted(((t, d, y, x) for b in batches for t, d, y, x in zip(*(b.column(c).to_pylist() for c in ("turn", "known_id", "y", "x")), strict=True)), key=lambda r: r[:2] + r[3:])
         at, w, bias = fit([np.frombuffer(r[3], np.int32) for r in every], np.array([r[2] for r in every]))
         yield pa.record_batch([pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *w.tolist()])], ["at", "w"])
 
-    features = rows.mapInArrow(extract, "turn long, known_id long, y int, x binary")
+    features = rows.mapInArrow(extract, "turn long, known_id long, y int, own long, x binary").groupBy("turn", "known_id", "y").agg(F.min_by("x", "own").alias("x"))
     model = features.repartition(1).mapInArrow(run, "at int, w double").toArrow()  # at most 2**BITS weights
     at, w = model.column("at").to_numpy(), model.column("w").to_numpy()
     return at[at >= 0].astype(np.int32), w[at >= 0], float(w[at < 0].sum())

@@ -297,3 +297,16 @@ def test_few_neighbours(spark):
     frame = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.nearest(frame).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert neighbours.nearest(frame.limit(0)).collect() == []
+
+
+def test_letters_are_of_category_l(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①", "de"), (2, "Ⅷ 5", "de"), (3, "ein wort", "de"), (4, "中", "zh"), (5, "ª", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identified(docs, language.trained(docs)).collect()}
+    assert got[1] == got[2] == "und" and "und" not in (got[3], got[4], got[5])
+
+
+def test_an_id_counts_once(spark):
+    rows = [(3, f"text {k % 2} of one id", "en", 1) for k in range(400)] + [(k, f"ein kurzer text {k}", "de", 0) for k in range(40, 80)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    few = language.trained(docs.dropDuplicates(["doc_id"]).union(docs.limit(0)))
+    assert {len(language.trained(docs)["marks"]), len(few["marks"])} == {len(few["marks"])}
