@@ -22,7 +22,7 @@ BLOCK, RATE, ORDER, PRECISION, SHIFT = 192, 8000, 4, 10, 8
 PAD = 32
 #: Frames of a PCM block.
 BLOCK_FRAMES = 256
-PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, byte_offset: long, pcm: binary>>"
+PCM = "doc_id long, n_bytes long, stream_bytes long, stream_sha256 string, blocks array<struct<sample_offset: long, byte_offset: long, pcm: binary>>"
 PCM_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
 #: Bytes of texts, and frames, that are coded at once.
 SLICE, FRAMES = 1_000_000, 4096
@@ -377,7 +377,7 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(streams: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """The rows' doc_id, n_bytes, the bytes and digest of their media, and blocks: the decoded samples, cut into PCM blocks.
+    """The rows' doc_id, n_bytes, the bytes and digest of their streams, and blocks: the decoded samples, cut into PCM blocks.
 
     A block holds block_frames frames, the last one what is left. sample_offset is its first sample, byte_offset where
     its first frame begins in the stream, so that a reader may seek to any block in either form. Null ids stay null,
@@ -392,7 +392,7 @@ def pcm_blocks(streams: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFram
                 cut = range(0, len(payload), step)
                 blocks.append([{"sample_offset": int(samples[k * block_frames]), "byte_offset": int(at[k * block_frames]), "pcm": payload[i : i + step]} for k, i in enumerate(cut)])
             columns = [rows.column("doc_id"), rows.column("n_bytes"), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array(blocks, PCM_BLOCKS)]
-            yield pa.record_batch(columns, ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+            yield pa.record_batch(columns, ["doc_id", "n_bytes", "stream_bytes", "stream_sha256", "blocks"])
 
     return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
@@ -413,15 +413,23 @@ def feature(payload: bytes) -> str:
 
 
 def features(blocks: DataFrame) -> DataFrame:
-    """Digests and features of each row of pcm_blocks(), from the samples of its blocks."""
+    """Digests and features of each row of pcm_blocks(), from the samples of its blocks.
+
+    media_bytes and media_sha256 are of the stored form, the PCM blocks in their order; stream_bytes and stream_sha256 are of
+    the stream that they were decoded from. Repeated rows have equal values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, samples = batch.column("blocks"), []
+            lists, samples, stored, stored_bytes = batch.column("blocks"), [], [], []
             for i in range(batch.num_rows):
-                samples.append(b"".join(lists.slice(i, 1).flatten().field("pcm").to_pylist()))
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in samples], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in samples]), pa.array([zlib.crc32(p[-16:]) for p in samples], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array([feature(p) for p in samples])]
-            yield pa.record_batch(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+                blocks, digest = lists.slice(i, 1).flatten().field("pcm").to_pylist(), hashlib.sha256()
+                for b in blocks:
+                    digest.update(b)
+                stored.append(digest.hexdigest()), stored_bytes.append(sum(map(len, blocks)))
+                samples.append(b"".join(blocks))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in samples], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in samples]), pa.array([zlib.crc32(p[-16:]) for p in samples], pa.int64()), pa.array(stored_bytes, pa.int64()), pa.array(stored), pa.array([feature(p) for p in samples]), batch.column("stream_bytes"), batch.column("stream_sha256")]
+            yield pa.record_batch(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stream_bytes", "stream_sha256"])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stream_bytes long, stream_sha256 string"
     return blocks.mapInArrow(run, schema)

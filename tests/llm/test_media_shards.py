@@ -77,10 +77,17 @@ def test_rows(spark, tmp_path):
     media = flac.media(docs)
     flac.write_pcm(media, str(tmp_path / "pcm"))
     blocks = flac.read_pcm(spark, str(tmp_path / "pcm"))
-    got = sorted((tuple(r)[:5] for r in flac.features(blocks).collect()), key=str)
-    sha = lambda t: hashlib.sha256(padded(t)).hexdigest()
-    assert got == sorted(((d, len((t or "").encode()), len(padded(t)), sha(t), zlib.crc32(padded(t)[-16:])) for d, t, *_ in ROWS), key=str)
-    same = {r["media_sha256"] for r in flac.features(blocks).where("doc_id = 1").collect()}
+    got = sorted((tuple(r) for r in flac.features(blocks).collect()), key=str)
+
+    def plain(d, t) -> tuple:
+        p, stream = padded(t), flac.encode([padded(t)])[0]
+        x = [b - 128 for b in p]
+        told = f"blocks={len(p) // 192};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};min={min(x)};max={max(x)}"
+        sha = hashlib.sha256(p).hexdigest()
+        return (d, len((t or "").encode()), len(p), sha, zlib.crc32(p[-16:]), len(p), sha, told, len(stream), hashlib.sha256(stream).hexdigest())
+
+    assert got == sorted((plain(d, t) for d, t, *_ in ROWS), key=str)
+    same = {r["stream_sha256"] for r in flac.features(blocks).where("doc_id = 1").collect()}
     assert len(same) == 1
     (long,) = [r["blocks"] for r in blocks.where("doc_id = 4").collect()]
     assert len(long) == 4 and b"".join(bytes(r["pcm"]) for r in long) == padded("ab " * 60_000)
