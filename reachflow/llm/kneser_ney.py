@@ -1,8 +1,8 @@
 """Text quality by an interpolated modified Kneser-Ney model of character n-grams.
 
 An n-gram is a string of ORDER code points of any script, so that the tables grow with the corpus. Documents are
-packed once into blocks, compressed rows of a bucketed table; a block names each of its n-grams once, however often it
-occurs. The counts of all orders, their contexts and the n-grams that blocks ask for are tables joined in shards of equal
+packed once into blocks, some compressed rows of a bucketed table each; a block names each of its n-grams once, in a row of
+its own, however often it occurs. The counts of all orders, their contexts and the n-grams that blocks ask for are tables joined in shards of equal
 n-grams and contexts; the probabilities go back to the blocks, where each document gets the perplexity of its whole
 text. No table passes through the driver, and the texts are never shuffled.
 
@@ -42,7 +42,11 @@ NEAR, PRIOR = 4, (1, 20)
 #: Limits of so many languages are broadcast (some 50 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 20_000
 TIMES = common.powers(ORDER, 0xD1342543DE82EF95)
-BLOCKS = "block long, ids array<long>, grams array<string>, rows binary"
+#: A block's texts travel in rows of about so many bytes, before compression, and its n-grams are sent on so many at a time.
+PART_BYTES, GRAM_ROWS = 1_000_000, 50_000
+#: A task that counts passes its sums on beyond so many n-grams.
+MOST_HELD = 400_000
+BLOCKS = "block long, begin int, ids array<long>, rows binary, gram string"
 
 
 def keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -143,28 +147,46 @@ class Blocks:
         added = [F.col("doc_id").cast("long").alias(self.id), F.col("lang").cast("string").alias(self.lang), *([] if own else [F.col("text").cast("string").alias(self.text)])]
         id_name, text_name = self.id, self.text
 
+        names = ["block", "begin", "ids", "rows", "gram"]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size, tally = [], 0, Tally()
+            new = lambda: (uuid.uuid4().int >> 65, 0, 0, Tally())
+            block, begin, size, tally = new()
+            held, held_size = [], 0
 
-            def block() -> pa.RecordBatch:
+            def part() -> pa.RecordBatch:
                 ids = [x for h in held for x in h.column(id_name).to_pylist()]
-                columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([tally.grams.tolist()], pa.list_(pa.string())), pa.array([to_bytes(held)], pa.binary())]
-                return pa.record_batch(columns, ["block", "ids", "grams", "rows"])
+                columns = [pa.array([block], pa.int64()), pa.array([begin], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([to_bytes(held)], pa.binary()), pa.nulls(1, pa.string())]
+                return pa.record_batch(columns, names)
+
+            def grams() -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(tally.grams), GRAM_ROWS):
+                    own = pa.array(tally.grams[i : i + GRAM_ROWS].tolist(), pa.string())
+                    n = len(own)
+                    yield pa.record_batch([pa.array(np.full(n, block), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), own], names)
 
-            for rows, texts in common.slices(batches, text_name):
+            for rows, texts in common.slices(batches, text_name, LINE_BYTES):
                 held.append(rows)
                 tally.add(texts)
-                size += sum(map(len, texts))
-                if size >= block_bytes or sum(h.num_rows for h in held) >= BLOCK_ROWS:
-                    yield block()
-                    held, size, tally = [], 0, Tally()
+                added = sum(map(len, texts))
+                held_size, size = held_size + added, size + added
+                count = sum(h.num_rows for h in held)
+                full = size >= block_bytes or begin + count >= BLOCK_ROWS
+                if full or held_size >= PART_BYTES:
+                    yield part()
+                    held, held_size, begin = [], 0, begin + count
+                if full:
+                    yield from grams()
+                    block, begin, size, tally = new()
             if held:
-                yield block()
+                yield part()
+            yield from grams()
 
         total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         # Block numbers are random: what follows reads the written table, so that they are drawn once.
         self.buckets = max(1, -(-total // block_bytes))
         self.table = bucketed(docs.select(*docs.columns, *added).mapInArrow(run, BLOCKS), "block", self.buckets)
+        self.texts, self.grams = self.table.where("rows is not null"), self.table.where("gram is not null").select("block", "gram")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -213,7 +235,7 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 def marked(blocks: Blocks, labels: DataFrame) -> DataFrame:
     """block, counted, held: the places of a block's trusted rows that are counted, and of those that give the limits."""
-    places = blocks.table.select("block", F.posexplode("ids").alias("place", "id"))
+    places = blocks.texts.select("block", "begin", F.posexplode("ids").alias("at", "id")).select("block", (F.col("begin") + F.col("at")).alias("place"), "id")
     good = places.join(good_ids(labels), F.col("id") == F.col("good_id")).withColumn("out", common.crc_mod(F.col("id"), FOLDS) == 0)
     return good.groupBy("block").agg(F.collect_list(F.when(~F.col("out"), F.col("place"))).alias("counted"), F.collect_list(F.when(F.col("out"), F.col("place"))).alias("held"))
 
@@ -223,18 +245,26 @@ def counted(blocks: Blocks, marks: DataFrame) -> DataFrame:
     text_name = blocks.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def sums() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(tally.grams.tolist(), pa.string()), pa.array(tally.n)], ["gram", "n"])
+
         for batch in batches:
-            for rows, places in zip(batch.column("rows"), batch.column("counted").to_pylist(), strict=True):
-                tally, begin, these = Tally(), 0, set(places)
-                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name):
+            for rows, begin, places in zip(batch.column("rows"), batch.column("begin").to_pylist(), batch.column("counted").to_pylist(), strict=True):
+                these = set(places)
+                for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name, LINE_BYTES):
                     own = [t for i, t in enumerate(texts) if begin + i in these]
                     begin += part.num_rows
                     if own:
                         tally.add(own)
-                yield pa.record_batch([pa.array(tally.grams.tolist(), pa.string()), pa.array(tally.n)], ["gram", "n"])
+                if len(tally.n) >= MOST_HELD:
+                    yield sums()
+                    tally = Tally()
+        yield sums()
 
-    rows = blocks.table.select("block", "rows").join(marks.where("size(counted) > 0").select("block", "counted").hint("shuffle_hash"), "block")
-    return rows.select("rows", "counted").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = blocks.texts.select("block", "begin", "rows").join(marks.where("size(counted) > 0").select("block", "counted").hint("shuffle_hash"), "block")
+    return rows.select("rows", "begin", "counted").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFrame:
@@ -248,8 +278,8 @@ def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFr
         key = keys_of(known.column("gram").to_pylist())
         order = np.argsort(key)
         key, logp, parts = key[order], known.column("logp").to_numpy()[order], []
-        for block, rows, places in zip(packed.column("block").to_pylist(), packed.column("rows"), packed.column("held").to_pylist(), strict=True):
-            begin, held = 0, set(places or ())
+        for block, begin, rows, places in zip(*(packed.column(c).to_pylist() for c in ("block", "begin")), packed.column("rows"), packed.column("held").to_pylist(), strict=True):
+            held = set(places or ())
             for part, texts in common.slices(from_bytes(rows.as_buffer()), text_name, LINE_BYTES):
                 line, n = Line(texts), len(texts)
                 total = np.bincount(line.text, logp[np.searchsorted(key, line.key)], minlength=n)
@@ -258,10 +288,9 @@ def scored(blocks: Blocks, marks: DataFrame, probabilities: DataFrame) -> DataFr
                 begin += n
         return pa.Table.from_batches(parts)
 
-    asked = blocks.table.select("block", F.explode("grams").alias("gram"))
     # A block's probabilities go to its task as sorted rows, which spill, not as one collected value on the heap.
-    known = asked.join(probabilities, "gram").select(F.col("block").alias("asking"), "gram", "logp")
-    rows = blocks.table.select("block", "rows").join(marks.select("block", "held").hint("shuffle_hash"), "block", "left")
+    known = blocks.grams.join(probabilities, "gram").select(F.col("block").alias("asking"), "gram", "logp")
+    rows = blocks.texts.select("block", "begin", "rows").join(marks.select("block", "held").hint("shuffle_hash"), "block", "left")
     return rows.groupBy("block").cogroup(known.groupBy("asking")).applyInArrow(score, "block long, place int, doc_id long, lang string, n_symbols long, perplexity double, repetition double, held boolean")
 
 
@@ -296,7 +325,7 @@ def fitted(docs: DataFrame, labels: DataFrame, block_bytes: int) -> tuple[Blocks
     blocks = Blocks(docs, block_bytes)
     marks = common.narrow(marked(blocks, labels))
     counts = common.narrow(counted(blocks, marks))
-    probabilities = model(counts, blocks.table.select(F.explode("grams").alias("gram")))
+    probabilities = model(counts, blocks.grams)
     return blocks, with_limits(common.written(scored(blocks, marks, probabilities).coalesce(max(8, -(-blocks.buckets * block_bytes // (3 * BLOCK_BYTES))))))
 
 
@@ -318,12 +347,12 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, places in zip(batch.column("rows"), batch.column("places").to_pylist(), strict=True):
-                begin, these = 0, np.sort(np.array(places))
+            for rows, begin, places in zip(batch.column("rows"), batch.column("begin").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                these = np.sort(np.array(places))
                 for part in from_bytes(rows.as_buffer()):
                     own = these[np.searchsorted(these, begin) : np.searchsorted(these, begin + part.num_rows)] - begin
                     begin += part.num_rows
                     yield pa.record_batch(part.take(pa.array(own)).columns[: len(columns)], columns)
 
     stay = scores.where(GOOD).groupBy("block").agg(F.collect_list("place").alias("places"))
-    return blocks.table.select("block", "rows").join(stay.hint("shuffle_hash"), "block").select("rows", "places").mapInArrow(run, docs.schema)
+    return blocks.texts.select("block", "begin", "rows").join(stay.hint("shuffle_hash"), "block").select("rows", "begin", "places").mapInArrow(run, docs.schema)
