@@ -71,11 +71,28 @@ def usable(vectors: DataFrame, relabel: Column | None = None) -> DataFrame:
     return good.withColumn("label", relabel) if relabel is not None else good
 
 
-def as_rows(df: DataFrame) -> DataFrame:
-    """row (a number of its own), id, label, x (binary, floored), first and second (the two coordinates that vary most): a written table."""
+def widest(df: DataFrame) -> list[int]:
+    """The two coordinates of x that vary most."""
     spread = df.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.variance("v").alias("spread")).orderBy(F.desc_nulls_last("spread"), "at").limit(2)
     axes = [r["at"] for r in spread.collect()]
-    axes = (axes + axes)[:2] if axes else [0, 0]
+    return (axes + axes)[:2] if axes else [0, 0]
+
+
+def few_copies(df: DataFrame, most: int) -> DataFrame:
+    """df (id, label, x) without the copies of a vector, of one label, that no search for `most` rows can need.
+
+    A search leaves out the rows of one id, so that of equal rows those of the most + 1 least ids can be found, `most` of each.
+    Spark drops the others in each task before it shuffles the rest.
+    """
+    keyed = df.withColumn("key", F.xxhash64("x"))
+    turn = F.row_number().over(Window.partitionBy("key", "label", "x", "id").orderBy("id"))
+    place = F.dense_rank().over(Window.partitionBy("key", "label", "x").orderBy("id"))
+    once = keyed.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn")
+    return once.withColumn("place", place).where(F.col("place") <= most + 1).select(*df.columns)
+
+
+def as_rows(df: DataFrame, axes: list[int]) -> DataFrame:
+    """row (a number of its own), id, label, x (binary, floored), first and second (its coordinates of the two axes): a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,10 +297,11 @@ def mined(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: i
     compared as doubles, and end at the bounds of a long. An anchor without positives or negatives has no row; an
     empty table has none. Other columns are left out.
     """
-    points = as_rows(usable(vectors, relabel))
-    leaves = packed(points, slab)
+    rows = usable(vectors, relabel)
+    axes = widest(rows)
+    leaves = packed(as_rows(few_copies(rows, max(positives, negatives)), axes), slab)
     boxes = directory(leaves)
-    anchors = points.where(F.col("id") % every == 0)
+    anchors = as_rows(rows.where(F.col("id") % every == 0), axes)
     asks = anchors.select(F.col("row").alias("ask"), F.col("id").alias("anchor"), "label", F.lit(True).alias("same"), F.lit(positives).alias("k"), F.lit(-INF).alias("least"), F.lit(INF).alias("most"), "x")
     near = best(leaves, boxes, common.written(asks)).select(F.col("ask").alias("row"), F.col("id").alias("positive_id"), "score", F.col("rank").alias("turn"))
     # Positives of equal scores have one window.
