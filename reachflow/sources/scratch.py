@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A task of a written or shuffled table of texts takes about so many bytes.
 TASK_BYTES = 24_000_000
+#: A writer holds so many bytes of a file's rows before it writes them.
+GROUP_BYTES = 32_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def cleared(spark: SparkSession) -> None:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the scratch folder: computed once, lineage cut, readable by every executor."""
     path = path or scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +49,7 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """
     spark, name = df.sparkSession, f"reachflow_{uuid.uuid4().hex}"
     buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    df.write.format("parquet").option("path", scratch(spark)).bucketBy(buckets, column).saveAsTable(name)
+    df.write.format("parquet").option("parquet.block.size", GROUP_BYTES).option("path", scratch(spark)).bucketBy(buckets, column).saveAsTable(name)
     table = spark.table(name)
     table.schema  # noqa: B018  resolves it before the name goes; the files of a table with a path stay
     spark.sql(f"DROP TABLE {name}")
