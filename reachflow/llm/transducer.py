@@ -10,33 +10,39 @@ fitting neighbours are made when a text first needs them.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 
-#: Arcs and pairs are kept in tables of this many slots; at half of that, a table is emptied and made anew.
-SLOTS = 1 << 20
+#: Arcs and pairs are kept in tables of at most this many slots; at half of that, a table is emptied and made anew.
+SLOTS, LEAST_SLOTS = 1 << 20, 1 << 15
 #: Longer words are encoded one at a time, with settled tokens sent out on the way.
 LOCKSTEP = 64
 NEVER = 1 << 60
-_TIMES, _SHIFT, _FREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(44), np.uint64(0xFFFFFFFFFFFFFFFF)
+_TIMES, _FREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Table:
-    """An open-addressing map from 64-bit keys to integers, read by whole arrays."""
+    """An open-addressing map from 64-bit keys to integers, read by whole arrays; it doubles when half full."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.values, self.used = np.full(SLOTS, _FREE), np.zeros(SLOTS, np.int32), 0
+        self.keys, self.values, self.used = np.full(LEAST_SLOTS, _FREE), np.zeros(LEAST_SLOTS, np.int32), 0
+
+    def slots_of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _TIMES) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values of the keys, -1 where there is none."""
-        slot = ((keys * _TIMES) >> _SHIFT).astype(np.int64)
+        slot, last = self.slots_of(keys), len(self.keys) - 1
         there = self.keys[slot]
         out = np.where(there == keys, self.values[slot], np.int32(-1))
         open_ = np.flatnonzero((there != keys) & (there != _FREE))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & last
             at, key = self.keys[slot[open_]], keys[open_]
             out[open_] = np.where(at == key, self.values[slot[open_]], np.int32(-1))
             open_ = open_[(at != key) & (at != _FREE)]
@@ -44,7 +50,15 @@ class Table:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Adds distinct keys that aren't there yet."""
-        slot = ((keys * _TIMES) >> _SHIFT).astype(np.int64)
+        size = len(self.keys)
+        while 2 * (self.used + len(keys)) > size:
+            size *= 2
+        if size > len(self.keys):
+            full = np.flatnonzero(self.keys != _FREE)
+            old = self.keys[full], self.values[full]
+            self.keys, self.values, self.used = np.full(size, _FREE), np.zeros(size, np.int32), 0
+            self.put(*old)
+        slot, last = self.slots_of(keys), len(self.keys) - 1
         left = np.arange(len(keys))
         while len(left):
             at = slot[left]
@@ -53,10 +67,35 @@ class Table:
             own = self.keys[at] == keys[left]
             self.values[at[own]] = values[left[own]]
             left = left[~own]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            slot[left] = (slot[left] + 1) & last
         self.used += len(keys)
 
 
+class Merges:
+    """The rank and the id of each pair of ids that merge, and the pair of each id, in arrays: some 20 bytes a merge."""
+
+    def __init__(self, pairs: list[tuple[int, int]], ids: list[int]):
+        """The pairs in the order of their ranks, and the ids that they give."""
+        keys = np.array(pairs, np.int64).reshape(-1, 2)
+        whole = keys[:, 0] << 32 | keys[:, 1]
+        order = np.argsort(whole, kind="stable")
+        self.keys, self.ranks = array("q", whole[order].tobytes()), array("i", order.astype(np.int32).tobytes())
+        self.ids = array("i", np.array(ids, np.int32)[order].tobytes())
+        made = np.full((max(ids, default=-1) + 1, 2), -1, np.int32)
+        made[ids] = keys
+        self.made = made
+
+    def get(self, a: int, b: int) -> tuple[int, int] | None:
+        key = a << 32 | b
+        i = bisect_left(self.keys, key)
+        return (self.ranks[i], self.ids[i]) if i < len(self.keys) and self.keys[i] == key else None
+
+    def parts(self, token: int) -> tuple[int, int] | None:
+        if token >= len(self.made) or self.made[token, 0] < 0:
+            return None
+        return int(self.made[token, 0]), int(self.made[token, 1])
+
+
 class Transducer:
     """Maps words, as strings of symbols, to token ids.
 

@@ -9,13 +9,15 @@ import re
 import numpy as np
 
 from reachflow.llm import common
-from reachflow.llm.transducer import Table, Transducer
+from reachflow.llm.transducer import Merges, Table, Transducer
 
 #: Texts without other characters change by no normalisation but lower-casing, one character at a time, and the
 #: first byte of a character tells a letter from a sign. An apostrophe before a letter may be a contraction.
 ODD = re.compile("[^\t\n\r -~¡-©«¬®-±´¶-¸»¿À-ÖØ-öø-įı-ňŊ-ž‐-‧‰-⁞€]")
 CONTRACTION = re.compile("'[A-Za-zÀ-ž]")
 END, SHIFT = "</w>", 0x1000
+#: The memory of words is emptied beyond so many.
+MOST_WORDS = 1 << 18
 SPACE, LETTER, DIGIT, SIGN = range(4)
 KINDS = np.full(256, SIGN, np.uint8)
 KINDS[[9, 10, 13, 32]] = SPACE
@@ -44,29 +46,33 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         vocab, special = said["model"]["vocab"], {t["content"] for t in said["added_tokens"]}
-        merges = {(vocab[a], vocab[b]): (rank, vocab[a + b if not a.endswith(END) else a[: -len(END)] + b]) for rank, (a, b) in enumerate(said["model"]["merges"])}
-        parts = {token: pair for pair, (_, token) in merges.items()}
-        if len(parts) != len(merges):
+        made = [vocab[a + b if not a.endswith(END) else a[: -len(END)] + b] for a, b in said["model"]["merges"]]
+        if len(set(made)) != len(made):
             raise ValueError("a token has two merges")
-        self.transducer = Transducer({symbols(t): i for t, i in vocab.items() if t not in special}, lambda a, b: merges.get((a, b)), parts.get)
+        merges = Merges([(vocab[a], vocab[b]) for a, b in said["model"]["merges"]], made)
+        self.transducer = Transducer({symbols(t): i for t, i in vocab.items() if t not in special}, merges.get, merges.parts)
         self.letters = np.array([ord(x) for x in byte_letters()], np.uint32)
         self.forget()
 
     def forget(self) -> None:
         self.known = Table()
-        self.first, self.many, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.at, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.first, self.many, self.store, self.at, self.size = (np.zeros(0, np.int32) for _ in range(5))
+        self.text = np.zeros(0, np.uint8)
 
     def library(self, texts: list[str]) -> list[bytes]:
-        """The ids as the library gives them."""
+        """The ids as the library gives them; it is loaded for the first text."""
+        if not texts:
+            return []
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
@@ -78,8 +84,8 @@ class WordEncoder:
         ids, counts = self.transducer.encode_runs(symbols, sizes)
         numbers = np.arange(len(self.first), len(self.first) + len(starts), dtype=np.int32)
         for name, ends, begin in (("first", counts, len(self.store)), ("at", sizes, len(self.text))):
-            setattr(self, name, np.concatenate((getattr(self, name), begin + np.cumsum(ends) - ends)))
-        self.many, self.size = np.concatenate((self.many, counts)), np.concatenate((self.size, sizes))
+            setattr(self, name, np.concatenate((getattr(self, name), (begin + np.cumsum(ends) - ends).astype(np.int32))))
+        self.many, self.size = (np.concatenate((old, new.astype(np.int32))) for old, new in ((self.many, counts), (self.size, sizes)))
         self.store, self.text = np.concatenate((self.store, ids)), np.concatenate((self.text, data[where]))
         return numbers
 
@@ -93,7 +99,7 @@ class WordEncoder:
         lack = np.flatnonzero(found < 0)
         if len(lack):
             new, at, inverse = np.unique(keys[lack], return_index=True, return_inverse=True)
-            if self.known.used + len(new) > len(self.known.keys) // 2 and self.known.used:
+            if self.known.used + len(new) > MOST_WORDS and self.known.used:
                 self.forget()
                 return self.numbers(data, starts, sizes)
             numbers = self.remember(data, starts[lack[at]], sizes[lack[at]])
