@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,86 @@ def replace_unchanged(df: DataFrame, path: str, seen: DataFrame) -> bool:
     return True
 
 
+class Versioned:
+    """A table at `path` that is replaced as a whole, in one step.
+
+    Each version is a folder of its own; a numbered manifest names the current one. A manifest is made only where none of
+    its number is yet, so that of two writers one wins, and counts once its last byte is there. A run that breaks off
+    at any step leaves the old version or the new one; folders that no manifest names are swept by the next replacement
+    that wins. The version before the current one stays for its readers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *names: str):
+        return self.hadoop.Path("/".join([self.path, *names]))
+
+    def listed(self, folder: str) -> list[str]:
+        where = self.at(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
+
+    def newest(self) -> tuple[int, str | None]:
+        """The greatest number of any manifest, 0 without one, and the version that the newest whole manifest names."""
+        names = self.listed("_manifests")
+        for name in reversed(names):
+            stream = self.fs.open(self.at("_manifests", name))
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            if text.endswith("\n"):
+                return int(names[-1]), text[:-1]
+        return (int(names[-1]) if names else 0), None
+
+    def current(self) -> str | None:
+        """The name of the current version; None if there is none yet."""
+        return self.newest()[1]
+
+    def read(self) -> DataFrame:
+        version = self.current()
+        if version is None:
+            raise FileNotFoundError(self.path)
+        return self.spark.read.parquet(str(self.at("versions", version)))
+
+    def replace(self, df: DataFrame, expected: str | None) -> bool:
+        """Makes df the current version if `expected` still is; whether it did. Equal rows need no new version."""
+        if self.current() != expected:
+            return False
+        if expected is not None:
+            here = self.read()
+            if here.schema == df.schema and df.exceptAll(here).isEmpty() and here.exceptAll(df).isEmpty():
+                return True
+        version = uuid.uuid4().hex
+        df.write.parquet(str(self.at("versions", version)))
+        return self.commit(version, expected)
+
+    def commit(self, version: str, expected: str | None) -> bool:
+        """Names the version in the next manifest, unless another writer has."""
+        number, now = self.newest()
+        if now != expected:
+            return False
+        try:
+            stream = self.fs.create(self.at("_manifests", f"{number + 1:012d}"), False)
+        except Py4JJavaError as taken:
+            if self.current() == expected and "already exists" not in str(taken.java_exception):
+                raise
+            return False
+        try:
+            stream.write(f"{version}\n".encode())
+        finally:
+            stream.close()
+        self.sweep(version, expected)
+        return True
+
+    def sweep(self, *keep: str | None) -> None:
+        for version in self.listed("versions"):
+            if version not in keep:
+                self.fs.delete(self.at("versions", version), True)
+
+
 def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A relation of facts from JSON lines; lines that don't fit the schema raise an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
