@@ -131,3 +131,16 @@ def chosen(disjunctions: DataFrame, choices: DataFrame, rank: list[str], kept: D
             return _union(out).select("wave", "disj", "item") if out else new.select("wave", "disj", "item")
         out.append(new)
         number += 1
+
+
+def mixed(disjunctions: DataFrame, choices: DataFrame, rank: list[str], units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """disj, domain, item: one wave whose choices are units (domain `unit`) or nodes (`node`), which may have equal numbers.
+
+    disjunctions (disj, trigger: a node; those without one are always awake), choices (disj, domain, item and columns of
+    rank), units (unit) and nodes (node) that are there. Both kinds share one space of numbers while the wave runs.
+    """
+    coded = written(choices.withColumn("item", F.col("item") * 2 + (F.col("domain") == "node").cast("int")))
+    asks = disjunctions.select("disj", (F.col("trigger") * 2 + 1).alias("trigger"))
+    there = units.select((F.col("unit") * 2).alias("item")).union(nodes.select(F.col("node") * 2 + 1))
+    found = wave(asks, coded.select("disj", "item"), cheapest(coded, rank), there)
+    return found.select("disj", F.when(F.col("item") % 2 == 1, "node").otherwise("unit").alias("domain"), F.expr("(item - pmod(item, 2)) div 2").alias("item"))

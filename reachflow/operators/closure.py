@@ -7,13 +7,18 @@ the depth of the graph in reachability, levels and least paths; forests take the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachflow.operators.components import connected_components
-from reachflow.sources.scratch import Rounds, keyed, written
+from reachflow.sources.scratch import Rounds, keyed, narrow, written
+
+#: Edges of a weak component whose strong ones a task may find by itself: some hundred MB of Python objects.
+TASK_EDGES = 500_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -142,8 +147,104 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done.every().unionByName(lacking.where("n > 0").select("node", F.lit(None).cast("int").alias("level")))
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component (the least node of its strongly connected component), by colouring.
+def _components_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, component of the strong components of more than one node; rows (weak, src, dst) are sorted by weak, and one weak component is held at a time."""
+    held, at = [], None
+    for batch in batches:
+        for weak, rows in batch.groupby("weak"):
+            if held and weak != at:
+                yield _of_one(pd.concat(held))
+                held = []
+            held.append(rows)
+            at = weak
+    if held:
+        yield _of_one(pd.concat(held))
+
+
+def _of_one(edges: pd.DataFrame) -> pd.DataFrame:
+    """The strong components of a few edges: depth-first numbers and the least of them that a subtree gets back to, on an explicit stack."""
+    out: dict[int, list[int]] = {}
+    for a, b in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        out.setdefault(a, []).append(b)
+    number, low, open_, trail, found = {}, {}, set(), [], []
+    for first in out:
+        if first in number:
+            continue
+        number[first] = low[first] = len(number)
+        trail.append(first)
+        open_.add(first)
+        path = [(first, iter(out[first]))]
+        while path:
+            at, ahead = path[-1]
+            for to in ahead:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    trail.append(to)
+                    open_.add(to)
+                    path.append((to, iter(out.get(to, ()))))
+                    break
+                if to in open_:
+                    low[at] = min(low[at], number[to])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[at])
+                if low[at] == number[at]:
+                    members = [trail.pop()]
+                    while members[-1] != at:
+                        members.append(trail.pop())
+                    open_.difference_update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        found += [(m, least) for m in members]
+    return pd.DataFrame(found, columns=["node", "component"])
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, component (the least node of its strongly connected component); ends that are no nodes count, too.
+
+    Nodes without an edge in or out are trimmed as long as a round takes off a tenth of the edges; each is a component of
+    its own. A weak component of at most task_edges of the rest goes to one task; larger ones are coloured, which takes a
+    round for each hop.
+    """
+    every = written(nodes.select("node").union(edges.select("src")).union(edges.select("dst")).where("node is not null").distinct())
+    live = written(edges.select("src", "dst").where("src <> dst").distinct())
+    n = live.count()
+    while n:
+        live = written(live.join(live.select(F.col("dst").alias("src")), "src", "left_semi").join(live.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        before, n = n, live.count()
+        if 10 * (before - n) < before:
+            break
+    if not n:
+        return every.select("node", F.col("node").alias("component"))
+    weak = connected_components(live, "src", "dst").select(F.col("node").alias("src"), F.col("component").alias("weak"))
+    dealt = narrow(live.join(weak, "src"))
+    sizes = narrow(dealt.groupBy("weak").agg(F.count("*").alias("n")))
+    kind = live.schema["src"].dataType.simpleString()
+    few = dealt.join(sizes.where(F.col("n") <= task_edges), "weak", "left_semi").select("weak", "src", "dst")
+    found = [few.repartition("weak").sortWithinPartitions("weak").mapInPandas(_components_of_task, f"node {kind}, component {kind}")]
+    large = sizes.where(F.col("n") > task_edges)
+    if not large.isEmpty():
+        rest = written(dealt.join(large, "weak", "left_semi").select("src", "dst"))
+        found.append(_coloured(rest, rest.select(F.col("src").alias("node")).union(rest.select("dst"))))
+    known = written(_union(found))
+    return every.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def component_facts(components: DataFrame, edges: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component, unit: the gates of all its nodes; component, parent: other components that its nodes' edges lead to), each once.
+
+    components (node, component), edges (src, dst: the node and its parent), gates (node, unit). The children are the second
+    table read the other way. Both are joins on nodes; they form a graph without cycles.
+    """
+    of = components.select("node", "component")
+    units = gates.join(of, "node").select("component", "unit").distinct()
+    ends = edges.join(of.withColumnRenamed("node", "src"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("parent")), "dst")
+    return units, ends.where("component <> parent").select("component", "parent").distinct()
+
+
+def _coloured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, component, by colouring.
 
     In each round the least node that reaches a node is its colour; a colour's component is what its own node is
     reached from within the colour. Every round settles one component of each colour at least.

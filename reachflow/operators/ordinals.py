@@ -108,3 +108,55 @@ def witness_ordinals(rows: DataFrame, keys: list[str], witnesses: list[str], raw
     order = [F.when(F.col("y_rule") == i, F.col(w).cast("string")) for i, w in enumerate(witnesses)]
     placed = marked.withColumn("y_rule", rule).withColumn("ordinal", F.when((F.col("y_rule") == len(witnesses)) & (F.col("y_n") > 1), F.col(raw)).otherwise(F.row_number().over(group.orderBy(*order, raw)) - 1))
     return placed.select(*rows.columns, "ordinal")
+
+
+def identities(rows: DataFrame, keys: list[str], private: list[str], raw: str) -> DataFrame:
+    """rows with rank (by raw within parent, keys and private ones), identity and up (the parent's, empty for roots); null where ancestors don't end at a root.
+
+    rows (node, parent, ...). An identity is the digests of keys and rank of all nodes from the root down, so that it
+    does not change with numbers of nodes. Paths double in each round, as in searches for ancestors.
+    """
+    cohort = Window.partitionBy("parent", *keys, *private).orderBy(raw, "node")
+    ranked = written(rows.withColumn("rank", F.row_number().over(cohort) - 1))
+    part = F.sha2(F.to_json(F.struct(*keys, *private, "rank"), {"ignoreNullFields": "false"}), 256)
+    state = written(ranked.select("node", F.col("parent").alias("ptr"), F.array(part).alias("path")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("ptr is not null").isEmpty():
+            break
+        jump = state.select(F.col("node").alias("j"), F.col("ptr").alias("j_ptr"), F.col("path").alias("j_path"))
+        # A parent that is not there stays, and its node never ends.
+        moved = state.join(jump, F.col("ptr") == F.col("j"), "left")
+        state = written(moved.select("node", F.when(F.col("j").isNull(), F.col("ptr")).otherwise(F.col("j_ptr")).alias("ptr"), F.when(F.col("j").isNull(), F.col("path")).otherwise(F.concat("j_path", "path")).alias("path")))
+        if state.where("ptr is not null").join(state.select(F.col("node").alias("ptr")), "ptr", "left_semi").isEmpty():
+            break
+    ended = state.where("ptr is null").select("node", F.array_join("path", "/").alias("identity"), F.array_join(F.slice("path", 1, F.size("path") - 1), "/").alias("up"))
+    return ranked.join(ended, "node", "left")
+
+
+def structural_ordinals(rows: DataFrame, keys: list[str], private: list[str], raw: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with rank, identity, up and ordinal; violations node, reason): ordinals of siblings of equal keys.
+
+    Without expected, siblings of equal keys are numbered by raw. With expected (identity, ordinal: what an earlier run
+    without it gave), each takes the ordinal of its identity, whatever siblings are gone; siblings of equal private
+    keys, too, are expected to stay or go together, as their ranks are part of the identities.
+
+    Reasons: `ancestors` (a parent that is not there or a cycle), `cohort` (equal raw ordinals in a cohort of equal keys
+    and private ones), `siblings` (equal ordinals of siblings, or equal raw ones without expected), `absent` (an identity
+    that expected lacks; its ordinal is null). A node may have several.
+    """
+    known = written(identities(rows, keys, private, raw))
+    wrong = [known.where("identity is null").select("node", F.lit("ancestors").alias("reason"))]
+    same = F.count("*").over(Window.partitionBy("parent", *keys, *private, raw))
+    wrong.append(known.withColumn("n_same", same).where("n_same > 1").select("node", F.lit("cohort").alias("reason")))
+    whole = known.where("identity is not null")
+    siblings = ["up", *keys]
+    if expected is None:
+        placed = whole.withColumn("ordinal", F.row_number().over(Window.partitionBy(*siblings).orderBy(raw, "node")) - 1)
+        by = raw
+    else:
+        told = expected.select("identity", F.col("ordinal").cast("int").alias("ordinal"))
+        placed, by = whole.join(told, "identity", "left"), "ordinal"
+        wrong.append(placed.where("ordinal is null").select("node", F.lit("absent").alias("reason")))
+    n_alike = F.count("*").over(Window.partitionBy(*siblings, by))
+    wrong.append(placed.withColumn("n_alike", n_alike).where((F.col("n_alike") > 1) & F.col(by).isNotNull()).select("node", F.lit("siblings").alias("reason")))
+    return placed.select(*rows.columns, "rank", "identity", "up", "ordinal"), _union(wrong)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.operators.choice import cheapest, lanes, wave
+from reachflow.operators.choice import cheapest, lanes, mixed, wave
 from reachflow.operators.closure import reachable, survivors
 from reachflow.operators.gates import complete_sets, open_edges, required
 from reachflow.sources.scratch import written
@@ -118,19 +118,12 @@ def _step(facts: Facts, lane: DataFrame, open_now: DataFrame) -> DataFrame:
     return lane.union(along).union(one).union(two).where("node is not null").distinct()
 
 
-def _coded(rows: DataFrame) -> DataFrame:
-    """Carrier choices with units and nodes in one space of numbers."""
-    return rows.withColumn("item", F.col("item") * 2 + (F.col("domain") == "node").cast("int"))
-
-
 def retained(facts: Facts) -> Kept:
     """The least sets that hold the roots and satisfy all rules, with the choices made in order."""
     present = demanded = written(facts.roots.select("node").distinct())
     units = written(facts.binding.select("unit").limit(0))
     picks = written(cheapest(facts.choices, facts.rank))
-    carriers = written(_coded(facts.carrier_choices))
-    carrier_picks, member_picks = written(cheapest(carriers, facts.rank)), written(cheapest(facts.member_choices, facts.rank))
-    carrier_asks = facts.carrier_disjunctions.withColumn("trigger", F.col("trigger") * 2 + 1)
+    carriers, member_picks = written(facts.carrier_choices), written(cheapest(facts.member_choices, facts.rank))
     made: list[DataFrame] = []
     ends = written(facts.gates.select("node").union(facts.parents.select("node")).distinct())
     edges = facts.edges.join(facts.delegated.select(F.col("node").alias("dst")), "dst", "left_anti")
@@ -169,14 +162,13 @@ def retained(facts: Facts) -> Kept:
                 break
         of_units = written(wave(facts.disjunctions, facts.choices.select("disj", "item"), picks, units.withColumnRenamed("unit", "item")))
         units = written(units.union(of_units.select("item")).distinct())
-        there = units.select((F.col("unit") * 2).alias("item")).union(present.select(F.col("node") * 2 + 1))
-        mixed = written(wave(carrier_asks, carriers.select("disj", "item"), carrier_picks, there))
-        units = units.union(mixed.where("item % 2 = 0").select(F.expr("item div 2"))).distinct()
-        nodes = mixed.where("item % 2 = 1").select(F.expr("item div 2").alias("node"))
+        of_carriers = written(mixed(facts.carrier_disjunctions, carriers, facts.rank, units, present))
+        units = units.union(of_carriers.where("domain = 'unit'").select("item")).distinct()
+        nodes = of_carriers.where("domain = 'node'").select(F.col("item").alias("node"))
         members = written(lanes(facts.member_disjunctions, facts.member_choices.select("disj", "item"), member_picks, present.union(nodes), demanded))
         both = [members.where("lane = 'demanded'")]
         both.append(members.where("lane = 'present'").join(both[0].select("item"), "item", "left_anti"))
-        new = of_units.select(F.lit("unit").alias("kind"), "item").union(mixed.select(F.lit("carrier"), "item")).union(both[0].select(F.lit("demanded"), "item")).union(both[1].select(F.lit("present"), "item"))
+        new = of_units.select(F.lit("unit").alias("kind"), "item").union(of_carriers.select(F.lit("carrier"), F.col("item") * 2 + (F.col("domain") == "node").cast("int"))).union(both[0].select(F.lit("demanded"), "item")).union(both[1].select(F.lit("present"), "item"))
         new = written(new)
         if new.isEmpty():
             out = made[0] if made else new
