@@ -113,7 +113,7 @@ def witness_ordinals(rows: DataFrame, keys: list[str], witnesses: list[str], raw
 def identities(rows: DataFrame, keys: list[str], private: list[str], raw: str) -> DataFrame:
     """rows with rank (by raw within parent, keys and private ones), identity and up (the parent's, empty for roots); null where ancestors don't end at a root.
 
-    rows (node, parent, ...). An identity is the digests of keys and rank of all nodes from the root down, so that it
+    rows (node, parent, ...), one a node. An identity is the digests of keys and rank of all nodes from the root down, so that it
     does not change with numbers of nodes. Paths double in each round, as in searches for ancestors.
     """
     cohort = Window.partitionBy("parent", *keys, *private).orderBy(raw, "node")

@@ -31,6 +31,7 @@ def c2_mixed_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, parent, kind, name, basis, raw: customers, their orders, and the orders' lines."""
     customer, orders, lines = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("l_linestatus"), F.min("l_returnflag").alias("l_returnflag"))  # keys repeat
     none = F.lit(None)
     rows = customer.select(node("customer", "c_custkey").alias("node"), none.cast("long").alias("parent"), F.lit("customer").alias("kind"), F.col("c_custkey").cast("string").alias("name"), none.cast("string").alias("basis"), F.lit(0).cast("long").alias("raw"))
     rows = rows.union(orders.select(node("orders", "o_orderkey"), node("customer", "o_custkey"), F.lit("order"), "o_orderstatus", "o_orderpriority", F.col("o_orderkey").cast("long")))
@@ -38,7 +39,8 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1 AS ordinal FROM orders),
-l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber) - 1 AS ordinal FROM lineitem)
+k AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber) - 1 AS ordinal FROM k)
 SELECT CAST(c_custkey AS BIGINT) * 8 + 2 AS node, CAST(0 AS BIGINT) AS ordinal FROM customer
 UNION ALL SELECT CAST(o_orderkey AS BIGINT) * 8 + 5, ordinal FROM o WHERE o_orderpriority NOT LIKE '1%'
 UNION ALL SELECT (CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 8 + 6, l.ordinal FROM l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority NOT LIKE '1%' AND l_returnflag <> 'R'""")

@@ -375,7 +375,7 @@ def a11_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS order_key, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(CAST(o_orderkey AS VARCHAR))) - 1 AS ordinal FROM orders")
 def w1_sibling_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinals of a customer's orders by a digest."""
+    """Ordinals of a customer's orders by a digest."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("order_key"), F.md5(F.col("o_orderkey").cast("string")).alias("digest"))
     return ordinals.sibling_ordinals(rows, ["o_custkey"], "digest")[0].select("order_key", "ordinal")
 
