@@ -163,11 +163,11 @@ def _rules(facts: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = facts.double.where("left_unit is not null and right_unit is not null")
     gate(pairs, _fact("units", "left_unit", "right_unit", "required"), _fact("K", "left_unit"), _fact("K", "right_unit"), head=_fact("K", "required"))
 
-    key = F.to_json(F.struct("edge"))  # 9-12
-    sites = facts.sites.select("edge", key.alias("key"), F.to_json(F.struct("site")).alias("site"), "owner")
+    key = F.when(F.col("edge").isNotNull(), F.to_json(F.struct("edge")))  # 9-12
+    sites = facts.sites.select(key.alias("key"), F.to_json(F.struct("site")).alias("site"), "owner")
     gate(sites, _fact("site", "key", "site"), _fact("K", "owner"), head=_fact("open", "key"))
     edges = facts.edges.where("src is not null and dst is not null").join(facts.delegated.select(F.col("node").alias("dst")), "dst", "left_anti")
-    edges = edges.join(sites.select("edge", F.lit(True).alias("sited")).distinct(), "edge", "left").withColumn("key", key)
+    edges = edges.select(key.alias("key"), "src", "dst").join(sites.select("key", F.lit(True).alias("sited")).distinct(), "key", "left")
     ends = facts.gates.select("node").union(facts.parents.select("node")).where("node is not null").distinct()
     up = facts.parents.select(F.col("node").alias("src"), F.col("parent").alias("dst")).where("src is not null and dst is not null")
     components = written(strong_components(up, ends))

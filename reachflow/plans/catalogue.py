@@ -651,4 +651,4 @@ def v25_closed_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.closed_retention(rows.where("l_quantity > 10").select("unit"), none, rows.select("unit", "group_id"), none.select("unit"))
 
 
-from reachflow.plans import carriers, constraints, facts, lexical, lookups, origins  # noqa: E402, F401  these register theirs
+from reachflow.plans import carriers, constraints, facts, lexical, lookups, meaning, origins  # noqa: E402, F401  these register theirs
