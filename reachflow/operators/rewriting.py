@@ -27,7 +27,8 @@ def list_deletions(elements: DataFrame, dropped: Column) -> DataFrame:
     A dropped element ends where the next begins; if no kept element follows, it begins where the one before ends.
     """
     w = Window.partitionBy("source_id", "list_id").orderBy("i")
-    later = F.max((~dropped).cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # Read from the end: a frame up to the end of the list would be computed anew for each row.
+    later = F.max((~dropped).cast("int")).over(Window.partitionBy("source_id", "list_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1))
     marked = elements.withColumn("d_gone", dropped).withColumn("d_later", F.coalesce(later, F.lit(0)) == 1).withColumn("d_next", F.lead("start").over(w)).withColumn("d_before", F.lag("end").over(w))
     start = F.when(F.col("d_later"), F.col("start")).otherwise(F.coalesce("d_before", "start"))
     end = F.when(F.col("d_later"), F.coalesce("d_next", "end")).otherwise(F.col("end"))
