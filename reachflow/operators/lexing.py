@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,12 +147,12 @@ def cut_texts(texts: list[bytes], before: np.ndarray) -> tuple[np.ndarray, ...]:
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches of about SLICE_BYTES, with the bytes of a column."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).to_pylist()]
         begin = total = 0
-        for k, text in enumerate(texts):
-            total += len(text)
-            if total >= SLICE_BYTES or k == len(texts) - 1:
-                yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            total += n
+            if total >= SLICE_BYTES or k == batch.num_rows - 1:
+                part = batch.slice(begin, k + 1 - begin)
+                yield part, [x or b"" for x in part.column(column).to_pylist()]
                 begin, total = k + 1, 0
 
 
@@ -279,35 +280,34 @@ def neighbourhoods(tokens: DataFrame, deletions: DataFrame) -> DataFrame:
     deletions (source_id, deletion_id, start, end) are byte ranges. cuts: whether a token, not trivia, lies across an end
     of it. left and right are the bytes of the window before and behind the deletion, kinds and texts its tokens.
     """
-    order = Window.partitionBy("source_id").orderBy("start")
-    real = ~F.col("kind").isin(*TRIVIA)
-    placed = tokens.select("source_id", "start", "end", "kind", "text", F.sum(real.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("place"))
-    # Trivia goes with the token before it; that before the first token has place 0.
-    behind = placed.where(~real).groupBy("source_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda t: t["text"]), "").alias("behind"))
-    own = placed.where(real).join(behind, ["source_id", "place"], "left").withColumn("behind", F.coalesce("behind", F.lit("")))
-    ahead = F.lag("behind").over(order)
-    first = behind.where("place = 0").select("source_id", F.col("behind").alias("first"))
-    own = own.withColumn("ahead", ahead).join(first, "source_id", "left").withColumn("ahead", F.coalesce("ahead", "first", F.lit("")))
-    one = F.struct("start", "end", "kind", "text", "behind", "ahead")
-    own = own.select("source_id", F.col("start").alias("at"), F.lit(1).alias("turn"), one.alias("one"), F.lag(one).over(order).alias("before"), F.lead(one).over(order).alias("after"))
+    text = tokens.select("source_id", F.col("start").alias("at"), F.lit(1).alias("turn"), "end", "kind", "text")
     ends = deletions.select("source_id", "deletion_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    ends = ends.select("*", F.explode(F.array(F.col("d_start"), F.col("d_end"))).alias("at")).withColumn("turn", F.lit(0))
-    events = own.unionByName(ends, allowMissingColumns=True)
-    along = Window.partitionBy("source_id").orderBy("at", "turn")
-    last = F.last(F.when(F.col("turn") == 1, F.struct("one", "before")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("last")
-    next_ = F.first(F.when(F.col("turn") == 1, F.struct("one", "after")), ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("next")
-    met = events.select("source_id", "deletion_id", "at", "turn", "d_start", "d_end", last, next_).where("turn = 0")
-    pick = lambda c, end: F.max(F.when(F.col("at") == F.col(end), F.col(c)))
-    rows = met.groupBy("source_id", "deletion_id", "d_start", "d_end").agg(pick("last", "d_start").alias("l"), pick("next", "d_end").alias("r"), pick("last", "d_end").alias("inner"))
+    ends = ends.select("*", F.posexplode(F.array(F.col("d_start"), F.col("d_end"))).alias("side", "at")).withColumn("turn", F.lit(0))
+    # Dealt by source once: all that follows keeps to it. An end stands before the token that begins there.
+    events = text.unionByName(ends, allowMissingColumns=True)
+    real = (F.col("turn") == 1) & ~F.col("kind").isin(*TRIVIA)
+    order = Window.partitionBy("source_id").orderBy("at", "turn")
+    placed = events.withColumn("real", real).withColumn("place", F.sum(F.col("real").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A token goes with the trivia behind it and the ends that lie before the next one; what is before the first token has place 0.
+    one = F.max(F.when(F.col("real"), F.struct(F.col("at").alias("start"), "end", "kind", "text"))).alias("one")
+    behind = F.array_sort(F.collect_list(F.when((F.col("turn") == 1) & ~F.col("real"), F.struct("at", "text"))))
+    cut = F.collect_list(F.when(F.col("turn") == 0, F.struct("deletion_id", "d_start", "d_end", "side"))).alias("ends")
+    own = placed.groupBy("source_id", "place").agg(one, F.array_join(F.transform(behind, lambda t: t["text"]), "").alias("behind"), cut)
+    along = Window.partitionBy("source_id").orderBy("place")
+    near = {"l": F.when(F.col("one").isNotNull(), F.struct(F.lag("one").over(along).alias("b"), F.when(F.lag("one").over(along).isNotNull(), F.lag("behind").over(along)).alias("b_behind"), F.col("one"), F.col("behind")))}
+    near["r"] = F.struct(F.lead("one").over(along).alias("one"), F.lead("behind").over(along).alias("behind"), F.lead("one", 2).over(along).alias("after"), F.col("behind").alias("ahead"))
+    met = own.select("source_id", "ends", *[c.alias(n) for n, c in near.items()]).select("source_id", F.explode("ends").alias("e"), "l", "r").select("source_id", "e.*", "l", "r")
+    pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    rows = met.groupBy("source_id", "deletion_id", "d_start", "d_end").agg(pick("l", 0).alias("l"), pick("r", 1).alias("r"), pick("l", 1).alias("inner"))
     cuts = F.coalesce(F.col("l.one.end") > F.col("d_start"), F.lit(False)) | F.coalesce(F.col("inner.one.end") > F.col("d_end"), F.lit(False))
     said = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
     # The trivia beside the deletion, as far as the deletion leaves it; at an end of the text it is that of the only neighbour.
-    rest = F.when(F.col("l").isNull(), F.lit(b"")).otherwise(F.substring(said("l.one.behind"), F.lit(1), (F.col("d_start") - F.col("l.one.end")).cast("int")))
-    left = F.concat(said("l.before.text"), said("l.before.behind"), said("l.one.text"), rest)
+    rest = F.when(F.col("l").isNull(), F.lit(b"")).otherwise(F.substring(said("l.behind"), F.lit(1), (F.col("d_start") - F.col("l.one.end")).cast("int")))
+    left = F.concat(said("l.b.text"), said("l.b_behind"), said("l.one.text"), rest)
     gap = (F.col("r.one.start") - F.col("d_end")).cast("int")
-    head = F.when(F.col("r").isNull(), F.lit(b"")).otherwise(F.substring(said("r.one.ahead"), F.octet_length("r.one.ahead") - gap + 1, gap))
-    right = F.concat(head, said("r.one.text"), said("r.one.behind"), said("r.after.text"))
-    names = ("l.before", "l.one", "r.one", "r.after")
+    head = F.when(F.col("r.one").isNull(), F.lit(b"")).otherwise(F.substring(said("r.ahead"), F.octet_length("r.ahead") - gap + 1, gap))
+    right = F.concat(head, said("r.one.text"), F.when(F.col("r.one").isNull(), F.lit(b"")).otherwise(said("r.behind")), said("r.after.text"))
+    names = ("l.b", "l.one", "r.one", "r.after")
     kept = lambda what: F.array_compact(F.array(*[F.col(f"{n}.{what}") for n in names]))
     return rows.select("source_id", "deletion_id", cuts.alias("cuts"), left.alias("left"), right.alias("right"), kept("kind").alias("kinds"), kept("text").alias("texts"))
 
@@ -335,17 +335,13 @@ def repaired(tokens: DataFrame, elements: DataFrame) -> DataFrame:
     """The elements of elements (source_id, list_id, i, start, end, kept) that have to stay, kept ones first: kept is true for all of them.
 
     Dropped elements beside each other go as one deletion, with what lies between. A deletion that disturbs a token beside
-    it is taken back in the next wave, all of its elements, until none does: kept elements only grow, so that it ends.
+    it is taken back, all of its elements. Whether one disturbs follows from the tokens and its own range alone, and what
+    is taken back bounds the other ranges as before, so that no second wave can find another one.
     """
-    tokens, state = written(tokens), written(elements.select("source_id", "list_id", "i", "start", "end", "kept"))
-    while True:
-        order = Window.partitionBy("source_id", "list_id").orderBy("i")
-        run = F.sum(F.col("kept").cast("long")).over(order)
-        dropped = state.withColumn("run", run).where("not kept")
-        runs = dropped.groupBy("source_id", "list_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        runs = written(runs.withColumn("deletion_id", F.struct("list_id", "run")))
-        bad = disturbing(tokens, runs).select("source_id", "deletion_id.list_id", "deletion_id.run")
-        back = written(dropped.join(bad, ["source_id", "list_id", "run"]).select("source_id", "list_id", "i", F.lit(True).alias("back")))
-        if back.isEmpty():
-            return state.where("kept")
-        state = written(state.join(back, ["source_id", "list_id", "i"], "left").withColumn("kept", F.col("kept") | F.coalesce("back", F.lit(False))).drop("back"))
+    state = written(elements.select("source_id", "list_id", "i", "start", "end", "kept"))
+    order = Window.partitionBy("source_id", "list_id").orderBy("i")
+    dropped = state.withColumn("run", F.sum(F.col("kept").cast("long")).over(order)).where("not kept")
+    runs = dropped.groupBy("source_id", "list_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    bad = disturbing(tokens, runs.withColumn("deletion_id", F.struct("list_id", "run"))).select("source_id", "deletion_id.list_id", "deletion_id.run")
+    back = dropped.join(bad, ["source_id", "list_id", "run"], "left_semi").withColumn("kept", F.lit(True))
+    return state.where("kept").unionByName(back.select(*state.columns))

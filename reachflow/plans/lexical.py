@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachflow.operators import lexing
 from reachflow.plans.registered import query
 from reachflow.sources.relations import table
+from reachflow.sources.scratch import written
 
 _HIGH = r"[^\x00-\x7F]"
 _STRING, _BLOCK = r'"(?:[^"\\]|\\[\x00-\x{10FFFF}])*"', r"/\*(?:[^*]|\*+[^*/])*\*+/"
@@ -106,7 +107,7 @@ bad AS (SELECT source_id, k, s FROM glued WHERE list_filter(got, lambda t: NOT r
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, k::INT AS deletion_id FROM bad")
 def x6_disturbing_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which deletions of every fifth space of each document change a token beside them."""
-    tokens = lexing.tokens(_sources(spark, sf_dir, "documents"))
+    tokens = written(lexing.tokens(_sources(spark, sf_dir, "documents")).select("source_id", "start", "end", "kind", "text"))
     deletions = _space_elements(tokens).where("not kept").select("source_id", F.col("i").alias("deletion_id"), "start", "end")
     return lexing.disturbing(tokens, deletions)
 
@@ -114,7 +115,7 @@ def x6_disturbing_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, count(*) FILTER (k % 5 > 0 OR (source_id, k) IN (SELECT source_id, k FROM bad)) AS n_kept, count(*) AS n FROM spaces GROUP BY 1")
 def e9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many spaces of each document stay, if dropping every fifth must leave all other tokens as they are."""
-    tokens = lexing.tokens(_sources(spark, sf_dir, "documents"))
+    tokens = written(lexing.tokens(_sources(spark, sf_dir, "documents")).select("source_id", "start", "end", "kind", "text"))
     elements = _space_elements(tokens)
     kept = lexing.repaired(tokens, elements).groupBy("source_id").agg(F.count("*").alias("n_kept"))
     return elements.groupBy("source_id").agg(F.count("*").alias("n")).join(kept, "source_id", "left").select("source_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "n")

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from reachflow.operators import rewriting
+from reachflow.operators import lexing, rewriting
 
 
 def test_long_lists_take_linear_time(spark):
@@ -16,3 +16,12 @@ def test_long_lists_take_linear_time(spark):
     found = rewriting.list_deletions(rows, F.col("i") >= n - 2).orderBy("start").collect()
     assert [(r["start"], r["end"]) for r in found] == [(2 * n - 5, 2 * n - 3), (2 * n - 3, 2 * n - 1)]
     assert time.time() - began < 60
+
+
+def test_deletions_in_long_texts_take_linear_time(spark):
+    n = 30_000
+    tokens = lexing.tokens(spark.createDataFrame([(1, "a b " * n)], "source_id long, text string"))
+    gone = tokens.where("kind = 'space' and start % 20 = 1").select("source_id", F.col("start").alias("deletion_id"), "start", "end")
+    began = time.time()
+    assert lexing.disturbing(tokens, gone).count() == n // 5
+    assert time.time() - began < 40
