@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def set_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The rows of one side only, as side `missing` (expected only) or `extra`; rows count once, nulls are equal."""
-    return expected.distinct().exceptAll(actual.distinct()).withColumn("side", F.lit("missing")).unionByName(actual.distinct().exceptAll(expected.distinct()).withColumn("side", F.lit("extra")))
+    named = expected.withColumn("d_side", F.lit(1)).unionByName(actual.withColumn("d_side", F.lit(2)))
+    sides = named.groupBy(*expected.columns).agg(F.min("d_side").alias("d_least"), F.max("d_side").alias("d_most")).where("d_least = d_most")
+    return sides.select(*expected.columns, F.when(F.col("d_least") == 1, "missing").otherwise("extra").alias("side"))
 
 
 def map_difference(expected: DataFrame, actual: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -26,10 +28,15 @@ def first_difference(differences: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def graph_difference(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
-    """part, key, side over roots, then nodes, then edges, each a table with a column key; order by rank, key for the first."""
+    """part, key, side over roots, then nodes, then edges, each a table with a column key; order by rank, key for the first.
+
+    Keys of different kinds are compared as they are, and become JSON in the result.
+    """
     out = None
+    mixed = len({t[part].schema["key"].dataType.simpleString() for t in (expected, actual) for part in ("roots", "nodes", "edges")}) > 1
+    key = F.to_json(F.struct("key")).alias("key") if mixed else F.col("key")
     for rank, part in enumerate(("roots", "nodes", "edges")):
-        rows = set_difference(expected[part].select("key"), actual[part].select("key")).select(F.lit(rank).alias("rank"), F.lit(part).alias("part"), "key", "side")
+        rows = set_difference(expected[part].select("key"), actual[part].select("key")).select(F.lit(rank).alias("rank"), F.lit(part).alias("part"), key, "side")
         out = rows if out is None else out.unionByName(rows)
     return out
 
