@@ -13,6 +13,7 @@ from reachflow.operators import checks, choice, closure, diffs, gates, groups, o
 from reachflow.operators.components import connected_components
 from reachflow.plans.registered import oracle_sql, queries, query  # noqa: F401
 from reachflow.sources.relations import CHAIN_SQL, EDGES_SQL, LINES_SQL, TABLE_SQL, key_edges, lines, node, table, table_of, user_chain
+from reachflow.sources.scratch import written
 
 # Reachability and fixed points.
 
@@ -262,7 +263,7 @@ def j21_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_counts(of: DataFrame) -> DataFrame:
-    rows = of.distinct().withColumnRenamed("k", "source_id")
+    rows = written(of.distinct().withColumnRenamed("k", "source_id"))
     return spans.overlapping(rows, rows).groupBy(F.col("source_id").alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -277,9 +278,10 @@ def j7_exact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT DISTINCT p_brand, p_type, p_size, p_partkey FROM part) SELECT a.p_partkey AS part_key, count(*) AS n_earlier FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND b.p_partkey < a.p_partkey GROUP BY 1")
 def j23_earlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part, the earlier ones of its brand and size (equal keys and an inequality)."""
-    a = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    b = a.select(F.col("p_partkey").alias("b_key"), "p_brand", "p_size")
-    return a.join(b, ["p_brand", "p_size"]).where("b_key < p_partkey").groupBy(F.col("p_partkey").alias("part_key")).agg(F.count("*").alias("n_earlier"))
+    # How many keys are smaller is the rank less one; the pairs themselves would grow with the square of the groups.
+    rows = table(spark, sf_dir, "part").where("p_brand is not null and p_size is not null and p_partkey is not null")
+    before = (F.rank().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")) - 1).cast("long")
+    return rows.select(F.col("p_partkey").alias("part_key"), before.alias("n")).where("n > 0").groupBy("part_key").agg(F.sum("n").alias("n_earlier"))
 
 
 @query("SELECT 'with' AS side, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'without', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -490,8 +492,7 @@ def d3_graph_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "orders").select(F.struct(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")).alias("key"))
     first = {"roots": customers, "nodes": orders.where("key % 13 <> 0"), "edges": edges.where("key.src % 5 <> 0")}
     second = {"roots": customers.where("key % 19 <> 0"), "nodes": orders.where("key % 11 <> 0"), "edges": edges.where("key.src % 7 <> 0")}
-    named = [{part: rows.select(F.to_json(F.struct("key")).alias("key")) for part, rows in graph.items()} for graph in (first, second)]
-    return diffs.graph_difference(*named).groupBy("part").agg(F.count("*").alias("n"), F.min("side").alias("first_side"))
+    return diffs.graph_difference(first, second).groupBy("part").agg(F.count("*").alias("n"), F.min("side").alias("first_side"))
 
 
 @query("SELECT l_suppkey AS supplier_key, l_partkey AS part_key, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'N') m WHERE NOT EXISTS (SELECT 1 FROM lineitem u WHERE u.l_returnflag = 'R' AND u.l_suppkey = m.l_suppkey AND u.l_partkey = m.l_partkey AND u.l_linestatus = m.l_linestatus) GROUP BY 1, 2")
