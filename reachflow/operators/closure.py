@@ -88,7 +88,7 @@ def nearest_ancestor(forest: DataFrame, matches: Column, include_self: bool = Fa
             break
         # A jump goes from what is looked at to what that one looks at; from a node whose own search ended to its parent's.
         jump = state.select(F.col("node").alias("j"), F.col("ptr").alias("j_ptr"), F.col("distance").alias("j_distance"), F.col("hit").alias("j_hit"), F.col("done").alias("j_done"))
-        moved = state.join(jump, (F.col("ptr") == F.col("j")) & ~F.col("done"), "left")
+        moved = state.join(jump.hint("merge"), (F.col("ptr") == F.col("j")) & ~F.col("done"), "left")  # a broadcast would pass the state through the driver each round
         go = ~F.col("done") & F.col("j").isNotNull()
         state = moved.select(
             "node",
@@ -119,15 +119,20 @@ def flag_closure(forest: DataFrame, flag: Column) -> DataFrame:
     the rounds end once they cover all nodes.
     """
     down = nearest_ancestor(forest, flag, include_self=True).select("node", F.col("ancestor").isNotNull().alias("below"))
-    state = written(forest.select("node", F.col("parent").alias("ptr"), F.coalesce(flag, F.lit(False)).alias("above")))
+    return down.join(flags_above(forest.select("node", "parent", F.coalesce(flag, F.lit(False)).alias("above")), ["above"]), "node")
+
+
+def flags_above(forest: DataFrame, flags: list[str]) -> DataFrame:
+    """node and flags: each of the flags (columns of forest, not null) is true where it is for the node or a descendant."""
+    state = written(forest.select("node", F.col("parent").alias("ptr"), *flags))
     for _ in range(state.count().bit_length() + 1):
         if state.where("ptr is not null").isEmpty():
             break
-        told = state.where("above and ptr is not null").select(F.col("ptr").alias("node"), F.lit(True).alias("told")).distinct()
-        jump = state.select(F.col("node").alias("j"), F.col("ptr").alias("j_ptr"))
+        told = state.where(F.col("ptr").isNotNull() & reduce(Column.__or__, [F.col(f) for f in flags])).groupBy(F.col("ptr").alias("node")).agg(*[F.bool_or(f).alias(f"t_{f}") for f in flags])
+        jump = state.where("ptr is not null").select(F.col("node").alias("j"), F.col("ptr").alias("j_ptr"))
         moved = state.join(told, "node", "left").join(jump, F.col("ptr") == F.col("j"), "left")
-        state = written(moved.select("node", F.col("j_ptr").alias("ptr"), (F.col("above") | F.coalesce("told", F.lit(False))).alias("above")))
-    return down.join(state.select("node", "above"), "node")
+        state = written(moved.select("node", F.col("j_ptr").alias("ptr"), *[(F.col(f) | F.coalesce(f"t_{f}", F.lit(False))).alias(f) for f in flags]))
+    return state.select("node", *flags)
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

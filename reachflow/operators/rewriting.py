@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from reachflow.functions.text import joined_in_order
 from reachflow.operators import spans
-from reachflow.operators.closure import flag_closure
-from reachflow.sources.scratch import written
+from reachflow.operators.closure import flags_above
+from reachflow.sources.scratch import keyed, written
 
 
 def frontier(units: DataFrame, kept: DataFrame, managed: list[str]) -> DataFrame:
@@ -43,12 +43,16 @@ def nested_deletions(elements: DataFrame, kept: DataFrame) -> DataFrame:
     An element goes as a whole if it holds leaves and none of kept (node); one that keeps some is cut inside, and one
     without leaves stays. Levels are found by doubling, whatever their number.
     """
-    marked = elements.join(kept.select("node", F.lit(True).alias("kept")).distinct(), "node", "left")
-    forest = written(marked.select("node", "parent", "leaf", (F.col("leaf") & F.coalesce("kept", F.lit(False))).alias("stays")))
-    any_leaf = flag_closure(forest, F.col("leaf")).where("above").select("node")
-    any_kept = flag_closure(forest, F.col("stays")).where("above").select("node")
-    gone = written(any_leaf.join(any_kept, "node", "left_anti"))
-    cut = elements.join(gone, "node", "left_semi").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    marked = elements.join(kept.select("node", F.lit(True).alias("stays")).distinct(), "node", "left")
+    marked = keyed(marked.withColumn("stays", F.col("leaf") & F.coalesce("stays", F.lit(False))), "node")
+    # Elements tell the ones around them once; what has something within it is few, and levels are looked for among that alone.
+    told = marked.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.bool_or("leaf").alias("t_leaf"), F.bool_or("stays").alias("t_stays"))
+    around = marked.select("node", "parent", "leaf", "stays").join(told, "node")
+    around = around.select("node", "parent", (F.col("leaf") | F.col("t_leaf")).alias("n_leaf"), (F.col("stays") | F.col("t_stays")).alias("n_stays"))
+    around = written(flags_above(around, ["n_leaf", "n_stays"]))
+    state = marked.join(around, "node", "left")
+    gone = state.where(F.coalesce("n_leaf", "leaf") & ~F.coalesce("n_stays", "stays")).select(*elements.columns)
+    cut = gone.join(around.where("n_leaf and not n_stays").select(F.col("node").alias("parent")), "parent", "left_anti")
     start = F.when(F.col("behind").isNull(), F.coalesce("ahead", "start")).otherwise(F.col("start"))
     return cut.select("source_id", start.alias("start"), F.coalesce("behind", "end").alias("end"))
 
