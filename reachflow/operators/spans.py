@@ -1,8 +1,8 @@
 """Half-open spans of byte offsets: containment, innermost owners, coalescing, complements, runs and coordinate maps.
 
 Spans stand in columns `start` and `end`, per source in `source_id`. Range joins go by equal keys: a container is dealt
-to the dyadic cells that it covers best, a point looks up its own cell of each size, so that neither side multiplies by
-more than twice the logarithm of the longest span, however long single spans are.
+to the one or two dyadic cells of its size that cover it, a point looks up its own cell of each size that containers
+have, so that the sides multiply by two and by the logarithm of the longest span, however long single spans are.
 """
 
 from __future__ import annotations
@@ -10,27 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells have sizes of 2**0, 2**SHIFT, 2**(2 * SHIFT) ... bytes, up to 2**40.
+from reachflow.sources.scratch import written
+
+#: Cells have sizes of 2**SHIFT, 2**(2 * SHIFT) ... bytes, up to 2**40.
 SHIFT, LARGEST = 4, 40
 
 
+def _size(start: Column, end: Column) -> Column:
+    """The least size, as a power of two, of cells of which two cover the span."""
+    width, size = end - start, F.lit(LARGEST)
+    for k in range(LARGEST - SHIFT, 0, -SHIFT):
+        size = F.when(width <= F.lit(1 << k), k).otherwise(size)
+    return size
+
+
 def _cells(start: Column, end: Column) -> Column:
-    """The (size, cell) pairs, at most 2**SHIFT + 2 of one size, that together cover [start, end)."""
-    width = F.greatest(end - start, F.lit(1))
-    size = F.lit(0)
-    for k in range(SHIFT, LARGEST + 1, SHIFT):
-        size = F.when(width >= F.lit(1 << k), F.lit(k)).otherwise(size)
-    # shiftright takes a literal; the size is one of few
-    low = high = None
-    for k in range(0, LARGEST + 1, SHIFT):
-        low = F.when(size == k, F.shiftright(start, k)) if low is None else low.when(size == k, F.shiftright(start, k))
-        high = F.when(size == k, F.shiftright(F.greatest(end - 1, start), k)) if high is None else high.when(size == k, F.shiftright(F.greatest(end - 1, start), k))
+    """The (size, cell) pairs, at most two unless a span is longer than the largest cell, that cover [start, end], its end included."""
+    size = _size(start, end)
+    low, high = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    for k in range(SHIFT, LARGEST + 1, SHIFT):  # shiftright takes a literal; the size is one of few
+        low = F.when(size == k, F.shiftright(start.cast("bigint"), k)).otherwise(low)
+        high = F.when(size == k, F.shiftright(F.greatest(end, start).cast("bigint"), k)).otherwise(high)
     return F.transform(F.sequence(low, high), lambda c: F.struct(size.cast("int").alias("size"), c.alias("cell")))
 
 
-def _points(at: Column) -> Column:
+def _sizes(spans: DataFrame, start: str = "start", end: str = "end") -> list[int]:
+    """The few sizes of cells that the spans are dealt to; points look up no others."""
+    found = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(_size(F.col(start), F.col(end)).alias("size")).distinct()
+    return sorted(r["size"] for r in found.collect())
+
+
+def _points(at: Column, sizes: list[int]) -> Column:
     """The (size, cell) pairs of one offset."""
-    return F.array(*[F.struct(F.lit(k).cast("int").alias("size"), F.shiftright(at, k).alias("cell")) for k in range(0, LARGEST + 1, SHIFT)])
+    return F.array(*[F.struct(F.lit(k).cast("int").alias("size"), F.shiftright(at.cast("bigint"), k).alias("cell")) for k in sizes or [SHIFT]])
 
 
 def containing(inner: DataFrame, outer: DataFrame, prefix: str = "o_") -> DataFrame:
@@ -40,7 +52,7 @@ def containing(inner: DataFrame, outer: DataFrame, prefix: str = "o_") -> DataFr
     """
     o = outer.select([F.col(c).alias(prefix + c) for c in outer.columns])
     o = o.withColumn(prefix + "at", F.explode(_cells(F.col(prefix + "start"), F.col(prefix + "end"))))
-    i = inner.withColumn("i_at", F.explode(_points(F.col("start"))))
+    i = inner.withColumn("i_at", F.explode(_points(F.col("start"), _sizes(outer))))
     on = (F.col("source_id") == F.col(prefix + "source_id")) & (F.col("i_at") == F.col(prefix + "at"))
     within = (F.col(prefix + "start") <= F.col("start")) & (F.col("end") <= F.col(prefix + "end"))
     return i.join(o, on & within).drop("i_at", prefix + "at")
@@ -51,8 +63,8 @@ def overlapping(left: DataFrame, right: DataFrame, prefix: str = "o_") -> DataFr
     r = right.select([F.col(c).alias(prefix + c) for c in right.columns])
     a, b = (F.col("start"), F.col("end")), (F.col(prefix + "start"), F.col(prefix + "end"))
     same = F.col("source_id") == F.col(prefix + "source_id")
-    l1, r1 = left.withColumn("l_at", F.explode(_points(a[0]))), r.withColumn("r_at", F.explode(_cells(*b)))
-    l2, r2 = left.withColumn("l_at", F.explode(_cells(*a))), r.withColumn("r_at", F.explode(_points(b[0])))
+    l1, r1 = left.withColumn("l_at", F.explode(_points(a[0], _sizes(right)))), r.withColumn("r_at", F.explode(_cells(*b)))
+    l2, r2 = left.withColumn("l_at", F.explode(_cells(*a))), r.withColumn("r_at", F.explode(_points(b[0], _sizes(left))))
     first = l1.join(r1, same & (F.col("l_at") == F.col("r_at")) & (b[0] <= a[0]) & (a[0] < b[1]) & (a[0] < a[1]))
     second = l2.join(r2, same & (F.col("l_at") == F.col("r_at")) & (a[0] < b[0]) & (b[0] < a[1]) & (b[0] < b[1]))
     return first.unionByName(second).drop("l_at", "r_at")
@@ -161,13 +173,13 @@ def child_containing(ranges: DataFrame, children: DataFrame) -> tuple[DataFrame,
     ranges (source_id, range_id, start, end), children (source_id, child_id, start, end); a range without a child has no row.
     """
     pairs = containing(ranges, children)
-    size = F.col("o_end") - F.col("o_start")
-    best = pairs.groupBy("source_id", "range_id").agg(F.min(F.struct(size.alias("n"), F.col("o_child_id").alias("child_id"))).alias("best"), F.min(size).alias("least"))
-    shortest = pairs.join(best.select("source_id", "range_id", "least"), ["source_id", "range_id"]).where(size == F.col("least"))
-    ties = shortest.groupBy("source_id", "range_id").agg(F.count_distinct("o_child_id").alias("n")).where("n > 1").select("source_id", "range_id", F.lit("tie").alias("why"))
+    size, child = F.col("o_end") - F.col("o_start"), F.col("o_child_id").alias("child_id")
+    ends = F.min(F.struct(size.alias("n"), child)).alias("best"), F.max(F.struct((-size).alias("n"), child)).alias("last")
+    best = written(pairs.groupBy("source_id", "range_id").agg(*ends).select("source_id", "range_id", F.col("best.child_id").alias("child_id"), F.col("last.child_id").alias("last")))
+    ties = best.where("child_id < last").select("source_id", "range_id", F.lit("tie").alias("why"))
     met = overlapping(ranges, children).where("not (o_start <= start and end <= o_end) and not (start <= o_start and o_end <= end)")
     partial = met.select("source_id", "range_id", F.lit("partial").alias("why")).distinct()
-    return best.select("source_id", "range_id", F.col("best.child_id").alias("child_id")), ties.unionByName(partial)
+    return best.select("source_id", "range_id", "child_id"), ties.unionByName(partial)
 
 
 def site_retained(owners: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:

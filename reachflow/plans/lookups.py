@@ -9,6 +9,7 @@ from reachflow.operators import closure, ordinals, rewriting, spans
 from reachflow.operators.retention import Facts, retained
 from reachflow.plans.registered import query
 from reachflow.sources.relations import EDGES_SQL, LINES_SQL, TABLE_SQL, key_edges, lines, node, table, table_of
+from reachflow.sources.scratch import written
 
 _WORDS_SQL = f"""{LINES_SQL}, w0 AS (SELECT source_id, line, start, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM lines),
 words AS (SELECT source_id, line, i, w, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 - strlen(w) AS BIGINT) AS ws, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 AS BIGINT) AS we FROM w0)"""
@@ -55,7 +56,7 @@ def j9_child_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def children_containing(of: DataFrame) -> DataFrame:
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400).cast("long")
-    periods = of.select(F.col("l_suppkey").alias("source_id"), day.alias("start"), (day + F.col("l_linenumber")).alias("end")).distinct()
+    periods = written(of.select(F.col("l_suppkey").alias("source_id"), day.alias("start"), (day + F.col("l_linenumber")).alias("end")).distinct())
     children = periods.withColumn("child_id", F.col("start") * 100 + F.col("end") - F.col("start"))
     ranges = periods.select("source_id", F.col("start").alias("range_id"), "start", (F.col("start") + 2).alias("end")).distinct()
     best, wrong = spans.child_containing(ranges, children)
