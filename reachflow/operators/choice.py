@@ -31,6 +31,26 @@ def cheapest(choices: DataFrame, rank: list[str]) -> DataFrame:
     return choices.withColumn("turn", turn).where("turn = 1").select("disj", "item")
 
 
+def shared_cheapest(choices: DataFrame, members: DataFrame, offers: DataFrame, rank: list[str]) -> DataFrame:
+    """disj, item: cheapest() of the choices and of the lists that disjunctions share: members (disj, list), offers (list, item and rank).
+
+    A list is ranked once, whoever asks for it; nothing has a row for each disjunction and item of its lists.
+    """
+    turn = F.row_number().over(Window.partitionBy("list").orderBy(*rank, "item"))
+    best = offers.select("list", "item", *rank).withColumn("turn", turn).where("turn = 1").drop("turn")
+    return cheapest(choices.select("disj", "item", *rank).union(members.join(best, "list").select("disj", "item", *rank)), rank)
+
+
+def shared_links(choices: DataFrame, members: DataFrame, offers: DataFrame, picks: DataFrame, kept: DataFrame) -> DataFrame:
+    """disj, item: the choices, and of shared lists all that a wave can tell apart: what anyone may pick, and one kept item.
+
+    Any kept item serves all that ask for its list, so that the others of the list don't matter then.
+    """
+    there = offers.join(kept.select("item").distinct(), "item", "left_semi").groupBy("list").agg(F.min("item").alias("item"))
+    wanted = offers.join(picks.select("item").distinct(), "item", "left_semi").select("list", "item").distinct().join(there, "list", "left_anti")
+    return choices.select("disj", "item").union(members.join(there.union(wanted), "list").select("disj", "item"))
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """disj, pick of those that pick; rows are links in order of disj, and all of a disjunction's follow each other."""
     made, now, pick, woken, served = set(), None, None, False, False
@@ -133,14 +153,24 @@ def chosen(disjunctions: DataFrame, choices: DataFrame, rank: list[str], kept: D
         number += 1
 
 
-def mixed(disjunctions: DataFrame, choices: DataFrame, rank: list[str], units: DataFrame, nodes: DataFrame) -> DataFrame:
+def mixed(disjunctions: DataFrame, choices: DataFrame, rank: list[str], units: DataFrame, nodes: DataFrame, shared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """disj, domain, item: one wave whose choices are units (domain `unit`) or nodes (`node`), which may have equal numbers.
 
     disjunctions (disj, trigger: a node; those without one are always awake), choices (disj, domain, item and columns of
     rank), units (unit) and nodes (node) that are there. Both kinds share one space of numbers while the wave runs.
+    shared: members (disj, list) and offers (list, domain, item and rank), more choices of disjunctions with equal lists.
     """
-    coded = written(choices.withColumn("item", F.col("item") * 2 + (F.col("domain") == "node").cast("int")))
+    coded = written(_coded(choices))
     asks = disjunctions.select("disj", (F.col("trigger") * 2 + 1).alias("trigger"))
     there = units.select((F.col("unit") * 2).alias("item")).union(nodes.select(F.col("node") * 2 + 1))
-    found = wave(asks, coded.select("disj", "item"), cheapest(coded, rank), there)
+    links, picks = coded.select("disj", "item"), cheapest(coded, rank)
+    if shared:
+        members, offers = shared[0], written(_coded(shared[1]))
+        picks = written(shared_cheapest(coded, members, offers, rank))
+        links = written(shared_links(coded, members, offers, picks, there))
+    found = wave(asks, links, picks, there)
     return found.select("disj", F.when(F.col("item") % 2 == 1, "node").otherwise("unit").alias("domain"), F.expr("(item - pmod(item, 2)) div 2").alias("item"))
+
+
+def _coded(choices: DataFrame) -> DataFrame:
+    return choices.withColumn("item", F.col("item") * 2 + (F.col("domain") == "node").cast("int"))

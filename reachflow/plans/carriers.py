@@ -20,11 +20,12 @@ def c2_mixed_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers pick a supplier of their nation or the nation itself, whichever costs less; two of three wait for a nation to be picked."""
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     key = F.col("c_custkey").cast("long").alias("disj")
-    units = customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey")).select(key, F.lit("unit").alias("domain"), F.col("s_suppkey").cast("long").alias("item"), F.col("s_acctbal").alias("cost"))
-    choices = units.union(customer.select(key, F.lit("node"), F.col("c_nationkey").cast("long"), "c_acctbal"))
+    choices = customer.select(key, F.lit("node").alias("domain"), F.col("c_nationkey").cast("long").alias("item"), F.col("c_acctbal").alias("cost"))
+    offers = supplier.select(F.col("s_nationkey").cast("long").alias("list"), F.lit("unit").alias("domain"), F.col("s_suppkey").cast("long").alias("item"), F.col("s_acctbal").alias("cost"))
+    members = customer.select(key, F.col("c_nationkey").cast("long").alias("list"))
     asks = customer.select(key).select("disj", F.when(F.col("disj") % 3 > 0, F.col("disj") * 7 % 25).alias("trigger"))
     there = supplier.where("s_suppkey % 50 = 0").select(F.col("s_suppkey").cast("long").alias("unit"))
-    found = choice.mixed(asks, choices, ["cost"], there, choices.select(F.col("item").alias("node")).limit(0))
+    found = choice.mixed(asks, choices, ["cost"], there, choices.select(F.col("item").alias("node")).limit(0), (members, offers))
     return found.select(F.col("disj").alias("cust_key"), "domain", "item")
 
 

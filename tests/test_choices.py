@@ -63,3 +63,27 @@ def test_nothing_to_choose(spark):
     assert run(spark, [], [], {}, [], 10) == []
     assert run(spark, [(1, None)], [(1, 5)], {1: 5}, [5], 10) == []
     assert run(spark, [(1, 5), (2, None)], [(1, 7), (2, 5)], {1: 7, 2: 5}, [], 10) == [(2, 5)]  # its trigger comes too late
+
+
+def test_shared_lists_are_choices(spark):
+    """Lists that disjunctions share give the picks of all pairs, and have no row for each pair."""
+    rng = random.Random(3)
+    asks = [(d, rng.choice([None, rng.randrange(12)])) for d in range(300)]
+    own = [(d, rng.choice(["unit", "node"]), rng.randrange(12), rng.randrange(40)) for d in range(300) if d % 3]
+    offers = [(k, rng.choice(["unit", "node"]), rng.randrange(60), rng.randrange(40)) for k in range(12) for _ in range(25)]
+    members = [(d, rng.randrange(12)) for d in range(300) if d % 5]
+    every = own + [(d, kind, item, cost) for d, k in members for of, kind, item, cost in offers if of == k]
+    asks, own, every = spark.createDataFrame(asks, "disj long, trigger long"), spark.createDataFrame(own, "disj long, domain string, item long, cost long"), spark.createDataFrame(every, "disj long, domain string, item long, cost long")
+    members, offers = spark.createDataFrame(members, "disj long, list long"), spark.createDataFrame(offers, "list long, domain string, item long, cost long")
+    for units in ([], [(3,), (7,)]):
+        there = spark.createDataFrame(units, "unit long"), spark.createDataFrame([(5,)], "node long")
+        got = sorted(map(tuple, choice.mixed(asks, own, ["cost"], *there, (members, offers)).collect()))
+        assert got and got == sorted(map(tuple, choice.mixed(asks, every, ["cost"], *there).collect()))
+
+
+def test_lists_are_not_spread(spark):
+    none = spark.createDataFrame([], "disj long, item long, cost long")
+    members, offers = spark.range(20_000).selectExpr("id AS disj", "id % 2 AS list"), spark.range(20_000).selectExpr("id % 2 AS list", "id AS item", "id AS cost")
+    picks = choice.shared_cheapest(none, members, offers, ["cost"])
+    links = choice.shared_links(none, members, offers, picks, spark.createDataFrame([(19_998,)], "item long"))
+    assert sorted(map(tuple, links.groupBy("item").count().collect())) == [(1, 10_000), (19_998, 10_000)]
