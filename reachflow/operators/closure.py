@@ -2,14 +2,16 @@
 
 Edges are written once, in buckets of the end that rounds look up. Each round writes what is new (scratch.Rounds) and
 ends by one emptiness test, so that the lineage stays short and a lost executor costs one round at most. Rounds follow
-the depth of the graph in reachability, levels and least paths; forests take the logarithm of it.
+the depth of the graph in reachability and levels; forests take the logarithm of it.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from reachflow.sources.scratch import Rounds, keyed, narrow, written
 
 #: Edges of a weak component whose strong ones a task may find by itself: some hundred MB of Python objects.
 TASK_EDGES = 500_000
+#: Labels of paths in one batch of rows that a task hands on.
+PATH_LABELS = 1_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -152,18 +156,23 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done.every().unionByName(lacking.where("n > 0").select("node", F.lit(None).cast("int").alias("level")))
 
 
-def _components_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, component of the strong components of more than one node; rows (weak, src, dst) are sorted by weak, and one weak component is held at a time."""
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each weak component, one at a time; rows are sorted by weak."""
     held, at = [], None
     for batch in batches:
         for weak, rows in batch.groupby("weak"):
             if held and weak != at:
-                yield _of_one(pd.concat(held))
+                yield pd.concat(held)
                 held = []
             held.append(rows)
             at = weak
     if held:
-        yield _of_one(pd.concat(held))
+        yield pd.concat(held)
+
+
+def _components_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, component of the strong components of more than one node; rows (weak, src, dst) are sorted by weak, and one weak component is held at a time."""
+    yield from map(_of_one, _whole(batches))
 
 
 def _of_one(edges: pd.DataFrame) -> pd.DataFrame:
@@ -312,22 +321,91 @@ def parent_unions(local: DataFrame, parents: DataFrame, unions: DataFrame) -> tu
     return roots, new_parents, wanted.where("not good").select("union_id")
 
 
-def least_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, path: the least path (shorter labels' arrays first in lexicographic order) that leads from a root to each node.
+def least_paths(edges: DataFrame, roots: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, path: the least path (arrays of labels in lexicographic order, a prefix first) that leads from a root to each node.
 
-    edges (src, dst, label). Relaxation goes on while a path becomes less. A least path passes no node twice, so that
-    it takes fewer rounds than there are nodes; if more are needed, labels below those of a prefix make a cycle less
-    with each turn, which is an error. Equal paths to one node count once; null ends and labels are left out.
+    edges (src, dst, label). A path is always greater than its prefixes, so that the least paths are those of a search that
+    goes down by ascending labels. Weak components of at most task_edges edges are searched within a task each. Of larger
+    ones only what the roots reach is left, and what still is larger is relaxed, in as many rounds as the longest path has
+    labels. Equal paths to one node count once; null ends and labels are left out.
+    """
+    tops = written(roots.select("node").distinct())
+    live = written(edges.where("src is not null and dst is not null and label is not null").select("src", "dst", F.col("label").cast("long").alias("label")).distinct())
+    few, rest = _dealt_by_size(live, tops, task_edges)
+    parts = [few]
+    if rest is not None:
+        reached = reachable(rest, tops.join(rest.select(F.col("src").alias("node")), "node", "left_semi"))
+        few, rest = _dealt_by_size(narrow(rest.join(reached.withColumnRenamed("node", "src"), "src", "left_semi")), tops, task_edges)
+        parts.append(few)
+    kind = live.schema["dst"].dataType.simpleString()
+    found = [p.repartition("weak").sortWithinPartitions("weak").mapInPandas(_paths_of_task, f"node {kind}, path array<long>") for p in parts]
+    if rest is not None:
+        found.append(_relaxed(rest, tops.join(rest.select(F.col("src").alias("node")), "node", "left_semi")))
+    below = _union(found).join(tops, "node", "left_anti")
+    return tops.select("node", F.array().cast("array<long>").alias("path")).unionByName(below)
+
+
+def _dealt_by_size(edges: DataFrame, tops: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (weak, src, dst, label, root) of weak components with a root and at most task_edges edges, and the edges of larger ones, if any.
+
+    A row with root names a root by both ends.
     """
-    steps = keyed(edges.where("src is not null and dst is not null and label is not null").select(F.col("src").alias("node"), "dst", F.col("label").cast("long").alias("label")), "node")
+    parts = connected_components(edges, "src", "dst")
+    dealt = narrow(edges.join(parts.withColumnRenamed("node", "src").withColumnRenamed("component", "weak"), "src"))
+    starts = written(parts.join(tops, "node", "left_semi").select(F.col("component").alias("weak"), F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("label"), F.lit(True).alias("root")))
+    sizes = narrow(dealt.groupBy("weak").agg(F.count("*").alias("n")).join(starts.select("weak"), "weak", "left_semi"))
+    few = sizes.where(F.col("n") <= task_edges).select("weak")
+    rows = dealt.join(few, "weak", "left_semi").select("weak", "src", "dst", "label", F.lit(False).alias("root")).union(starts.join(few, "weak", "left_semi"))
+    large = sizes.where(F.col("n") > task_edges).select("weak")
+    return rows, None if large.isEmpty() else written(dealt.join(large, "weak", "left_semi").select("src", "dst", "label"))
+
+
+def _paths_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in _whole(batches):
+        yield from _paths_of_one(rows)
+
+
+def _paths_of_one(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """node, path of one weak component: nodes of equal paths are left together, by ascending labels, deeper ones first."""
+    edges, seen = rows[~rows["root"]], set(rows.loc[rows["root"], "src"].tolist())
+    ahead: dict[int, dict[int, list[int]]] = {}
+    for a, label, b in zip(*(edges[c].tolist() for c in ("src", "label", "dst"))):
+        ahead.setdefault(a, {}).setdefault(label, []).append(b)
+
+    def onward(nodes: set[int]) -> Iterator[tuple[int, list[int]]]:
+        found: dict[int, list[int]] = {}
+        for node in nodes:
+            for label, to in ahead.get(node, {}).items():
+                found.setdefault(label, []).extend(to)
+        return iter(sorted(found.items()))
+
+    trail, path, out, held = [onward(set(seen))], array("q"), [], 0
+    while trail:
+        label, to = next(trail[-1], (0, None))
+        if to is None:
+            trail.pop()
+            if trail:
+                path.pop()
+            continue
+        fresh = set(to) - seen
+        if fresh:
+            seen |= fresh
+            path.append(label)
+            out += [(node, np.array(path)) for node in fresh]
+            held += len(path) * len(fresh)
+            trail.append(onward(fresh))
+            if held > PATH_LABELS:
+                yield pd.DataFrame(out, columns=["node", "path"])
+                out, held = [], 0
+    yield pd.DataFrame(out, columns=["node", "path"])
+
+
+def _relaxed(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, path: least_paths() by rounds that try longer paths while any becomes less."""
+    steps = keyed(edges.withColumnRenamed("src", "node"), "node")
     best = written(roots.select("node", F.array().cast("array<long>").alias("path")).distinct())
-    fresh, rounds, most = best, 0, None
+    fresh = best
     while not fresh.isEmpty():
-        rounds += 1
-        if rounds % 64 == 0:  # counted only if there are many rounds
-            most = most or steps.select("node").union(steps.select("dst")).union(best.select("node")).distinct().count()
-            if rounds > most:
-                raise ValueError("paths become less for ever along a cycle")
         tried = steps.join(fresh, "node").groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("label"))).alias("offer"))
         fresh = written(tried.join(best, "node", "left").where("path is null or offer < path").select("node", F.col("offer").alias("path")))
         best = written(best.join(fresh, "node", "left_anti").unionByName(fresh))

@@ -241,3 +241,30 @@ def test_retention_of_macro_groups_and_members(spark):
     assert sorted(map(tuple, kept.picks.collect())) == [("carrier", 161), ("demanded", 90), ("present", 91)]
     opaque = retained(Facts.of(spark, ["cost"], **frames(spark, **base, opaque=[(20,)])))
     assert nodes_in(opaque.units, "unit") == [101, 120, 130, 131, 140, 141]
+
+
+def least_by_rounds(edges, roots):
+    best, moved = {r: () for r in roots}, True
+    while moved:
+        moved = False
+        for a, b, label in edges:
+            if a in best and (b not in best or (*best[a], label) < best[b]):
+                best[b], moved = (*best[a], label), True
+    return best
+
+
+@pytest.mark.parametrize("task_edges", [500_000, 30, 0])
+def test_least_paths_by_tasks_and_rounds(spark, task_edges):
+    """Equal labels, several roots, some of them below others, and parts of the graph that no root reaches."""
+    rng = random.Random(11)
+    edges = [(c * 100 + rng.randrange(16), c * 100 + rng.randrange(16), rng.randrange(3)) for c in range(5) for _ in range(8 + 9 * c)]
+    roots = [0, 100, 103, 200, 301, 305, 999]
+    got = closure.least_paths(spark.createDataFrame(edges, "src long, dst long, label long"), spark.createDataFrame([(r,) for r in roots], "node long"), task_edges)
+    assert {r["node"]: tuple(r["path"]) for r in got.collect()} == least_by_rounds(edges, roots)
+
+
+def test_long_least_paths_need_few_rounds(spark):
+    n = 3000
+    steps = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "1 AS label").union(spark.range(n).selectExpr("0", "id + 1", "id + 2"))
+    found = closure.least_paths(steps, spark.createDataFrame([(0,)], "node long"))
+    assert found.where("size(path) = node").count() == n + 1
