@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachflow.operators.choice import cheapest, lanes, wave
+from reachflow.operators.choice import cheapest, lanes, shared_cheapest, shared_links, wave
 from reachflow.operators.closure import component_facts, strong_components
 from reachflow.operators.network import Network
 from reachflow.sources.scratch import written
@@ -50,6 +50,8 @@ SCHEMAS = {
     "clause_children": "clause long, child long",
     "disjunctions": "disj long, trigger long",
     "choices": "disj long, item long, cost long",
+    "choice_lists": "disj long, list long",
+    "list_offers": "list long, item long, cost long",
     "carrier_disjunctions": "disj long, trigger long",
     "carrier_choices": "disj long, domain string, item long, cost long",
     "member_disjunctions": "disj long, trigger long",
@@ -70,7 +72,8 @@ class Facts:
     A clause holds once a carrier is demanded and it has required children, or is opaque, or one of its other children
     is demanded as a producer or a required child; it demands its required children and its producer, or asks for its
     group. demand_triggers lead from demanded nodes to producers. Choices are between units, carriers (`unit` or
-    `node`) and nodes; the columns of rank order them.
+    `node`) and nodes; the columns of rank order them. Units that many disjunctions have as choices may stand once in a
+    list (list_offers) that these disjunctions name (choice_lists).
     """
 
     roots: DataFrame
@@ -104,6 +107,8 @@ class Facts:
     clause_children: DataFrame
     disjunctions: DataFrame
     choices: DataFrame
+    choice_lists: DataFrame
+    list_offers: DataFrame
     carrier_disjunctions: DataFrame
     carrier_choices: DataFrame
     member_disjunctions: DataFrame
@@ -243,7 +248,7 @@ def retained(facts: Facts) -> Kept:
 
     The network keeps its state between waves, so that each fact sets off each of its rules once in all.
     """
-    picks = written(cheapest(facts.choices, facts.rank))
+    picks = written(shared_cheapest(facts.choices, facts.choice_lists, facts.list_offers, facts.rank))
     carriers = written(_coded(facts.carrier_choices))
     carrier_picks, member_picks = written(cheapest(carriers, facts.rank)), written(cheapest(facts.member_choices, facts.rank))
     carrier_asks = facts.carrier_disjunctions.withColumn("trigger", F.col("trigger") * 2 + 1)
@@ -254,7 +259,9 @@ def retained(facts: Facts) -> Kept:
         network.add(new_facts)
         every = network.every()
         present, demanded, units = (every.where(F.col("fact").startswith(k)).select(F.substr("fact", F.lit(2)).cast("long").alias(c)) for k, c in (("P", "node"), ("D", "node"), ("K", "unit")))
-        of_units = written(wave(facts.disjunctions, facts.choices.select("disj", "item"), picks, units.withColumnRenamed("unit", "item")))
+        kept = units.withColumnRenamed("unit", "item")
+        links = written(shared_links(facts.choices, facts.choice_lists, facts.list_offers, picks, kept))
+        of_units = written(wave(facts.disjunctions, links, picks, kept))
         there = units.union(of_units.select("item")).distinct().select((F.col("unit") * 2).alias("item")).union(present.select(F.col("node") * 2 + 1))
         mixed = written(wave(carrier_asks, carriers.select("disj", "item"), carrier_picks, there))
         nodes = mixed.where("item % 2 = 1").select(F.expr("item div 2").alias("node"))

@@ -163,8 +163,8 @@ def r29_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers, suppliers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     great = orders.where("o_totalprice > 400000").select(node("orders", "o_orderkey").alias("unit"), node("customer", "o_custkey").alias("src"))
     units = edges.select(F.col("src").alias("node")).where("node % 8 in (2, 5)").distinct().withColumn("unit", F.col("node"))
-    pairs = customers.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey"))
-    choices = pairs.select(node("customer", "c_custkey").alias("disj"), node("supplier", "s_suppkey").alias("item"), F.col("s_acctbal").alias("cost"))
+    lists = customers.select(node("customer", "c_custkey").alias("disj"), F.col("c_nationkey").cast("long").alias("list"))
+    offers = suppliers.select(F.col("s_nationkey").cast("long").alias("list"), node("supplier", "s_suppkey").alias("item"), F.col("s_acctbal").alias("cost"))
     facts = Facts.of(
         spark,
         ["cost"],
@@ -173,8 +173,9 @@ def r29_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
         sites=edges.where("kind = 'customer-nation'").join(great, "src").select("edge", F.lit("s").alias("site"), F.col("unit").alias("owner")),
         binding=units,
         groups=units.select("unit", F.col("unit").alias("group_id")),
-        disjunctions=choices.select("disj", F.col("disj").alias("trigger")).distinct(),
-        choices=choices,
+        disjunctions=lists.select("disj", F.col("disj").alias("trigger")).distinct(),
+        choice_lists=lists,
+        list_offers=offers,
     )
     kept = retained(facts)
     count = F.count("*").alias("n")
