@@ -23,6 +23,8 @@ from reachflow.sources.scratch import Rounds, keyed, narrow, written
 TASK_EDGES = 500_000
 #: Labels of paths in one batch of rows that a task hands on.
 PATH_LABELS = 1_000_000
+#: Units of a block that is closed over all sets at once, and links of sets that go to every task.
+BLOCK_UNITS, SET_LINKS = 1024, 5_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -156,16 +158,16 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done.every().unionByName(lacking.where("n > 0").select("node", F.lit(None).cast("int").alias("level")))
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(batches: Iterator[pd.DataFrame], by: str = "weak") -> Iterator[pd.DataFrame]:
     """The rows of each weak component, one at a time; rows are sorted by weak."""
     held, at = [], None
     for batch in batches:
-        for weak, rows in batch.groupby("weak"):
-            if held and weak != at:
+        for now, rows in batch.groupby(by):
+            if held and now != at:
                 yield pd.concat(held)
                 held = []
             held.append(rows)
-            at = weak
+            at = now
     if held:
         yield pd.concat(held)
 
@@ -293,6 +295,93 @@ def contributor_union(local: DataFrame, parents: DataFrame) -> DataFrame:
     return above.join(local.withColumnRenamed("set_id", "node"), "node").select(F.col("start").alias("set_id"), "unit_id").distinct()
 
 
+def contributor_totals(local: DataFrame, parents: DataFrame, weights: DataFrame, set_links: int = SET_LINKS, block_units: int = BLOCK_UNITS) -> DataFrame:
+    """set_id, n, total: how many of the units with a weight a set and all its ancestors hold, and the sum of the weights.
+
+    local (set_id, unit_id), parents (set_id, parent_set_id; bigints), weights (unit_id, weight: a whole number; one row a
+    unit). Units are dealt to blocks; a task closes a block over the sets with one bit for each set and unit, and hands on
+    sums alone, so that no row stands for a set and a unit of its ancestors. The links of the sets, but not the units, go
+    to every task; with more than set_links of them, the pairs of contributor_union() are counted.
+    """
+    held = local.join(weights.select("unit_id", F.coalesce("weight", F.lit(0)).cast("long").alias("weight")), "unit_id")
+    links = written(parents.select("set_id", "parent_set_id").where("set_id <> parent_set_id").distinct())
+    if links.count() > set_links:
+        rows = contributor_union(local, parents).join(weights.select("unit_id", F.coalesce("weight", F.lit(0)).cast("long").alias("weight")), "unit_id")
+        return rows.groupBy("set_id").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+    ends = links.select(F.col("set_id").cast("long"), F.col("parent_set_id").cast("long")).toPandas()
+    dag = local.sparkSession.sparkContext.broadcast((ends["set_id"].to_numpy(), ends["parent_set_id"].to_numpy()))
+    blocks = weights.count() // block_units + 1
+    rows = held.where("set_id is not null").select(F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).alias("block"), F.col("set_id").cast("long").alias("set_id"), "unit_id", "weight").distinct()
+    sums = rows.repartition("block").sortWithinPartitions("block").mapInPandas(lambda batches: _totals_of_task(batches, *dag.value), "set_id long, n long, total long")
+    return sums.groupBy("set_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def _upper_first(low: np.ndarray, high: np.ndarray, n: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Links (low, high) in groups whose upper ends are done by earlier groups, and those on and below cycles; a group has its lower ends, where the links of each begin, and the upper ends."""
+
+    def grouped(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = of[np.argsort(low[of], kind="stable")]
+        lower, starts = np.unique(low[of], return_index=True)
+        return lower, starts, high[of]
+
+    by_high = np.argsort(high, kind="stable")
+    begins = np.searchsorted(high[by_high], np.arange(n + 1))
+    waits, by_low = np.bincount(low, minlength=n), np.argsort(low, kind="stable")
+    low_begins = np.searchsorted(low[by_low], np.arange(n + 1))
+
+    def spread(nodes: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
+        sizes = starts[nodes + 1] - starts[nodes]
+        return order[np.repeat(starts[nodes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+    groups, ready, left = [], np.flatnonzero(waits == 0), np.ones(n, bool)
+    while len(ready):
+        left[ready] = False
+        lower, counts = np.unique(low[spread(ready, begins, by_high)], return_counts=True)
+        waits[lower] -= counts
+        ready = lower[waits[lower] == 0]
+        if len(ready):
+            groups.append(grouped(spread(ready, low_begins, by_low)))
+    rest = np.flatnonzero(left[low])
+    return groups, [grouped(rest)] if len(rest) else []
+
+
+def _totals_of_task(batches: Iterator[pd.DataFrame], low: np.ndarray, high: np.ndarray) -> Iterator[pd.DataFrame]:
+    """set_id, n, total of the blocks of one task; rows (block, set_id, unit_id, weight) are sorted by block."""
+    sets = np.unique(np.concatenate([low, high]))
+    groups, circles = _upper_first(np.searchsorted(sets, low), np.searchsorted(sets, high), len(sets))
+    n, total = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    for rows in _whole(batches, "block"):
+        linked = np.isin(rows["set_id"].to_numpy(), sets)
+        if not linked.all():
+            yield rows[~linked].groupby("set_id", as_index=False).agg(n=("weight", "size"), total=("weight", "sum"))
+            rows = rows[linked]
+        if not len(rows):
+            continue
+        unit, units = pd.factorize(rows["unit_id"])
+        weight = np.zeros(len(units), np.int64)
+        weight[unit] = rows["weight"]
+        bits = np.zeros((len(sets), -(-len(units) // 64)), np.uint64)
+        np.bitwise_or.at(bits, (np.searchsorted(sets, rows["set_id"].to_numpy()), unit >> 6), np.uint64(1) << (unit & 63).astype(np.uint64))
+        for lower, starts, upper in groups:
+            bits[lower] |= np.bitwise_or.reduceat(bits[upper], starts, axis=0)
+        for lower, starts, upper in circles:
+            while True:
+                more = bits[lower] | np.bitwise_or.reduceat(bits[upper], starts, axis=0)
+                if (more == bits[lower]).all():
+                    break
+                bits[lower] = more
+        here, least = np.bitwise_count(bits).sum(axis=1, dtype=np.int64), int(weight.min())
+        n += here
+        total += least * here
+        for k in range(int(weight.max() - least).bit_length()):  # the weights above the least, one binary digit at a time
+            digit = np.zeros(bits.shape[1] * 64, np.uint8)
+            digit[: len(units)] = (weight - least) >> k & 1
+            mask = np.packbits(digit, bitorder="little").view("<u8")
+            total += np.bitwise_count(bits & mask).sum(axis=1, dtype=np.int64) << k
+    held = n > 0
+    yield pd.DataFrame({"set_id": sets[held], "n": n[held], "total": total[held]})
+
+
 def parent_unions(local: DataFrame, parents: DataFrame, unions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets that stand for unions of others, added without renumbering: roots (union_id, set_id), their parents, violations.
 

@@ -198,9 +198,9 @@ def forebears_parts(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFram
     s = table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("set_id"))
     parents = s.select("set_id", F.floor(F.col("set_id") / 2).alias("parent_set_id")).union(s.select("set_id", F.floor(F.col("set_id") / 3))).distinct()
     local = of.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("unit_id")).distinct()
-    found = closure.contributor_union(local, parents)
-    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), "p_size")
-    return found.join(sizes, "unit_id").groupBy("set_id").agg(F.count("*").alias("n_units"), F.sum("p_size").alias("total_size"))
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_size").alias("weight"))
+    found = closure.contributor_totals(local, parents, sizes)
+    return found.select("set_id", F.col("n").alias("n_units"), F.col("total").alias("total_size"))
 
 
 @query()

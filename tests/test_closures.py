@@ -268,3 +268,26 @@ def test_long_least_paths_need_few_rounds(spark):
     steps = spark.range(n).selectExpr("id AS src", "id + 1 AS dst", "1 AS label").union(spark.range(n).selectExpr("0", "id + 1", "id + 2"))
     found = closure.least_paths(steps, spark.createDataFrame([(0,)], "node long"))
     assert found.where("size(path) = node").count() == n + 1
+
+
+@pytest.mark.parametrize("set_links", [5_000_000, 0])
+def test_contributor_totals(spark, set_links):
+    """Sums of closed blocks are those of the pairs; cycles, sets without links, and negative weights count."""
+    rng = random.Random(7)
+    parents = [(s, rng.randrange(s)) for s in range(1, 60) for _ in range(2)] + [(100, 101), (101, 102), (102, 100), (102, 5), (103, 100)]
+    local = [(rng.choice([*range(60), 100, 101, 103, 200]), rng.randrange(300)) for _ in range(900)]
+    weights = {u: rng.randrange(-5, 40) for u in range(290)}
+    above, moved = {s: {s} for s in {x for p in parents for x in p} | {200}}, True
+    while moved:
+        moved = False
+        for s, p in parents:
+            if not above[p] <= above[s]:
+                above[s] |= above[p]
+                moved = True
+    wanted = {}
+    for s, of in above.items():
+        units = {u for k, u in local if k in of and u in weights}
+        if units:
+            wanted[s] = (len(units), sum(weights[u] for u in units))
+    tables = [spark.createDataFrame(x, c) for x, c in ((local, "set_id long, unit_id long"), (parents, "set_id long, parent_set_id long"), (list(weights.items()), "unit_id long, weight long"))]
+    assert {r["set_id"]: (r["n"], r["total"]) for r in closure.contributor_totals(*tables, set_links, 70).collect()} == wanted
