@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachflow.operators.closure import _union, depths
-from reachflow.sources.scratch import written
+from reachflow.sources.scratch import keyed, written
 
 
 #: Trees of a block in the numbering of a forest.
@@ -110,16 +110,19 @@ def witness_ordinals(rows: DataFrame, keys: list[str], witnesses: list[str], raw
     return placed.select(*rows.columns, "ordinal")
 
 
-def identities(rows: DataFrame, keys: list[str], private: list[str], raw: str) -> DataFrame:
-    """rows with rank (by raw within parent, keys and private ones), identity and up (the parent's, empty for roots); null where ancestors don't end at a root.
+def _digest(text: Column) -> Column:
+    """128 bits of SHA-256 in 22 characters."""
+    return F.substring(F.base64(F.substring(F.unhex(F.sha2(text, 256)), 1, 16)), 1, 22)
 
-    rows (node, parent, ...), one a node. An identity is the digests of keys and rank of all nodes from the root down, so that it
-    does not change with numbers of nodes. Paths double in each round, as in searches for ancestors.
-    """
-    cohort = Window.partitionBy("parent", *keys, *private).orderBy(raw, "node")
-    ranked = written(rows.withColumn("rank", F.row_number().over(cohort) - 1))
-    part = F.sha2(F.to_json(F.struct(*keys, *private, "rank"), {"ignoreNullFields": "false"}), 256)
-    state = written(ranked.select("node", F.col("parent").alias("ptr"), F.array(part).alias("path")))
+
+def _below(up: Column, own: Column) -> Column:
+    """The identity of a node with this digest below the identity up."""
+    return _digest(F.concat(up, own))
+
+
+def _by_doubling(core: DataFrame) -> DataFrame:
+    """node, identity of the nodes of core (node, parent, own) whose ancestors end at a root; paths double in each round."""
+    state = written(core.select("node", F.col("parent").alias("ptr"), F.array("own").alias("path")))
     for _ in range(state.count().bit_length() + 1):
         if state.where("ptr is not null").isEmpty():
             break
@@ -129,8 +132,40 @@ def identities(rows: DataFrame, keys: list[str], private: list[str], raw: str) -
         state = written(moved.select("node", F.when(F.col("j").isNull(), F.col("ptr")).otherwise(F.col("j_ptr")).alias("ptr"), F.when(F.col("j").isNull(), F.col("path")).otherwise(F.concat("j_path", "path")).alias("path")))
         if state.where("ptr is not null").join(state.select(F.col("node").alias("ptr")), "ptr", "left_semi").isEmpty():
             break
-    ended = state.where("ptr is null").select("node", F.array_join("path", "/").alias("identity"), F.array_join(F.slice("path", 1, F.size("path") - 1), "/").alias("up"))
-    return ranked.join(ended, "node", "left")
+    return state.where("ptr is null").select("node", F.aggregate("path", F.lit(""), _below).alias("identity"))
+
+
+def identities(rows: DataFrame, keys: list[str], private: list[str], raw: str) -> DataFrame:
+    """rows with rank (by raw within parent, keys and private ones), identity, up (the parent's, empty for roots), both null where ancestors don't end at a root, and dealt.
+
+    rows (node, parent, ...), one a node. An identity is a digest of keys and rank chained to the parent's, so that it does
+    not change with numbers of nodes. Rows are dealt once by parent, roots by their keys (the column dealt), and written so:
+    neither ranks nor a parent's identity shuffle them again. Only nodes with children are looked for by node, and those
+    without grandchildren are left aside as long as that halves them; what is then left, as in long chains, doubles its paths.
+    """
+    dealt = F.coalesce("parent", F.hash(*keys).cast(rows.schema["parent"].dataType))
+    placed = keyed(rows.withColumn("dealt", dealt), "dealt")
+    cohort = Window.partitionBy("dealt", "parent", *keys, *private).orderBy(raw, "node")
+    ranked = placed.withColumn("rank", F.row_number().over(cohort) - 1)
+    own = _digest(F.to_json(F.struct(*keys, *private, "rank"), {"ignoreNullFields": "false"}))
+    parents = placed.where("parent is not null").select(F.col("dealt").alias("node")).distinct()
+    inner = written(ranked.select("node", "parent", *keys, *private, "rank").join(parents.hint("merge"), "node", "left_semi"))
+    sets, n = [inner], inner.count()
+    while n:
+        above = written(sets[-1].join(sets[-1].select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
+        m = above.count()
+        if 2 * m > n:
+            break
+        sets.append(above)
+        n = m
+    found = _by_doubling(sets.pop().withColumn("own", own))
+    for few in reversed(sets):  # the parents of each set that are there stand in the set after it
+        of = found.select(F.col("node").alias("p"), F.col("identity").alias("up"))
+        found = few.join(of, F.col("parent") == F.col("p"), "left").select("node", _below(F.when(F.col("parent").isNull(), "").otherwise(F.col("up")), own).alias("identity")).where("identity is not null")
+    of = keyed(found.select(F.col("node").alias("p"), "identity"), "p").select("p", F.col("identity").alias("p_identity"))
+    up = F.when(F.col("parent").isNull(), "").otherwise(F.col("p_identity"))
+    told = ranked.join(of.hint("merge"), (F.col("dealt") == F.col("p")) & F.col("parent").isNotNull(), "left").withColumn("up", up)
+    return told.select(*rows.columns, "rank", _below(F.col("up"), own).alias("identity"), "up", "dealt")
 
 
 def structural_ordinals(rows: DataFrame, keys: list[str], private: list[str], raw: str, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,12 +179,12 @@ def structural_ordinals(rows: DataFrame, keys: list[str], private: list[str], ra
     and private ones), `siblings` (equal ordinals of siblings, or equal raw ones without expected), `absent` (an identity
     that expected lacks; its ordinal is null). A node may have several.
     """
-    known = written(identities(rows, keys, private, raw))
+    known = identities(rows, keys, private, raw)
     wrong = [known.where("identity is null").select("node", F.lit("ancestors").alias("reason"))]
-    same = F.count("*").over(Window.partitionBy("parent", *keys, *private, raw))
+    same = F.count("*").over(Window.partitionBy("dealt", "parent", *keys, *private, raw))
     wrong.append(known.withColumn("n_same", same).where("n_same > 1").select("node", F.lit("cohort").alias("reason")))
     whole = known.where("identity is not null")
-    siblings = ["up", *keys]
+    siblings = ["dealt", "parent", *keys]
     if expected is None:
         placed = whole.withColumn("ordinal", F.row_number().over(Window.partitionBy(*siblings).orderBy(raw, "node")) - 1)
         by = raw

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachflow.operators import choice, closure, ordinals
 from reachflow.plans.registered import query
 from reachflow.sources.relations import node, table
+from reachflow.sources.scratch import written
 
 
 @query("""WITH RECURSIVE c AS (SELECT CAST(c_custkey AS BIGINT) AS disj, CAST(s_suppkey AS BIGINT) * 2 AS item, s_acctbal AS cost FROM customer JOIN supplier ON s_nationkey = c_nationkey
@@ -47,7 +48,7 @@ UNION ALL SELECT CAST(o_orderkey AS BIGINT) * 8 + 5, ordinal FROM o WHERE o_orde
 UNION ALL SELECT (CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 8 + 6, l.ordinal FROM l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority NOT LIKE '1%' AND l_returnflag <> 'R'""")
 def w2_expected_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders and returned lines go, which are whole cohorts of their siblings; the rest keep the ordinals of all rows, found by identities, though all numbers have changed."""
-    every = _definitions(spark, sf_dir)
+    every = written(_definitions(spark, sf_dir))
     universe = ordinals.structural_ordinals(every, ["kind", "name"], ["basis"], "raw")[0].select("identity", "ordinal")
     urgent = every.where("kind = 'order' and basis like '1%'").select(F.col("node").alias("gone"))
     left = every.where("basis is null or not (kind = 'order' and basis like '1%') and not (kind = 'line' and basis = 'R')").join(urgent, F.col("parent") == F.col("gone"), "left_anti")

@@ -90,3 +90,23 @@ def test_mixed_carriers(spark):
     units, nodes = spark.createDataFrame([], "unit long"), spark.createDataFrame([(6,)], "node long")
     # Node 6 serves 0 and wakes 2; unit 5, which 3 picks, is not the node 5 that 1 waits for.
     assert sorted(map(tuple, choice.mixed(asks, choices, ["cost"], units, nodes).collect())) == [(2, "node", 9), (3, "unit", 5)]
+
+
+def test_identities_deal_rows_once(spark):
+    """Leaves never enter the doubling of paths, and the rows that a parent's identity comes to are not shuffled for it."""
+    rows = [(1, None, "m", "a", 0), (2, None, "m", "b", 1), *((10 + i, 1 + i % 2, "o", str(i % 3), i) for i in range(20)), *((100 + i, 10 + i % 20, "l", None, i) for i in range(200))]
+    rows += [(1000 + i, 999 + i if i else None, "c", "a", 0) for i in range(40)] + [(5000, 4999, "x", "a", 0), (5001, 5000, "x", "a", 0)]
+    frame = spark.createDataFrame(rows, SHAPE)
+    found = ordinals.identities(frame, ["kind"], ["basis"], "raw")
+    got = {r["node"]: r for r in found.collect()}
+    assert len(got) == len(rows) and all((r["identity"] is None) == (n in (5000, 5001)) for n, r in got.items())
+    assert len({r["identity"] for r in got.values() if r["identity"]}) == len(rows) - 2
+    assert all(got[n]["up"] == (got[p]["identity"] if p else "") for n, p, *_ in rows if n < 5000)
+    # A chain doubles its paths, two nodes of it do not: the identities are the same.
+    again = ordinals.identities(frame.where("node in (1000, 1001)"), ["kind"], ["basis"], "raw")
+    assert {r["node"]: r["identity"] for r in again.collect()} == {n: got[n]["identity"] for n in (1000, 1001)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Exchange" not in ordinals.identities(frame, ["kind"], ["basis"], "raw")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
