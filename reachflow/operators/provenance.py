@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reachflow.operators.closure import levels, reachable
 from reachflow.operators.gates import complete_sets
-from reachflow.sources.scratch import written
+from reachflow.sources.scratch import Rounds, keyed, written
 
 
 def interned(nodes: DataFrame, local: DataFrame, parents: DataFrame) -> DataFrame:
@@ -97,20 +97,20 @@ def reachable_modes(edges: DataFrame, roots: DataFrame, modes: list[str]) -> Dat
     """node, mode: the strongest mode in which each node is evaluated; modes from the strongest to the weakest.
 
     roots (node, mode), edges (src, dst, cap): an edge hands on the weaker of its source's mode and its cap. A node evaluated
-    in a stronger mode is not entered again in a weaker one, which that one covers.
+    in a stronger mode is not entered again in a weaker one, which that one covers. Edges are written once, by source, for all modes.
     """
     rank = F.create_map(*[x for k, m in enumerate(modes) for x in (F.lit(m), F.lit(k))])
-    steps = written(edges.select("src", "dst", F.element_at(rank, F.col("cap")).alias("cap")).where("src is not null and dst is not null").distinct())
+    steps = keyed(edges.select("src", "dst", F.element_at(rank, F.col("cap")).alias("cap")).where("src is not null and dst is not null and cap is not null"), "src")
     seeds = written(roots.select("node", F.element_at(rank, F.col("mode")).alias("k")).where("node is not null"))
-    found = None
+    found = Rounds()
     for k, mode in enumerate(modes):
-        own, start = steps.where(F.col("cap") <= k), seeds.where(F.col("k") <= k).select("node")
-        if found is not None:
-            own = own.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
-            start = start.union(found.select("node"))
-        fresh = reachable(own, start.distinct())
-        if found is not None:
-            fresh = fresh.join(found, "node", "left_anti")
-        fresh = fresh.select("node", F.lit(mode).alias("mode"))
-        found = written(fresh if found is None else found.union(fresh))
-    return found
+        start = seeds.where(F.col("k") == k).select("node").distinct()
+        if k:
+            # Stronger nodes have gone along their stronger edges; those capped at this mode are left.
+            weaker = steps.where(F.col("cap") == k).join(found.every().select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
+            start = start.union(weaker).distinct().join(found.every(), "node", "left_anti")
+        fresh = found.add(start.select("node", F.lit(mode).alias("mode")))
+        while not fresh.isEmpty():
+            reached = steps.where(F.col("cap") <= k).join(fresh.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+            fresh = found.add(reached.join(found.every(), "node", "left_anti").select("node", F.lit(mode).alias("mode")))
+    return found.every()

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from reachflow.operators import provenance
+from reachflow.sources import scratch
 from reachflow.sources.files import Versioned
 
 
@@ -123,3 +124,13 @@ def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(two, "newest", lambda: seen)  # as read before the other's manifest
     assert not two.replace(frame(3), was)
     assert rows(one) == [2]
+
+
+def test_edges_of_all_modes_are_written_once(spark, monkeypatch):
+    made = []
+    real = scratch.bucketed
+    monkeypatch.setattr(scratch, "bucketed", lambda df, *more: made.append(df) or real(df, *more))
+    edges = spark.createDataFrame([(1, 2, "used"), (2, 3, "named"), (1, 3, "mentioned"), (3, 4, "used")], "src long, dst long, cap string")
+    got = provenance.reachable_modes(edges, spark.createDataFrame([(1, "used")], "node long, mode string"), ["used", "mentioned", "named"])
+    assert {tuple(r) for r in got.collect()} == {(1, "used"), (2, "used"), (3, "mentioned"), (4, "mentioned")}
+    assert len(made) == 1
