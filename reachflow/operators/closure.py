@@ -31,13 +31,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
-    """node: the roots and all that edges lead to from them; semi-naive, each node is expanded once. Null nodes are left out."""
+def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", entered: DataFrame | None = None) -> DataFrame:
+    """node: the roots and all that edges lead to from them; semi-naive, each node is expanded once. Null nodes are left out.
+
+    With entered (node, best written by scratch.keyed), edges lead to its nodes only.
+    """
     steps = keyed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null"), "src")
     found = Rounds()
     fresh = found.add(roots.select(F.col(node).alias("node")).where("node is not null").distinct())
     while not fresh.isEmpty():
         reached = steps.join(fresh.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        if entered is not None:
+            reached = reached.join(entered, "node", "left_semi")
         fresh = found.add(reached.join(found.every(), "node", "left_anti"))
     return found.every()
 

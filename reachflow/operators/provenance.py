@@ -63,14 +63,18 @@ def conditional_members(kept: DataFrame, rules: DataFrame) -> DataFrame:
 def original_snapshot(edges: DataFrame, roots: DataFrame, definitions: DataFrame, permitted: DataFrame, sites: DataFrame, surviving: DataFrame) -> DataFrame:
     """node: what the permitted definitions and the roots reach along edges whose sites survive, entering permitted nodes only.
 
-    edges (src, dst, edge_id), sites (edge_id, site), surviving (site). An edge without a site always counts, one with
-    sites if any of them survives.
+    edges (src, dst, edge_id), sites (edge_id, site), surviving (site). An edge without a site or an id always counts, one with
+    sites if any of them survives. Nodes are looked up in the permitted ones when they are reached, not for every edge.
     """
-    alive = sites.join(surviving, "site", "left_semi").select("edge_id").distinct()
-    dead = sites.select("edge_id").distinct().join(alive, "edge_id", "left_anti")
-    open_ = edges.join(dead, "edge_id", "left_anti").join(permitted.select(F.col("node").alias("dst")), "dst", "left_semi")
-    seeds = definitions.select("node").join(permitted, "node", "left_semi")
-    return reachable(open_, seeds.union(roots.select("node")).distinct())
+    lives = surviving.select("site", F.lit(True).alias("lives")).distinct()
+    dead = sites.join(lives, "site", "left").where("edge_id is not null").groupBy("edge_id").agg(F.max("lives").alias("lives")).where("lives is null").select("edge_id")
+    some = edges.where("src is not null and dst is not null")
+    hashed = F.xxhash64("edge_id").alias("h")  # sorted by one number, whatever ids are made of
+    gated = some.where("edge_id is not null").select("src", "dst", "edge_id", hashed).join(dead.select("edge_id", hashed), ["h", "edge_id"], "left_anti")
+    open_ = some.where("edge_id is null").select("src", "dst").union(gated.select("src", "dst"))
+    entered = keyed(permitted.select("node"), "node")
+    seeds = definitions.select("node").join(entered, "node", "left_semi")
+    return reachable(open_, seeds.union(roots.select("node")).distinct(), entered=entered)
 
 
 def reduced_snapshot(edges: DataFrame, roots: DataFrame, definitions: DataFrame, outputless: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachflow.operators import closure, provenance
 from reachflow.plans.registered import query
 from reachflow.sources.relations import EDGES_SQL, TABLE_SQL, key_edges, node, table, table_of
+from reachflow.sources.scratch import written
 
 
 def _count_by_table(found: DataFrame) -> DataFrame:
@@ -69,10 +70,10 @@ reach(node) AS (SELECT CAST(node AS BIGINT) FROM roots UNION SELECT CAST(node AS
 SELECT {TABLE_SQL} AS table_name, count(*) AS n, sum(node) AS node_sum FROM reach GROUP BY 1""")
 def r26_original_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What long lines, regions and nations reach within permitted rows (a third of the parts), suppliers by returned lines only."""
-    edges = key_edges(spark, sf_dir).withColumn("edge_id", F.struct("src", "dst"))
-    permitted = edges.where("dst % 8 <> 4 or floor(dst / 8) % 3 = 0").select(F.col("dst").alias("node")).distinct()
+    edges = key_edges(spark, sf_dir).withColumn("edge_id", F.when(F.col("kind") == "lineitem-supplier", F.struct("src", "dst")))  # the others have no sites
+    permitted = written(edges.where("dst % 8 <> 4 or floor(dst / 8) % 3 = 0").select(F.col("dst").alias("node")).distinct())
     lines = table(spark, sf_dir, "lineitem").withColumn("node", node("lineitem", "l_orderkey * 8 + l_linenumber"))
-    sites = edges.where("src % 8 = 6 and dst % 8 = 3").select("edge_id", F.col("src").alias("site"))
+    sites = edges.where("kind = 'lineitem-supplier'").select("edge_id", F.col("src").alias("site"))
     surviving = lines.where("l_returnflag = 'R'").select(F.col("node").alias("site"))
     roots = lines.where("l_quantity >= 45").select("node")
     return _count_by_table(provenance.original_snapshot(edges, roots, permitted.where("node % 8 < 2"), permitted, sites, surviving))

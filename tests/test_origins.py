@@ -134,3 +134,16 @@ def test_edges_of_all_modes_are_written_once(spark, monkeypatch):
     got = provenance.reachable_modes(edges, spark.createDataFrame([(1, "used")], "node long, mode string"), ["used", "mentioned", "named"])
     assert {tuple(r) for r in got.collect()} == {(1, "used"), (2, "used"), (3, "mentioned"), (4, "mentioned")}
     assert len(made) == 1
+
+
+def test_snapshots_look_up_permitted_nodes_in_rounds(spark, monkeypatch):
+    """Neither the permitted nodes nor ids that are not there are joined to all edges."""
+    taken = []
+    real = provenance.reachable
+    monkeypatch.setattr(provenance, "reachable", lambda edges, *more, **named: taken.append(edges) or real(edges, *more, **named))
+    edges = spark.createDataFrame([(1, 2, None), (2, 3, 11), (2, 6, 12), (3, 4, None), (4, 5, None)], "src long, dst long, edge_id long")
+    nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "node long")
+    sites, surviving = spark.createDataFrame([(11, 100), (11, 101), (12, 101), (None, 101)], "edge_id long, site long"), spark.createDataFrame([(100,), (100,)], "site long")
+    got = provenance.original_snapshot(edges, nodes(1), nodes(9), nodes(2, 3, 4, 6, 9), sites, surviving)
+    assert sorted(r.node for r in got.collect()) == [1, 2, 3, 4, 9]
+    assert "leftsemi" not in taken[0]._jdf.queryExecution().optimizedPlan().toString().lower()
