@@ -291,3 +291,12 @@ def test_contributor_totals(spark, set_links):
             wanted[s] = (len(units), sum(weights[u] for u in units))
     tables = [spark.createDataFrame(x, c) for x, c in ((local, "set_id long, unit_id long"), (parents, "set_id long, parent_set_id long"), (list(weights.items()), "unit_id long, weight long"))]
     assert {r["set_id"]: (r["n"], r["total"]) for r in closure.contributor_totals(*tables, set_links, 70).collect()} == wanted
+
+
+def test_components_shuffle_no_table_to_write_it(spark, monkeypatch):
+    hints = []
+    real = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", lambda self, name, *more: hints.append(name) or real(self, name, *more))
+    found = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)}
+    assert "rebalance" not in hints
