@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachflow.operators.components import connected_components
-from reachflow.sources.scratch import Rounds, keyed, narrow, written
+from reachflow.sources.scratch import Rounds, bucketed, keyed, narrow, written
 
 #: Edges of a weak component whose strong ones a task may find by itself: some hundred MB of Python objects.
 TASK_EDGES = 500_000
@@ -148,17 +148,20 @@ def flags_above(forest: DataFrame, flags: list[str]) -> DataFrame:
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: the longest path of edges (src depends on dst) below a node, which orders dependencies first; null on or above a cycle."""
-    nodes = written(nodes.select("node").distinct())
-    known = edges.select("src", "dst").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    steps = keyed(known.select("src", "dst").distinct(), "dst")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = bucketed(nodes.select("node").distinct(), "node", parts)
+    # Dealt by dst once: neither the nodes nor what repeats shuffle them again.
+    known = edges.select("src", "dst").repartition(parts, "dst").join(nodes.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi")
+    steps = bucketed(known.select("src", "dst").distinct(), "dst", parts)
     # What a node still waits for; each round takes off the edges that lead to what the round before settled.
-    lacking = written(nodes.join(steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+    # The table stays in buckets of the node, so that a round shuffles the edges that it takes off alone.
+    lacking = bucketed(nodes.join(steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).hint("merge"), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")), "node", parts)
     done, level = Rounds(), 0
     ready = done.add(lacking.where("n = 0").select("node", F.lit(level).alias("level")))
     while not ready.isEmpty():
         level += 1
         off = steps.join(ready.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("off"))
-        lacking = written(lacking.where("n > 0").join(off, "node", "left").select("node", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n")))
+        lacking = bucketed(lacking.where("n > 0").join(off.hint("merge"), "node", "left").select("node", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n")), "node", parts)
         ready = done.add(lacking.where("n = 0").select("node", F.lit(level).alias("level")))
     return done.every().unionByName(lacking.where("n > 0").select("node", F.lit(None).cast("int").alias("level")))
 

@@ -300,3 +300,17 @@ def test_components_shuffle_no_table_to_write_it(spark, monkeypatch):
     found = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "a long, b long"))
     assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)}
     assert "rebalance" not in hints
+
+
+def test_rounds_of_levels_shuffle_what_they_take_off_alone(spark, monkeypatch):
+    plans = []
+    real = closure.bucketed
+    monkeypatch.setattr(closure, "bucketed", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *more))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 2), (3, 0), (4, 9), (5, 5)], "src long, dst long")
+        nodes = spark.createDataFrame([(n,) for n in range(7)], "node long")
+        assert {tuple(r) for r in closure.levels(edges, nodes).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, None), (6, 0)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(plans) == 3 + 4 and all("hashpartitioning(node" not in p for p in plans[3:])
