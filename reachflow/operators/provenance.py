@@ -50,7 +50,8 @@ def conditional_members(kept: DataFrame, rules: DataFrame) -> DataFrame:
 
     Lanes don't see each other's units. Rounds look at the rules that new units touch, until none adds one.
     """
-    rules, found = written(rules.distinct()), written(kept.select("lane", "unit").where("unit is not null").distinct())
+    # A rule that stands twice tells nothing new: rules are never held to tell them apart.
+    rules, found = written(rules), written(kept.select("lane", "unit").where("unit is not null").distinct())
     fresh = found
     while not fresh.isEmpty():
         touched = rules.join(fresh.withColumnRenamed("unit", "left_unit"), ["lane", "left_unit"], "left_semi").union(rules.join(fresh.withColumnRenamed("unit", "right_unit"), ["lane", "right_unit"], "left_semi"))

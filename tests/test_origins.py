@@ -147,3 +147,13 @@ def test_snapshots_look_up_permitted_nodes_in_rounds(spark, monkeypatch):
     got = provenance.original_snapshot(edges, nodes(1), nodes(9), nodes(2, 3, 4, 6, 9), sites, surviving)
     assert sorted(r.node for r in got.collect()) == [1, 2, 3, 4, 9]
     assert "leftsemi" not in taken[0]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rules_are_not_held_to_tell_them_apart(spark, monkeypatch):
+    plans = []
+    real = provenance.written
+    monkeypatch.setattr(provenance, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rules = spark.createDataFrame([("a", 1, 2, 3)] * 3 + [("a", 3, 2, 4)], "lane string, left_unit long, right_unit long, required long")
+    kept = spark.createDataFrame([("a", 1), ("a", 2)], "lane string, unit long")
+    assert sorted(tuple(r) for r in provenance.conditional_members(kept, rules).collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4)]
+    assert "Aggregate" not in plans[0]
