@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in one of the learned languages: those without a letter and without a likely language go."""
-    return language.kept(docs, language.trained(docs))
+    """Keeps the documents in one of the learned languages: those without a letter and without a likely language go. All labelled rows teach."""
+    return language.kept(docs, language.trained(docs, every=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

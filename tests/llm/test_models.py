@@ -310,3 +310,28 @@ def test_an_id_counts_once(spark):
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     few = language.trained(docs.dropDuplicates(["doc_id"]).union(docs.limit(0)))
     assert {len(language.trained(docs)["marks"]), len(few["marks"])} == {len(few["marks"])}
+
+
+def test_every_row_teaches_languages(spark):
+    rng = np.random.default_rng(5)
+    parts = {"de": ["sch", "ung", "über", "ein"], "en": ["the", "ing", "tion", "er"]}
+    rows = [(i, " ".join(rng.choice(parts[x], 6)) + (" zyx" if i % 20 == 0 else ""), x) for i, x in enumerate(["de"] * 1900 + ["en"] * 500)]
+    got = language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"), every=True)
+    assert got["names"].tolist() == ["de", "en"]
+    x, langs = np.concatenate(list(language.rows_of([t.encode() for _, t, _ in rows]))), np.array([r[2] for r in rows])
+    weight = np.array([len(rows) / (2 * (langs == name).sum()) for name in langs])[:, None]
+    base = language.unit(np.unpackbits(got["marks"], axis=1))
+    k = language.kernel(x, base).astype(float)
+    # A plain weighted ridge regression over all rows gives these scores.
+    of, axes = np.linalg.eigh((base @ base.T).astype(float))
+    root = axes / np.sqrt(np.maximum(of, 1e-6)) @ axes.T
+    phi, target = np.hstack([k @ root, np.ones((len(k), 1))]), np.array([[1.0 if a == name else -1.0 for name in ("de", "en")] for a in langs])
+    w = np.linalg.solve(phi.T @ (phi * weight) + language.RIDGE * np.eye(phi.shape[1]), phi.T @ (target * weight))
+    assert np.abs(k @ got["w"] + got["b"] - phi @ w).max() < 0.02
+    for i, name in enumerate(("de", "en")):
+        own = x[langs == name]
+        n, count = len(own), own.sum(axis=0)
+        assert (np.unpackbits(got["unions"][i]) == ((count >= 0.025 * n) & (count > 0))).all()
+        others = (count - 1 >= 0.025 * (n - 1)) & (count > 1)
+        share = np.sort((own * others).sum(axis=1) / own.sum(axis=1))[int((n - 1) * language.QUANTILE)]
+        assert abs(got["least"][i] - max(0.0, 1 - language.SLACK * (1 - share))) < 1e-3
