@@ -180,8 +180,8 @@ def spacing() -> Column:
     return F.when(F.col("following").isNull() | F.col("following").isin(*TRIVIA), "alone").when(F.col("following") == "punctuation", "joint").otherwise("hidden")
 
 
-def tokens(sources: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """source_id, i, start, end, kind, spacing, text of every token of sources (source_id, text), trivia too.
+def tokens(sources: DataFrame, piece_bytes: int = PIECE_BYTES, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """source_id, i, start, end, kind, spacing, text of every token of sources (source_id, text), trivia too, or of those of some kinds.
 
     i counts a text's tokens from 0; start and end are byte offsets. spacing is alone before trivia or the end of the text,
     joint before punctuation, hidden before other tokens. A null or empty text has no tokens. Ids must be distinct and not null.
@@ -193,6 +193,8 @@ def tokens(sources: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     short, long = rows.where("n = 1"), rows.where("n > 1")
     pieces = long.select("source_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), cut)).alias("p")).select("source_id", "n", "p.piece", "p.body")
 
+    asked = [k for k, name in enumerate(KINDS) if name in kinds]
+
     def run(batches: Iterator[pa.RecordBatch], several: bool = False) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "body"):
             own, i, start, end, kind, continued = cut_texts(texts, part.column("state").to_numpy())
@@ -208,7 +210,9 @@ def tokens(sources: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
             take, ahead = pa.array(own), part.column("piece").to_numpy()[own].astype(np.int64) * piece_bytes
             columns = [part.column("source_id").take(take), part.column("piece").take(take), pa.array(i, pa.int64()), pa.array(start + ahead), pa.array(end + ahead)]
             columns += [names.take(pa.array(kind)), names.take(pa.array(following, mask=edge)), words, pa.array(continued), pa.array(edge)]
-            yield pa.record_batch(columns, ["source_id", "piece", "i", "start", "end", "kind", "following", "body", "continued", "edge"])
+            cuts = pa.record_batch(columns, ["source_id", "piece", "i", "start", "end", "kind", "following", "body", "continued", "edge"])
+            # Other kinds leave no row; pieces keep theirs, of which what goes on is put together.
+            yield cuts if several or len(asked) == len(KINDS) else cuts.filter(pa.array(np.isin(kind, asked)))
 
     schema = "source_id long, piece int, i long, start long, end long, kind string, following string, body binary, continued boolean, edge boolean"
     whole = short.select("source_id", F.lit(0).alias("piece"), "body", F.lit(0).alias("state")).mapInArrow(run, schema)
@@ -227,7 +231,8 @@ def tokens(sources: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     joined = written(parts.groupBy("source_id", "i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("kind", "start").alias("kind"), F.unhex(whole_body).alias("body")))
     heads = numbered.where("not continued and not edge and i = before").select("source_id", "start", "kind").union(joined.select("source_id", "start", "kind"))
     joined = joined.join(heads.select("source_id", F.col("start").alias("end"), F.col("kind").alias("following")), ["source_id", "end"], "left")
-    return whole.select(*out).union(numbered.where("not continued and not edge").select(*out)).union(joined.select(*out))
+    of_pieces = numbered.where("not continued and not edge").select(*out).union(joined.select(*out))
+    return whole.select(*out).union(of_pieces if len(asked) == len(KINDS) else of_pieces.where(F.col("kind").isin(*kinds)))
 
 
 def bracket_levels(tokens: DataFrame) -> DataFrame:
@@ -257,12 +262,20 @@ def segments(levels: DataFrame) -> DataFrame:
     A list begins at list_start, its opening bracket; previous and following are where the commas beside a segment start, or
     null. Lists stand within lists; a text with brackets that have no partner has none.
     """
-    good = levels.where("level > 0").join(unbalanced(levels).select("source_id").distinct(), "source_id", "left_anti")
     level = Window.partitionBy("source_id", "level").orderBy("start")
-    own = F.last(F.when(F.col("kind") == "open", F.col("start")), ignorenulls=True).over(level).alias("list_start")
-    rows = good.select("*", own, F.lead("start").over(level).alias("next"), F.lead("kind").over(level).alias("next_kind")).where("kind <> 'close'")
-    n = F.row_number().over(Window.partitionBy("source_id", "level", "list_start").orderBy("start")) - 1
-    return rows.select("source_id", "list_start", n.alias("n"), F.col("end").alias("start"), F.col("next").alias("end"), F.when(F.col("kind") == "comma", F.col("start")).alias("previous"), F.when(F.col("next_kind") == "comma", F.col("next")).alias("following"))
+    bracket = F.when(F.col("kind") != "comma", F.col("text"))
+    before = F.last(bracket, ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1))
+    rows = levels.select("*", before.alias("before"), F.row_number().over(level).alias("place"), F.lead("start").over(level).alias("next"), F.lead("kind").over(level).alias("next_kind"))
+    # A text is balanced if brackets take turns at each level, as seen from the latter of two, and as many close as open.
+    bad = F.when(F.col("kind") == "close", ~F.col("before").eqNullSafe(F.translate("text", ")]}", "([{"))).when(F.col("kind") == "open", F.coalesce(F.col("before").isin(*"([{"), F.lit(False))).otherwise(False)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    text = Window.partitionBy("source_id")
+    opening = F.last(F.when(F.col("kind") == "open", F.struct("start", "place")), ignorenulls=True).over(level)
+    # All windows keep to one exchange and, but for the levels, to one order.
+    rows = rows.select("*", opening.alias("opening"), F.max(bad).over(text).alias("broken"), F.sum(step).over(text).alias("open"))
+    rows = rows.where("not broken and open = 0 and level > 0 and kind <> 'close'")
+    n = (F.col("place") - F.col("opening.place")).cast("int")
+    return rows.select("source_id", F.col("opening.start").alias("list_start"), n.alias("n"), F.col("end").alias("start"), F.col("next").alias("end"), F.when(F.col("kind") == "comma", F.col("start")).alias("previous"), F.when(F.col("next_kind") == "comma", F.col("next")).alias("following"))
 
 
 def identities(texts: list[bytes]) -> list[list[tuple[str, bytes]]]:

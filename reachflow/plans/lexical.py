@@ -69,6 +69,9 @@ turns AS (SELECT *, lead(t) OVER w AS after, lag(t) OVER w AS before FROM marks
 broken AS (SELECT source_id, s, t FROM turns WHERE CASE WHEN kind = 'open' THEN after IS DISTINCT FROM translate(t, '([{', ')]}') ELSE before IS DISTINCT FROM translate(t, ')]}', '([{') END)"""
 
 
+_MARKS = ("open", "close", "comma")
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("source_id"), F.expr("concat('[{', replace(replace(text, '. ', ', ('), chr(10), '}, {'), repeat(')', cast((length(text) - length(replace(text, '. ', ''))) / 2 as int) % 3), '}]')").alias("text"))
@@ -77,7 +80,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_tokens_sql(_LISTS)}, {_LEVELS} SELECT source_id, s AS start, t AS text FROM broken")
 def x8_unbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brackets without a partner of their shape in documents rewritten as lists of lists, many of them broken."""
-    return lexing.unbalanced(lexing.bracket_levels(lexing.tokens(_lists(spark, sf_dir))))
+    return lexing.unbalanced(lexing.bracket_levels(lexing.tokens(_lists(spark, sf_dir), kinds=_MARKS)))
 
 
 @query(f"""WITH {_tokens_sql(_LISTS)}, {_LEVELS},
@@ -87,7 +90,7 @@ SELECT source_id, list_start, n::INT AS n, CASE WHEN n = 0 THEN e ELSE cs[n] + 1
 FROM (SELECT *, unnest(range(coalesce(len(cs), 0) + 1)) AS n FROM commas)""")
 def x10_list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands between the commas of every bracket of documents rewritten as lists of lists, with the commas beside."""
-    return lexing.segments(lexing.bracket_levels(lexing.tokens(_lists(spark, sf_dir))))
+    return lexing.segments(lexing.bracket_levels(lexing.tokens(_lists(spark, sf_dir), kinds=_MARKS)))
 
 
 def _space_elements(tokens: DataFrame) -> DataFrame:

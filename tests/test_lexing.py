@@ -157,3 +157,21 @@ def test_repair(spark):
     # As one list, all spaces of the first text are one deletion, with what lies between: it takes tokens along and may go.
     got = {(r.source_id, r.start) for r in lexing.repaired(tokens, elements).collect()}
     assert got == {(1, m.start()) for m in re.finditer(" ", text)} | {(2, 1)}
+
+
+def test_segments_lex_once_and_shuffle_once(spark):
+    texts = {1: "[a, (b, {}), c,]", 2: "[a, (b]", 3: "(]", 4: "[[x], y", 5: "a, b", 6: "), (", 7: '("(,", [,])', 8: "(a, b)(c)"}
+    frame = spark.createDataFrame(list(texts.items()), "source_id long, text string")
+    marks = ("open", "close", "comma")
+    every = lexing.tokens(frame).where(lexing.F.col("kind").isin(*marks))
+    for piece_bytes in (3, 1000):
+        assert sorted(lexing.tokens(frame, piece_bytes, marks).collect()) == sorted(every.collect())
+    levels = lexing.bracket_levels(lexing.tokens(frame, kinds=marks))
+    got = lexing.segments(levels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+    broken = {r.source_id for r in lexing.unbalanced(levels).collect()}
+    assert broken == {2, 3, 4, 6}
+    rows = got.collect()
+    assert {r.source_id for r in rows} == {1, 7, 8}
+    assert sorted((r.list_start, r.n, texts[1][r.start : r.end]) for r in rows if r.source_id == 1) == [(0, 0, "a"), (0, 1, " (b, {})"), (0, 2, " c"), (0, 3, ""), (4, 0, "b"), (4, 1, " {}"), (8, 0, "")]
