@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from reachflow.operators import retention
 from reachflow.operators.network import Network
 from reachflow.operators.retention import SCHEMAS, Facts, retained
 
@@ -120,3 +121,10 @@ def test_clauses_and_meaning(spark):
     kept = retained(Facts.of(spark, ["cost"], **{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in f.items()}))
     assert sorted(r[0] for r in kept.units.collect()) == [101, 102, 103]
     assert sorted(r[0] for r in kept.demanded.collect()) == [1, 21, 30]
+
+
+def test_edges_from_nodes_that_no_rule_makes_present_make_no_arcs(spark):
+    edges = spark.createDataFrame([(1, 1, 2), (2, 5, 2), (3, 2, 3), (4, 7, 1), (5, 8, 9)], "edge long, src long, dst long")
+    facts = Facts.of(spark, ["cost"], roots=spark.createDataFrame([(1,)], "node long"), edges=edges, member_choices=spark.createDataFrame([(1, 8, 1)], "disj long, item long, cost long"))
+    sources = {r.fact for r in retention._rules(facts)[0].where("head like 'P%'").collect()}
+    assert sources == {"P1", "P2", "P8"}
