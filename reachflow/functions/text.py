@@ -1,7 +1,12 @@
-"""Scalar expressions on UTF-8 bytes and keys. Offsets are bytes, from 0."""
+"""Scalar expressions on UTF-8 bytes and keys, and cuts of many texts at once. Offsets are bytes, from 0."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +55,39 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
 def contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Whether the first span holds the second, ends included."""
     return (a_start <= b_start) & (b_end <= a_end)
+
+
+#: Tasks take texts together up to about so many bytes.
+SLICE_BYTES = 1_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches of about SLICE_BYTES, with the bytes of a column."""
+    for batch in batches:
+        begin = total = 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            total += n
+            if total >= SLICE_BYTES or k == batch.num_rows - 1:
+                part = batch.slice(begin, k + 1 - begin)
+                yield part, [x or b"" for x in part.column(column).to_pylist()]
+                begin, total = k + 1, 0
+
+
+def split_spans(texts: list[bytes], separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, start, end: what stands between separators of one byte in each text, empty parts too, in order."""
+    is_separator = np.zeros(256, bool)
+    is_separator[list(separators)] = True
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    # A separator behind each text ends its last part.
+    end = np.flatnonzero(is_separator[np.frombuffer(b"".join(t + separators[:1] for t in texts), np.uint8)])
+    start = np.append(0, end[:-1] + 1)[: len(end)]
+    text = np.searchsorted(begins, start, "right") - 1
+    return text, start - begins[text], end - begins[text]
+
+
+def numbers_within(groups: np.ndarray) -> np.ndarray:
+    """How many elements of its group stand before each one; equal groups stand together."""
+    first = np.append(True, groups[1:] != groups[:-1])[: len(groups)]
+    at = np.arange(len(groups))
+    return at - np.maximum.accumulate(np.where(first, at, 0))

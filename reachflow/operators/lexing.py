@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachflow.functions.text import slices
 from reachflow.sources.scratch import written
 
 #: A piece is a row of its own; a chunk advances in one lane of an array.
-PIECE_BYTES, CHUNK_BYTES, SLICE_BYTES = 1_000_000, 1_024, 1_000_000
+PIECE_BYTES, CHUNK_BYTES = 1_000_000, 1_024
 DEPTH = 8
 #: Operators that are one token.
 OPERATORS = ("==", "=>", "<=", "<<", "<-", ">=", ">>", "!=", "+=", "-=", "->", "*=", "/=", "%=", "^=", "&=", "&&", "|=", "||", "..", "::", "<<=", ">>=", "...", "..=")
@@ -144,18 +144,6 @@ def cut_texts(texts: list[bytes], before: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, fresh - 1 - before_text[text], start - begins[text], end - begins[text], RULES.kind[states[end - 1]] if len(end) else np.zeros(0, np.uint8), continued
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches of about SLICE_BYTES, with the bytes of a column."""
-    for batch in batches:
-        begin = total = 0
-        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
-            total += n
-            if total >= SLICE_BYTES or k == batch.num_rows - 1:
-                part = batch.slice(begin, k + 1 - begin)
-                yield part, [x or b"" for x in part.column(column).to_pylist()]
-                begin, total = k + 1, 0
-
-
 def start_states(pieces: DataFrame) -> DataFrame:
     """source_id, piece, state: the state before each piece of the texts of several pieces (source_id, piece, body)."""
 

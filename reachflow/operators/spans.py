@@ -7,9 +7,14 @@ have, so that the sides multiply by two and by the logarithm of the longest span
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachflow.functions.text import slices
 from reachflow.sources.scratch import written
 
 #: Cells have sizes of 2**SHIFT, 2**(2 * SHIFT) ... bytes, up to 2**40.
@@ -96,6 +101,52 @@ def piece_owners(pieces: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.withColumn("turn", turn).where("turn = 1").select(*pieces.columns, F.col("o_unit_id").alias("owner"))
 
 
+def deepest(pieces: tuple[np.ndarray, ...], units: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each piece the place of its owner among the units, as piece_owners() has it, or -1.
+
+    pieces are columns source, start, end; units source, start, end, depth, kind_rank, id. Units of one depth that lie apart
+    are looked up by bisection; where they cross or touch an empty piece, a piece is held against those of its source.
+    """
+    (p_source, p_start, p_end), (u_source, u_start, u_end, u_depth, u_rank, u_id) = pieces, units
+    found = np.full(len(p_source), -1)
+    width = max([int(x.max()) for x in (p_start, u_start) if len(x)], default=0) + 1
+    for depth in np.unique(u_depth)[::-1].tolist():
+        own = np.flatnonzero(u_depth == depth)
+        own = own[np.lexsort((u_id[own], -u_rank[own], u_end[own] - u_start[own], u_start[own], u_source[own]))]
+        left = np.flatnonzero(found < 0)
+        source, start, end = p_source[left], p_start[left], p_end[left]
+        apart = np.all((u_source[own[1:]] != u_source[own[:-1]]) | (u_start[own[1:]] >= u_end[own[:-1]]))
+        at = own[np.searchsorted(u_source[own] * width + u_start[own], source * width + start, "right") - 1]
+        within = (u_source[at] == source) & (u_start[at] <= start) & (end <= u_end[at])
+        several = (start >= end) if apart else np.ones(len(left), bool)
+        found[left] = np.where(within & ~several, at, -1)
+        for k in left[several].tolist():
+            near = own[np.searchsorted(u_source[own], p_source[k]) : np.searchsorted(u_source[own], p_source[k], "right")]
+            near = near[(u_start[near] <= p_start[k]) & (p_end[k] <= u_end[near])]
+            if len(near):
+                found[k] = near[np.lexsort((u_id[near], -u_rank[near], u_end[near] - u_start[near]))[0]]
+    return found
+
+
+def owners_within(sources: DataFrame, cut: Callable[[list[bytes]], tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -> DataFrame:
+    """source_id, start, end, owner: piece_owners() where a text says its pieces and units itself, found in the task that reads it.
+
+    sources (source_id, text); cut gives the pieces and the units of some texts as deepest() takes them, their source being
+    the place of the text. Nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            pieces, units = cut(texts)
+            at = deepest(pieces, units)
+            got = at >= 0
+            columns = [part.column("source_id").take(pa.array(pieces[0][got])), *[pa.array(x[got], pa.int64()) for x in pieces[1:]], pa.array(units[5][at[got]], pa.int64())]
+            yield pa.record_batch(columns, ["source_id", "start", "end", "owner"])
+
+    rows = sources.where("text is not null").select("source_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"source_id {rows.schema['source_id'].dataType.simpleString()}, start long, end long, owner long")
+
+
 def exact_lookup(ranges: DataFrame, units: DataFrame) -> DataFrame:
     """range columns, n, unit_id: units of exactly that range; unit_id is null where there are none or several."""
     found = units.groupBy("source_id", "start", "end").agg(F.count("*").alias("n"), F.min("unit_id").alias("unit_id"))

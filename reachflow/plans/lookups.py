@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reachflow.functions.text import numbers_within, split_spans
 from reachflow.operators import closure, ordinals, rewriting, spans
 from reachflow.operators.retention import Facts, retained
 from reachflow.plans.registered import query
@@ -15,24 +17,21 @@ _WORDS_SQL = f"""{LINES_SQL}, w0 AS (SELECT source_id, line, start, unnest(strin
 words AS (SELECT source_id, line, i, w, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 - strlen(w) AS BIGINT) AS ws, CAST(start + sum(strlen(w) + 1) OVER (PARTITION BY source_id, line ORDER BY i) - 1 AS BIGINT) AS we FROM w0)"""
 
 
-def _words(of: DataFrame) -> DataFrame:
-    """Words of the lines with their spans; the pieces that lines own."""
-    rows = of.select("source_id", "line", F.col("start").alias("l_start"), F.posexplode(F.split("text", " ")).alias("i", "w"))
-    end = F.sum(F.octet_length("w") + 1).over(Window.partitionBy("source_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return rows.withColumn("end", F.col("l_start") + end).select("source_id", "line", (F.col("i") + 1).alias("i"), "w", (F.col("end") - F.octet_length("w")).alias("start"), "end")
+def _words_and_lines(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The words of texts as pieces; their lines, numbered from 0, and the whole texts, of number -1, as units."""
+    text, start, end = split_spans(texts, b"\n ")
+    words = tuple(x[start < end] for x in (text, start, end))
+    text, start, end = split_spans(texts, b"\n")
+    n, one = len(texts), np.ones(len(text), np.int64)
+    whole = np.arange(n), np.zeros(n, np.int64), np.array([len(t) for t in texts], np.int64), np.zeros(n, np.int64), np.ones(n, np.int64), np.full(n, -1)
+    return words, tuple(np.concatenate(c) for c in zip((text, start, end, one, one * 0, numbers_within(text)), whole, strict=True))
 
 
 @query(f"WITH {_WORDS_SQL} SELECT source_id, ws AS start, we AS \"end\", line AS owner FROM words WHERE w <> ''")
 def j3_piece_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one owner of each word of every document, the deepest unit around it."""
-    return piece_owners(spark, sf_dir, lines(spark, sf_dir))
-
-
-def piece_owners(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
-    pieces = _words(of).where("w <> ''").select("source_id", F.struct("line", "i").alias("piece_id"), "start", "end")
-    units = lines(spark, sf_dir).select("source_id", F.col("line").alias("unit_id"), "start", "end", F.lit(1).alias("depth"), F.lit(0).alias("kind_rank"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(-1).cast("long").alias("unit_id"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), F.lit(0).alias("depth"), F.lit(1).alias("kind_rank"))
-    return spans.piece_owners(pieces, units.unionByName(docs)).select("source_id", "start", "end", "owner")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    return spans.owners_within(docs, _words_and_lines)
 
 
 @query("WITH o AS (SELECT l_partkey AS site_id, bool_and(s_acctbal > 0) AS a, bool_or(s_acctbal > 0) AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT CASE WHEN a = b AND a THEN 'kept' WHEN a = b THEN 'gone' ELSE 'disagree' END AS state, count(*) AS n FROM o GROUP BY 1")
