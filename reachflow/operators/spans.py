@@ -155,8 +155,8 @@ def exact_lookup(ranges: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def coalesced(spans: DataFrame, *keys: str) -> DataFrame:
-    """keys, start, end: spans that overlap or touch (start <= the greatest end before) become one."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+    """keys, start, end: spans that overlap or touch (start <= the greatest end before) become one; nulls come last."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("c_before", before)
     marked = marked.withColumn("c_group", F.sum(F.when(F.col("c_before").isNull() | (F.col("start") > F.col("c_before")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 import time
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from reachflow.functions import text as X
 from reachflow.operators import checks, diffs, groups, ordinals, rewriting, spans
 from reachflow.sources import files
@@ -51,6 +55,16 @@ def test_coalescing_and_pieces(spark):
     assert back == {7: (0, 1), 8: (0, 7), 9: (4, 7), 10: (9, None)}
 
 
+def test_coalescing_puts_nulls_last(spark, tmp_path):
+    day = datetime.datetime(2000, 1, 1)
+    rows = [(1, None, day), (1, 3, day), (2, 1, None), (2, 2, day), (3, 1, None), (3, None, None), (4, 2, day), (4, 2, day), (5, None, day), (None, 1, day), (None, 1, None)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = Counter(db.execute(__spark_entry__.oracle_sql()["w8_coalesced"]).fetchall())
+    assert Counter(tuple(r) for r in __spark_entry__.queries()["w8_coalesced"](spark, str(tmp_path)).collect()) == want
+
+
 def test_lists_and_repetitions(spark):
     def cut(gone):
         words = ["a", "bb", "c", "dd", "e"]
