@@ -10,14 +10,14 @@ are one token. Strings stand in double quotes, with backslash escapes, and may h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachflow.functions.text import slices
+from reachflow.functions.text import SLICE_BYTES, numbers_within, slices
 from reachflow.sources.scratch import written
 
 #: A piece is a row of its own; a chunk advances in one lane of an array.
@@ -27,6 +27,7 @@ DEPTH = 8
 OPERATORS = ("==", "=>", "<=", "<<", "<-", ">=", ">>", "!=", "+=", "-=", "->", "*=", "/=", "%=", "^=", "&=", "&&", "|=", "||", "..", "::", "<<=", ">>=", "...", "..=")
 TRIVIA = ("space", "comment")
 KINDS = ("space", "comment", "word", "number", "string", "unterminated", "open", "close", "comma", "punctuation")
+QUIET = [KINDS.index(k) for k in TRIVIA]
 TOKENS = "source_id long, i long, start long, end long, kind string, spacing string, text string"
 
 
@@ -102,7 +103,7 @@ class Chunks:
 
     def states(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The state at each byte of all texts, and whether a token begins there; before: the state before each text."""
-        maps, now, start = self.maps() if len(self.text) > len(self.sizes) else None, 0, np.zeros(len(self.text), np.uint8)
+        maps, now, start = None if self.is_first.all() else self.maps(), 0, np.zeros(len(self.text), np.uint8)
         for k, (t, is_first) in enumerate(zip(self.text.tolist(), self.is_first.tolist(), strict=True)):
             start[k] = now = before[t] if is_first else maps[k - 1, now]
         out, cut = np.zeros((self.height, len(self.text)), np.uint8), np.zeros((self.height, len(self.text)), bool)
@@ -135,7 +136,7 @@ def cut_texts(texts: list[bytes], before: np.ndarray) -> tuple[np.ndarray, ...]:
     edge = cut.copy()
     edge[heads] = True
     start = np.flatnonzero(edge)
-    end = np.append(start[1:], len(cut)).astype(np.int64)
+    end = np.append(start[1:], len(cut))[: len(start)].astype(np.int64)
     text = np.searchsorted(begins + chunks.sizes, start, "right")
     continued = ~cut[start]
     fresh = np.cumsum(~continued)
@@ -332,6 +333,99 @@ def disturbing(tokens: DataFrame, deletions: DataFrame) -> DataFrame:
     return windows.mapInArrow(run, f"source_id long, deletion_id {kind}, bad boolean").where("bad").select("source_id", "deletion_id")
 
 
+def changed(texts: list[bytes], tokens: tuple[np.ndarray, ...], deletions: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each deletion of texts disturbs a token beside it, as disturbing() has it, by arrays.
+
+    tokens are columns text, start, end, kind of every token, in order; deletions are columns text, start, end.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat, begins = b"".join(texts), np.cumsum(sizes) - sizes
+    text, start, end, kind = (c[~np.isin(tokens[3], QUIET)] for c in tokens)
+    start, end = begins[text] + start, begins[text] + end
+    d_text, d_start, d_end = deletions[0], begins[deletions[0]] + deletions[1], begins[deletions[0]] + deletions[2]
+    # Tokens low to high of a text; one before the deletion, one that begins before its end, one behind it.
+    low, high = np.searchsorted(text, d_text), np.searchsorted(text, d_text, "right")
+    one, inner = np.searchsorted(start, d_start) - 1, np.searchsorted(start, d_end) - 1
+    behind = inner + 1
+    ends, starts = np.append(end, 0), np.append(start, 0)  # a place of -1 or behind the last is not looked at
+    bad = ((one >= low) & (ends[one] > d_start)) | ((inner >= low) & (ends[inner] > d_end))
+    # The window: two tokens before, of which the trivia that follow belong to them, and two behind.
+    left = np.where(one < low, d_start, starts[np.maximum(one - 1, low).clip(0, len(start))])
+    last = ends[(behind + 1).clip(0, len(start))]
+    past = begins[d_text] + sizes[d_text]
+    right = np.where(behind >= high, d_end, np.where(behind + 1 < high, last, past))
+    width = d_start - left + right - d_end
+    first, until = np.maximum(one - 1, low), np.minimum(behind + 2, high)
+    # Windows of a like length go together, as the longest sets the steps of all, and no more than SLICE_BYTES of them.
+    asked = np.flatnonzero(~bad & (width > 0))
+    asked = asked[np.argsort(width[asked], kind="stable")]
+    slots = np.searchsorted([64, CHUNK_BYTES], width[asked]) + 3 * (np.cumsum(width[asked]) // SLICE_BYTES)
+    for few in np.split(asked, np.flatnonzero(np.diff(slots)) + 1) if len(asked) else []:
+        spans = (left[few], d_start[few], d_end[few], right[few])
+        bad[few] = _differ(flat, spans, (start, end, kind), (first[few], one[few] + 1, behind[few], until[few]))
+    return bad
+
+
+def _differ(flat: bytes, spans: tuple[np.ndarray, ...], tokens: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether flat[a:b] + flat[c:d] has other tokens, trivia left out, than those from p to q and from r to s; spans a, b, c, d, places p, q, r, s."""
+    (a, b, c, _), (start, end, kind), (p, q, r, s) = spans, tokens, places
+    windows = [flat[w:x] + flat[y:z] for w, x, y, z in zip(*(n.tolist() for n in spans), strict=True)]
+    text, _, w_start, w_end, w_kind, _ = cut_texts(windows, np.zeros(len(windows), np.uint8))
+    real = ~np.isin(w_kind, QUIET)
+    text, w_start, w_end, w_kind = text[real], w_start[real], w_end[real], w_kind[real]
+    before = np.maximum(q - p, 0)
+    bad = np.bincount(text, minlength=len(windows)) != before + np.maximum(s - r, 0)
+    # The k-th token of a window is held against the k-th that it should have.
+    k, same = numbers_within(text), ~bad[text]
+    text, k, w_start, w_end, w_kind = (x[same] for x in (text, k, w_start, w_end, w_kind))
+    is_left = k < before[text]
+    at = np.where(is_left, p[text] + k, r[text] + k - before[text])
+    other = (kind[at] != w_kind) | (end[at] - start[at] != w_end - w_start)
+    bad[text[other]] = True
+    # A token of the same length at its own place has its own bytes.
+    moved = ~other & (w_start + a[text] + np.where(is_left, 0, (c - b)[text]) != start[at])
+    for t, w, x, y, z in zip(*(n[moved].tolist() for n in (text, w_start, w_end, start[at], end[at])), strict=True):
+        bad[t] |= windows[t][w:x] != flat[y:z]
+    return bad
+
+
+def stays(texts: list[bytes], tokens: tuple[np.ndarray, ...], elements: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each element of the one list of each text has to stay, as repaired() has it, by arrays; elements are columns text, start, end, kept, in order."""
+    text, start, end, kept = elements
+    gone = np.flatnonzero(~kept)
+    if not len(gone):
+        return kept
+    head = np.append(True, (np.diff(gone) > 1) | (np.diff(text[gone]) > 0))
+    heads = np.flatnonzero(head)
+    runs = text[gone[heads]], np.minimum.reduceat(start[gone], heads), np.maximum.reduceat(end[gone], heads)
+    out = kept.copy()
+    out[gone] = changed(texts, tokens, runs)[np.cumsum(head) - 1]
+    return out
+
+
+def within(sources: DataFrame, find: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """Rows that find(texts, tokens) gives for the tokens of some texts, in the task that reads them: the place of a row's text, then its columns.
+
+    sources (source_id, text): texts of one piece, see by_length(). schema has the names and types behind source_id. Nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            text, _, start, end, kind, _ = cut_texts(texts, np.zeros(len(texts), np.uint8))
+            own, *columns = find(texts, (text, start, end, kind))
+            yield pa.record_batch([part.column("source_id").take(pa.array(own)), *map(pa.array, columns)], ["source_id", *names])
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = sources.where("text is not null").select("source_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"source_id {rows.schema['source_id'].dataType.simpleString()}, {schema}")
+
+
+def by_length(sources: DataFrame, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of one piece, which a task lexes whole; and those that are lexed by many tasks, None if there are none."""
+    long = sources.where(F.octet_length("text") > piece_bytes)
+    return sources.where(F.octet_length("text") <= piece_bytes), None if long.isEmpty() else long
+
+
 def repaired(tokens: DataFrame, elements: DataFrame) -> DataFrame:
     """The elements of elements (source_id, list_id, i, start, end, kept) that have to stay, kept ones first: kept is true for all of them.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reachflow.functions.text import numbers_within
 from reachflow.operators import lexing
 from reachflow.plans.registered import query
 from reachflow.sources.relations import table
@@ -107,6 +109,21 @@ glued AS (SELECT source_id, k, s, regexp_extract_all(array_to_string(coalesce(lt
 bad AS (SELECT source_id, k, s FROM glued WHERE list_filter(got, lambda t: NOT regexp_matches(t, '^[ \t\r\n\x0B\x0C]|^//|^/\*')) <> list_filter(want, lambda t: NOT regexp_matches(t, '^[ \t\r\n\x0B\x0C]|^//|^/\*')))"""
 
 
+def _spaces(tokens: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """text, start, end, i, kept: _space_elements() of some texts, by arrays."""
+    text, start, end = (c[tokens[3] == lexing.KINDS.index("space")] for c in tokens[:3])
+    i = numbers_within(text)
+    return text, start, end, i, i % 5 > 0
+
+
+def _repaired(texts: list[bytes], tokens: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    text, start, end, _, kept = _spaces(tokens)
+    n_kept = np.bincount(text[lexing.stays(texts, tokens, (text, start, end, kept))], minlength=len(texts))
+    n = np.bincount(text, minlength=len(texts))
+    own = np.flatnonzero(n)
+    return [own, n_kept[own], n[own]]
+
+
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, k::INT AS deletion_id FROM bad")
 def x6_disturbing_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which deletions of every fifth space of each document change a token beside them."""
@@ -118,7 +135,15 @@ def x6_disturbing_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, count(*) FILTER (k % 5 > 0 OR (source_id, k) IN (SELECT source_id, k FROM bad)) AS n_kept, count(*) AS n FROM spaces GROUP BY 1")
 def e9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many spaces of each document stay, if dropping every fifth must leave all other tokens as they are."""
-    tokens = written(lexing.tokens(_sources(spark, sf_dir, "documents")).select("source_id", "start", "end", "kind", "text"))
+    return repaired_spaces(_sources(spark, sf_dir, "documents"))
+
+
+def repaired_spaces(sources: DataFrame, piece_bytes: int = lexing.PIECE_BYTES) -> DataFrame:
+    short, long = lexing.by_length(sources, piece_bytes)
+    found = lexing.within(short, _repaired, "n_kept long, n long")
+    if long is None:
+        return found
+    tokens = written(lexing.tokens(long, piece_bytes).select("source_id", "start", "end", "kind", "text"))
     elements = _space_elements(tokens)
     kept = lexing.repaired(tokens, elements).groupBy("source_id").agg(F.count("*").alias("n_kept"))
-    return elements.groupBy("source_id").agg(F.count("*").alias("n")).join(kept, "source_id", "left").select("source_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "n")
+    return found.union(elements.groupBy("source_id").agg(F.count("*").alias("n")).join(kept, "source_id", "left").select("source_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "n"))

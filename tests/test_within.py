@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,8 @@ import pytest
 
 import __spark_entry__
 from reachflow.functions.text import split_spans
-from reachflow.operators import spans
+from reachflow.operators import lexing, spans
+from reachflow.plans import lexical
 from tests.test_whole import by_oracle
 
 ODD = [(1, "a bb\n\n c  ddddddd\n"), (2, ""), (3, None), (4, "\n \n"), (5, "漢字 é\nxxxxxxxxxx yyyyyyyyyyyy\nz"), (None, "w 漢"), (7, " "), (8, "abcdefgh")]
@@ -54,3 +56,54 @@ def test_owners_of_words_are_found_in_place(spark, tmp_path):
                 want[(i, at, at + len(w.encode()), k)] += bool(w)
                 at += len(w.encode()) + 1
     assert Counter(tuple(r) for r in found.collect()) == +want
+
+
+def noise(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    bits = ["a", "b1", " ", " ", " ", "  ", "\n", "=", "/", "/", "*", "//", "/*", "*/", '"', "\\", "(", ")", ",", ".", ":", "é", "<", "7"]
+    return ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(n)] + [" ", "", "   a", "b c d e f g " * 200, "/* a */ " * 30, "a" * 3000 + " b " + "c" * 3000 + " d"]
+
+
+def frame(spark, seed: int, n: int):
+    return spark.createDataFrame(list(enumerate(noise(seed, n))), "source_id long, text string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changed_tokens_equal_the_plain_operator(spark, seed):
+    rng, sources = random.Random(seed), frame(spark, seed, 400)
+    texts = noise(seed, 400)
+    gone = [(k, a, min(len(t.encode()), a + rng.choice([1, 1, 2, 5, 20]))) for k, t in enumerate(texts) if t for a in rng.sample(range(len(t.encode())), min(6, len(t.encode()))) if "é" not in t]
+    deletions = spark.createDataFrame([(k, i, a, b) for i, (k, a, b) in enumerate(gone)], "source_id long, deletion_id long, start long, end long")
+    data = [t.encode() for t in texts]
+    text, _, start, end, kind, _ = lexing.cut_texts(data, np.zeros(len(data), np.uint8))
+    bad = lexing.changed(data, (text, start, end, kind), tuple(np.array(c) for c in zip(*gone, strict=True)))
+    assert set(np.flatnonzero(bad).tolist()) == {r.deletion_id for r in lexing.disturbing(lexing.tokens(sources), deletions).collect()}
+
+
+def test_runs_that_stay_equal_the_plain_operator(spark):
+    rng, texts = random.Random(3), noise(3, 200)
+    spaces = [(k, i, m.start(), m.end(), rng.random() < 0.5) for k, t in enumerate(texts) if "é" not in t for i, m in enumerate(re.finditer(" ", t))]
+    elements = spark.createDataFrame([(k, 0, *rest) for k, *rest in spaces], "source_id long, list_id long, i long, start long, end long, kept boolean")
+    data = [t.encode() for t in texts]
+    text, _, start, end, kind, _ = lexing.cut_texts(data, np.zeros(len(data), np.uint8))
+    own, i, s, e, kept = (np.array(c) for c in zip(*spaces, strict=True))
+    stay = lexing.stays(data, (text, start, end, kind), (own, s, e, kept))
+    assert set(zip(own[stay].tolist(), i[stay].tolist(), strict=True)) == {(r.source_id, r.i) for r in lexing.repaired(lexing.tokens(frame(spark, 3, 200)), elements).collect()}
+
+
+@pytest.mark.parametrize("count", [lexical.repaired_spaces])
+def test_long_texts_go_by_pieces(spark, count):
+    """Texts within a task, and by pieces of one byte more than the shortest ones and of fifty."""
+    sources = frame(spark, 5, 60)
+    whole = count(sources)
+    assert "Exchange" not in plan(whole)
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, count(sources, 50).collect())) != Counter()
+
+
+@pytest.mark.parametrize("name", ["e9_repaired"])
+def test_spaces_of_documents(spark, small, tmp_path, name):
+    columns, expected = by_oracle(small, name)
+    assert Counter(tuple(r) for r in __spark_entry__.queries()[name](spark, small).select(*columns).collect()) == expected
+    found = __spark_entry__.queries()[name](spark, documents(spark, tmp_path))
+    assert "Exchange" not in plan(found)
+    assert found.count() == {"x6_disturbing_deletions": 3, "e9_repaired": 5}[name]
