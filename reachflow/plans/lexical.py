@@ -116,6 +116,13 @@ def _spaces(tokens: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return text, start, end, i, i % 5 > 0
 
 
+def _disturbing(texts: list[bytes], tokens: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    text, start, end, i, kept = _spaces(tokens)
+    text, start, end, i = (c[~kept] for c in (text, start, end, i))
+    bad = lexing.changed(texts, tokens, (text, start, end))
+    return [text[bad], i[bad].astype(np.int32)]
+
+
 def _repaired(texts: list[bytes], tokens: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     text, start, end, _, kept = _spaces(tokens)
     n_kept = np.bincount(text[lexing.stays(texts, tokens, (text, start, end, kept))], minlength=len(texts))
@@ -127,9 +134,17 @@ def _repaired(texts: list[bytes], tokens: tuple[np.ndarray, ...]) -> list[np.nda
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, k::INT AS deletion_id FROM bad")
 def x6_disturbing_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which deletions of every fifth space of each document change a token beside them."""
-    tokens = written(lexing.tokens(_sources(spark, sf_dir, "documents")).select("source_id", "start", "end", "kind", "text"))
+    return disturbing_spaces(_sources(spark, sf_dir, "documents"))
+
+
+def disturbing_spaces(sources: DataFrame, piece_bytes: int = lexing.PIECE_BYTES) -> DataFrame:
+    short, long = lexing.by_length(sources, piece_bytes)
+    found = lexing.within(short, _disturbing, "deletion_id int")
+    if long is None:
+        return found
+    tokens = written(lexing.tokens(long, piece_bytes).select("source_id", "start", "end", "kind", "text"))
     deletions = _space_elements(tokens).where("not kept").select("source_id", F.col("i").alias("deletion_id"), "start", "end")
-    return lexing.disturbing(tokens, deletions)
+    return found.union(lexing.disturbing(tokens, deletions))
 
 
 @query(f"WITH {_tokens_sql(_DOCUMENTS)}, {_GLUED} SELECT source_id, count(*) FILTER (k % 5 > 0 OR (source_id, k) IN (SELECT source_id, k FROM bad)) AS n_kept, count(*) AS n FROM spaces GROUP BY 1")

@@ -91,7 +91,7 @@ def test_runs_that_stay_equal_the_plain_operator(spark):
     assert set(zip(own[stay].tolist(), i[stay].tolist(), strict=True)) == {(r.source_id, r.i) for r in lexing.repaired(lexing.tokens(frame(spark, 3, 200)), elements).collect()}
 
 
-@pytest.mark.parametrize("count", [lexical.repaired_spaces])
+@pytest.mark.parametrize("count", [lexical.disturbing_spaces, lexical.repaired_spaces])
 def test_long_texts_go_by_pieces(spark, count):
     """Texts within a task, and by pieces of one byte more than the shortest ones and of fifty."""
     sources = frame(spark, 5, 60)
@@ -100,7 +100,7 @@ def test_long_texts_go_by_pieces(spark, count):
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, count(sources, 50).collect())) != Counter()
 
 
-@pytest.mark.parametrize("name", ["e9_repaired"])
+@pytest.mark.parametrize("name", ["x6_disturbing_deletions", "e9_repaired"])
 def test_spaces_of_documents(spark, small, tmp_path, name):
     columns, expected = by_oracle(small, name)
     assert Counter(tuple(r) for r in __spark_entry__.queries()[name](spark, small).select(*columns).collect()) == expected
