@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachflow.functions.text import joined_in_order
+from reachflow.functions.text import joined_in_order, slices
 from reachflow.operators import spans
 from reachflow.operators.closure import flags_above
 from reachflow.sources.scratch import keyed, written
@@ -57,6 +61,50 @@ def nested_deletions(elements: DataFrame, kept: DataFrame) -> DataFrame:
     return cut.select("source_id", start.alias("start"), F.coalesce("behind", "end").alias("end"))
 
 
+def nested_gone(parent: np.ndarray, leaf: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Whether each element goes, as nested_deletions() has it, by arrays, and none around it does; parent is a place or -1."""
+    holds, stays, depth, up = leaf.copy(), leaf & kept, np.zeros(len(parent), np.int64), parent
+    while np.any(up >= 0):
+        depth += up >= 0
+        up = np.where(up >= 0, parent[up], -1)
+    for level in range(int(depth.max(initial=0)), 0, -1):
+        at = np.flatnonzero(depth == level)
+        holds[parent[at[holds[at]]]] = True
+        stays[parent[at[stays[at]]]] = True
+    gone = holds & ~stays
+    return gone & ~((parent >= 0) & gone[parent]) if len(gone) else gone
+
+
+def without(texts: list[bytes], gone: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The texts after deletions of text, start, end, which may overlap."""
+    flat, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    change = np.zeros(len(flat) + 1, np.int32)
+    np.add.at(change, ends[gone[0]] + gone[1], 1)
+    np.add.at(change, ends[gone[0]] + gone[2], -1)
+    left = np.cumsum(change[:-1]) == 0
+    data, cuts = flat[left].tobytes(), np.append(0, np.cumsum(left))[ends].tolist()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def nested_within(sources: DataFrame, lists: Callable[[list[bytes]], tuple[np.ndarray, ...]]) -> DataFrame:
+    """source_id, text after nested_deletions() where a text says its lists itself, cut in the task that reads it; null texts have no row.
+
+    sources (source_id, text); lists gives the elements of some texts: the place of the text, the place of the element around it
+    or -1, leaf, kept, start, end, and ahead and behind, -1 where there is no separator. Nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            text, parent, leaf, kept, start, end, ahead, behind = lists(texts)
+            gone = nested_gone(parent, leaf, kept)
+            begin = np.where((behind < 0) & (ahead >= 0), ahead, start)
+            cut = without(texts, tuple(c[gone] for c in (text, begin, np.where(behind < 0, end, behind))))
+            yield pa.record_batch([part.column("source_id"), pa.array(cut, pa.binary()).cast(pa.string())], ["source_id", "text"])
+
+    rows = sources.where("text is not null").select("source_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"source_id {rows.schema['source_id'].dataType.simpleString()}, text string")
+
+
 def repetition_deletions(elements: DataFrame, inputs: DataFrame) -> DataFrame:
     """source_id, rep_id, start, end: runs of elements that aren't kept, with one separator beside; the whole input if all go.
 

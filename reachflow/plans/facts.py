@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachflow.functions import text as X
+from reachflow.functions.text import numbers_within, split_spans
 from reachflow.operators import checks, choice, closure, diffs, gates, integrity, ordinals, rewriting, spans
 from reachflow.plans.registered import query
 from reachflow.sources import files
@@ -355,23 +357,23 @@ l AS (SELECT source_id, line, bool_or(k) AS k, coalesce(string_agg(w || CASE WHE
 SELECT source_id, coalesce(string_agg(t || CASE WHEN line = n OR (line = n - 1 AND NOT k_last) THEN '' ELSE chr(10) END, '' ORDER BY line) FILTER (k), '') AS text FROM x GROUP BY 1""")
 def e3_nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of more than six bytes leave the lists that lines are, and lines of such words alone the list of lines."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("source_id"), "text")
-    return nested_short_words(docs, lines(spark, sf_dir))
-
-
-def nested_short_words(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    def beside(order: str, of: list[str]) -> list:
-        w = Window.partitionBy(*of).orderBy(order)
-        first, last = F.lag(order).over(w).isNull(), F.lead(order).over(w).isNull()
-        return [F.when(~first, F.col("start") - 1).alias("ahead"), F.when(~last, F.col("end") + 1).alias("behind")]
-
-    outer = rows.select("source_id", F.concat_ws("/", "source_id", "line").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("leaf"), "start", "end", *beside("line", ["source_id"]))
-    words = rows.select("source_id", "line", F.col("start").alias("at"), F.posexplode(F.split("text", " ")).alias("i", "w"))
-    behind = F.sum(F.octet_length("w") + 1).over(Window.partitionBy("source_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    placed = words.withColumn("end", F.col("at") + behind).withColumn("start", F.col("end") - F.octet_length("w"))
-    inner = placed.select("source_id", F.concat_ws("/", "source_id", "line", "i").alias("node"), F.concat_ws("/", "source_id", "line").alias("parent"), F.lit(True).alias("leaf"), "start", "end", *beside("i", ["source_id", "line"]))
-    kept = inner.where(F.col("end") - F.col("start") <= 6).select("node")
-    return rewriting.rewritten(docs, rewriting.nested_deletions(outer.union(inner), kept))[0]
+    return rewriting.nested_within(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"), _lines_and_words)
+
+
+def _lines_and_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The lines of texts as elements of a list, each the list of its words, of which those of six bytes at most are kept."""
+    text, start, end = split_spans(texts, b"\n")
+    w_text, w_start, w_end = split_spans(texts, b"\n ")
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    line = np.searchsorted(begins[text] + start, begins[w_text] + w_start, "right") - 1
+
+    def beside(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        last = np.append(of[1:] != of[:-1], True)[: len(of)]
+        return [np.where(numbers_within(of) > 0, start - 1, -1), np.where(last, -1, end + 1)]
+
+    outer = [text, np.full(len(text), -1), np.zeros(len(text), bool), np.zeros(len(text), bool), start, end, *beside(text, start, end)]
+    inner = [w_text, line, np.ones(len(line), bool), w_end - w_start <= 6, w_start, w_end, *beside(line, w_start, w_end)]
+    return tuple(np.concatenate(c) for c in zip(outer, inner, strict=True))
 
 
 _LANE_SQL = """SELECT CAST(0 AS BIGINT) AS i, (SELECT list(s_suppkey) FROM supplier WHERE s_suppkey % 50 = 0 OR (lane = 'present' AND s_suppkey % 35 = 0)) AS kept, CAST(NULL AS BIGINT) AS disj, CAST(NULL AS BIGINT) AS pick, lane FROM (VALUES ('present'), ('demanded')) AS v(lane)"""

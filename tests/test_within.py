@@ -6,12 +6,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__
 from reachflow.functions.text import split_spans
-from reachflow.operators import lexing, spans
+from reachflow.operators import lexing, rewriting, spans
 from reachflow.plans import lexical
 from tests.test_whole import by_oracle
 
@@ -107,3 +108,51 @@ def test_spaces_of_documents(spark, small, tmp_path, name):
     found = __spark_entry__.queries()[name](spark, documents(spark, tmp_path))
     assert "Exchange" not in plan(found)
     assert found.count() == {"x6_disturbing_deletions": 3, "e9_repaired": 5}[name]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nested_lists_equal_the_plain_operator(spark, seed):
+    rng, texts, rows, places = random.Random(seed), [], [], []
+
+    def grow(text: str, parent: int, depth: int) -> str:
+        here, n = [], rng.randrange(1, 4)
+        for k in range(n):
+            place, start = len(rows), len(text)
+            rows.append(None)
+            leaf = depth == 3 or rng.random() < 0.5
+            text += "ab"[: rng.randrange(3)] if leaf else "{"
+            if not leaf:
+                text = (grow(text, place, depth + 1) if rng.random() < 0.8 else text) + "}"
+            here.append((place, leaf, start, len(text), start - 1 if k else -1, len(text) + 1 if k < n - 1 else -1))
+            text += "," if k < n - 1 else ""
+        for place, leaf, *span in here:
+            rows[place] = (len(texts), parent, leaf, leaf and rng.random() < 0.3, *span)
+        return text
+
+    for _ in range(30):
+        texts.append(grow("", -1, 0))
+    columns = tuple(np.array(c) for c in zip(*rows, strict=True))
+    gone = rewriting.nested_gone(*columns[1:4])
+    none = lambda x: x if x >= 0 else None
+    elements = spark.createDataFrame([(t, str(i), str(p) if p >= 0 else None, leaf, s, e, none(a), none(b)) for i, (t, p, leaf, _, s, e, a, b) in enumerate(rows)], "source_id long, node string, parent string, leaf boolean, start long, end long, ahead long, behind long")
+    kept = spark.createDataFrame([(str(i),) for i, r in enumerate(rows) if r[3]], "node string")
+    sources = spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")
+    want = {r.source_id: r.text for r in rewriting.rewritten(sources, rewriting.nested_deletions(elements, kept))[0].collect()}
+    text, _, _, _, start, end, ahead, behind = columns
+    begin = np.where((behind < 0) & (ahead >= 0), ahead, start)
+    got = rewriting.without([t.encode() for t in texts], (text[gone], begin[gone], np.where(behind < 0, end, behind)[gone]))
+    assert {k: t.decode() for k, t in enumerate(got)} == want
+    assert rewriting.without([], tuple(np.zeros(0, np.int64) for _ in range(3))) == []
+
+
+def test_nested_lists_of_documents(spark, small, tmp_path):
+    columns, expected = by_oracle(small, "e3_nested_lists")
+    query = __spark_entry__.queries()["e3_nested_lists"]
+    assert Counter(tuple(r) for r in query(spark, small).select(*columns).collect()) == expected
+    path = documents(spark, tmp_path, [r for r in ODD if r[0] is not None])
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        want = Counter(db.execute(__spark_entry__.oracle_sql()["e3_nested_lists"]).fetchall())
+    found = query(spark, path)
+    assert "Exchange" not in plan(found)
+    assert Counter(tuple(r) for r in found.collect()) == want
